@@ -33,7 +33,7 @@ def _block_roles(views: DataFrame, block: int, size: int) -> DataFrame:
 
     The array runs `size + 1` views into the next block, as far as a chunk can reach.
     """
-    home = F.floor(F.col("v") / F.lit(block)).cast("bigint")
+    home = F.expr(f"v div {block}")
     early = (F.col("v") % block <= size) & (F.col("v") >= block)
     spread = views.select("session_id", "v", "role").withColumn(
         "block", F.explode(F.when(early, F.array(home, home - 1)).otherwise(F.array(home)))

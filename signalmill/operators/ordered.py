@@ -62,7 +62,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str =
 
 
 def _blocked(df: DataFrame, index: str, block: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(index) / F.lit(block)).cast("bigint"))
+    return df.withColumn("_block", F.expr(f"`{index}` div {block}"))
 
 
 def renumbered(
@@ -124,7 +124,7 @@ def with_following(
 
     The first `reach` rows of a block are also sent to the block before it.
     """
-    home = F.floor(F.col(index) / F.lit(block)).cast("bigint")
+    home = F.expr(f"`{index}` div {block}")
     early = (F.col(index) % block < reach) & (F.col(index) >= block)
     spread = df.withColumn("_home", home).withColumn(
         "_block", F.explode(F.when(early, F.array(home, home - 1)).otherwise(F.array(home)))

@@ -47,15 +47,16 @@ def read_lines(
     include: Sequence[str] = (),
     exclude: Sequence[str] = (),
     max_sessions: int | None = None,
+    name_glob: str = "*.jsonl",
 ) -> DataFrame:
-    """Raw lines of all `*.jsonl` files below `root`: rel_path, block_start, seq, value.
+    """Raw lines of all session files below `root`: rel_path, block_start, seq, value.
 
     The path filters prune whole files. `seq` orders the lines of a file block,
     which one task reads from start to end.
     """
     lines = (
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.jsonl")
+        .option("pathGlobFilter", name_glob)
         .text(root)
         .select(
             F.col("_metadata.file_path").alias("path"),
@@ -103,6 +104,7 @@ def read_sessions(
     exclude: Sequence[str] = (),
     max_sessions: int | None = None,
     max_events: int | None = None,
+    name_glob: str = "*.jsonl",
 ) -> DataFrame:
     """Events of all sessions: session_id, rel_path, line_no, i, event, parse_error, raw.
 
@@ -110,7 +112,7 @@ def read_sessions(
     before, so a very large file is spread over its blocks.
     """
     # Written once: the two uses below must see the same file splits.
-    lines = stable(read_lines(spark, root, include, exclude, max_sessions))
+    lines = stable(read_lines(spark, root, include, exclude, max_sessions, name_glob))
     in_block = Window.partitionBy("rel_path", "block_start").orderBy("seq")
     earlier = (
         Window.partitionBy("rel_path")

@@ -53,7 +53,7 @@ def trace_columns(events: DataFrame, *carry: str) -> DataFrame:
         "'s' || CAST(user_id AS STRING) AS session_id",
         *carry,
         "event_id AS pos",
-        "ts",
+        "CAST(ts AS TIMESTAMP) AS ts",
         f"{_ROLE} AS role",
         f"{_TOOL} AS tool",
         "CASE WHEN event_type = 'error' THEN CASE WHEN k % 3 = 0 THEN 'error' ELSE 'ok' END END AS status",
