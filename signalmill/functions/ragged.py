@@ -46,11 +46,11 @@ def first_filled(value: Column, keys) -> Column:
 
 def integer_at(value: Column, path: str) -> Column:
     """The integer at `path`. A boolean counts as 0 or 1, as in the logs' own language."""
-    return let(
-        type_of(child(value, path)),
-        lambda kind: F.when(kind == "BIGINT", F.try_variant_get(value, path, "bigint")).when(
-            kind == "BOOLEAN", F.try_variant_get(value, path, "boolean").cast("bigint")
-        ),
+    # No `let` around the type: the optimizer takes two branches for equal when they
+    # differ only in an outer variable used inside an inner lambda.
+    kind = type_of(child(value, path))
+    return F.when(kind == "BIGINT", F.try_variant_get(value, path, "bigint")).when(
+        kind == "BOOLEAN", F.try_variant_get(value, path, "boolean").cast("bigint")
     )
 
 

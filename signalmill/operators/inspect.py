@@ -57,7 +57,9 @@ def search(
     if fields:
         hay = F.concat_ws("\n", *[F.coalesce(_field(name), F.lit("")) for name in fields])
     else:
-        hay = F.substring(F.to_json("event"), 1, 20000)
+        # A line that did not parse is searched by its raw text.
+        bad = F.to_json(F.struct(F.col("parse_error").alias("_parse_error"), F.col("raw").alias("_raw")))
+        hay = F.substring(F.coalesce(F.to_json("event"), bad), 1, 20000)
     hit = hay.rlike(query) if regex else F.contains(F.lower(hay), F.lit(query.lower()))
     found = events.filter(F.col("i") >= max(0, start)).filter(hit)
     return first_per_key(found, ["session_id"], [F.col("i")], limit).drop("_rank")

@@ -37,7 +37,10 @@ def _filled(value: Column, default: str) -> Column:
 
 
 def facet_counts(items: DataFrame) -> DataFrame:
-    """(signature_id, facet, value, n, first_pos) over items with `pos`."""
+    """(signature_id, facet, value, n, first_pos) over items with `pos`.
+
+    `first_pos` is the item's order and the place inside the item, which tells its tags apart.
+    """
 
     def facet(name: str, value: Column) -> Column:
         return F.struct(F.lit(name).alias("facet"), value.alias("value"))
@@ -58,10 +61,10 @@ def facet_counts(items: DataFrame) -> DataFrame:
         F.coalesce("tags", F.array().cast("array<string>")), lambda t: facet("tag", t)
     )
     return (
-        labelled.select("signature_id", "signature_text", "pos", F.explode(F.concat(one, tags)).alias("f"))
+        labelled.select("signature_id", "signature_text", "pos", F.posexplode(F.concat(one, tags)).alias("at", "f"))
         .filter("f.value IS NOT NULL")
         .groupBy("signature_id", "signature_text", "f.facet", "f.value")
-        .agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+        .agg(F.count("*").alias("n"), F.min(F.struct("pos", "at")).alias("first_pos"))
     )
 
 
@@ -107,7 +110,7 @@ def rollups(items: DataFrame, max_samples: int = MAX_SAMPLES, max_tags: int = MA
         F.first("signature_text").alias("signature_text"),
         F.sum(F.when(F.col("facet") == "kind", F.col("n"))).alias("count_items"),
         F.count_if(F.col("facet") == "session").alias("count_sessions"),
-        F.min("first_pos").alias("first_pos"),
+        F.min("first_pos.pos").alias("first_pos"),
         _counter("kind").alias("kind_counts"),
         _counter("kind_v2").alias("kind_v2_counts"),
         _mode("kind_v2").alias("kind_v2_primary"),

@@ -435,9 +435,12 @@ def merged_members(spark, sf_dir):
 
 @register
 def merge_decisions(spark, sf_dir):
-    """Borderline pairs, a stand-in answer for each, and the edges that the answers add."""
-    asked = merge.merge_requests(_clusters(spark, sf_dir), 0.3, 0.62)
-    sure = F.when(F.col("sim") >= 0.45, 0.9).otherwise(0.4)
+    """Pairs of a similarity band, a stand-in answer for each, and the edges that the answers add.
+
+    The band is moved up to where the trace has pairs.
+    """
+    asked = merge.merge_requests(_clusters(spark, sf_dir), 0.6, 0.9)
+    sure = F.when(F.col("sim") >= 0.75, 0.9).otherwise(0.4)
     said = F.concat(F.lit('Sure: {"decision": "Merge", "confidence": '), sure.cast("string"), F.lit("}"))
     return merge.merge_decisions(asked.withColumn("answer", said))
 
@@ -705,7 +708,7 @@ def cron_gaps(spark, sf_dir):
 @register
 def gap_stats(spark, sf_dir):
     stats = cron.gap_stats(cron.with_gaps(cron.cron_events(_messages(spark, sf_dir))))
-    return stats.withColumns({c: F.round(c, 3) for c in ("gap_min_ms", "gap_max_ms", "gap_mean_ms")})
+    return stats.withColumns({c: F.round(c, 3) for c in ("gap_min_ms", "gap_max_ms")})
 
 
 @register
