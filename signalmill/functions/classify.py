@@ -1,169 +1,132 @@
-"""Column functions that label events and items by rule."""
+"""Expressions that label events and items by rule."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from signalmill.functions import fixed
+from signalmill.functions.sql import Sql, any_of, contains_any, matches, no_texts, text
 from signalmill.functions.text import first_line, severity_rank, truncate
 
 
-def contains_any(text: Column, terms: Iterable[str]) -> Column:
-    hit = F.lit(False)
-    for term in terms:
-        hit = hit | text.contains(term)
-    return hit
-
-
-def _signal(kind: str, severity: str, confidence: float, tags: Column) -> Column:
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        F.lit(severity).alias("severity"),
-        F.lit(confidence).alias("confidence"),
-        tags.alias("tags"),
+def _signal(kind: str, severity: str, confidence: float, tags: Sql) -> Sql:
+    return (
+        f"named_struct('kind', {text(kind)}, 'severity', {text(severity)}, "
+        f"'confidence', {confidence}D, 'tags', {tags})"
     )
 
 
-def heuristic_signal(role: Column, tool: Column, status: Column, error_code: Column, text: Column) -> Column:
+def heuristic_signal(role: Sql, tool: Sql, status: Sql, error_code: Sql, body: Sql) -> Sql:
     """struct<kind, severity, confidence, tags> of the first rule that fires, else NULL."""
-    failed = (F.lower(status) == "error") | error_code.startswith("EXIT_")
-    tool_tag = F.when(
-        tool.isNotNull() & (tool != ""), F.array(F.concat(F.lit("tool:"), tool))
-    ).otherwise(F.array().cast("array<string>"))
+    failed = f"coalesce(lower({status}) = 'error', false) OR coalesce(startswith({error_code}, 'EXIT_'), false)"
+    tool_tag = f"IF({tool} <> '', array(concat('tool:', {tool})), {no_texts()})"
 
-    def tagged(tag: str) -> Column:
-        return F.array(F.lit(tag))
+    def low(kind: str, tag: str, pattern: str) -> Sql:
+        return f"WHEN {matches(body, pattern)} THEN {_signal(kind, 'low', 0.3, f'array({text(tag)})')}"
 
-    return (
-        F.when(text.isNull() | (text == ""), F.lit(None))
-        .when((role == "toolResult") & F.coalesce(failed, F.lit(False)), _signal("error", "medium", 0.4, tool_tag))
-        .when(
-            (role == "user") & text.rlike(fixed.FRUSTRATION),
-            _signal("user_frustration", "medium", 0.4, tagged("frustration")),
-        )
-        .when(text.rlike(fixed.EXPERIMENT), _signal("experiment_suggestion", "low", 0.3, tagged("experiment")))
-        .when(text.rlike(fixed.OPPORTUNITY), _signal("proactive_opportunity", "low", 0.3, tagged("opportunity")))
-        .when(text.rlike(fixed.DELIGHT), _signal("user_delight", "low", 0.3, tagged("delight")))
-        .when(text.rlike(fixed.IMPROVE), _signal("improvement_suggestion", "low", 0.3, tagged("suggestion")))
-    )
+    return f"""CASE WHEN {body} IS NULL OR {body} = '' THEN NULL
+      WHEN {role} = 'toolResult' AND ({failed}) THEN {_signal("error", "medium", 0.4, tool_tag)}
+      WHEN {role} = 'user' AND {matches(body, fixed.FRUSTRATION)}
+        THEN {_signal("user_frustration", "medium", 0.4, "array('frustration')")}
+      {low("experiment_suggestion", "experiment", fixed.EXPERIMENT)}
+      {low("proactive_opportunity", "opportunity", fixed.OPPORTUNITY)}
+      {low("user_delight", "delight", fixed.DELIGHT)}
+      {low("improvement_suggestion", "suggestion", fixed.IMPROVE)} END"""
 
 
-def heuristic_summary(text: Column, limit: int) -> Column:
-    return truncate(first_line(text), limit)
+def heuristic_summary(body: Sql, limit: int) -> Sql:
+    return truncate(first_line(body), limit)
 
 
-def kind_v2(kind: Column, summary: Column, tags: Column) -> Column:
+def kind_v2(kind: Sql, summary: Sql, tags: Sql) -> Sql:
     """struct<label, reason>: the finer class of an item. Terms are substrings, first hit wins."""
-    kind = F.lower(F.coalesce(kind, F.lit("")))
-    summary = F.lower(F.coalesce(summary, F.lit("")))
-    is_process = F.coalesce(
-        F.exists(tags, lambda t: F.lower(t) == "process"), F.lit(False)
-    ) | contains_any(summary, fixed.PROCESS_TERMS)
-    suggestion = kind.isin("improvement_suggestion", "experiment_suggestion")
-
-    def answer(label: str, origin: str) -> Column:
-        return F.struct(F.lit(label).alias("label"), F.lit(f"{origin}:{label}").alias("reason"))
-
-    out = (
-        F.when(kind == "proactive_opportunity", answer("proactive_opportunity", "kind"))
-        .when(kind == "user_delight", answer("user_delight", "kind"))
-        .when(
-            (kind == "error") & contains_any(summary, fixed.ERROR_RELIABILITY_TERMS),
-            answer("reliability_perf", "error"),
-        )
-        .when(kind == "error", answer("defect", "error"))
-        .when(kind == "user_frustration", answer("ux_friction", "user_frustration"))
-    )
-    for label, terms in fixed.SUGGESTION_TERMS:
-        out = out.when(suggestion & contains_any(summary, terms), answer(label, "suggestion"))
-    return (
-        out.when(suggestion & is_process, answer("process_tooling", "suggestion"))
-        .when(suggestion, answer("ux_friction", "suggestion"))
-        .when(is_process, answer("process_tooling", "other"))
-        .otherwise(answer("ux_friction", "other"))
-    )
-
-
-def sentiment(kind: Column, summary: Column) -> Column:
-    upset = contains_any(F.lower(F.coalesce(summary, F.lit(""))), fixed.FRUSTRATED_STEMS)
-    frustrated = (F.lower(F.coalesce(kind, F.lit(""))) == "user_frustration") | upset
-    return F.when(frustrated, F.lit("frustrated")).otherwise(F.lit("neutral"))
-
-
-def group_tier(max_severity: Column, incident: Column, error: Column, frustration: Column) -> Column:
+    kind = f"lower(coalesce({kind}, ''))"
+    said = f"lower(coalesce({summary}, ''))"
+    tagged = any_of(tags, lambda t: f"lower({t}) = 'process'")
+    is_process = f"(coalesce({tagged}, false) OR {contains_any(said, fixed.PROCESS_TERMS)})"
+    suggestion = f"{kind} IN ('improvement_suggestion', 'experiment_suggestion')"
+
+    def when(test: Sql, label: str, origin: str) -> Sql:
+        return f"WHEN {test} THEN {answer(label, origin)}"
+
+    def answer(label: str, origin: str) -> Sql:
+        return f"named_struct('label', {text(label)}, 'reason', {text(f'{origin}:{label}')})"
+
+    unreliable = contains_any(said, fixed.ERROR_RELIABILITY_TERMS)
+    cases = [
+        when(f"{kind} = 'proactive_opportunity'", "proactive_opportunity", "kind"),
+        when(f"{kind} = 'user_delight'", "user_delight", "kind"),
+        when(f"{kind} = 'error' AND {unreliable}", "reliability_perf", "error"),
+        when(f"{kind} = 'error'", "defect", "error"),
+        when(f"{kind} = 'user_frustration'", "ux_friction", "user_frustration"),
+        *[
+            when(f"{suggestion} AND {contains_any(said, terms)}", label, "suggestion")
+            for label, terms in fixed.SUGGESTION_TERMS
+        ],
+        when(f"{suggestion} AND {is_process}", "process_tooling", "suggestion"),
+        when(suggestion, "ux_friction", "suggestion"),
+        when(is_process, "process_tooling", "other"),
+    ]
+    return f"CASE {' '.join(cases)} ELSE {answer('ux_friction', 'other')} END"
+
+
+def sentiment(kind: Sql, summary: Sql) -> Sql:
+    upset = contains_any(f"lower(coalesce({summary}, ''))", fixed.FRUSTRATED_STEMS)
+    return f"IF(lower(coalesce({kind}, '')) = 'user_frustration' OR {upset}, 'frustrated', 'neutral')"
+
+
+def _tiers(urgent: Sql, notable: Sql) -> Sql:
+    """struct<tier, reasons> from the reasons of the first two tiers."""
+    return f"""CASE WHEN size({urgent}) > 0 THEN named_struct('tier', 1, 'reasons', {urgent})
+      WHEN size({notable}) > 0 THEN named_struct('tier', 2, 'reasons', {notable})
+      ELSE named_struct('tier', 3, 'reasons', array('default')) END"""
+
+
+def group_tier(max_severity: Sql, incident: Sql, error: Sql, frustration: Sql) -> Sql:
     """struct<tier, reasons> of a cluster from its counters."""
     rank = severity_rank(max_severity)
-    named = F.concat(F.lit("severity:"), max_severity)
-    urgent = F.array_compact(F.array(F.when(incident, F.lit("incident")), F.when(rank >= 3, named)))
-    notable = F.array_compact(
-        F.array(
-            F.when(error, F.lit("kind:error")),
-            F.when(frustration, F.lit("kind:user_frustration")),
-            F.when(rank == 2, F.lit("severity:medium")),
-        )
-    )
-    return (
-        F.when(F.size(urgent) > 0, F.struct(F.lit(1).alias("tier"), urgent.alias("reasons")))
-        .when(F.size(notable) > 0, F.struct(F.lit(2).alias("tier"), notable.alias("reasons")))
-        .otherwise(F.struct(F.lit(3).alias("tier"), F.array(F.lit("default")).alias("reasons")))
-    )
-
-
-def bonus(incident: Column, error: Column, frustration: Column) -> Column:
-    return (
-        F.when(incident, F.lit(2.0)).otherwise(F.lit(0.0))
-        + F.when(error, F.lit(0.3)).otherwise(F.lit(0.0))
-        + F.when(frustration, F.lit(0.2)).otherwise(F.lit(0.0))
+    urgent = f"array_compact(array(IF({incident}, 'incident', NULL), IF({rank} >= 3, concat('severity:', {max_severity}), NULL)))"
+    notable = (
+        f"array_compact(array(IF({error}, 'kind:error', NULL), IF({frustration}, 'kind:user_frustration', NULL), "
+        f"IF({rank} = 2, 'severity:medium', NULL)))"
     )
+    return _tiers(urgent, notable)
 
 
-def group_score(count_items: Column, max_severity: Column, incident, error, frustration) -> Column:
+def group_score(count_items: Sql, max_severity: Sql, incident: Sql, error: Sql, frustration: Sql) -> Sql:
     # Added one by one: the order of the additions decides the last digit.
-    out = F.log1p(count_items) + severity_rank(max_severity)
-    for hit, weight in ((incident, 2.0), (error, 0.3), (frustration, 0.2)):
-        out = F.when(hit, out + F.lit(weight)).otherwise(out)
+    out = f"(log1p({count_items}) + {severity_rank(max_severity)})"
+    for hit, weight in ((incident, "2.0D"), (error, "0.3D"), (frustration, "0.2D")):
+        out = f"({out} + IF({hit}, {weight}, 0.0D))"
     return out
 
 
-def item_tier(kind: Column, severity: Column, tags: Column) -> Column:
+def _has_incident(tags: Sql) -> Sql:
+    return f"coalesce(array_contains({tags}, 'incident'), false)"
+
+
+def item_tier(kind: Sql, severity: Sql, tags: Sql) -> Sql:
     """struct<tier, reasons> of a single item."""
-    severity = F.lower(F.coalesce(severity, F.lit("unknown")))
-    kind = F.lower(F.coalesce(kind, F.lit("")))
-    incident = F.coalesce(F.array_contains(tags, "incident"), F.lit(False))
-    urgent = F.array_compact(
-        F.array(
-            F.when(incident, F.lit("incident")),
-            F.when(severity.isin("critical", "high"), F.concat(F.lit("severity:"), severity)),
-        )
+    severity = f"lower(coalesce({severity}, 'unknown'))"
+    kind = f"lower(coalesce({kind}, ''))"
+    urgent = (
+        f"array_compact(array(IF({_has_incident(tags)}, 'incident', NULL), "
+        f"IF({severity} IN ('critical', 'high'), concat('severity:', {severity}), NULL)))"
     )
-    notable = F.array_compact(
-        F.array(
-            F.when(kind.isin("error", "user_frustration"), F.concat(F.lit("kind:"), kind)),
-            F.when(severity == "medium", F.lit("severity:medium")),
-        )
-    )
-    return (
-        F.when(F.size(urgent) > 0, F.struct(F.lit(1).alias("tier"), urgent.alias("reasons")))
-        .when(F.size(notable) > 0, F.struct(F.lit(2).alias("tier"), notable.alias("reasons")))
-        .otherwise(F.struct(F.lit(3).alias("tier"), F.array(F.lit("default")).alias("reasons")))
+    notable = (
+        f"array_compact(array(IF({kind} IN ('error', 'user_frustration'), concat('kind:', {kind}), NULL), "
+        f"IF({severity} = 'medium', 'severity:medium', NULL)))"
     )
+    return _tiers(urgent, notable)
 
 
-def item_score(kind: Column, severity: Column, tags: Column) -> Column:
-    kind = F.lower(F.coalesce(kind, F.lit("")))
-    incident = F.coalesce(F.array_contains(tags, "incident"), F.lit(False))
-    return severity_rank(F.coalesce(severity, F.lit("unknown"))) + bonus(
-        incident, kind == "error", kind == "user_frustration"
+def item_score(kind: Sql, severity: Sql, tags: Sql) -> Sql:
+    kind = f"lower(coalesce({kind}, ''))"
+    return (
+        f"(CAST({severity_rank(f'''coalesce({severity}, 'unknown')''')} AS DOUBLE) + IF({_has_incident(tags)}, 2.0D, 0.0D) "
+        f"+ IF({kind} = 'error', 0.3D, 0.0D) + IF({kind} = 'user_frustration', 0.2D, 0.0D))"
     )
 
 
-def spoken_command(utterance: Column) -> Column:
-    said = F.lower(F.trim(utterance))
-    out = None
-    for command, words in fixed.COMMANDS:
-        hit = contains_any(said, words)
-        out = F.when(hit, F.lit(command)) if out is None else out.when(hit, F.lit(command))
-    return out.otherwise(F.lit("unknown"))
+def spoken_command(utterance: Sql) -> Sql:
+    said = f"lower(trim({utterance}))"
+    cases = " ".join(f"WHEN {contains_any(said, words)} THEN {text(name)}" for name, words in fixed.COMMANDS)
+    return f"CASE {cases} ELSE 'unknown' END"

@@ -1,116 +1,104 @@
-"""Column functions over ragged JSON, held as VARIANT.
+"""Expressions over ragged JSON, held as VARIANT.
 
 A path read with a type converts numbers to strings, so each reader first checks
 the type that the value really has. Arguments named `value` are used more than
-once: pass a plain column or a `let` variable, or the expression tree multiplies.
+once: pass a column or a `let` variable, or the text multiplies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Iterable
 
-from signalmill.functions.text import let
+from signalmill.functions.sql import Sql, each, filled, let
 
 
-def child(value: Column, path: str) -> Column:
-    return F.try_variant_get(value, path, "variant")
+def get(value: Sql, path: str, kind: str) -> Sql:
+    return f"try_variant_get({value}, '{path}', '{kind}')"
 
 
-def type_of(value: Column) -> Column:
+def child(value: Sql, path: str) -> Sql:
+    return get(value, path, "variant")
+
+
+def type_of(value: Sql) -> Sql:
     """Type name as `schema_of_variant` spells it; a missing value gives NULL."""
-    return F.schema_of_variant(value)
+    return f"schema_of_variant({value})"
 
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(type_of(value).startswith("OBJECT"), F.lit(False))
+def is_object(value: Sql) -> Sql:
+    return f"coalesce(startswith({type_of(value)}, 'OBJECT'), false)"
 
 
-def text_at(value: Column, path: str) -> Column:
+def text_at(value: Sql, path: str) -> Sql:
     """The string at `path`; NULL when missing or of another type."""
-    return F.when(type_of(child(value, path)) == "STRING", F.try_variant_get(value, path, "string"))
+    return f"IF({type_of(child(value, path))} = 'STRING', {get(value, path, 'string')}, NULL)"
 
 
-def object_at(value: Column, path: str) -> Column:
-    """The object at `path`, else NULL."""
-    return let(child(value, path), lambda v: F.when(is_object(v), v))
+def filled_text_at(value: Sql, path: str) -> Sql:
+    return filled(text_at(value, path))
 
 
-def filled_text_at(value: Column, path: str) -> Column:
-    return let(text_at(value, path), lambda t: F.when(t != "", t))
+def object_at(value: Sql, path: str) -> Sql:
+    """The object at `path`, else NULL."""
+    return let(child(value, path), lambda v: f"IF({is_object(v)}, {v}, NULL)")
 
 
-def first_filled(value: Column, keys) -> Column:
-    return F.coalesce(*[filled_text_at(value, f"$.{key}") for key in keys])
+def first_filled(value: Sql, keys: Iterable[str]) -> Sql:
+    return f"coalesce({', '.join(filled_text_at(value, f'$.{key}') for key in keys)})"
 
 
-def integer_at(value: Column, path: str) -> Column:
+def integer_at(value: Sql, path: str) -> Sql:
     """The integer at `path`. A boolean counts as 0 or 1, as in the logs' own language."""
-    # No `let` around the type: the optimizer takes two branches for equal when they
-    # differ only in an outer variable used inside an inner lambda.
     kind = type_of(child(value, path))
-    return F.when(kind == "BIGINT", F.try_variant_get(value, path, "bigint")).when(
-        kind == "BOOLEAN", F.try_variant_get(value, path, "boolean").cast("bigint")
+    return (
+        f"CASE {kind} WHEN 'BIGINT' THEN {get(value, path, 'bigint')} "
+        f"WHEN 'BOOLEAN' THEN CAST({get(value, path, 'boolean')} AS BIGINT) END"
     )
 
 
-def present(value: Column, path: str) -> Column:
+def present(value: Sql, path: str) -> Sql:
     """Is there a value at `path` that is not JSON null?"""
-    return child(value, path).isNotNull() & ~F.coalesce(F.is_variant_null(child(value, path)), F.lit(True))
+    at = child(value, path)
+    return f"({at} IS NOT NULL AND NOT is_variant_null({at}))"
 
 
-def plain_text(value: Column) -> Column:
+def plain_text(value: Sql) -> Sql:
     """A string as is, anything else as compact JSON; JSON null gives NULL."""
     return let(
         value,
-        lambda v: F.when(F.is_variant_null(v), F.lit(None).cast("string"))
-        .when(type_of(v) == "STRING", F.try_variant_get(v, "$", "string"))
-        .otherwise(F.to_json(v)),
+        lambda v: f"CASE WHEN is_variant_null({v}) THEN NULL WHEN {type_of(v)} = 'STRING' "
+        f"THEN {get(v, '$', 'string')} ELSE to_json({v}) END",
     )
 
 
-def truthy_text(value: Column) -> Column:
+def truthy_text(value: Sql) -> Sql:
     """`plain_text` of a value that is not empty, zero or false; else NULL."""
-    return let(
-        plain_text(value),
-        lambda t: F.when(t.isin("", "0", "0.0", "false", "[]", "{}"), F.lit(None)).otherwise(t),
-    )
+    return let(plain_text(value), lambda t: f"IF({t} IN ('', '0', '0.0', 'false', '[]', '{{}}'), NULL, {t})")
 
 
-def _list_part(item: Column) -> Column:
+def _list_part(item: Sql) -> Sql:
     """Text of one entry of a content list; empty entries give NULL."""
-
-    def by_kind(kind: Column) -> Column:
-        return (
-            F.when(kind == "STRING", F.try_variant_get(item, "$", "string"))
-            .when(kind == "VOID", F.lit("None"))
-            .otherwise(F.coalesce(filled_text_at(item, "$.text"), F.substring(F.to_json(item), 1, 2000)))
-        )
-
-    return F.nullif(let(type_of(item), by_kind), F.lit(""))
+    other = f"coalesce({filled_text_at(item, '$.text')}, left(to_json({item}), 2000))"
+    return filled(
+        f"CASE {type_of(item)} WHEN 'STRING' THEN {get(item, '$', 'string')} WHEN 'VOID' THEN 'None' ELSE {other} END"
+    )
 
 
-def content_text(value: Column) -> Column:
+def content_text(value: Sql) -> Sql:
     """Readable text of a content field: a string, a list of parts or an object."""
 
-    def by_kind(v: Column, kind: Column) -> Column:
-        parts = F.transform(F.try_variant_get(v, "$", "array<variant>"), _list_part)
-        obj = F.coalesce(
-            first_filled(v, ("text", "error", "stderr", "stdout", "output")),
-            F.substring(F.to_json(v), 1, 4000),
-        )
-        return (
-            F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
-            .when(kind.startswith("ARRAY"), F.array_join(F.array_compact(parts), "\n"))
-            .when(kind.startswith("OBJECT"), obj)
-            .when(kind != "VOID", F.substring(F.to_json(v), 1, 4000))
-        )
-
-    return F.coalesce(
-        let(value, lambda v: let(type_of(v), lambda kind: by_kind(v, kind))), F.lit("")
-    )
+    def by_kind(v: Sql) -> Sql:
+        kind = type_of(v)
+        parts = each(get(v, "$", "array<variant>"), _list_part)
+        obj = f"coalesce({first_filled(v, ('text', 'error', 'stderr', 'stdout', 'output'))}, left(to_json({v}), 4000))"
+        return f"""CASE WHEN {kind} = 'STRING' THEN {get(v, "$", "string")}
+          WHEN startswith({kind}, 'ARRAY') THEN array_join(array_compact({parts}), '\\n')
+          WHEN startswith({kind}, 'OBJECT') THEN {obj}
+          WHEN {kind} <> 'VOID' THEN left(to_json({v}), 4000) END"""
+
+    return f"coalesce({let(value, by_kind)}, '')"
 
 
-def keys_of(value: Column) -> Column:
+def keys_of(value: Sql) -> Sql:
     """Sorted top-level keys of an object."""
-    return F.array_sort(F.json_object_keys(F.to_json(value)))
+    return f"array_sort(json_object_keys(to_json({value})))"

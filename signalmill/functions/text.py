@@ -1,101 +1,88 @@
-"""Column functions over text: trimming, digests, tokens, signatures, keywords."""
+"""Expressions over text: trimming, digests, tokens, signatures, keywords."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from signalmill.functions.fixed import REDACTIONS, SALIENT, SEVERITY_RANK, STOPWORDS
+from signalmill.functions.sql import Sql, each, keep, let, matches, no_texts, not_empty, pattern, text, texts
 
 # Unicode white space plus the four ASCII separators.
 _SPACE = r"[\s\x1c-\x1f]"
 _LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+def _replace(value: Sql, regex: str, by: str) -> Sql:
+    return f"regexp_replace({value}, {pattern(regex)}, {text(by)})"
 
 
-def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U){_SPACE}+\z", "")
+def strip(value: Sql) -> Sql:
+    return _replace(value, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
 
 
-def lstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{_SPACE}+", "")
+def rstrip(value: Sql) -> Sql:
+    return _replace(value, rf"(?U){_SPACE}+\z", "")
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate `value` once and use it several times in `body`."""
-    return F.transform(F.array(value), body).getItem(0)
+def lstrip(value: Sql) -> Sql:
+    return _replace(value, rf"(?U)\A{_SPACE}+", "")
 
 
-def split_lines(text: Column) -> Column:
-    return F.split(text, _LINE_BREAK)
+def split_lines(value: Sql) -> Sql:
+    return f"split({value}, {pattern(_LINE_BREAK)})"
 
 
-def full_lines(text: Column) -> Column:
+def full_lines(value: Sql) -> Sql:
     """Stripped lines, blank ones left out."""
-    return F.filter(F.transform(split_lines(text), strip), lambda line: line != "")
+    return keep(each(split_lines(value), strip), not_empty)
+
+
+def first_line(value: Sql) -> Sql:
+    return f"{split_lines(value)}[0]"
 
 
-def first_line(text: Column) -> Column:
-    return split_lines(text).getItem(0)
+def _cut(value: Sql, cut: Sql) -> Sql:
+    return f"named_struct('text', {value}, 'cut', {cut})"
 
 
-def truncated(text: Column, limit: int) -> Column:
+def truncated(value: Sql, limit: int) -> Sql:
     """struct<text, cut>: stripped text, shortened to `limit` with a trailing `...`."""
     if limit <= 0:
-        return let(strip(text), lambda s: F.struct(F.lit("").alias("text"), (s != "").alias("cut")))
+        return let(strip(value), lambda s: _cut("''", f"{s} <> ''"))
     return let(
-        strip(text),
-        lambda s: F.struct(
-            F.when(F.length(s) <= limit, s)
-            .otherwise(F.concat(rstrip(F.substring(s, 1, limit - 3)), F.lit("...")))
-            .alias("text"),
-            (F.length(s) > limit).alias("cut"),
+        strip(value),
+        lambda s: _cut(
+            f"IF(length({s}) <= {limit}, {s}, concat({rstrip(f'left({s}, {limit - 3})')}, '...'))",
+            f"length({s}) > {limit}",
         ),
     )
 
 
-def truncate(text: Column, limit: int) -> Column:
-    return truncated(text, limit)["text"]
+def truncate(value: Sql, limit: int) -> Sql:
+    return f"{truncated(value, limit)}.text"
 
 
-def _line_digest(text: Column) -> Column:
-    def pick(lines: Column) -> Column:
-        ends = F.when(F.size(lines) > 1, F.array(lines[0], F.element_at(lines, -1))).otherwise(lines)
-        salient = F.filter(lines, lambda line: line.rlike(SALIENT))
-        return strip(F.array_join(F.concat(ends, F.array_except(salient, ends)), "\n"))
+def _line_digest(value: Sql) -> Sql:
+    def pick(lines: Sql) -> Sql:
+        ends = f"IF(size({lines}) > 1, array({lines}[0], element_at({lines}, -1)), {lines})"
+        salient = keep(lines, lambda line: matches(line, SALIENT))
+        return strip(f"array_join(concat({ends}, array_except({salient}, {ends})), '\\n')")
 
-    return let(full_lines(text), pick)
+    return let(full_lines(value), pick)
 
 
-def digest(text: Column, limit: int) -> Column:
+def digest(value: Sql, limit: int) -> Sql:
     """struct<text, cut>: short text as is; else first, last and salient lines; else head and tail."""
     half = limit // 2
 
-    def head_tail(s: Column) -> Column:
-        head = rstrip(F.substring(s, 1, half))
-        tail = lstrip(F.right(s, F.lit(half)))
-        return truncated(F.concat(head, F.lit("\n...\n"), tail), limit)
+    def head_tail(s: Sql) -> Sql:
+        return truncated(f"concat({rstrip(f'left({s}, {half})')}, '\\n...\\n', {lstrip(f'right({s}, {half})')})", limit)
 
-    def long_form(s: Column) -> Column:
-        return let(
-            _line_digest(s),
-            lambda d: F.when(
-                F.length(d) <= limit, F.struct(d.alias("text"), F.lit(True).alias("cut"))
-            ).otherwise(head_tail(s)),
-        )
+    def long_form(s: Sql) -> Sql:
+        return let(_line_digest(s), lambda d: f"IF(length({d}) <= {limit}, {_cut(d, 'true')}, {head_tail(s)})")
 
-    return let(
-        strip(text),
-        lambda s: F.when(
-            F.length(s) <= limit, F.struct(s.alias("text"), F.lit(False).alias("cut"))
-        ).otherwise(long_form(s)),
-    )
+    return let(strip(value), lambda s: f"IF(length({s}) <= {limit}, {_cut(s, 'false')}, {long_form(s)})")
 
 
-def redact(text: Column, strict: bool = False) -> Column:
+def redact(value: Sql, strict: bool = False) -> Sql:
     """Replace personal data by placeholders.
 
     The order is part of the result. `strict` tries card numbers before phone
@@ -104,124 +91,111 @@ def redact(text: Column, strict: bool = False) -> Column:
     steps = list(REDACTIONS)
     if strict:
         steps = steps[:2] + [steps[7]] + steps[2:7]
-    out = text
-    for pattern, mark in steps:
-        out = F.regexp_replace(out, pattern, mark)
-    return out
+    for regex, mark in steps:
+        value = _replace(value, regex, mark)
+    return value
 
 
-def redacted_if_needed(text: Column) -> Column:
+def redacted_if_needed(value: Sql) -> Sql:
     """`redact`, skipping its eight scans for texts that hold none of the trigger characters."""
-    risky = text.rlike(r"(?U)[@\d/]|[0-9a-fA-F]{16}|sk-|xox|ghp_|AKIA")
-    return F.when(risky, redact(text)).otherwise(text)
+    risky = matches(value, r"(?U)[@\d/]|[0-9a-fA-F]{16}|sk-|xox|ghp_|AKIA")
+    return f"IF({risky}, {redact(value)}, {value})"
 
 
-def normalize(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+def normalize(value: Sql) -> Sql:
+    return f"trim({_replace(f'lower({value})', '[^a-z0-9]+', ' ')})"
 
 
-def tokens(text: Column) -> Column:
+def tokens(value: Sql) -> Sql:
     """Words without stopwords; all words if nothing else is left."""
 
-    def keep(words: Column) -> Column:
-        return let(
-            F.filter(words, lambda w: ~w.isin(*STOPWORDS)),
-            lambda kept: F.when(F.size(kept) > 0, kept).otherwise(words),
-        )
+    def chosen(words: Sql) -> Sql:
+        useful = keep(words, lambda w: f"{w} NOT IN ({texts(STOPWORDS)})")
+        return let(useful, lambda kept: f"IF(size({kept}) > 0, {kept}, {words})")
 
-    return let(F.filter(F.split(normalize(text), " "), lambda w: w != ""), keep)
+    return let(keep(f"split({normalize(value)}, ' ')", not_empty), chosen)
 
 
-def bigrams(words: Column) -> Column:
-    n = F.size(words)
-    return F.when(n < 2, words).otherwise(
-        F.zip_with(
-            F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))),
-            F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))),
-            lambda a, b: F.concat(a, F.lit("_"), b),
-        )
-    )
+def bigrams(words: Sql) -> Sql:
+    n = f"greatest(size({words}) - 1, 0)"
+    pairs = f"zip_with(slice({words}, 1, {n}), slice({words}, 2, {n}), (a, b) -> concat(a, '_', b))"
+    return f"IF(size({words}) < 2, {words}, {pairs})"
 
 
-def gram_core(text: Column) -> Column:
+def gram_core(value: Sql) -> Sql:
     """The first six bigrams; they depend on the first seven words only."""
-    return let(F.slice(tokens(text), 1, 7), lambda words: F.array_join(bigrams(words), " "))
+    return let(f"slice({tokens(value)}, 1, 7)", lambda words: f"array_join({bigrams(words)}, ' ')")
 
 
-def tag_core(tags: Column) -> Column:
-    return F.array_join(F.transform(F.slice(tags, 1, 5), lambda t: F.lower(F.substring(t, 1, 32))), ",")
+def tag_core(tags: Sql) -> Sql:
+    return f"array_join({each(f'slice({tags}, 1, 5)', lambda t: f'lower(left({t}, 32))')}, ',')"
 
 
-def signature_text(kind: Column, summary: Column, tags: Column) -> Column:
-    named = F.when((kind.isNull()) | (kind == ""), F.lit("unknown")).otherwise(kind)
-    no_tags = F.array().cast("array<string>")
-    return F.concat(
-        F.lower(strip(named)),
-        F.lit("|"),
-        gram_core(F.coalesce(summary, F.lit(""))),
-        F.lit("|"),
-        tag_core(F.array_sort(F.array_compact(F.coalesce(tags, no_tags)))),
-    )
+def signature_text(kind: Sql, summary: Sql, tags: Sql) -> Sql:
+    named = f"coalesce(nullif({kind}, ''), 'unknown')"
+    ordered = f"array_sort(array_compact(coalesce({tags}, {no_texts()})))"
+    return f"concat(lower({strip(named)}), '|', {gram_core(f'''coalesce({summary}, '')''')}, '|', {tag_core(ordered)})"
 
 
-def fingerprint_text(kind_v2: Column, summary: Column, ranked_tags: Column) -> Column:
-    return F.concat(
-        kind_v2, F.lit("|"), gram_core(F.coalesce(summary, F.lit(""))), F.lit("|"), tag_core(ranked_tags)
-    )
+def fingerprint_text(kind_v2: Sql, summary: Sql, ranked_tags: Sql) -> Sql:
+    return f"concat({kind_v2}, '|', {gram_core(f'''coalesce({summary}, '')''')}, '|', {tag_core(ranked_tags)})"
 
 
-def hashed(prefix: str, text: Column) -> Column:
-    return F.concat(F.lit(prefix), F.sha2(text, 256))
+def hashed(prefix: str, value: Sql) -> Sql:
+    return f"concat({text(prefix)}, sha2({value}, 256))"
 
 
-def session_key(relative_path: Column) -> Column:
+def session_key(relative_path: Sql) -> Sql:
     return hashed("sha256:", relative_path)
 
 
-def severity_rank(severity: Column) -> Column:
-    rank = F.lit(0)
-    for name, value in SEVERITY_RANK.items():
-        if value:
-            rank = F.when(F.lower(severity) == name, F.lit(value)).otherwise(rank)
-    return rank
+def severity_rank(severity: Sql) -> Sql:
+    cases = " ".join(f"WHEN {text(name)} THEN {rank}" for name, rank in SEVERITY_RANK.items() if rank)
+    return f"CASE lower({severity}) {cases} ELSE 0 END"
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
-        shared / F.size(F.array_union(a, b))
+def jaccard(a: Sql, b: Sql) -> Sql:
+    return (
+        f"IF(size({a}) = 0 OR size({b}) = 0, 0.0D, "
+        f"CAST(size(array_intersect({a}, {b})) AS DOUBLE) / size(array_union({a}, {b})))"
     )
 
 
-def keywords(text: Column, limit: int = 12) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]{4,})"), 1)
-    return F.slice(F.array_distinct(F.filter(words, lambda w: ~w.isin(*STOPWORDS))), 1, limit)
+def keywords(value: Sql, limit: int = 12) -> Sql:
+    words = f"regexp_extract_all(lower({value}), '([a-z0-9_]{{4,}})', 1)"
+    useful = keep(words, lambda w: f"{w} NOT IN ({texts(STOPWORDS)})")
+    return f"slice(array_distinct({useful}), 1, {limit})"
 
 
-def slug(text: Column) -> Column:
-    dashed = F.regexp_replace(F.lower(strip(text)), "[^a-z0-9]+", "-")
-    cut = F.substring(F.regexp_replace(dashed, r"\A-+|-+\z", ""), 1, 60)
-    return F.when(cut == "", F.lit("brief")).otherwise(cut)
+def slug(value: Sql) -> Sql:
+    dashed = _replace(f"lower({strip(value)})", "[^a-z0-9]+", "-")
+    trimmed = _replace(dashed, r"\A-+|-+\z", "")
+    return f"coalesce(nullif(left({trimmed}, 60), ''), 'brief')"
 
 
-def white_words(text: Column) -> Column:
+def white_words(value: Sql) -> Sql:
     """Distinct lower-case words between white space."""
-    words = F.split(F.lower(strip(text)), rf"(?U){_SPACE}+")
-    return F.array_distinct(F.filter(words, lambda w: w != ""))
+    words = f"split(lower({strip(value)}), {pattern(rf'(?U){_SPACE}+')})"
+    return f"array_distinct({keep(words, not_empty)})"
 
 
 _SHORT_ESCAPES = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
 
 
-def json_string(text: Column) -> Column:
+def json_string(value: Sql) -> Sql:
     """Quoted JSON string, non-ASCII kept, control characters as lower-case `\\u00xx`."""
-    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    spelled = plain
-    for code in range(0x20):
-        spelled = F.replace(spelled, F.lit(chr(code)), F.lit(_SHORT_ESCAPES.get(code, f"\\u{code:04x}")))
-    body = F.when(text.rlike(r"[\x00-\x1f]"), spelled).otherwise(plain)
-    return F.concat(F.lit('"'), body, F.lit('"'))
+
+    def quoted(v: Sql) -> Sql:
+        plain = f"replace(replace({v}, {text(chr(92))}, {text(chr(92) * 2)}), '\"', {text(chr(92) + chr(34))})"
+        spelled = plain
+        for code in range(0x20):
+            escape = _SHORT_ESCAPES.get(code, f"\\u{code:04x}")
+            spelled = f"replace({spelled}, char({code}), {text(escape)})"
+        control = matches(v, r"[\x00-\x1f]")
+        return f"concat('\"', IF({control}, {spelled}, {plain}), '\"')"
+
+    return let(value, quoted)
 
 
-def json_strings(texts: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(texts, json_string), ", "), F.lit("]"))
+def json_strings(values: Sql) -> Sql:
+    return f"concat('[', array_join({each(values, json_string)}, ', '), ']')"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalmill.functions import fixed
-from signalmill.functions.classify import contains_any
+from signalmill.functions.sql import contains_any
 from signalmill.operators.ordered import BLOCK, first_per_key, last_before
 
 RAPID_MS = 10_000
@@ -43,7 +43,7 @@ def with_gaps(cron: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def false_error() -> Column:
     """Is a message that is labelled as an error worded like a good answer?"""
-    return F.col("is_error") & contains_any(F.lower("preview"), fixed.SUCCESS_WORDS)
+    return F.expr(f"is_error AND {contains_any('lower(preview)', fixed.SUCCESS_WORDS)}")
 
 
 def gap_stats(gaps: DataFrame) -> DataFrame:

@@ -6,27 +6,26 @@ here is row-local, so it runs inside the scan stage, before any shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalmill.functions import fixed, ragged
-from signalmill.functions.text import digest, let, strip
+from signalmill.functions.sql import Sql, filled, let, matches, text, texts
+from signalmill.functions.text import digest, strip
 from signalmill.operators.ordered import BLOCK, first_per_key, renumbered
 
 MAX_TEXT = 800
 _ERROR_KEYS = ("error_code", "errorCode", "code")
 
 
-def _filled(text: Column) -> Column:
-    return let(text, lambda t: F.when(t != "", t))
-
-
-def _joined(parts: list[Column]) -> Column:
+def _joined(parts: list[Sql]) -> Sql:
     """Non-empty parts, one per line."""
-    return F.concat_ws("\n", *[_filled(p) for p in parts])
+    return f"concat_ws('\\n', {', '.join(filled(p) for p in parts)})"
 
 
-def in_event(event: Column, body) -> Column:
+def in_event(body: Callable[[Sql, Sql, Sql], Sql], event: Sql = "event") -> Sql:
     """`body(event, message, details)`, each evaluated once; NULL unless they are objects."""
     return let(
         event,
@@ -37,118 +36,98 @@ def in_event(event: Column, body) -> Column:
     )
 
 
-def rows_of(events: DataFrame, keep: list[str], row: Column) -> DataFrame:
+def rows_of(events: DataFrame, keep: Sequence[str], row: Sql) -> DataFrame:
     """One output row per non-NULL struct. The generator also keeps the optimizer
     from copying these large expressions into every filter above them."""
-    return events.select(*keep, F.inline(F.array_compact(F.array(row))))
+    return events.select(*keep, F.expr(f"inline(array_compact(array({row})))"))
 
 
-def is_metadata(event: Column, message: Column) -> Column:
-    empty = F.to_json(message) == "{}"
-    no_message = message.isNull() | empty
-    return no_message & F.coalesce(
-        ragged.text_at(event, "$.type").isin(*fixed.METADATA_TYPES), F.lit(False)
-    )
+def _has_message(message: Sql) -> Sql:
+    return f"({message} IS NOT NULL AND to_json({message}) <> '{{}}')"
 
 
-def role_of(event: Column, message: Column, parse_error: Column) -> Column:
-    return F.when(parse_error.isNotNull(), F.lit("parse_error")).otherwise(
-        F.coalesce(ragged.text_at(message, "$.role"), ragged.text_at(event, "$.role"), F.lit("other"))
-    )
+def is_metadata(event: Sql, message: Sql) -> Sql:
+    kind = ragged.text_at(event, "$.type")
+    return f"(NOT {_has_message(message)} AND coalesce({kind} IN ({texts(fixed.METADATA_TYPES)}), false))"
 
 
-def tool_of(event: Column, message: Column) -> Column:
-    return F.coalesce(
-        ragged.text_at(message, "$.toolName"),
-        ragged.first_filled(event, ("tool", "tool_name", "toolName", "name")),
-    )
+def role_of(event: Sql, message: Sql, parse_error: Sql) -> Sql:
+    named = f"coalesce({ragged.text_at(message, '$.role')}, {ragged.text_at(event, '$.role')}, 'other')"
+    return f"IF({parse_error} IS NOT NULL, 'parse_error', {named})"
 
 
-def status_of(event: Column, details: Column) -> Column:
-    return F.coalesce(ragged.text_at(details, "$.status"), ragged.text_at(event, "$.status"))
+def tool_of(event: Sql, message: Sql) -> Sql:
+    flat = ragged.first_filled(event, ("tool", "tool_name", "toolName", "name"))
+    return f"coalesce({ragged.text_at(message, '$.toolName')}, {flat})"
 
 
-def error_code_of(event: Column, details: Column) -> Column:
-    in_details = ragged.present(details, "$.exitCode")
-    exit_code = F.when(in_details, ragged.integer_at(details, "$.exitCode")).otherwise(
-        ragged.integer_at(event, "$.exitCode")
-    )
-    return F.coalesce(
-        ragged.first_filled(details, _ERROR_KEYS),
-        ragged.first_filled(event, _ERROR_KEYS),
-        let(exit_code, lambda code: F.when(code != 0, F.concat(F.lit("EXIT_"), code.cast("string")))),
-    )
+def status_of(event: Sql, details: Sql) -> Sql:
+    return f"coalesce({ragged.text_at(details, '$.status')}, {ragged.text_at(event, '$.status')})"
 
 
-def text_of(event: Column, message: Column, details: Column, role: Column, tool: Column) -> Column:
+def error_code_of(event: Sql, details: Sql) -> Sql:
+    inner, outer = ragged.integer_at(details, "$.exitCode"), ragged.integer_at(event, "$.exitCode")
+    exit_code = f"IF({ragged.present(details, '$.exitCode')}, {inner}, {outer})"
+    spelled = let(exit_code, lambda code: f"IF({code} <> 0, concat('EXIT_', {code}), NULL)")
+    return f"coalesce({ragged.first_filled(details, _ERROR_KEYS)}, {ragged.first_filled(event, _ERROR_KEYS)}, {spelled})"
+
+
+def text_of(event: Sql, message: Sql, details: Sql, role: Sql, tool: Sql) -> Sql:
     """struct<text, shape>: the text of an event, put together by role, before the digest."""
-    def shaped(text: Column, shape: str) -> Column:
-        return F.struct(text.alias("text"), F.lit(shape).alias("shape"))
 
-    def by_role(content: Column) -> Column:
-        exit_code = ragged.integer_at(details, "$.exitCode").cast("string")
+    def shaped(body: Sql, shape: str) -> Sql:
+        return f"named_struct('text', {body}, 'shape', {text(shape)})"
+
+    def by_role(content: Sql) -> Sql:
         result = _joined(
             [
-                F.concat(F.lit("tool="), _filled(tool)),
-                F.concat(F.lit("status="), ragged.text_at(details, "$.status")),
-                F.concat(F.lit("exitCode="), exit_code),
-                F.concat(F.lit("error="), ragged.truthy_text(ragged.child(details, "$.error"))),
+                f"concat('tool=', {filled(tool)})",
+                f"concat('status=', {ragged.text_at(details, '$.status')})",
+                f"concat('exitCode=', {ragged.integer_at(details, '$.exitCode')})",
+                f"concat('error=', {ragged.truthy_text(ragged.child(details, '$.error'))})",
                 *[ragged.text_at(details, f"$.{k}") for k in ("stderr", "stdout", "aggregated")],
                 content,
             ]
         )
         call = _joined([ragged.content_text(ragged.child(message, "$.input")), content])
-        return (
-            F.when(role == "toolResult", shaped(result, "message.details+content"))
-            .when(role == "toolCall", shaped(call, "message.input"))
-            .otherwise(shaped(content, "message.content"))
-        )
+        return f"""CASE {role} WHEN 'toolResult' THEN {shaped(result, "message.details+content")}
+          WHEN 'toolCall' THEN {shaped(call, "message.input")}
+          ELSE {shaped(content, "message.content")} END"""
 
     top = _joined([ragged.text_at(event, f"$.{k}") for k in ("content", "text", "error", "stderr", "stdout")])
     nested = let(ragged.content_text(ragged.child(message, "$.content")), by_role)
-    return F.when(message.isNotNull() & (F.to_json(message) != "{}"), nested).otherwise(shaped(top, "event"))
+    return f"IF({_has_message(message)}, {nested}, {shaped(top, 'event')})"
 
 
-def event_views(events: DataFrame, max_text: int = MAX_TEXT, redactor=None) -> DataFrame:
+def event_views(
+    events: DataFrame, max_text: int = MAX_TEXT, redactor: Callable[[Sql], Sql] | None = None
+) -> DataFrame:
     """Normalised events: session_id, i, ts, role, tool, status, error_code, text, flags.
 
-    `redactor` is an optional Column -> Column function applied before the digest.
+    `redactor` is an optional expression builder applied before the digest, such as `redact`.
     """
-    redactor = redactor or (lambda text: text)
-    parse_error = F.col("parse_error")
-
-    def view(e: Column, m: Column, d: Column) -> Column:
-        def with_role(role: Column) -> Column:
-            return let(tool_of(e, m), lambda tool: with_body(role, tool))
+    clean = redactor or (lambda body: body)
 
-        def with_body(role: Column, tool: Column) -> Column:
-            bad = F.struct(parse_error.alias("text"), F.lit("_parse_error").alias("shape"))
-            body = F.when(parse_error.isNotNull(), bad).otherwise(text_of(e, m, d, role, tool))
+    def view(e: Sql, m: Sql, d: Sql) -> Sql:
+        def with_body(role: Sql, tool: Sql) -> Sql:
+            bad = "named_struct('text', parse_error, 'shape', '_parse_error')"
+            body = f"IF(parse_error IS NOT NULL, {bad}, {text_of(e, m, d, role, tool)})"
             return let(
                 body,
-                lambda b: let(
-                    digest(redactor(strip(b["text"])), max_text), lambda short: finished(role, tool, b, short)
-                ),
+                lambda b: let(digest(clean(strip(f"{b}.text")), max_text), lambda s: finished(role, tool, b, s)),
             )
 
-        def finished(role: Column, tool: Column, body: Column, short: Column) -> Column:
-            row = F.struct(
-                ragged.text_at(e, "$.timestamp").alias("ts"),
-                role.alias("role"),
-                tool.alias("tool"),
-                status_of(e, d).alias("status"),
-                error_code_of(e, d).alias("error_code"),
-                short["text"].alias("text"),
-                short["cut"].alias("text_truncated"),
-                body["shape"].alias("raw_shape"),
-            )
-            return F.when((short["text"] != "") | (role != "other"), row)
+        def finished(role: Sql, tool: Sql, body: Sql, short: Sql) -> Sql:
+            row = f"""named_struct('ts', {ragged.text_at(e, "$.timestamp")}, 'role', {role}, 'tool', {tool},
+              'status', {status_of(e, d)}, 'error_code', {error_code_of(e, d)},
+              'text', {short}.text, 'text_truncated', {short}.cut, 'raw_shape', {body}.shape)"""
+            return f"IF({short}.text <> '' OR {role} <> 'other', {row}, NULL)"
 
-        shown = let(role_of(e, m, parse_error), with_role)
-        return F.when(~F.coalesce(is_metadata(e, m), F.lit(False)), shown)
+        shown = let(role_of(e, m, "parse_error"), lambda role: let(tool_of(e, m), lambda tool: with_body(role, tool)))
+        return f"IF({is_metadata(e, m)}, NULL, {shown})"
 
     keep = [c for c in ("session_id", "line_no", "i", "pos") if c in events.columns]
-    return rows_of(events, keep, in_event(F.col("event"), view))
+    return rows_of(events, keep, in_event(view))
 
 
 def numbered_views(views: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -159,60 +138,48 @@ def numbered_views(views: DataFrame, block: int = BLOCK) -> DataFrame:
 def tool_calls(events: DataFrame) -> DataFrame:
     """One row per event that names a tool, from the nested or the older flat shape."""
 
-    def call(e: Column, m: Column, d: Column) -> Column:
-        def top(key: str) -> Column:
+    def call(e: Sql, m: Sql, d: Sql) -> Sql:
+        def top(key: str) -> Sql:
             return ragged.child(e, f"$.{key}")
 
-        def with_name(nested: Column, name: Column) -> Column:
-            own = F.when(nested, d)
+        def with_name(nested: Sql, name: Sql) -> Sql:
+            own = f"IF({nested}, {d}, NULL)"
             # A truthy `input` hides `arguments`.
-            flat = F.when(ragged.truthy_text(top("input")).isNotNull(), top("input")).otherwise(top("arguments"))
-            given = F.when(ragged.present(m, "$.input"), ragged.child(m, "$.input")).otherwise(flat)
-            content = F.when(ragged.present(m, "$.content"), ragged.child(m, "$.content")).otherwise(top("content"))
-
-            def nested_first(key: str) -> Column:
-                return let(
-                    ragged.child(own, f"$.{key}"),
-                    lambda v: ragged.plain_text(F.when(v.isNotNull(), v).otherwise(top(key))),
-                )
-
-            error = F.coalesce(
-                ragged.truthy_text(ragged.child(own, "$.error")), ragged.truthy_text(top("error"))
-            )
+            flat = f"IF({ragged.truthy_text(top('input'))} IS NOT NULL, {top('input')}, {top('arguments')})"
+            given = f"IF({ragged.present(m, '$.input')}, {ragged.child(m, '$.input')}, {flat})"
+            content = f"IF({ragged.present(m, '$.content')}, {ragged.child(m, '$.content')}, {top('content')})"
+
+            def nested_first(key: str) -> Sql:
+                inner = ragged.child(own, f"$.{key}")
+                return ragged.plain_text(f"coalesce({inner}, {top(key)})")
+
+            error = f"coalesce({ragged.truthy_text(ragged.child(own, '$.error'))}, {ragged.truthy_text(top('error'))})"
             action = let(
-                given, lambda g: F.when(ragged.is_object(g), ragged.plain_text(ragged.child(g, "$.action")))
-            )
-            return F.when(
-                name.isNotNull(),
-                F.struct(
-                    name.alias("tool_name"),
-                    F.when(nested, ragged.filled_text_at(m, "$.toolCallId")).alias("tool_call_id"),
-                    action.alias("action"),
-                    nested_first("status").alias("status"),
-                    nested_first("exitCode").alias("exit_code"),
-                    F.substring(error, 1, 2000).alias("error"),
-                    _filled(F.substring(strip(ragged.content_text(content)), 1, 300)).alias("preview"),
-                ),
+                given, lambda g: f"IF({ragged.is_object(g)}, {ragged.plain_text(ragged.child(g, '$.action'))}, NULL)"
             )
+            preview = filled(f"left({strip(ragged.content_text(content))}, 300)")
+            return f"""IF({name} IS NULL, NULL, named_struct('tool_name', {name},
+              'tool_call_id', IF({nested}, {ragged.filled_text_at(m, "$.toolCallId")}, NULL), 'action', {action},
+              'status', {nested_first("status")}, 'exit_code', {nested_first("exitCode")},
+              'error', left({error}, 2000), 'preview', {preview}))"""
 
         # A truthy `tool` of another type hides `tool_name`.
-        flat_name = F.when(
-            ragged.truthy_text(top("tool")).isNotNull(), ragged.filled_text_at(e, "$.tool")
-        ).otherwise(ragged.filled_text_at(e, "$.tool_name"))
-        flat_type = F.coalesce(ragged.text_at(e, "$.type").isin("tool_call", "tool"), F.lit(False))
-        return let(
-            F.coalesce(ragged.text_at(m, "$.role") == "toolResult", F.lit(False)),
-            lambda nested: let(
-                F.coalesce(
-                    F.when(nested, ragged.filled_text_at(m, "$.toolName")),
-                    flat_name,
-                    F.when(flat_type, ragged.truthy_text(top("name"))),
-                ),
-                lambda name: with_name(nested, name),
-            ),
+        flat_name = (
+            f"IF({ragged.truthy_text(top('tool'))} IS NOT NULL, {ragged.filled_text_at(e, '$.tool')}, "
+            f"{ragged.filled_text_at(e, '$.tool_name')})"
         )
+        flat_type = f"coalesce({ragged.text_at(e, '$.type')} IN ('tool_call', 'tool'), false)"
+        nested = f"coalesce({ragged.text_at(m, '$.role')} = 'toolResult', false)"
+
+        def named(is_nested: Sql) -> Sql:
+            return (
+                f"coalesce(IF({is_nested}, {ragged.filled_text_at(m, '$.toolName')}, NULL), {flat_name}, "
+                f"IF({flat_type}, {ragged.truthy_text(top('name'))}, NULL))"
+            )
+
+        return let(nested, lambda n: let(named(n), lambda name: with_name(n, name)))
 
-    return rows_of(events, ["session_id", "i", "line_no"], in_event(F.col("event"), call))
+    return rows_of(events, ["session_id", "i", "line_no"], in_event(call))
 
 
 def failures(events: DataFrame, limit: int | None = 200) -> DataFrame:
@@ -220,56 +187,45 @@ def failures(events: DataFrame, limit: int | None = 200) -> DataFrame:
 
     `limit` keeps the first so many per session; None keeps all.
     """
-    parse_error = F.col("parse_error")
-
-    def failure(e: Column, m: Column, d: Column) -> Column:
-        nested = F.coalesce(ragged.text_at(m, "$.role") == "toolResult", F.lit(False))
-
-        def found(kind: str, detail: Column, tool=None, status=None, exit_code=None) -> Column:
-            return F.struct(
-                F.lit(kind).alias("kind"),
-                F.substring(detail, 1, 2000).alias("detail"),
-                (F.lit(None) if tool is None else tool).cast("string").alias("tool_name"),
-                (F.lit(None) if status is None else status).cast("string").alias("status"),
-                (F.lit(None) if exit_code is None else exit_code).cast("bigint").alias("exit_code"),
-            )
 
-        def decide(exit_code: Column, error: Column, flat_error: Column) -> Column:
+    def found(kind: str, detail: Sql, tool: Sql = "NULL", status: Sql = "NULL", exit_code: Sql = "NULL") -> Sql:
+        return (
+            f"named_struct('kind', {text(kind)}, 'detail', left({detail}, 2000), 'tool_name', CAST({tool} AS STRING), "
+            f"'status', CAST({status} AS STRING), 'exit_code', CAST({exit_code} AS BIGINT))"
+        )
+
+    def failure(e: Sql, m: Sql, d: Sql) -> Sql:
+        def decide(exit_code: Sql, error: Sql, flat_error: Sql) -> Sql:
+            nested = f"coalesce({ragged.text_at(m, '$.role')} = 'toolResult', false)"
             failed = (
-                F.coalesce(ragged.text_at(d, "$.status") == "error", F.lit(False))
-                | F.coalesce(exit_code != 0, F.lit(False))
-                | error.isNotNull()
+                f"(coalesce({ragged.text_at(d, '$.status')} = 'error', false) OR coalesce({exit_code} <> 0, false) "
+                f"OR {error} IS NOT NULL)"
             )
-            detail = F.coalesce(error, ragged.content_text(ragged.child(m, "$.content")))
-            tool = ragged.text_at(m, "$.toolName")
+            detail = f"coalesce({error}, {ragged.content_text(ragged.child(m, '$.content'))})"
             status = ragged.plain_text(ragged.child(d, "$.status"))
-            texts = [ragged.child(e, f"$.{k}") for k in ("content", "text", "output", "stderr", "stdout")]
-            texts.append(ragged.child(m, "$.content"))
-            texts += [ragged.child(d, f"$.{k}") for k in ("aggregated", "stderr", "stdout", "error")]
+            places = [ragged.child(e, f"$.{k}") for k in ("content", "text", "output", "stderr", "stdout")]
+            places.append(ragged.child(m, "$.content"))
+            places += [ragged.child(d, f"$.{k}") for k in ("aggregated", "stderr", "stdout", "error")]
             words = let(
-                _joined([strip(ragged.content_text(t)) for t in texts]),
-                lambda hay: F.when(
-                    hay.rlike(fixed.FAILURE[0]) | hay.rlike(fixed.FAILURE[1]), found("pattern", hay)
-                ),
-            )
-            return (
-                F.when(parse_error.isNotNull(), found("parse_error", parse_error))
-                .when(nested & failed, found("tool_error", detail, tool, status, exit_code))
-                .when(flat_error.isNotNull(), found("error_field", flat_error))
-                .otherwise(words)
+                _joined([strip(ragged.content_text(p)) for p in places]),
+                lambda hay: f"IF({matches(hay, fixed.FAILURE[0])} OR {matches(hay, fixed.FAILURE[1])}, "
+                f"{found('pattern', hay)}, NULL)",
             )
+            return f"""CASE WHEN parse_error IS NOT NULL THEN {found("parse_error", "parse_error")}
+              WHEN {nested} AND {failed}
+                THEN {found("tool_error", detail, ragged.text_at(m, "$.toolName"), status, exit_code)}
+              WHEN {flat_error} IS NOT NULL THEN {found("error_field", flat_error)}
+              ELSE {words} END"""
+
+        def truthy(owner: Sql) -> Sql:
+            return ragged.truthy_text(ragged.child(owner, "$.error"))
 
         return let(
             ragged.integer_at(d, "$.exitCode"),
-            lambda code: let(
-                ragged.truthy_text(ragged.child(d, "$.error")),
-                lambda error: let(
-                    ragged.truthy_text(ragged.child(e, "$.error")), lambda flat: decide(code, error, flat)
-                ),
-            ),
+            lambda code: let(truthy(d), lambda error: let(truthy(e), lambda flat: decide(code, error, flat))),
         )
 
-    rows = rows_of(events, ["session_id", "i", "line_no"], in_event(F.col("event"), failure))
+    rows = rows_of(events, ["session_id", "i", "line_no"], in_event(failure))
     if limit is None:
         return rows
     return first_per_key(rows, ["session_id"], [F.col("i")], limit).drop("_rank")

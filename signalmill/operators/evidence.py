@@ -45,9 +45,9 @@ def matched_summaries(clusters: DataFrame, items: DataFrame, limit: int = SNIPPE
         .groupBy("summary")
         .agg(F.min("pos").alias("first_pos"))
     )
-    by_triple = summaries.select("summary", "first_pos", F.explode(_triples(white_words(F.col("summary")))).alias("triple"))
+    by_triple = summaries.select("summary", "first_pos", F.explode(_triples(F.expr(white_words("summary")))).alias("triple"))
     wanted = clusters.select(
-        "signature_id", F.explode(_triples(white_words(F.col("canonical_summary")))).alias("triple")
+        "signature_id", F.explode(_triples(F.expr(white_words("canonical_summary")))).alias("triple")
     )
     known = by_triple.join(wanted.select("triple").distinct(), "triple", "left_semi")
     first = first_per_key(known, ["triple"], [F.col("first_pos")], limit).drop("_rank")
@@ -154,8 +154,8 @@ def span_context(refs: DataFrame, views: DataFrame, before: int = 2, after: int
 
 def ticket_keywords(title: str, description: str, spark) -> list[str]:
     """The search words of one ticket, at most twelve."""
-    row = spark.range(1).select(keywords(F.lit(f"{title} {description}")).alias("words")).first()
-    return list(row["words"])
+    row = spark.range(1).select(F.lit(f"{title} {description}").alias("t")).select(F.expr(keywords("t")).alias("w")).first()
+    return list(row["w"])
 
 
 def related_documents(

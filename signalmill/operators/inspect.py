@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalmill.functions import ragged
-from signalmill.functions.text import let, strip
+from signalmill.functions.sql import Sql, each, filled, let
+from signalmill.functions.text import strip
 from signalmill.operators.events import in_event, rows_of
 from signalmill.operators.ordered import first_per_key
 
@@ -38,7 +39,7 @@ def compact_window(events: DataFrame, start: int, end: int, fields: Sequence[str
 
 
 def _field(name: str) -> Column:
-    return ragged.plain_text(ragged.child(F.col("event"), f"$.{name}"))
+    return F.expr(ragged.plain_text(ragged.child("event", f"$.{name}")))
 
 
 def search(
@@ -65,20 +66,18 @@ def search(
     return first_per_key(found, ["session_id"], [F.col("i")], limit).drop("_rank")
 
 
-def _content_preview(message: Column) -> Column:
+def _content_preview(message: Sql) -> Sql:
     """Text of a message: its string parts, joined, or its string content."""
 
-    def part(b: Column) -> Column:
-        return F.coalesce(
-            ragged.text_at(b, "$.text"),
-            F.when(ragged.type_of(b) == "STRING", F.try_variant_get(b, "$", "string")),
-        )
+    def part(b: Sql) -> Sql:
+        own = f"IF({ragged.type_of(b)} = 'STRING', {ragged.get(b, '$', 'string')}, NULL)"
+        return f"coalesce({ragged.text_at(b, '$.text')}, {own})"
 
-    items = F.try_variant_get(ragged.child(message, "$.content"), "$", "array<variant>")
+    items = ragged.get(ragged.child(message, "$.content"), "$", "array<variant>")
     listed = let(
-        F.array_compact(F.transform(items, part)), lambda t: F.when(F.size(t) > 0, F.array_join(t, "\n"))
+        f"array_compact({each(items, part)})", lambda t: f"IF(size({t}) > 0, array_join({t}, '\\n'), NULL)"
     )
-    return F.coalesce(listed, ragged.filled_text_at(message, "$.content"))
+    return f"coalesce({listed}, {ragged.filled_text_at(message, '$.content')})"
 
 
 def search_hits(
@@ -91,18 +90,14 @@ def search_hits(
     """Condensed search result: position, sorted keys (40 at most) and a preview of 500 characters."""
     hits = search(events, query, fields, limit, start)
 
-    def shown(e: Column, m: Column, d: Column) -> Column:
-        preview = F.coalesce(
-            _content_preview(m),
-            ragged.filled_text_at(m, "$.text"),
-            ragged.first_filled(e, ("content", "text")),
-            F.to_json(e),
-        )
-        return F.struct(
-            F.slice(ragged.keys_of(e), 1, 40).alias("keys"), F.substring(preview, 1, 500).alias("preview")
+    def shown(e: Sql, m: Sql, d: Sql) -> Sql:
+        preview = (
+            f"coalesce({_content_preview(m)}, {ragged.filled_text_at(m, '$.text')}, "
+            f"{ragged.first_filled(e, ('content', 'text'))}, to_json({e}))"
         )
+        return f"named_struct('keys', slice({ragged.keys_of(e)}, 1, 40), 'preview', left({preview}, 500))"
 
-    return rows_of(hits, ["session_id", "i", "line_no"], in_event(F.col("event"), shown))
+    return rows_of(hits, ["session_id", "i", "line_no"], in_event(shown))
 
 
 def span_summary(events: DataFrame, start: int, end: int) -> DataFrame:
@@ -110,26 +105,21 @@ def span_summary(events: DataFrame, start: int, end: int) -> DataFrame:
     stop = min(end, start + MAX_WINDOW)
     span = window(events, start, stop)
 
-    def shown(e: Column, m: Column, d: Column) -> Column:
-        def truthy(key: str) -> Column:
-            return ragged.truthy_text(ragged.child(e, f"$.{key}")).isNotNull()
+    def shown(e: Sql, m: Sql, d: Sql) -> Sql:
+        def truthy(key: str) -> Sql:
+            return f"{ragged.truthy_text(ragged.child(e, f'$.{key}'))} IS NOT NULL"
 
-        said = F.coalesce(
-            _content_preview(m),
-            ragged.filled_text_at(d, "$.error"),
-            ragged.first_filled(e, ("content", "message")),
-        )
-        example = let(
-            F.substring(F.replace(strip(said), F.lit("\n"), F.lit(" ")), 1, 160),
-            lambda t: F.when(t != "", t),
+        said = (
+            f"coalesce({_content_preview(m)}, {ragged.filled_text_at(d, '$.error')}, "
+            f"{ragged.first_filled(e, ('content', 'message'))})"
         )
-        return F.struct(
-            (truthy("tool") | truthy("tool_name")).cast("int").alias("tool"),
-            truthy("error").cast("int").alias("error"),
-            example.alias("example"),
+        example = f"left(replace({strip(said)}, '\\n', ' '), 160)"
+        return (
+            f"named_struct('tool', IF({truthy('tool')} OR {truthy('tool_name')}, 1, 0), "
+            f"'error', IF({truthy('error')}, 1, 0), 'example', {filled(example)})"
         )
 
-    rows = rows_of(span, ["session_id", "i"], in_event(F.col("event"), shown))
+    rows = rows_of(span, ["session_id", "i"], in_event(shown))
     # At most 120 rows per session.
     examples = F.sort_array(
         F.collect_list(F.when(F.col("example").isNotNull(), F.struct("i", "example")))

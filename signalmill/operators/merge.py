@@ -39,7 +39,7 @@ def word_sets(clusters: DataFrame) -> DataFrame:
     base = clusters.select(
         F.col("signature_id").alias("id"),
         F.col("kind_v2_primary").alias("block"),
-        F.array_distinct(tokens(F.col("canonical_summary"))).alias("words"),
+        F.array_distinct(F.expr(tokens("canonical_summary"))).alias("words"),
     ).filter(F.size("words") > 0)
     exploded = base.select("id", "block", F.explode("words").alias("word"))
     rarity = exploded.groupBy("block", "word").agg(F.count("*").alias("df"))
@@ -98,7 +98,7 @@ def paired(keys: DataFrame) -> DataFrame:
         pairs.select(
             F.least("a", "b").alias("a"),
             F.greatest("a", "b").alias("b"),
-            jaccard(F.col("wa"), F.col("wb")).alias("sim"),
+            F.expr(jaccard("wa", "wb")).alias("sim"),
         )
         .groupBy("a", "b")
         .agg(F.first("sim").alias("sim"))
@@ -228,7 +228,7 @@ def merged_rollups(
         F.sum("count_items").alias("count_items"),
         F.sum("count_sessions").alias("count_sessions"),
         F.count("*").alias("merged"),
-        F.min_by("max_severity", F.struct(-severity_rank(F.col("max_severity")), member_order)).alias("max_severity"),
+        F.min_by("max_severity", F.struct(-F.expr(severity_rank("max_severity")), member_order)).alias("max_severity"),
         F.min_by(
             F.struct(
                 "signature_id", "signature_text", "first_pos", "canonical_summary", "kind_v2_reason_top", "sample_refs"

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalmill.functions.classify import group_score, group_tier, kind_v2, sentiment
+from signalmill.functions.sql import Sql, each, no_texts
 from signalmill.functions.text import (
     fingerprint_text,
     hashed,
@@ -26,42 +27,34 @@ MAX_TAGS = 8
 
 
 def with_signature(items: DataFrame) -> DataFrame:
-    text = signature_text(F.col("kind"), F.col("summary"), F.col("tags"))
+    text = F.expr(signature_text("kind", "summary", "tags"))
     return items.withColumn("signature_text", text).withColumn(
-        "signature_id", hashed("sig1:", F.col("signature_text"))
+        "signature_id", F.expr(hashed("sig1:", "signature_text"))
     )
 
 
-def _filled(value: Column, default: str) -> Column:
-    return F.when(value.isNull() | (value == ""), F.lit(default)).otherwise(value)
-
-
 def facet_counts(items: DataFrame) -> DataFrame:
     """(signature_id, facet, value, n, first_pos) over items with `pos`.
 
     `first_pos` is the item's order and the place inside the item, which tells its tags apart.
     """
 
-    def facet(name: str, value: Column) -> Column:
-        return F.struct(F.lit(name).alias("facet"), value.alias("value"))
-
-    fine = kind_v2(F.col("kind"), F.col("summary"), F.col("tags"))
-    summary = F.when(F.col("summary") != "", redacted_if_needed(F.col("summary")))
-    labelled = with_signature(items).withColumn("fine", fine)
-    one = F.array(
-        facet("kind", _filled(F.col("kind"), "unknown")),
-        facet("kind_v2", F.col("fine.label")),
-        facet("reason", F.col("fine.reason")),
-        facet("severity", F.lower(_filled(F.col("severity"), "unknown"))),
-        facet("sentiment", sentiment(F.col("kind"), F.col("summary"))),
-        facet("session", F.when(F.col("session_id") != "", F.col("session_id"))),
-        facet("summary", summary),
-    )
-    tags = F.transform(
-        F.coalesce("tags", F.array().cast("array<string>")), lambda t: facet("tag", t)
-    )
+    def facet(name: str, value: Sql) -> Sql:
+        return f"named_struct('facet', '{name}', 'value', {value})"
+
+    one = [
+        facet("kind", "coalesce(nullif(kind, ''), 'unknown')"),
+        facet("kind_v2", "fine.label"),
+        facet("reason", "fine.reason"),
+        facet("severity", "lower(coalesce(nullif(severity, ''), 'unknown'))"),
+        facet("sentiment", sentiment("kind", "summary")),
+        facet("session", "nullif(session_id, '')"),
+        facet("summary", f"IF(summary <> '', {redacted_if_needed('summary')}, NULL)"),
+    ]
+    facets = f"concat(array({', '.join(one)}), {each(f'coalesce(tags, {no_texts()})', lambda t: facet('tag', t))})"
+    labelled = with_signature(items).withColumn("fine", F.expr(kind_v2("kind", "summary", "tags")))
     return (
-        labelled.select("signature_id", "signature_text", "pos", F.posexplode(F.concat(one, tags)).alias("at", "f"))
+        labelled.select("signature_id", "signature_text", "pos", F.posexplode(F.expr(facets)).alias("at", "f"))
         .filter("f.value IS NOT NULL")
         .groupBy("signature_id", "signature_text", "f.facet", "f.value")
         .agg(F.count("*").alias("n"), F.min(F.struct("pos", "at")).alias("first_pos"))
@@ -102,7 +95,7 @@ def rollups(items: DataFrame, max_samples: int = MAX_SAMPLES, max_tags: int = MA
     """Clusters of items with the same signature. Sort with `in_rank_order`."""
     counts = facet_counts(items)
     is_severity = F.col("facet") == "severity"
-    worst = F.when(is_severity, F.struct(-severity_rank(F.col("value")), F.col("first_pos")))
+    worst = F.when(is_severity, F.struct(-F.expr(severity_rank("value")), F.col("first_pos")))
     reasons = F.sort_array(
         F.collect_list(F.when(F.col("facet") == "reason", F.struct(-F.col("n"), "first_pos", "value", "n")))
     )
@@ -126,7 +119,7 @@ def rollups(items: DataFrame, max_samples: int = MAX_SAMPLES, max_tags: int = MA
     )
     tags = top_values(counts.filter("facet = 'tag'"), ["signature_id"], max_tags, "tags_top")
     clusters = (
-        base.withColumn("signature_text", redacted_if_needed(F.col("signature_text")))
+        base.withColumn("signature_text", F.expr(redacted_if_needed("signature_text")))
         .join(tags, "signature_id", "left")
         .withColumn("tags_top", F.coalesce("tags_top", _no_tags()))
     )
@@ -147,18 +140,16 @@ def samples(items: DataFrame, limit: int = MAX_SAMPLES) -> DataFrame:
 
 def scored(clusters: DataFrame) -> DataFrame:
     """Add tier, reasons, score and fingerprint to clusters with counters and flags."""
-    flags = [F.col("incident"), F.col("error"), F.col("frustration")]
-    text = fingerprint_text(
-        F.col("kind_v2_primary"), F.col("canonical_summary"), F.col("tags_top.value")
-    )
+    flags = ("incident", "error", "frustration")
+    text = fingerprint_text("kind_v2_primary", "canonical_summary", "tags_top.value")
     return (
-        clusters.withColumn("_tier", group_tier(F.col("max_severity"), *flags))
+        clusters.withColumn("_tier", F.expr(group_tier("max_severity", *flags)))
         .withColumn("tier", F.col("_tier.tier"))
         .withColumn("tier_reasons", F.col("_tier.reasons"))
-        .withColumn("score", group_score(F.col("count_items"), F.col("max_severity"), *flags))
-        .withColumn("fingerprint_text", text)
-        .withColumn("fingerprint_id", hashed("fp1:", F.col("fingerprint_text")))
-        .withColumn("fingerprint_text", redacted_if_needed(F.col("fingerprint_text")))
+        .withColumn("score", F.expr(group_score("count_items", "max_severity", *flags)))
+        .withColumn("fingerprint_text", F.expr(text))
+        .withColumn("fingerprint_id", F.expr(hashed("fp1:", "fingerprint_text")))
+        .withColumn("fingerprint_text", F.expr(redacted_if_needed("fingerprint_text")))
         .drop("_tier", "incident", "error", "frustration")
     )
 

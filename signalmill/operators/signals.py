@@ -7,12 +7,13 @@ source and item_id. Its order key is `pos` = struct(session_id, chunk_idx, rank)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalmill.functions import fixed
 from signalmill.functions.classify import heuristic_signal, heuristic_summary
-from signalmill.functions.text import json_string, json_strings, let, rstrip, strip, truncate
+from signalmill.functions.sql import Sql, any_of, each, keep, let, no_texts, not_empty
+from signalmill.functions.text import json_string, json_strings, rstrip, strip, truncate
 from signalmill.operators.chunks import chunk_members
 from signalmill.operators.ordered import first_per_key
 
@@ -27,59 +28,49 @@ FIX = "struct<fix_type:string,description:string>"
 
 def heuristic_hits(views: DataFrame) -> DataFrame:
     """Views that some rule fires on, with the signal. Row-local."""
-    signal = heuristic_signal(
-        F.col("role"), F.col("tool"), F.col("status"), F.col("error_code"), F.col("text")
-    )
+    signal = F.expr(heuristic_signal("role", "tool", "status", "error_code", "text"))
     return (
         views.withColumn("signal", signal)
         .filter("signal IS NOT NULL")
         .select(
             *[c for c in views.columns if c in ("session_id", "i", "v", "pos", "ts", "role", "text")],
             "signal.*",
-            heuristic_summary(F.col("text"), MAX_SUMMARY).alias("summary"),
+            F.expr(heuristic_summary("text", MAX_SUMMARY)).alias("summary"),
         )
     )
 
 
-def quoted(text: Column, quote: Column, limit: int = MAX_QUOTE) -> Column:
-    """The quote, stripped and cut, if it occurs in `text` as it stands; else NULL."""
-    return let(
-        strip(quote),
-        lambda q: let(
-            F.when(F.length(q) > limit, rstrip(F.substring(q, 1, limit))).otherwise(q),
-            lambda cut: F.when((cut != "") & F.contains(text, cut), cut),
-        ),
-    )
+def quoted(body: Sql, quote: Sql, limit: int = MAX_QUOTE) -> Sql:
+    """The quote, stripped and cut, if it occurs in `body` as it stands; else NULL."""
 
+    def found(q: Sql) -> Sql:
+        cut = f"IF(length({q}) > {limit}, {rstrip(f'left({q}, {limit})')}, {q})"
+        return let(cut, lambda c: f"IF({c} <> '' AND contains({body}, {c}), {c}, NULL)")
 
-def normal_tags(tags: Column) -> Column:
-    cut = F.transform(tags, lambda t: F.substring(F.lower(strip(t)), 1, 64))
-    return F.coalesce(F.filter(cut, lambda t: t != ""), F.array().cast("array<string>"))
+    return let(strip(quote), found)
 
 
-def with_incident(tags: Column, summary: Column, quotes: Column) -> Column:
-    mentioned = F.lower(summary).contains("incident") | F.exists(
-        quotes, lambda q: F.lower(q).contains("incident")
+def normal_tags(tags: Sql) -> Sql:
+    cut = each(tags, lambda t: f"left(lower({strip(t)}), 64)")
+    return f"coalesce({keep(cut, not_empty)}, {no_texts()})"
+
+
+def with_incident(tags: Sql, summary: Sql, quotes: Sql) -> Sql:
+    quoted_too = any_of(quotes, lambda q: f"contains(lower({q}), 'incident')")
+    mentioned = f"(contains(lower({summary}), 'incident') OR {quoted_too})"
+    return let(
+        tags,
+        lambda t: f"IF({mentioned} AND NOT array_contains({t}, 'incident'), array_append({t}, 'incident'), {t})",
     )
-    return F.when(
-        mentioned & ~F.array_contains(tags, "incident"), F.array_append(tags, F.lit("incident"))
-    ).otherwise(tags)
 
 
-def item_id(session_id: Column, kind: Column, summary: Column, quotes: Column) -> Column:
+def item_id(session_id: Sql, kind: Sql, summary: Sql, quotes: Sql) -> Sql:
     """Content hash over the item's JSON with sorted keys."""
-    seed = F.concat(
-        F.lit('{"kind": '),
-        json_string(kind),
-        F.lit(', "quotes": '),
-        json_strings(quotes),
-        F.lit(', "session_id": '),
-        json_string(session_id),
-        F.lit(', "summary": '),
-        json_string(summary),
-        F.lit("}"),
+    seed = (
+        f"concat('{{\"kind\": ', {json_string(kind)}, ', \"quotes\": ', {json_strings(quotes)}, "
+        f"', \"session_id\": ', {json_string(session_id)}, ', \"summary\": ', {json_string(summary)}, '}}')"
     )
-    return F.concat(F.lit("sha256:"), F.sha2(seed, 256))
+    return f"concat('sha256:', sha2({seed}, 256))"
 
 
 def heuristic_candidates(
@@ -91,8 +82,7 @@ def heuristic_candidates(
     quote of a long text is its first 200 characters; with `compat` it is the
     shortened text with trailing dots, which validation then mostly rejects.
     """
-    text = F.col("text")
-    quote = truncate(text, MAX_QUOTE) if compat else rstrip(F.substring(strip(text), 1, MAX_QUOTE))
+    quote = F.expr(truncate("text", MAX_QUOTE) if compat else rstrip(f"left({strip('text')}, {MAX_QUOTE})"))
     evidence = F.array(
         F.struct(
             F.col("i").cast("bigint").alias("event_i"), "role", F.lit("text").alias("field_path"), quote.alias("quote")
@@ -129,10 +119,10 @@ def validated(
     """
     key = ["session_id", "chunk_idx", "item_no"]
     named = (
-        candidates.withColumn("kind", strip("kind"))
-        .withColumn("summary", strip("summary"))
+        candidates.withColumn("kind", F.expr(strip("kind")))
+        .withColumn("summary", F.expr(strip("summary")))
         .filter(F.col("kind").isin(*fixed.KINDS) & (F.col("summary") != ""))
-        .withColumn("summary", truncate(F.col("summary"), MAX_SUMMARY))
+        .withColumn("summary", F.expr(truncate("summary", MAX_SUMMARY)))
     )
     pointers = named.select(
         *key, F.posexplode(F.slice("evidence", 1, max_evidence)).alias("n", "e")
@@ -144,7 +134,7 @@ def validated(
         pointers.join(texts, ["session_id", "i"])
         .join(span, ["session_id", "chunk_idx"])
         .filter("v >= start_v AND v < end_v")
-        .withColumn("quote", quoted(F.col("text"), F.col("e.quote")))
+        .withColumn("quote", F.expr(quoted("text", "e.quote")))
         .filter("quote IS NOT NULL")
         .groupBy(*key)
         .agg(
@@ -164,7 +154,7 @@ def validated(
         )
         .select(*key, F.col("proven.e").cast(EVIDENCE).alias("evidence"))
     )
-    severity = F.lower(strip(F.coalesce("severity", F.lit("unknown"))))
+    severity = F.lower(F.expr(strip("coalesce(severity, 'unknown')")))
     confidence = F.when(F.col("confidence").between(0.0, 1.0), F.col("confidence")).otherwise(F.lit(0.5))
     items = (
         named.drop("evidence")
@@ -172,7 +162,7 @@ def validated(
         .withColumn("severity", F.when(severity.isin(*fixed.SEVERITY_RANK), severity).otherwise("unknown"))
         .withColumn("confidence", confidence)
         .withColumn("quotes", F.col("evidence.quote"))
-        .withColumn("tags", with_incident(normal_tags(F.col("tags")), F.col("summary"), F.col("quotes")))
+        .withColumn("tags", F.expr(with_incident(normal_tags("tags"), "summary", "quotes")))
     )
     return _finished(items, max_items)
 
@@ -180,12 +170,12 @@ def validated(
 def _finished(items: DataFrame, max_items: int) -> DataFrame:
     """Add ids, span and source; keep the most confident items of a chunk."""
     best = [F.desc("confidence"), F.col("item_no")]
-    fix = F.when(strip(F.col("proposed_fix.description")) != "", F.col("proposed_fix"))
+    fix = F.when(F.expr(strip("proposed_fix.description")) != "", F.col("proposed_fix"))
     kept = first_per_key(items, ["session_id", "chunk_idx"], best, max_items)
     chunk_id = F.concat("session_id", F.lit("/chunk:"), F.col("chunk_idx").cast("string"))
     return kept.select(
         F.lit(1).alias("schema_version"),
-        item_id(F.col("session_id"), F.col("kind"), F.col("summary"), F.col("quotes")).alias("item_id"),
+        F.expr(item_id("session_id", "kind", "summary", "quotes")).alias("item_id"),
         "session_id",
         "chunk_idx",
         F.col("_rank").cast("bigint").alias("rank"),

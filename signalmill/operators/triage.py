@@ -12,12 +12,12 @@ from signalmill.operators.ordered import first_per_key
 
 def triaged(items: DataFrame) -> DataFrame:
     """Add tier, tier_reasons and triage_score. Row-local."""
-    tier = item_tier(F.col("kind"), F.col("severity"), F.col("tags"))
+    tier = F.expr(item_tier("kind", "severity", "tags"))
     return (
         items.withColumn("_t", tier)
         .withColumn("tier", F.col("_t.tier"))
         .withColumn("tier_reasons", F.col("_t.reasons"))
-        .withColumn("triage_score", item_score(F.col("kind"), F.col("severity"), F.col("tags")))
+        .withColumn("triage_score", F.expr(item_score("kind", "severity", "tags")))
         .drop("_t")
     )
 
@@ -29,7 +29,7 @@ def triage_top(items: DataFrame, limit: int = 10) -> DataFrame:
         F.lit("- ["), "kind", F.lit("] sev="), "severity",
         F.lit(" score="), F.format_string("%.2f", "triage_score"),
         F.lit(" tags="), F.array_join("tags", ","), F.lit(" id="), "item_id",
-        F.lit(" summary="), redacted_if_needed(F.col("summary")),
+        F.lit(" summary="), F.expr(redacted_if_needed("summary")),
     )
     return best.withColumnRenamed("_rank", "rank_in_tier").withColumn("line", line)
 

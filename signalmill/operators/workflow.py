@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalmill.functions import fixed, ragged
+from signalmill.functions.sql import Sql
 from signalmill.operators.ordered import BLOCK, first_per_key, renumbered, with_following
 
 MIN_N, MAX_N = 2, 5
@@ -15,13 +16,12 @@ def tool_blocks(events: DataFrame) -> DataFrame:
     """Tool calls inside message content: session_id, i, at, tool, args (VARIANT)."""
     content = F.try_variant_get("event", "$.message.content", "array<variant>")
     calls = events.select("session_id", "i", F.posexplode(content).alias("at", "block"))
-    block = F.col("block")
-    return calls.filter(ragged.text_at(block, "$.type") == "toolCall").select(
+    return calls.filter(F.expr(ragged.text_at("block", "$.type")) == "toolCall").select(
         "session_id",
         "i",
         "at",
-        F.coalesce(ragged.plain_text(ragged.child(block, "$.name")), F.lit("unknown")).alias("tool"),
-        ragged.child(block, "$.arguments").alias("args"),
+        F.expr(f"coalesce({ragged.plain_text(ragged.child('block', '$.name'))}, 'unknown')").alias("tool"),
+        F.expr(ragged.child("block", "$.arguments")).alias("args"),
     )
 
 
@@ -95,28 +95,22 @@ def skill_candidates(counted: DataFrame, min_count: int = 3, limit: int = 15) ->
     )
 
 
-def tool_summary(tool: Column, args: Column) -> Column:
+def tool_summary(tool: Sql, args: Sql) -> Sql:
     """Short text of what a call does, by tool name."""
 
-    def given(*keys: str) -> Column:
-        return F.coalesce(*[ragged.plain_text(ragged.child(args, f"$.{k}")) for k in keys], F.lit(""))
+    def given(*keys: str) -> Sql:
+        return f"coalesce({', '.join(ragged.plain_text(ragged.child(args, f'$.{k}')) for k in keys)}, '')"
 
-    path = given("path", "file_path")
-    action = given("action")
-    out = F.when(
-        tool.isin("bash", "exec", "Bash"), F.concat(F.lit("`"), F.substring(given("command"), 1, 80), F.lit("`"))
-    )
+    path, action = given("path", "file_path"), given("action")
+    cases = [f"WHEN {tool} IN ('bash', 'exec', 'Bash') THEN concat('`', left({given('command')}, 80), '`')"]
     for verb in ("read", "write", "edit"):
-        out = out.when(tool.isin(verb, verb.capitalize()), F.concat(F.lit(f"{verb}: "), path))
-    out = out.when(
-        tool == "memory_search", F.concat(F.lit("memory: '"), F.substring(given("query"), 1, 50), F.lit("'"))
-    ).when(
-        tool == "message",
-        F.concat(F.lit("message."), action, F.lit(" → "), F.substring(given("to", "target"), 1, 30)),
-    )
+        cases.append(f"WHEN {tool} IN ('{verb}', '{verb.capitalize()}') THEN concat('{verb}: ', {path})")
+    cases.append(f"WHEN {tool} = 'memory_search' THEN concat('memory: \\'', left({given('query')}, 50), '\\'')")
+    target = f"left({given('to', 'target')}, 30)"
+    cases.append(f"WHEN {tool} = 'message' THEN concat('message.', {action}, ' → ', {target})")
     for name in ("cron", "gateway", "process"):
-        out = out.when(tool == name, F.concat(F.lit(f"{name}."), action))
-    return out.otherwise(tool)
+        cases.append(f"WHEN {tool} = '{name}' THEN concat('{name}.', {action})")
+    return f"CASE {' '.join(cases)} ELSE {tool} END"
 
 
 def workflow_matches(calls: DataFrame, block: int = BLOCK) -> DataFrame:

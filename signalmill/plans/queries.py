@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from signalmill.functions import text as tx
 from signalmill.functions.classify import kind_v2, sentiment, spoken_command
+from signalmill.functions.sql import no_texts
 from signalmill.operators import (
     chunks,
     cron,
@@ -127,48 +128,43 @@ def _map_text(column: str):
 @register
 def tokens_signature(spark, sf_dir):
     """Normalised text, bigram core and signature of every document's opening words and tags."""
-    d = tables.table(spark, sf_dir, "documents")
-    text = tx.signature_text(F.lit("other"), F.col("text"), F.array("source", "lang"))
-    return d.select(
-        "doc_id",
-        F.size(tx.tokens(F.col("text"))).alias("n_tokens"),
-        text.alias("signature_text"),
-        tx.hashed("sig1:", text).alias("signature_id"),
+    d = tables.spread_table(spark, sf_dir, "documents")
+    text = tx.signature_text("'other'", "text", "array(source, lang)")
+    return d.selectExpr("doc_id", f"size({tx.tokens('text')}) AS n_tokens", f"{text} AS signature_text").withColumn(
+        "signature_id", F.expr(tx.hashed("sig1:", "signature_text"))
     )
 
 
 @register
 def redact_documents(spark, sf_dir):
-    d = tables.table(spark, sf_dir, "documents")
-    return d.select("doc_id", tx.redact(F.col("text")).alias("text"))
+    d = tables.spread_table(spark, sf_dir, "documents")
+    return d.selectExpr("doc_id", f"{tx.redact('text')} AS text")
 
 
 @register
 def redact_strict(spark, sf_dir):
-    d = tables.table(spark, sf_dir, "documents")
-    return d.select("doc_id", tx.redact(F.col("text"), strict=True).alias("text"))
+    d = tables.spread_table(spark, sf_dir, "documents")
+    return d.selectExpr("doc_id", f"{tx.redact('text', strict=True)} AS text")
 
 
 @register
 def keywords_documents(spark, sf_dir):
-    d = tables.table(spark, sf_dir, "documents")
-    return d.select(
-        "doc_id",
-        F.array_join(tx.keywords(F.col("text")), ",").alias("keywords"),
-        tx.slug(F.col("text")).alias("slug"),
+    d = tables.spread_table(spark, sf_dir, "documents")
+    return d.selectExpr(
+        "doc_id", f"array_join({tx.keywords('text')}, ',') AS keywords", f"{tx.slug('text')} AS slug"
     )
 
 
 @register
 def salience_digest(spark, sf_dir):
-    d = tables.table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.inline(F.array(tx.digest(F.col("text"), 800))))
+    d = tables.spread_table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.expr(f"inline(array({tx.digest('text', 800)}))"))
 
 
 @register
 def truncate_messages(spark, sf_dir):
-    c = tables.table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", F.inline(F.array(tx.truncated(F.col("text"), 200))))
+    c = tables.spread_table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.expr(f"inline(array({tx.truncated('text', 200)}))"))
 
 
 # --- raw events --------------------------------------------------------------
@@ -362,9 +358,8 @@ def kind_v2_labels(spark, sf_dir):
     t = tables.trace(spark, sf_dir).select(
         "session_id", "i", "text", F.explode(F.array(*[F.lit(k) for k in ("error", "improvement_suggestion", "other")])).alias("kind")
     )
-    no_tags = F.array().cast("array<string>")
-    fine = kind_v2(F.col("kind"), F.col("text"), no_tags)
-    return t.select("session_id", "i", "kind", fine.alias("f"), sentiment(F.col("kind"), F.col("text")).alias("sentiment")).select(
+    fine = kind_v2("kind", "text", no_texts())
+    return t.selectExpr("session_id", "i", "kind", f"{fine} AS f", f"{sentiment('kind', 'text')} AS sentiment").select(
         "session_id", "i", "kind", F.col("f.label").alias("kind_v2"), F.col("f.reason").alias("reason"), "sentiment"
     )
 
@@ -505,7 +500,7 @@ def spoken_lines(spark, sf_dir):
 @register
 def spoken_commands(spark, sf_dir):
     t = tables.trace(spark, sf_dir)
-    return t.select("session_id", "i", spoken_command(F.col("text")).alias("command"))
+    return t.select("session_id", "i", F.expr(spoken_command("text")).alias("command"))
 
 
 @register
@@ -573,7 +568,7 @@ def related_documents(spark, sf_dir):
     longest = (
         tables.table(spark, sf_dir, "benchmark").orderBy(F.desc(F.length("text")), "item_id").select("text").first()
     )
-    d = tables.table(spark, sf_dir, "documents")
+    d = tables.spread_table(spark, sf_dir, "documents")
     found = evidence.related_documents(d, longest["text"], limit=10, path="doc_id")
     return found.select("doc_id", "score")
 
@@ -581,9 +576,9 @@ def related_documents(spark, sf_dir):
 @register
 def document_sections(spark, sf_dir):
     """Documents split at lines that begin with `## `; every fourth line is made such a heading."""
-    d = tables.table(spark, sf_dir, "documents")
+    d = tables.spread_table(spark, sf_dir, "documents")
     marked = F.array_join(
-        F.transform(tx.split_lines(F.col("text")), lambda line, k: F.when(k % 4 == 2, F.concat(F.lit("## "), line)).otherwise(line)),
+        F.transform(F.expr(tx.split_lines("text")), lambda line, k: F.when(k % 4 == 2, F.concat(F.lit("## "), line)).otherwise(line)),
         "\n",
     )
     return docs.sections(d.select("doc_id", marked.alias("text")), key="doc_id")
@@ -696,7 +691,7 @@ def tool_summaries(spark, sf_dir):
     )
     lines = t.select("session_id", "i", line.alias("value"))
     calls = workflow.tool_blocks(sessions.parse_events(lines))
-    return calls.select("session_id", "i", "at", "tool", workflow.tool_summary(F.col("tool"), F.col("args")).alias("summary"))
+    return calls.select("session_id", "i", "at", "tool", F.expr(workflow.tool_summary("tool", "args")).alias("summary"))
 
 
 @register
@@ -830,9 +825,14 @@ def stream_gaps(spark, sf_dir):
 def stream_distinct(spark, sf_dir):
     out, mark = new_path(spark, "distinct"), new_path(spark, "distinct-progress")
     hits = live.signal_stream(_event_stream(spark, sf_dir))
-    quotes = F.array(F.substring("text", 1, 200))
-    items = hits.withColumn("item_id", signals.item_id(F.col("session_id"), F.col("kind"), F.col("summary"), quotes))
+    items = hits.withColumn("item_id", F.expr(signals.item_id("session_id", "kind", "summary", "array(left(text, 200))")))
     live.run_available(
         live.distinct_items(items.select("item_id", "kind", "ts"), "400 days"), mark, live.parquet_writer(out), "append"
     )
     return spark.read.parquet(out).select("item_id", "kind")
+
+
+def forget() -> None:
+    """Drop the tables kept between queries, so that the next query builds its own."""
+    _shared.clear()
+    tables.forget()

@@ -29,15 +29,16 @@ def sections(documents: DataFrame, key: str = "path", text: str = "text") -> Dat
     Row-local: a section starts at every line that begins with `## `.
     """
     # A line break mark that no heading contains joins the lines again.
-    joined = F.array_join(split_lines(F.col(text)), "\n")
+    joined = F.array_join(F.expr(split_lines(f"`{text}`")), "\n")
     parts = F.split(F.concat(F.lit("\n"), joined), r"\n(?=## )")
     rows = documents.select(key, F.posexplode(parts).alias("section", "part"))
     is_preamble = F.col("section") == 0
     lines = F.split("part", "\n")
-    heading = F.when(~is_preamble, strip(lines[0]))
+    heading = F.when(~is_preamble, F.expr(strip("split(part, '\\n')[0]")))
     rest = F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n")
     # The preamble starts behind the break put in front of the text.
-    return rows.select(key, "section", heading.alias("heading"), rstrip(rest).alias("body")).filter(
+    parts = rows.select(key, "section", heading.alias("heading"), rest.alias("rest"))
+    return parts.select(key, "section", "heading", F.expr(rstrip("rest")).alias("body")).filter(
         ~((F.col("section") == 0) & (F.col("body") == ""))
     )
 

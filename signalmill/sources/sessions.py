@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalmill.functions import ragged
-from signalmill.functions.text import let, session_key, strip
+from signalmill.functions.sql import Sql, keep, let
+from signalmill.functions.text import session_key, strip
 from signalmill.operators.ordered import renumbered
 from signalmill.operators.stable import stable
 
@@ -81,20 +82,19 @@ def read_lines(
 
 def parse_events(numbered: DataFrame) -> DataFrame:
     """Parse non-blank lines: adds event (VARIANT), parse_error and raw. Bad lines stay as rows."""
-    def parsed(text: Column, value: Column) -> Column:
-        bad = value.isNull()
-        return F.struct(
-            F.when(ragged.is_object(value), value).alias("event"),
-            F.when(bad, F.lit("malformed JSON")).alias("parse_error"),
-            F.when(bad, F.substring(text, 1, 2000)).alias("raw"),
+    def parsed(line: Sql, value: Sql) -> Sql:
+        return (
+            f"named_struct('event', IF({ragged.is_object(value)}, {value}, NULL), "
+            f"'parse_error', IF({value} IS NULL, 'malformed JSON', NULL), "
+            f"'raw', IF({value} IS NULL, left({line}, 2000), NULL))"
         )
 
     row = let(
-        strip(F.col("value")),
-        lambda text: F.when(text != "", let(F.try_parse_json(text), lambda value: parsed(text, value))),
+        strip("value"),
+        lambda line: f"IF({line} = '', NULL, {let(f'try_parse_json({line})', lambda value: parsed(line, value))})",
     )
-    keep = [c for c in numbered.columns if c != "value"]
-    return numbered.select(*keep, F.inline(F.array_compact(F.array(row))))
+    others = [c for c in numbered.columns if c != "value"]
+    return numbered.select(*others, F.expr(f"inline(array_compact(array({row})))"))
 
 
 def read_sessions(
@@ -129,7 +129,7 @@ def read_sessions(
         lines.withColumn("in_block", F.row_number().over(in_block))
         .join(shifts, ["rel_path", "block_start"])
         .select(
-            session_key(F.col("rel_path")).alias("session_id"),
+            F.expr(session_key("rel_path")).alias("session_id"),
             "rel_path",
             (F.col("shift") + F.col("in_block")).alias("line_no"),
             "value",
@@ -145,15 +145,18 @@ def read_messages(spark: SparkSession, root: str) -> DataFrame:
     `idx` is the 0-based line number, blank and bad lines included.
     """
     events = read_sessions(spark, root)
-    event = F.col("event")
-    blocks = F.try_variant_get(event, "$.message.content", "array<variant>")
-    first = F.get(F.filter(blocks, lambda b: ragged.text_at(b, "$.type") == "text"), F.lit(0))
-    return events.filter(ragged.text_at(event, "$.type") == "message").select(
+    blocks = ragged.get("event", "$.message.content", "array<variant>")
+    first = keep(blocks, lambda b: f"{ragged.text_at(b, '$.type')} = 'text'")
+
+    def at(path: str) -> Column:
+        return F.expr(ragged.text_at("event", path))
+
+    return events.filter(at("$.type") == "message").select(
         "session_id",
         "rel_path",
         (F.col("line_no") - 1).alias("idx"),
-        ragged.text_at(event, "$.timestamp").alias("timestamp"),
-        ragged.text_at(event, "$.message.role").alias("role"),
-        F.coalesce(ragged.text_at(first, "$.text"), F.lit("")).alias("text"),
-        ragged.text_at(event, "$.message.model").alias("model"),
+        at("$.timestamp").alias("timestamp"),
+        at("$.message.role").alias("role"),
+        F.expr(f"coalesce({ragged.text_at(f'get({first}, 0)', '$.text')}, '')").alias("text"),
+        at("$.message.model").alias("model"),
     )

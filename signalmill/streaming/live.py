@@ -27,7 +27,7 @@ def session_stream(spark: SparkSession, root: str, files_per_trigger: int = 1000
         .option("pathGlobFilter", "*.jsonl")
         .option("maxFilesPerTrigger", files_per_trigger)
         .text(root)
-        .select(session_key(F.col("_metadata.file_path")).alias("session_id"), "value")
+        .select(F.expr(session_key("_metadata.file_path")).alias("session_id"), "value")
     )
     return event_views(parse_events(lines))
 
