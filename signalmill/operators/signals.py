@@ -28,16 +28,11 @@ FIX = "struct<fix_type:string,description:string>"
 
 def heuristic_hits(views: DataFrame) -> DataFrame:
     """Views that some rule fires on, with the signal. Row-local."""
-    signal = F.expr(heuristic_signal("role", "tool", "status", "error_code", "text"))
-    return (
-        views.withColumn("signal", signal)
-        .filter("signal IS NOT NULL")
-        .select(
-            *[c for c in views.columns if c in ("session_id", "i", "v", "pos", "ts", "role", "text")],
-            "signal.*",
-            F.expr(heuristic_summary("text", MAX_SUMMARY)).alias("summary"),
-        )
-    )
+    signal = heuristic_signal("role", "tool", "status", "error_code", "text")
+    keep = [c for c in views.columns if c in ("session_id", "i", "v", "pos", "ts", "role", "text")]
+    # The generator keeps the rules from being copied into a pushed-down filter.
+    fired = views.select(*keep, F.expr(f"inline(array_compact(array({signal})))"))
+    return fired.withColumn("summary", F.expr(heuristic_summary("text", MAX_SUMMARY)))
 
 
 def quoted(body: Sql, quote: Sql, limit: int = MAX_QUOTE) -> Sql:
@@ -76,7 +71,7 @@ def item_id(session_id: Sql, kind: Sql, summary: Sql, quotes: Sql) -> Sql:
 def heuristic_candidates(
     views: DataFrame, bounds: DataFrame, max_items: int = MAX_ITEMS, compat: bool = False
 ) -> DataFrame:
-    """Rule hits per chunk, the first `max_items` by position, not yet validated.
+    """Rule hits per chunk, the first `max_items` by position, with the text they quote.
 
     Only hits are shuffled; chunk groups hold at most one chunk of views. The
     quote of a long text is its first 200 characters; with `compat` it is the
@@ -101,6 +96,7 @@ def heuristic_candidates(
         "tags",
         evidence.cast(EVIDENCE).alias("evidence"),
         F.lit(None).cast(FIX).alias("proposed_fix"),
+        "text",
     )
 
 
@@ -154,21 +150,26 @@ def validated(
         )
         .select(*key, F.col("proven.e").cast(EVIDENCE).alias("evidence"))
     )
+    return _finished(named.drop("evidence").join(proven, key), max_items)
+
+
+def validated_hits(candidates: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
+    """`validated` for rule hits: the quoted text is on the row, so nothing is joined."""
+    proven = candidates.withColumn("quote", F.expr(quoted("text", "evidence[0].quote"))).filter("quote IS NOT NULL")
+    evidence = F.transform("evidence", lambda e: e.withField("quote", F.col("quote")))
+    return _finished(proven.withColumn("evidence", evidence).drop("quote", "text"), max_items)
+
+
+def _finished(items: DataFrame, max_items: int) -> DataFrame:
+    """Normalise severity, confidence and tags, add ids, keep the most confident items of a chunk."""
     severity = F.lower(F.expr(strip("coalesce(severity, 'unknown')")))
     confidence = F.when(F.col("confidence").between(0.0, 1.0), F.col("confidence")).otherwise(F.lit(0.5))
     items = (
-        named.drop("evidence")
-        .join(proven, key)
-        .withColumn("severity", F.when(severity.isin(*fixed.SEVERITY_RANK), severity).otherwise("unknown"))
+        items.withColumn("severity", F.when(severity.isin(*fixed.SEVERITY_RANK), severity).otherwise("unknown"))
         .withColumn("confidence", confidence)
         .withColumn("quotes", F.col("evidence.quote"))
         .withColumn("tags", F.expr(with_incident(normal_tags("tags"), "summary", "quotes")))
     )
-    return _finished(items, max_items)
-
-
-def _finished(items: DataFrame, max_items: int) -> DataFrame:
-    """Add ids, span and source; keep the most confident items of a chunk."""
     best = [F.desc("confidence"), F.col("item_no")]
     fix = F.when(F.expr(strip("proposed_fix.description")) != "", F.col("proposed_fix"))
     kept = first_per_key(items, ["session_id", "chunk_idx"], best, max_items)
@@ -209,8 +210,7 @@ def without_overlap(items: DataFrame) -> DataFrame:
 
 def mine(views: DataFrame, bounds: DataFrame, max_items: int = MAX_ITEMS, compat: bool = False) -> DataFrame:
     """Rule-based mining of numbered views. `compat` keeps repeats from overlapping chunks."""
-    candidates = heuristic_candidates(views, bounds, max_items, compat)
-    items = validated(candidates, views, bounds, max_items)
+    items = validated_hits(heuristic_candidates(views, bounds, max_items, compat), max_items)
     return items if compat else without_overlap(items)
 
 

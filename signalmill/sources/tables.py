@@ -81,14 +81,14 @@ def trace_columns(events: DataFrame, *carry: str) -> DataFrame:
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trace view: one session per user, `i` by (ts, event_id).
 
-    The numbered narrow rows are written once per application to the shared
-    folder; all queries of the application start from them.
+    The trace is written once per application to the shared folder; all queries
+    of the application start from there.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _numbered:
         events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
-        _numbered[key] = stable(ranked(events, ["user_id"], ["ts", "event_id"], "i"))
-    return trace_columns(_numbered[key], "i")
+        _numbered[key] = stable(trace_columns(ranked(events, ["user_id"], ["ts", "event_id"], "i"), "i"))
+    return _numbered[key]
 
 
 # Old and nested shapes, a bad line and a heartbeat line, by event id.
