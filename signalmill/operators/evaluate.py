@@ -81,7 +81,10 @@ def class_metrics(
     cells = confusion(labels, truth, predicted).filter(
         F.col("truth").isin(*classes) & F.col("predicted").isin(*classes)
     )
-    rows = cells.select(
+    # An empty cell per class, so that every class has a row.
+    spark = labels.sparkSession
+    empty = spark.createDataFrame([(c, c, 0) for c in classes], "truth string, predicted string, n bigint")
+    rows = cells.unionByName(empty).select(
         "n", F.explode(F.array(*[F.lit(c) for c in classes])).alias("label"), "truth", "predicted"
     )
     is_truth = F.col("truth") == F.col("label")
