@@ -99,12 +99,10 @@ def text_of(event: Sql, message: Sql, details: Sql, role: Sql, tool: Sql) -> Sql
     return f"IF({_has_message(message)}, {nested}, {shaped(top, 'event')})"
 
 
-def event_views(
-    events: DataFrame, max_text: int = MAX_TEXT, redactor: Callable[[Sql], Sql] | None = None
-) -> DataFrame:
-    """Normalised events: session_id, i, ts, role, tool, status, error_code, text, flags.
+def event_view(max_text: int = MAX_TEXT, redactor: Callable[[Sql], Sql] | None = None) -> Sql:
+    """The normalised event as a struct, NULL for metadata and empty events.
 
-    `redactor` is an optional expression builder applied before the digest, such as `redact`.
+    Reads the columns event and parse_error.
     """
     clean = redactor or (lambda body: body)
 
@@ -126,8 +124,18 @@ def event_views(
         shown = let(role_of(e, m, "parse_error"), lambda role: let(tool_of(e, m), lambda tool: with_body(role, tool)))
         return f"IF({is_metadata(e, m)}, NULL, {shown})"
 
+    return in_event(view)
+
+
+def event_views(
+    events: DataFrame, max_text: int = MAX_TEXT, redactor: Callable[[Sql], Sql] | None = None
+) -> DataFrame:
+    """Normalised events: session_id, i, ts, role, tool, status, error_code, text, flags.
+
+    `redactor` is an optional expression builder applied before the digest, such as `redact`.
+    """
     keep = [c for c in ("session_id", "line_no", "i", "pos") if c in events.columns]
-    return rows_of(events, keep, in_event(view))
+    return rows_of(events, keep, event_view(max_text, redactor))
 
 
 def numbered_views(views: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -106,8 +106,13 @@ def paired(keys: DataFrame) -> DataFrame:
 
 
 def similar_pairs(clusters: DataFrame, threshold: float = AUTO_JACCARD) -> DataFrame:
-    """All similar pairs (a, b, sim), a < b. The result itself can be large; merging does not need it."""
-    return paired(prefix_keys(word_sets(clusters), threshold)).filter(F.col("sim") >= threshold)
+    """Similar pairs (a, b, sim), a < b, of clusters with different word sets.
+
+    Clusters with the same words stand behind the smallest id among them, so a
+    group of copies adds one row, not all its pairs. Merging uses `merge_edges`.
+    """
+    reps, _ = representatives(word_sets(clusters))
+    return paired(prefix_keys(reps, threshold)).filter(F.col("sim") >= threshold)
 
 
 def hub_edges(keys: DataFrame) -> DataFrame:
@@ -170,7 +175,10 @@ def merge_edges(clusters: DataFrame, threshold: float = AUTO_JACCARD, pair_limit
 
 
 def merge_requests(clusters: DataFrame, low: float = ASK_JACCARD, high: float = AUTO_JACCARD) -> DataFrame:
-    """Pairs in the band below the automatic threshold, with the facts a model decides on."""
+    """Pairs in the band below the automatic threshold, with the facts a model decides on.
+
+    Clusters with the same words merge anyway, so one of them is asked about.
+    """
     band = similar_pairs(clusters, low).filter(F.col("sim") < high)
     facts = clusters.select(
         F.col("signature_id").alias("id"),

@@ -255,6 +255,9 @@ sims AS (
     len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) AS sim
   FROM sets a JOIN sets b ON a.block = b.block AND a.signature_id < b.signature_id)"""
 
+_DISTINCT = f"""{_PAIRS},
+reps AS (SELECT min(signature_id) AS id FROM sets GROUP BY block, list_sort(w))"""
+
 _MEMBERS = f"""{_PAIRS},
 near AS (SELECT a, b FROM sims WHERE sim >= 0.62 UNION SELECT b, a FROM sims WHERE sim >= 0.62),
 reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b),
@@ -541,13 +544,14 @@ def all_sql() -> dict[str, str]:
         FROM be FULL JOIN af ON be.fingerprint_id = af.fingerprint_id""",
     )
 
-    sql["similar_pairs"] = _with(_PAIRS, "SELECT a, b, round(sim, 6) AS sim FROM sims WHERE sim >= 0.62")
+    distinct = "a IN (SELECT id FROM reps) AND b IN (SELECT id FROM reps)"
+    sql["similar_pairs"] = _with(_DISTINCT, f"SELECT a, b, round(sim, 6) AS sim FROM sims WHERE sim >= 0.62 AND {distinct}")
     sql["merge_components"] = _with(_MEMBERS, "SELECT signature_id, component FROM members")
     sql["merged_members"] = _with(
         _MEMBERS, "SELECT component, signature_id, tier FROM members JOIN clusters USING (signature_id)"
     )
     sql["merged_rollups"] = _with(_MERGED, "SELECT * FROM merged_rows")
-    sql["merge_decisions"] = _with(_PAIRS, "SELECT a, b FROM sims WHERE sim >= 0.75 AND sim < 0.9")
+    sql["merge_decisions"] = _with(_DISTINCT, f"SELECT a, b FROM sims WHERE sim >= 0.75 AND sim < 0.9 AND {distinct}")
 
     sql["ticket_ir"] = _with(
         _CLUSTERS,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from signalmill.functions import ragged
 from signalmill.functions.sql import Sql, keep, let
 from signalmill.functions.text import session_key, strip
+from signalmill.operators.events import MAX_TEXT, event_view, numbered_views, rows_of
 from signalmill.operators.ordered import renumbered
 from signalmill.operators.stable import stable
 
@@ -80,7 +81,7 @@ def read_lines(
     return lines.withColumn("seq", F.monotonically_increasing_id())
 
 
-def parse_events(numbered: DataFrame) -> DataFrame:
+def parse_events(rows: DataFrame) -> DataFrame:
     """Parse non-blank lines: adds event (VARIANT), parse_error and raw. Bad lines stay as rows."""
     def parsed(line: Sql, value: Sql) -> Sql:
         return (
@@ -93,26 +94,18 @@ def parse_events(numbered: DataFrame) -> DataFrame:
         strip("value"),
         lambda line: f"IF({line} = '', NULL, {let(f'try_parse_json({line})', lambda value: parsed(line, value))})",
     )
-    others = [c for c in numbered.columns if c != "value"]
-    return numbered.select(*others, F.expr(f"inline(array_compact(array({row})))"))
+    others = [c for c in rows.columns if c != "value"]
+    return rows.select(*others, F.expr(f"inline(array_compact(array({row})))"))
 
 
-def read_sessions(
-    spark: SparkSession,
-    root: str,
-    include: Sequence[str] = (),
-    exclude: Sequence[str] = (),
-    max_sessions: int | None = None,
-    max_events: int | None = None,
-    name_glob: str = "*.jsonl",
-) -> DataFrame:
-    """Events of all sessions: session_id, rel_path, line_no, i, event, parse_error, raw.
+def numbered(rows: DataFrame, out: str) -> DataFrame:
+    """Add `out`: the 1-based place of a row in its file. Needs rel_path, block_start, seq.
 
-    Lines are numbered per (file, block) and shifted by the lines of the blocks
-    before, so a very large file is spread over its blocks.
+    Rows are numbered per (file, block) and shifted by the rows of the blocks
+    before, so a very large file is spread over its blocks. The rows are written
+    once first: both uses below must see the same file splits.
     """
-    # Written once: the two uses below must see the same file splits.
-    lines = stable(read_lines(spark, root, include, exclude, max_sessions, name_glob))
+    rows = stable(rows)
     in_block = Window.partitionBy("rel_path", "block_start").orderBy("seq")
     earlier = (
         Window.partitionBy("rel_path")
@@ -120,25 +113,61 @@ def read_sessions(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     shifts = (
-        lines.groupBy("rel_path", "block_start")
+        rows.groupBy("rel_path", "block_start")
         .agg(F.count("*").alias("rows"))
         .withColumn("shift", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
         .drop("rows")
     )
-    numbered = (
-        lines.withColumn("in_block", F.row_number().over(in_block))
+    return (
+        rows.withColumn("in_block", F.row_number().over(in_block))
         .join(shifts, ["rel_path", "block_start"])
-        .select(
-            F.expr(session_key("rel_path")).alias("session_id"),
-            "rel_path",
-            (F.col("shift") + F.col("in_block")).alias("line_no"),
-            "value",
-        )
+        .withColumn(out, F.col("shift") + F.col("in_block"))
+        .drop("shift", "in_block", "block_start", "seq")
     )
-    events = renumbered(parse_events(numbered), ["session_id"], "line_no", "i")
+
+
+def read_sessions(
+    spark: SparkSession,
+    root: str,
+    include: Sequence[str] = (),
+    exclude: Sequence[str] = (),
+    max_sessions: int | None = None,
+    max_events: int | None = None,
+    name_glob: str = "*.jsonl",
+) -> DataFrame:
+    """Events of all sessions: session_id, rel_path, line_no, i, event, parse_error, raw."""
+    lines = read_lines(spark, root, include, exclude, max_sessions, name_glob)
+    placed = numbered(lines, "line_no").withColumn("session_id", F.expr(session_key("rel_path")))
+    events = renumbered(parse_events(placed), ["session_id"], "line_no", "i")
     return events if max_events is None else events.filter(F.col("i") < max_events)
 
 
+def read_views(
+    spark: SparkSession,
+    root: str,
+    include: Sequence[str] = (),
+    exclude: Sequence[str] = (),
+    max_sessions: int | None = None,
+    max_text: int = MAX_TEXT,
+    redactor: Callable[[Sql], Sql] | None = None,
+    name_glob: str = "*.jsonl",
+) -> DataFrame:
+    """Normalised events of all sessions with `i` and `v`, ready for chunking.
+
+    Lines are parsed and shortened inside the scan. Only the views are written
+    and shuffled, never the raw lines; an event that is no view keeps an empty
+    row until it has been counted.
+    """
+    lines = read_lines(spark, root, include, exclude, max_sessions, name_glob)
+    view = event_view(max_text, redactor)
+    views = rows_of(parse_events(lines), ["rel_path", "block_start", "seq"], f"named_struct('view', {view})")
+    placed = numbered(views, "place").filter("view IS NOT NULL")
+    rows = placed.select(
+        F.expr(session_key("rel_path")).alias("session_id"), "rel_path", (F.col("place") - 1).alias("i"), "view.*"
+    )
+    return numbered_views(rows)
+
+
 def read_messages(spark: SparkSession, root: str) -> DataFrame:
     """Message events only, with the text of their first text block.
 

@@ -99,3 +99,34 @@ def test_messages(spark, root):
     got = {r.idx: r for r in sessions.read_messages(spark, root).collect()}
     assert set(got) == {5, 6, 7, 14}
     assert (got[6].text, got[7].text, got[5].text) == ("a", "out", "")
+
+
+def test_views_of_files(spark, root, read):
+    """Parsing inside the scan gives the views of the two-step path."""
+    from signalmill.operators.events import event_views, numbered_views
+
+    direct = sessions.read_views(spark, root, include=["*.jsonl"], exclude=["sk?p*"])
+    steps = numbered_views(event_views(read).drop("line_no"))
+    assert direct.drop("rel_path").select(*steps.columns).exceptAll(steps).count() == 0
+    assert direct.count() == steps.count()
+
+
+def test_flow(spark, root, tmp_path):
+    from signalmill.plans import flows
+    from signalmill.sources.items import read_items
+
+    items, summary = flows.mine_sessions(spark, root, str(tmp_path / "items"), chunk_events=4, chunk_overlap=1)
+    row = summary.first()
+    assert (row.sessions_scanned, row.items) == (3, items.count()) and row.items > 0
+    assert read_items(spark, str(tmp_path / "items")).count() == row.items
+    clusters = flows.roll_up(items, merge_similar=True, complete=lambda system, user: '{"decision": "merge", "confidence": 1}')
+    assert clusters.agg({"count_items": "sum"}).first()[0] == row.items
+
+    def answer(system, user):
+        events = json.loads(user)["events"]
+        quote = events[0]["text"][:5]
+        item = {"kind": "other", "summary": "seen", "evidence": [{"event_i": events[0]["i"], "quote": quote}]}
+        return json.dumps({"items": [item]})
+
+    told, _ = flows.mine_sessions(spark, root, complete=answer)
+    assert told.count() == 3 and {r.kind for r in told.collect()} == {"other"}
