@@ -7,6 +7,7 @@ summary per block into the next one, so a hot key spreads over many tasks.
 `ranked` starts from any order: the range exchange samples the data and cuts a
 hot key where needed. The others start from a dense or sparse integer index, as
 `ranked` yields, and use `index div block`, so no group exceeds `block` rows.
+Their keys must not be NULL.
 """
 
 from __future__ import annotations
@@ -82,9 +83,10 @@ def renumbered(
     inside = blocked.withColumn(
         "_rank", F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(index)) - 1
     )
-    joined = inside.join(carried, _same(inside, carried, [*keys, "_block"]), "left")
-    total = (inside["_rank"] + F.coalesce(carried["_carry"], F.lit(0))).cast("bigint")
-    return joined.select(*[inside[c] for c in df.columns if c != out], total.alias(out))
+    # The join runs on the partitioning of the window; only the small side moves.
+    joined = inside.join(carried, [*keys, "_block"], "left")
+    total = (F.col("_rank") + F.coalesce("_carry", F.lit(0))).cast("bigint")
+    return joined.select(*[c for c in df.columns if c != out], total.alias(out))
 
 
 def last_before(
@@ -93,17 +95,12 @@ def last_before(
     """Add `out`: the last non-null `value` among earlier rows of the key."""
     keys = list(keys)
     blocked = _blocked(df.withColumn("_value", value), index, block)
-    lasts = (
-        blocked.filter("_value IS NOT NULL")
-        .groupBy(*keys, "_block")
-        .agg(F.max_by("_value", index).alias("_last"))
-    )
-    # A block may hold no value at all, so the carry is looked up for every block.
-    blocks = blocked.select(*keys, "_block").distinct()
     by_block = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # A block without a value still passes on the one before it.
+    place = F.when(F.col("_value").isNotNull(), F.col(index))
     carried = (
-        blocks.join(lasts, _same(blocks, lasts, [*keys, "_block"]), "left")
-        .select(*[blocks[c] for c in [*keys, "_block"]], "_last")
+        blocked.groupBy(*keys, "_block")
+        .agg(F.max_by("_value", place).alias("_last"))
         .withColumn("_carry", F.last("_last", ignorenulls=True).over(by_block))
         .filter("_carry IS NOT NULL")
         .drop("_last")
@@ -112,9 +109,8 @@ def last_before(
         Window.partitionBy(*keys, "_block").orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
     )
     inside = blocked.withColumn("_inside", F.last("_value", ignorenulls=True).over(earlier))
-    joined = inside.join(carried, _same(inside, carried, [*keys, "_block"]), "left")
-    found = F.coalesce(inside["_inside"], carried["_carry"])
-    return joined.select(*[inside[c] for c in df.columns if c != out], found.alias(out))
+    joined = inside.join(carried, [*keys, "_block"], "left")
+    return joined.select(*[c for c in df.columns if c != out], F.coalesce("_inside", "_carry").alias(out))
 
 
 def with_following(

@@ -43,6 +43,7 @@ def facet_counts(items: DataFrame) -> DataFrame:
         return f"named_struct('facet', '{name}', 'value', {value})"
 
     one = [
+        facet("signature", "signature_text"),
         facet("kind", "coalesce(nullif(kind, ''), 'unknown')"),
         facet("kind_v2", "fine.label"),
         facet("reason", "fine.reason"),
@@ -54,9 +55,9 @@ def facet_counts(items: DataFrame) -> DataFrame:
     facets = f"concat(array({', '.join(one)}), {each(f'coalesce(tags, {no_texts()})', lambda t: facet('tag', t))})"
     labelled = with_signature(items).withColumn("fine", F.expr(kind_v2("kind", "summary", "tags")))
     return (
-        labelled.select("signature_id", "signature_text", "pos", F.posexplode(F.expr(facets)).alias("at", "f"))
+        labelled.select("signature_id", "pos", F.posexplode(F.expr(facets)).alias("at", "f"))
         .filter("f.value IS NOT NULL")
-        .groupBy("signature_id", "signature_text", "f.facet", "f.value")
+        .groupBy("signature_id", "f.facet", "f.value")
         .agg(F.count("*").alias("n"), F.min(F.struct("pos", "at")).alias("first_pos"))
     )
 
@@ -100,7 +101,7 @@ def rollups(items: DataFrame, max_samples: int = MAX_SAMPLES, max_tags: int = MA
         F.collect_list(F.when(F.col("facet") == "reason", F.struct(-F.col("n"), "first_pos", "value", "n")))
     )
     base = counts.groupBy("signature_id").agg(
-        F.first("signature_text").alias("signature_text"),
+        F.max(F.when(F.col("facet") == "signature", F.col("value"))).alias("signature_text"),
         F.sum(F.when(F.col("facet") == "kind", F.col("n"))).alias("count_items"),
         F.count_if(F.col("facet") == "session").alias("count_sessions"),
         F.min("first_pos.pos").alias("first_pos"),
