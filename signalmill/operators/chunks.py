@@ -11,20 +11,20 @@ tables; most sessions fit one block and skip that step.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signalmill.functions.sql import Sql, each, let
 from signalmill.operators.ordered import BLOCK
 
 CHUNK_EVENTS = 20
 CHUNK_OVERLAP = 4
 
 
-def keeps_together(previous_role: Column, role: Column) -> Column:
+def keeps_together(previous_role: Sql, role: Sql) -> Sql:
     return (
-        ((previous_role == "toolCall") & (role == "toolResult"))
-        | ((previous_role == "toolResult") & (role == "assistant"))
-        | ((previous_role == "user") & (role == "assistant"))
+        f"(({previous_role} = 'toolCall' AND {role} = 'toolResult') OR ({previous_role} = 'toolResult' AND {role} = 'assistant') "
+        f"OR ({previous_role} = 'user' AND {role} = 'assistant'))"
     )
 
 
@@ -38,20 +38,31 @@ def _block_roles(views: DataFrame, block: int, size: int) -> DataFrame:
     spread = views.select("session_id", "v", "role").withColumn(
         "block", F.explode(F.when(early, F.array(home, home - 1)).otherwise(F.array(home)))
     )
-    roles = spread.groupBy("session_id", "block").agg(
+    rows = spread.groupBy("session_id", "block").agg(
         F.array_sort(F.collect_list(F.struct("v", "role"))).alias("rows")
-    ).select("session_id", "block", F.col("rows.role").alias("roles"))
-    joined = F.transform(
-        "roles", lambda role, k: F.coalesce(keeps_together(F.get("roles", k - 1), role), F.lit(False))
     )
-    return roles.select("session_id", "block", F.size("roles").alias("n"), joined.alias("joined"))
+    # Bound by `let`: as plain columns these arrays could be rebuilt for every element.
+    joined = let(
+        each("rows", lambda r: f"{r}.role"),
+        lambda roles: f"transform({roles}, (role, k) -> coalesce({keeps_together(f'get({roles}, k - 1)', 'role')}, false))",
+    )
+    return rows.select("session_id", "block", F.size("rows").alias("n"), F.expr(joined).alias("joined"))
+
+
+def _end(joined: Sql, start: Sql, size: int) -> Sql:
+    """End of the chunk that begins at `start`; positions are relative to the block of `n` views."""
+    plain = f"({start} + {size})"
+    return f"IF({plain} >= n, n, {plain} + CAST(get({joined}, {plain}) AS INT))"
+
+
+def _onward(joined: Sql, start: Sql, size: int, gap: int, block: int) -> Sql:
+    """Next start after the chunk at `start`, or NULL when that chunk is the last."""
 
+    def after(end: Sql) -> Sql:
+        nxt = f"({end} + {gap})"
+        return f"IF({end} < n AND ({nxt} < n OR {nxt} >= {block}), {nxt}, NULL)"
 
-def _end(joined: Column, n: Column, start: Column, size: int) -> Column:
-    """End of the chunk that begins at `start`; all positions are relative to the block."""
-    plain = start + size
-    extended = plain + F.get(joined, plain).cast("int")
-    return F.when(plain >= n, n).otherwise(extended)
+    return let(_end(joined, start, size), after)
 
 
 def chunk_bounds(
@@ -76,79 +87,55 @@ def chunk_bounds(
         raise ValueError("block is too small for this chunk size")
     blocks = _block_roles(views, block, size)
 
-    def onward(position: Column, joined: Column, n: Column) -> Column:
-        """Next start after the chunk at `position`, or NULL when that chunk is the last."""
-        end = _end(joined, n, position, size)
-        nxt = end + gap
-        return F.when((end < n) & ((nxt < n) | (nxt >= block)), nxt)
-
-    entries = _entries(blocks, block, lanes, size, gap, onward)
-    steps = F.floor(F.lit(block) / F.lit(max(1, size + gap))).cast("int") + 1
-
-    def walk(entry: Column, joined: Column, n: Column) -> Column:
-        def step(starts: Column, _: Column) -> Column:
-            nxt = onward(F.element_at(starts, -1), joined, n)
-            return F.when(nxt < block, F.concat(starts, F.array(nxt))).otherwise(starts)
+    stride = max(1, size + gap)
+    entries = _entries(blocks, block, lanes, size, gap)
 
-        turns = F.least(steps, F.floor(n / F.lit(max(1, size + gap))).cast("int") + 1)
-        return F.aggregate(F.sequence(F.lit(1), turns), F.array(entry), step)
+    def walk(joined: Sql) -> Sql:
+        """All chunks that begin in the block, from its entry on."""
+        turns = f"sequence(1, least({block // stride}, CAST(n div {stride} AS INT)) + 1)"
+        nxt = _onward(joined, "element_at(starts, -1)", size, gap, block)
+        step = let(nxt, lambda x: f"IF({x} < {block}, array_append(starts, {x}), starts)")
+        starts = f"aggregate({turns}, array(entry), (starts, turn) -> {step})"
+        return f"transform({starts}, (s, k) -> named_struct('k', k, 's', s, 'e', {_end(joined, 's', size)}))"
 
+    base = f"block * {block}L"
     placed = (
         blocks.join(entries, ["session_id", "block"], "left")
-        .withColumn("entry", F.when(F.col("block") == 0, F.lit(0)).otherwise(F.col("entry")).cast("int"))
-        .filter(F.col("entry") < F.col("n"))
-        .withColumn("first_idx", F.coalesce("first_idx", F.lit(0).cast("bigint")))
-        .withColumn("starts", walk(F.col("entry"), F.col("joined"), F.col("n")))
-        .withColumn(
-            "chunks",
-            F.transform(
-                "starts",
-                lambda s, k: F.struct(
-                    k.alias("k"), s.alias("s"), _end(F.col("joined"), F.col("n"), s, size).alias("e")
-                ),
-            ),
+        .withColumn("entry", F.expr("IF(block = 0, 0, entry)"))
+        .filter("entry < n")
+        .select(
+            "session_id",
+            "block",
+            F.expr("coalesce(first_idx, 0L)").alias("first_idx"),
+            F.expr(f"explode({let('joined', walk)})").alias("c"),
         )
     )
-    base = F.col("block") * block
-    return placed.select("session_id", "block", "first_idx", F.explode("chunks").alias("c")).select(
-        "session_id",
-        (F.col("first_idx") + F.col("c.k")).alias("chunk_idx"),
-        (base + F.col("c.s")).alias("start_v"),
-        (base + F.col("c.e")).alias("end_v"),
+    return placed.selectExpr(
+        "session_id", "first_idx + c.k AS chunk_idx", f"{base} + c.s AS start_v", f"{base} + c.e AS end_v"
     )
 
 
-def _entries(blocks: DataFrame, block: int, lanes: int, size: int, gap: int, onward) -> DataFrame:
+def _entries(blocks: DataFrame, block: int, lanes: int, size: int, gap: int) -> DataFrame:
     """(session_id, block, entry, first_idx) for every block but the first of a session."""
-    stride = max(1, size + gap)
-    turns = block // stride + 1
-
-    def exit_of(entry: Column, joined: Column, n: Column) -> Column:
-        """struct<at, chunks>: entry into the next block and chunks begun in this one."""
-
-        def step(state: Column, _: Column) -> Column:
-            nxt = onward(state["at"], joined, n)
-            done = state["at"].isNull() | (state["at"] >= block)
-            return F.when(done, state).otherwise(
-                F.struct(nxt.cast("int").alias("at"), (state["chunks"] + 1).alias("chunks"))
-            )
+    turns = block // max(1, size + gap) + 1
 
-        start = F.struct(entry.cast("int").alias("at"), F.lit(0).alias("chunks"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(turns)), start, step)
+    def exits(joined: Sql) -> Sql:
+        """Per possible entry: struct<at, chunks>, the entry into the next block and chunks begun in this one."""
+        moved = _onward(joined, "state.at", size, gap, block)
+        step = f"IF(state.at IS NULL OR state.at >= {block}, state, named_struct('at', {moved}, 'chunks', state.chunks + 1))"
+        walked = f"aggregate(sequence(1, {turns}), named_struct('at', entry, 'chunks', 0), (state, turn) -> {step})"
+        return f"transform(sequence(0, {lanes - 1}), entry -> {walked})"
 
     # A block that others follow is full; the last block of a session needs no exit.
-    tables = blocks.filter(F.col("n") > block).select(
-        "session_id",
-        "block",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(lanes - 1)), lambda e: exit_of(e, F.col("joined"), F.col("n"))
-        ).alias("exits"),
-    )
-    compact = tables.select(
-        "session_id",
-        "block",
-        F.transform("exits", lambda x: F.coalesce(x["at"] - block, F.lit(-1))).alias("at"),
-        F.transform("exits", lambda x: x["chunks"]).alias("chunks"),
+    compact = (
+        blocks.filter(F.col("n") > block)
+        .select("session_id", "block", F.expr(let("joined", exits)).alias("exits"))
+        .select(
+            "session_id",
+            "block",
+            F.expr(f"transform(exits, x -> coalesce(x.at - {block}, -1))").alias("at"),
+            F.expr("transform(exits, x -> x.chunks)").alias("chunks"),
+        )
     )
 
     def chain(part: pd.DataFrame) -> pd.DataFrame:
