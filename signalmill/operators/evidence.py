@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signalmill.functions.sql import Sql, let
 from signalmill.functions.text import keywords, white_words
 from signalmill.operators.ordered import first_per_key
 
@@ -13,23 +14,17 @@ SIGNALS_PER_SUMMARY = 3
 SNIPPETS = 15
 
 
-def _triples(words: Column) -> Column:
+def _triples(words: Sql) -> Sql:
     """All three-word subsets of a word list, as sorted strings."""
-    sorted_words = F.array_sort(words)
-    pairs_after = lambda i: F.slice(sorted_words, i + 2, F.size(sorted_words))
-
-    def with_first(a: Column, i: Column) -> Column:
-        rest = pairs_after(i)
-        return F.flatten(
-            F.transform(
-                rest,
-                lambda b, j: F.transform(
-                    F.slice(rest, j + 2, F.size(rest)), lambda c: F.concat_ws(" ", a, b, c)
-                ),
-            )
-        )
 
-    return F.flatten(F.transform(sorted_words, with_first))
+    def with_first(w: Sql) -> Sql:
+        return f"flatten(transform({w}, (a, i) -> {let(f'slice({w}, i + 2, size({w}))', with_second)}))"
+
+    def with_second(rest: Sql) -> Sql:
+        third = f"transform(slice({rest}, j + 2, size({rest})), c -> concat_ws(' ', a, b, c))"
+        return f"flatten(transform({rest}, (b, j) -> {third}))"
+
+    return let(f"array_sort({words})", with_first)
 
 
 def matched_summaries(clusters: DataFrame, items: DataFrame, limit: int = SNIPPETS) -> DataFrame:
@@ -45,9 +40,9 @@ def matched_summaries(clusters: DataFrame, items: DataFrame, limit: int = SNIPPE
         .groupBy("summary")
         .agg(F.min("pos").alias("first_pos"))
     )
-    by_triple = summaries.select("summary", "first_pos", F.explode(_triples(F.expr(white_words("summary")))).alias("triple"))
+    by_triple = summaries.select("summary", "first_pos", F.explode(F.expr(_triples(white_words("summary")))).alias("triple"))
     wanted = clusters.select(
-        "signature_id", F.explode(_triples(F.expr(white_words("canonical_summary")))).alias("triple")
+        "signature_id", F.explode(F.expr(_triples(white_words("canonical_summary")))).alias("triple")
     )
     known = by_triple.join(wanted.select("triple").distinct(), "triple", "left_semi")
     first = first_per_key(known, ["triple"], [F.col("first_pos")], limit).drop("_rank")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalmill.functions.classify import group_score, group_tier, kind_v2, sentiment
-from signalmill.functions.sql import Sql, each, no_texts
+from signalmill.functions.sql import Sql
 from signalmill.functions.text import (
     fingerprint_text,
     hashed,
@@ -36,7 +36,7 @@ def with_signature(items: DataFrame) -> DataFrame:
 def facet_counts(items: DataFrame) -> DataFrame:
     """(signature_id, facet, value, n, first_pos) over items with `pos`.
 
-    `first_pos` is the item's order and the place inside the item, which tells its tags apart.
+    Of the tags only `incident` is among the facets; `tag_counts` has them all.
     """
 
     def facet(name: str, value: Sql) -> Sql:
@@ -52,12 +52,23 @@ def facet_counts(items: DataFrame) -> DataFrame:
         facet("session", "nullif(session_id, '')"),
         facet("summary", f"IF(summary <> '', {redacted_if_needed('summary')}, NULL)"),
     ]
-    facets = f"concat(array({', '.join(one)}), {each(f'coalesce(tags, {no_texts()})', lambda t: facet('tag', t))})"
+    flag = f"IF(array_contains(tags, 'incident'), array({facet('tag', chr(39) + 'incident' + chr(39))}), array())"
+    facets = f"concat(array({', '.join(one)}), {flag})"
     labelled = with_signature(items).withColumn("fine", F.expr(kind_v2("kind", "summary", "tags")))
     return (
-        labelled.select("signature_id", "pos", F.posexplode(F.expr(facets)).alias("at", "f"))
+        labelled.select("signature_id", "pos", F.explode(F.expr(facets)).alias("f"))
         .filter("f.value IS NOT NULL")
         .groupBy("signature_id", "f.facet", "f.value")
+        .agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    )
+
+
+def tag_counts(items: DataFrame) -> DataFrame:
+    """(signature_id, value, n, first_pos) of tags; `first_pos` also tells tags of one item apart."""
+    tags = with_signature(items).select("signature_id", "pos", F.posexplode("tags").alias("at", "value"))
+    return (
+        tags.filter("value IS NOT NULL")
+        .groupBy("signature_id", "value")
         .agg(F.count("*").alias("n"), F.min(F.struct("pos", "at")).alias("first_pos"))
     )
 
@@ -104,7 +115,7 @@ def rollups(items: DataFrame, max_samples: int = MAX_SAMPLES, max_tags: int = MA
         F.max(F.when(F.col("facet") == "signature", F.col("value"))).alias("signature_text"),
         F.sum(F.when(F.col("facet") == "kind", F.col("n"))).alias("count_items"),
         F.count_if(F.col("facet") == "session").alias("count_sessions"),
-        F.min("first_pos.pos").alias("first_pos"),
+        F.min("first_pos").alias("first_pos"),
         _counter("kind").alias("kind_counts"),
         _counter("kind_v2").alias("kind_v2_counts"),
         _mode("kind_v2").alias("kind_v2_primary"),
@@ -118,7 +129,7 @@ def rollups(items: DataFrame, max_samples: int = MAX_SAMPLES, max_tags: int = MA
         _has("kind", "error").alias("error"),
         _has("kind", "user_frustration").alias("frustration"),
     )
-    tags = top_values(counts.filter("facet = 'tag'"), ["signature_id"], max_tags, "tags_top")
+    tags = top_values(tag_counts(items), ["signature_id"], max_tags, "tags_top")
     clusters = (
         base.withColumn("signature_text", F.expr(redacted_if_needed("signature_text")))
         .join(tags, "signature_id", "left")
