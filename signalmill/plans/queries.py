@@ -172,7 +172,9 @@ def truncate_messages(spark, sf_dir):
 
 @register
 def trace_view(spark, sf_dir):
-    return tables.trace(spark, sf_dir).withColumn("ts", F.unix_micros("ts"))
+    # By way of text, so that the session's time zone does not matter.
+    stamp = F.to_timestamp(F.date_format("ts", _ISO))
+    return tables.trace(spark, sf_dir).withColumn("ts", F.unix_micros(stamp))
 
 
 @register
