@@ -430,7 +430,7 @@ def all_sql() -> dict[str, str]:
         _SHAPED,
         """SELECT session_id, i + 1 + count(*) FILTER (pos % 13 = 0) OVER (PARTITION BY session_id ORDER BY i) AS line_no, i,
         shape = 'bad' AS bad, CASE WHEN shape IN ('result', 'call', 'plain', 'list') THEN role END AS role
-        FROM lines WHERE session_id <> 's9'""",
+        FROM lines""",
     )
     sql["tool_calls"] = _with(
         _SHAPED,
@@ -448,7 +448,7 @@ def all_sql() -> dict[str, str]:
         FROM (SELECT *, CASE WHEN shape = 'bad' THEN 'parse_error'
             WHEN shape = 'result' AND (status = 'error' OR coalesce(exit_code, 0) <> 0) THEN 'tool_error'
             WHEN shape IN ('flat', 'result', 'plain', 'list') AND {pattern} THEN 'pattern' END AS kind FROM lines)
-        WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY i) <= 20""",
+        WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY i) <= 200""",
     )
     sql["search_hits"] = _with(
         _SHAPED,
@@ -458,7 +458,7 @@ def all_sql() -> dict[str, str]:
         CASE WHEN shape = 'call' THEN '{"message":{"input":{"action":"' || tool || '","text":"' || text || '"},"role":"toolCall","toolName":"'
           || tool || '"},"timestamp":"' || stamp || '","type":"message"}' ELSE content END AS preview
         FROM lines WHERE shape NOT IN ('bad', 'heartbeat') AND contains(text, 'gateway')
-        QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY i) <= 3""",
+        QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY i) <= 30""",
     )
     sql["span_window"] = _with(
         _SHAPED,
@@ -533,8 +533,8 @@ def all_sql() -> dict[str, str]:
         f"""SELECT kind_v2_primary, signature_id, tier, round(score, 6) AS score FROM clusters
         QUALIFY row_number() OVER (PARTITION BY kind_v2_primary ORDER BY {_RANKED}) = 1""",
     )
-    halves = f"""{_ITEMS}, even AS (SELECT * FROM items WHERE i % 2 = 0), odd AS (SELECT * FROM items WHERE i % 2 = 1),
-    {_clusters("even", "_e")}, {_clusters("odd", "_o")},
+    halves = f"""{_ITEMS}, early AS (SELECT * FROM items WHERE i < 30), late AS (SELECT * FROM items WHERE i >= 30),
+    {_clusters("early", "_e")}, {_clusters("late", "_o")},
     be AS (SELECT fingerprint_id, CAST(sum(count_items) AS BIGINT) AS n FROM clusters_e GROUP BY 1),
     af AS (SELECT fingerprint_id, CAST(sum(count_items) AS BIGINT) AS n FROM clusters_o GROUP BY 1)"""
     sql["rollup_diff"] = _with(

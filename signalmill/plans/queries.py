@@ -199,7 +199,7 @@ def session_files(spark, sf_dir):
         .write.partitionBy("session_id", "part")
         .text(path)
     )
-    read = sessions.read_sessions(spark, path, include=["session_id=s*"], exclude=["*=s9/*"], name_glob="*.txt")
+    read = sessions.read_sessions(spark, path, include=["session_id=s*"], name_glob="*.txt")
     named = read.select(
         F.regexp_extract("rel_path", "session_id=([^/]+)", 1).alias("session_id"),
         F.regexp_extract("rel_path", "part=([0-9]+)", 1).cast("bigint").alias("part"),
@@ -218,12 +218,12 @@ def tool_calls(spark, sf_dir):
 
 @register
 def failures(spark, sf_dir):
-    return events.failures(_json_events(spark, sf_dir), limit=20)
+    return events.failures(_json_events(spark, sf_dir))
 
 
 @register
 def search_hits(spark, sf_dir):
-    hits = inspect.search_hits(_json_events(spark, sf_dir), "GATEWAY", limit=3)
+    hits = inspect.search_hits(_json_events(spark, sf_dir), "GATEWAY")
     return hits.withColumn("keys", F.array_join("keys", ","))
 
 
@@ -381,11 +381,11 @@ def best_per_kind(spark, sf_dir):
 
 @register
 def rollup_diff(spark, sf_dir):
-    """Clusters of even against odd event positions, by fingerprint."""
+    """Clusters from before event 30 of a session against those from there on, by fingerprint."""
     items = _items(spark, sf_dir)
-    even = rollup.rollups(items.filter("span.start_i % 2 = 0"))
-    odd = rollup.rollups(items.filter("span.start_i % 2 = 1"))
-    return rollup.compare(even, odd).select("fingerprint_id", "items_before", "items_after", "state")
+    early = rollup.rollups(items.filter("span.start_i < 30"))
+    late = rollup.rollups(items.filter("span.start_i >= 30"))
+    return rollup.compare(early, late).select("fingerprint_id", "items_before", "items_after", "state")
 
 
 # --- merging -----------------------------------------------------------------
