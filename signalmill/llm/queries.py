@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmill.llm import decontaminate, exact_dedup, packing, quality, token_counts
+from signalmill.llm import decontaminate, exact_dedup, jaccard_join, packing, quality, token_counts
 from signalmill.llm.common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.answers(token_counts.lengths(table(spark, sf_dir, "documents")))
 
