@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmill.llm import decontaminate, exact_dedup, jaccard_join, packing, quality, token_counts
+from signalmill.llm import decontaminate, exact_dedup, jaccard_join, packing, quality, secret_scan, token_counts
 from signalmill.llm.common import table
 
 
@@ -31,6 +31,18 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secret_scan.RULES if r.base]
+    found = found.selectExpr("doc_id", "spans", f"filter(spans, x -> x.rank < {len(base)}) AS base")
+    return found.selectExpr(
+        "doc_id",
+        *[f"CAST(size(filter(base, x -> x.kind = '{kind}')) AS BIGINT) AS n_{kind}" for kind in base],
+        f"sha2({secret_scan.listed('base')}, 256) AS base_sha256",
+        f"{secret_scan.listed('spans')} AS spans",
+    )
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
