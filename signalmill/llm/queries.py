@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmill.llm import decontaminate, exact_dedup, jaccard_join, packing, quality, secret_scan, token_counts
+from signalmill.llm import decontaminate, exact_dedup, jaccard_join, license_scan, packing, quality, secret_scan, token_counts
 from signalmill.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licences(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.pieces(table(spark, sf_dir, "documents"))).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
