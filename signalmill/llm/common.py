@@ -11,11 +11,13 @@ Rules that hold for all operators here, unless their docstring says otherwise:
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from signalmill.functions.sql import each
 from signalmill.operators.stable import stable
 
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -34,6 +36,18 @@ def kept(df: DataFrame) -> DataFrame:
     return stable(df)
 
 
+def once_per_worker(key: tuple, make: Callable[[], object]) -> object:
+    """A value made once in a Python worker and used by all tasks that it runs.
+
+    Functions travel to the workers by value, which makes module globals anew in
+    every task; an attribute of `sys` lives as long as the worker.
+    """
+    store = sys.__dict__.setdefault("_signalmill_worker", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def words(text: str | None) -> list[bytes]:
     """Words of a text: A-Z lowered, then runs of digits, letters and non-ASCII characters."""
     return (text or "").encode("utf-8", "replace").translate(WORD_TABLE).split()
@@ -58,3 +72,7 @@ def filtered(
             yield batch.filter(pa.array(accept(texts_of(batch, text)), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
+
+def listed(spans: str = "spans") -> str:
+    """SQL for `kind:start:end` of spans, comma-joined."""
+    return f"array_join({each(spans, lambda x: f'concat_ws(\':\', {x}.kind, {x}.start, {x}.end)')}, ',')"

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmill.llm import decontaminate, exact_dedup, jaccard_join, license_scan, packing, quality, secret_scan, token_counts
-from signalmill.llm.common import table
+from signalmill.llm import decontaminate, exact_dedup, jaccard_join, license_scan, packing, pii_crf, quality, secret_scan, token_counts
+from signalmill.llm.common import listed, table
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +38,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr(
         "doc_id",
         *[f"CAST(size(filter(base, x -> x.kind = '{kind}')) AS BIGINT) AS n_{kind}" for kind in base],
-        f"sha2({secret_scan.listed('base')}, 256) AS base_sha256",
-        f"{secret_scan.listed('spans')} AS spans",
+        f"sha2({listed('base')}, 256) AS base_sha256",
+        f"{listed('spans')} AS spans",
     )
 
 
@@ -58,6 +58,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii_crf.personal_data(docs, pii_crf.fit(docs))
+    return found.selectExpr(
+        "doc_id",
+        *[f"CAST(size(filter(base, x -> x.kind = '{kind}')) AS BIGINT) AS n_{kind}" for kind in pii_crf.KINDS],
+        f"sha2({listed('base')}, 256) AS base_sha256",
+        f"{listed('spans')} AS spans",
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(table(spark, sf_dir, "documents"))
 

@@ -241,8 +241,3 @@ def secrets(docs: DataFrame, rules: list[Rule] | None = None, id: str = "doc_id"
             test = f"array_contains(rules, {literal(rule.kind)}) AND {test}"
         parts.append(f"CASE WHEN {test} THEN {_spans('text', rule, rank)} ELSE CAST(array() AS {_SPANS}) END")
     return rows.selectExpr("id", f"array_sort(concat({', '.join(parts)})) AS spans").withColumnRenamed("id", id)
-
-
-def listed(spans: str = "spans") -> str:
-    """SQL for `kind:start:end` of spans, comma-joined."""
-    return f"array_join({each(spans, lambda x: f'concat_ws(\':\', {x}.kind, {x}.start, {x}.end)')}, ',')"
