@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalmill.llm.common import kept, texts_of
-from signalmill.llm.tokens import Encoder
+from signalmill.llm.tokens import worker_encoder
 
 CAPACITY = 1024
 END = 2
@@ -46,7 +46,7 @@ def pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(path), np.zeros(capacity + 1, np.int64)
+        encoder, seen = worker_encoder(path), np.zeros(capacity + 1, np.int64)
         part, last = TaskContext.get().partitionId(), np.array([end], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalmill.llm.common import texts_of
-from signalmill.llm.tokens import Encoder
+from signalmill.llm.tokens import worker_encoder
 
 BLOCK = 1024
 
@@ -25,7 +25,7 @@ def lengths(docs: DataFrame, text: str = "text", path: str | None = None) -> Dat
     """(length, n_docs): how many documents have how many tokens. NULL and empty texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, found = Encoder(path), Counter()
+        encoder, found = worker_encoder(path), Counter()
         for batch in batches:
             found.update(len(ids) // 4 for ids in encoder.encode(texts_of(batch, text)))
         yield pa.RecordBatch.from_pydict(
