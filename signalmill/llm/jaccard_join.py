@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import kept, words
+from signalmill.llm.common import kept, once_per_worker, words
 from signalmill.operators.graph import components
 
 SHINGLE = 5
@@ -140,7 +140,7 @@ def survivors(
     return a, b
 
 
-def _pairs(sides: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def row_pairs(sides: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs of a group, some at a time: all pairs, or those between side 0 and side 1."""
     first = np.arange(len(sides)) if same else np.flatnonzero(sides == 0)
     second = first if same else np.flatnonzero(sides == 1)
@@ -166,13 +166,13 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of whole groups from rows sorted by `keys`; a group may reach over several batches."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        changed = _starts(pa.Table.from_batches([batch]), keys)
+        changed = starts_of(pa.Table.from_batches([batch]), keys)
         if rest and not all(rest[-1][k][-1].equals(batch[k][0]) for k in keys):
             yield pa.Table.from_batches(rest)
             rest = []
@@ -185,7 +185,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(rest)
 
 
-def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+def starts_of(rows: pa.Table, keys: list[str]) -> np.ndarray:
     """First row of each group of a sorted table."""
     changed = np.zeros(rows.num_rows, bool)
     changed[:1] = True
@@ -199,7 +199,7 @@ def sketches(docs: DataFrame, id: str, text: str, shingle: int = SHINGLE) -> Dat
     """id, text_hash, digest, size and, for texts with words, values (16 bits each) and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = once_per_worker(("word hashes",), WordHashes)
         for batch in batches:
             digests, sizes, values, bands = [], [], [], []
             for whole in batch.column(2):
@@ -227,7 +227,7 @@ def sketches(docs: DataFrame, id: str, text: str, shingle: int = SHINGLE) -> Dat
     )
 
 
-def _dealt(rows: DataFrame, group: str, block: int) -> DataFrame:
+def deal_out(rows: DataFrame, group: str, block: int) -> DataFrame:
     """Rows once per pair of blocks of their group: first, second and, for two different blocks, side."""
     own = rows.withColumn("_blocks", F.ceil(F.col("members") / block).cast("int")).withColumn(
         "_own", F.pmod(F.xxhash64(group, "digest", F.lit(17)), F.col("_blocks")).cast("int")
@@ -241,7 +241,7 @@ def _dealt(rows: DataFrame, group: str, block: int) -> DataFrame:
     )
 
 
-def _sorted(rows: DataFrame, group: str) -> DataFrame:
+def sort_by_group(rows: DataFrame, group: str) -> DataFrame:
     keys = [group, "first", "second"]
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
@@ -263,8 +263,8 @@ def _candidates(reps: DataFrame, threshold: float, tolerance: float, block: int)
     found = found.drop("node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, ["key", "first", "second"]):
-            starts = [*_starts(rows, ["key", "first", "second"]), rows.num_rows]
+        for rows in groups_of(batches, ["key", "first", "second"]):
+            starts = [*starts_of(rows, ["key", "first", "second"]), rows.num_rows]
             values, sizes = _matrix(rows.column("values")), rows.column("size").to_numpy()
             digest, sides = rows.column("digest"), rows.column("side").to_numpy()
             first, second = rows.column("first").to_numpy(), rows.column("second").to_numpy()
@@ -272,7 +272,7 @@ def _candidates(reps: DataFrame, threshold: float, tolerance: float, block: int)
             left: list[tuple[np.ndarray, np.ndarray]] = []
             held = 0
             for at, end in zip(starts, starts[1:], strict=False):
-                for a, b in _pairs(sides[at:end], first[at] == second[at]):
+                for a, b in row_pairs(sides[at:end], first[at] == second[at]):
                     waiting.append((a + at, b + at))
                     held += len(a)
                 if held >= PAIRS or end == rows.num_rows:
@@ -285,7 +285,7 @@ def _candidates(reps: DataFrame, threshold: float, tolerance: float, block: int)
             ends = pa.table({"a": digest.take(pa.array(other)), "b": digest.take(pa.array(root[other]))})
             yield from ends.to_batches()
 
-    return _sorted(_dealt(found, "key", block), "key").mapInArrow(run, "a binary, b binary").distinct()
+    return sort_by_group(deal_out(found, "key", block), "key").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _verified(
@@ -293,17 +293,17 @@ def _verified(
 ) -> DataFrame:
     """(digest, root, links) per representative and pair of blocks where it has a link."""
     texts = docs.select(F.col(id).alias("rep"), F.col(text).alias("text"))
-    rows = _dealt(texts.join(clusters, "rep").drop("rep"), "cluster", block)
+    rows = deal_out(texts.join(clusters, "rep").drop("rep"), "cluster", block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for many in _groups(batches, ["cluster", "first", "second"]):
-            starts = [*_starts(many, ["cluster", "first", "second"]), many.num_rows]
+        hashes = once_per_worker(("word hashes",), WordHashes)
+        for many in groups_of(batches, ["cluster", "first", "second"]):
+            starts = [*starts_of(many, ["cluster", "first", "second"]), many.num_rows]
             for at, end in zip(starts, starts[1:], strict=False):
                 found = _links(many.slice(at, end - at), hashes, shingle, threshold, tolerance)
                 yield from found.to_batches()
 
-    return _sorted(rows, "cluster").mapInArrow(run, "digest binary, root binary, links bigint")
+    return sort_by_group(rows, "cluster").mapInArrow(run, "digest binary, root binary, links bigint")
 
 
 def _links(group: pa.Table, hashes: WordHashes, shingle: int, threshold: float, tolerance: float) -> pa.Table:
@@ -320,9 +320,9 @@ def _links(group: pa.Table, hashes: WordHashes, shingle: int, threshold: float,
     values, sizes = _matrix(group.column("values")), np.array([len(s) for s in sets], np.int64)
     sides = group.column("side").to_numpy()
     same = not sets or group.column("first")[0].equals(group.column("second")[0])
-    shared = _shared(sets)
+    shared = shared_counts(sets)
     links, left = np.zeros(len(sets), np.int64), [(np.zeros(0, np.int64),) * 2]
-    for a, b in _pairs(sides, same):
+    for a, b in row_pairs(sides, same):
         a, b = survivors(values, sizes, a, b, threshold, tolerance)
         common = shared[a, b].astype(np.int64)
         true = common >= threshold * (sizes[a] + sizes[b] - common) - 1e-9
@@ -334,7 +334,7 @@ def _links(group: pa.Table, hashes: WordHashes, shingle: int, threshold: float,
     return pa.table({"digest": digest.take(pa.array(some)), "root": digest.take(pa.array(root[some])), "links": links[some]})
 
 
-def _shared(sets: list[np.ndarray]) -> np.ndarray:
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     """How many elements each two sets have in common, by products of 0/1 matrices."""
     out = np.zeros((len(sets), len(sets)), np.float32)
     if len(sets) < 2:
