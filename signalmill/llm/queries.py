@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmill.llm import decontaminate, exact_dedup, jaccard_join, license_scan, packing, pii_crf, quality, secret_scan, token_counts
+from signalmill.llm import decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, packing, pii_crf, quality, secret_scan, token_counts
 from signalmill.llm.common import listed, table
 
 
@@ -48,6 +48,16 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_lines",
+        F.size("lines").cast("bigint").alias("n_removed"),
+        F.array_join(F.col("lines").cast("array<string>"), ",").alias("removed_lines"),
+    )
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licences(table(spark, sf_dir, "documents"))
 
