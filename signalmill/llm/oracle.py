@@ -1,9 +1,171 @@
-"""DuckDB twins of the queries that SQL can express."""
+"""DuckDB twins of the queries that SQL can express.
+
+Token counts, the quality classifier, packing and the random field have none:
+byte-pair merges, zstandard and message passing are held against brute-force
+versions in the tests.
+"""
 
 from __future__ import annotations
 
-_SQL: dict[str, str] = {}
+from signalmill.llm.license_scan import templates
+
+# Words of whole texts: A-Z lowered, everything else as it is.
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+_NGRAM_JOIN = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+grams AS (
+  SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+    lambda i: array_to_string(w[i:i + 4], ' ')))) AS g
+  FROM docs WHERE len(w) > 0),
+hashed AS (SELECT doc_id, g, md5(array_to_string(g, ',')) AS s FROM grams),
+sets AS (SELECT s, min(doc_id) AS rep, count(*) AS n_copies, any_value(g) AS g FROM hashed GROUP BY s),
+parts AS (SELECT rep, len(g) AS n, unnest(g) AS x FROM sets),
+links AS (
+  SELECT a.rep AS a, b.rep AS b FROM parts a JOIN parts b ON a.x = b.x AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT rep AS node, rep AS seen FROM sets
+  UNION SELECT r.node, l.b FROM reach r JOIN both_ways l ON l.a = r.seen),
+class AS (SELECT node, min(seen) AS class_id FROM reach GROUP BY node),
+degree AS (SELECT a, count(*) AS n_links FROM both_ways GROUP BY a)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links,
+  coalesce(s.n_copies, 1)::BIGINT AS n_copies
+FROM docs d LEFT JOIN hashed h ON h.doc_id = d.doc_id LEFT JOIN sets s ON s.s = h.s
+LEFT JOIN class c ON c.node = s.rep LEFT JOIN degree g ON g.a = s.rep
+"""
+
+_DECONTAMINATION = f"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS size,
+    unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), lambda i: array_to_string(w[i:i + least(len(w), 13) - 1], ' '))) AS x
+  FROM items WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM item_windows),
+doc_windows AS (
+  SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS pos,
+    unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS x
+  FROM docs, sizes WHERE len(w) >= size),
+hits AS (SELECT doc_id, pos, d.size, item_id FROM doc_windows d JOIN item_windows i ON i.size = d.size AND i.x = d.x),
+marks AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, list_sort(list_distinct(list(item_id::VARCHAR))) AS ids FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs d LEFT JOIN marks USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+# kind, pattern, group that is measured, its least length.
+_SECRETS = [
+    (
+        "assign",
+        r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        2,
+        12,
+    ),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("google", "AIza[A-Za-z0-9_-]{35}", 0, 0),
+    ("stripe", "[rs]k_live_[A-Za-z0-9]{16,}", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0),
+    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+]
+
+
+def _secrets() -> str:
+    kinds = " UNION ALL ".join(
+        f"""SELECT doc_id, {k} AS rank, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{regex}') AS hits,
+          regexp_extract_all(t, '{regex}', {group}) AS parts, regexp_split_to_array(t, '{regex}') AS gaps FROM docs"""
+        for k, (kind, regex, group, least) in enumerate(_SECRETS)
+    )
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+kinds AS ({kinds}),
+placed AS (
+  SELECT doc_id, rank, kind, least, unnest(hits) AS hit, unnest(parts) AS part, unnest(gaps[1:len(hits)]) AS gap,
+    unnest(range(len(hits))) AS k FROM kinds),
+summed AS (
+  SELECT doc_id, rank, kind, hit, length(part) >= least AS long_enough,
+    sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, rank ORDER BY k) - length(hit) AS start FROM placed),
+spans AS (
+  SELECT doc_id, rank, start, kind, kind || ':' || start::BIGINT || ':' || (start + length(hit))::BIGINT AS span
+  FROM summed WHERE long_enough),
+told AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+    string_agg(span, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN told USING (doc_id)
+"""
+
+
+_LINE_DEDUP = r"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, unnest(range(len(lines))) AS line, unnest(lines) AS text FROM docs),
+words AS (
+  SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS w FROM lines),
+numbered AS (
+  SELECT doc_id, line, w, row_number() OVER (ORDER BY doc_id, line) AS place, array_to_string(w, ' ') AS s FROM words WHERE len(w) > 0),
+sets AS (SELECT s, min(place) AS first, any_value(w) AS w FROM numbered GROUP BY s),
+parts AS (SELECT first, len(w) AS n, unnest(w) AS x FROM sets),
+matched AS (
+  SELECT DISTINCT later FROM (
+    SELECT a.first AS earlier, b.first AS later FROM parts a
+    JOIN parts b ON a.x = b.x AND a.first < b.first AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+    GROUP BY a.first, b.first, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*)))),
+gone AS (
+  SELECT doc_id, line FROM numbered JOIN sets USING (s) LEFT JOIN matched ON later = first
+  WHERE place <> first OR later IS NOT NULL),
+told AS (SELECT doc_id, count(*) AS n_removed, string_agg(line::VARCHAR, ',' ORDER BY line) AS removed_lines FROM gone GROUP BY doc_id)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_lines, '') AS removed_lines
+FROM docs LEFT JOIN told USING (doc_id)
+"""
+
+
+def _licenses() -> str:
+    rows = ", ".join(f"({k}, '{licence}', '{text.replace(chr(39), chr(39) * 2)}')" for k, (licence, text) in enumerate(templates()))
+    words = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
+    pairs = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
+    return rf"""
+WITH known AS (SELECT template, licence, {words.format("text")} AS w FROM (VALUES {rows}) AS v(template, licence, text)),
+terms AS (
+  SELECT template, licence, size, x, count(*) AS times FROM (SELECT template, licence, len(w) - 1 AS size, unnest({pairs.format("w")}) AS x FROM known)
+  GROUP BY ALL),
+cut AS (
+  SELECT doc_id, unnest(list_distinct(list_concat([text], regexp_split_to_array(text, '\n\s*\n'), string_split(text, chr(10))))) AS unit
+  FROM documents WHERE text IS NOT NULL),
+units AS (SELECT doc_id, unit, {words.format("unit")} AS w FROM cut),
+grams AS (
+  SELECT doc_id, unit, n, x, count(*) AS times FROM (SELECT doc_id, unit, len(w) - 1 AS n, unnest({pairs.format("w")}) AS x FROM units WHERE len(w) > 1)
+  GROUP BY ALL),
+scored AS (
+  SELECT doc_id, unit, template, licence, 2.0::DOUBLE * sum(least(g.times, t.times)) / (n + size) AS dice
+  FROM grams g JOIN terms t USING (x) GROUP BY doc_id, unit, n, template, licence, size),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, licence, template) AS place FROM scored WHERE dice >= 0.8)
+SELECT doc_id, licence, count(*) AS n_units, max(dice) AS dice FROM best WHERE place = 1 GROUP BY doc_id, licence
+"""
+
+
+_EXACT_DEDUP = r"""
+WITH docs AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS s FROM documents),
+groups AS (SELECT s, min(doc_id) AS keep_id, count(*) AS group_size FROM docs GROUP BY s)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, s AS text_sha256 FROM docs JOIN groups USING (s)
+"""
 
 
 def all_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {
+        "op1_ngram_join": _NGRAM_JOIN,
+        "op3_decontamination": _DECONTAMINATION,
+        "op4_secrets": _secrets(),
+        "op6_line_dedup": _LINE_DEDUP,
+        "op7_licenses": _licenses(),
+        "op10_exact_dedup": _EXACT_DEDUP,
+    }
