@@ -95,13 +95,19 @@ def fuzzy_evidence(clusters: DataFrame, items: DataFrame, max_chars: int = 4000)
 
 
 def session_context(
-    clusters: DataFrame, items: DataFrame, views: DataFrame, events: int = 50, snippets: int = 10
+    clusters: DataFrame,
+    items: DataFrame,
+    views: DataFrame,
+    events: int = 50,
+    snippets: int = 10,
+    snippet_chars: int = 500,
+    max_chars: int = 3000,
 ) -> DataFrame:
     """(signature_id, context): what was said early in the sessions of a cluster.
 
-    Texts come from the first 50 events of a session, 500 characters each; the
-    first 10 by session and position are kept, cut to 3,000 characters. `items`
-    has signature_id and session_id.
+    Texts come from the first `events` events of a session, `snippet_chars`
+    characters each; the first `snippets` by session and position are kept, cut
+    to `max_chars` characters. `items` has signature_id and session_id.
     """
     opening = first_per_key(
         views.filter((F.col("i") < events) & F.col("role").isin("user", "assistant", "system") & (F.col("text") != "")),
@@ -111,7 +117,7 @@ def session_context(
     ).select(
         "session_id",
         "i",
-        F.concat(F.lit("["), "role", F.lit("]: "), F.substring("text", 1, 500)).alias("line"),
+        F.concat(F.lit("["), "role", F.lit("]: "), F.substring("text", 1, snippet_chars)).alias("line"),
     )
     # The first ten snippets of a cluster come from its first ten sessions that have any.
     talking = opening.select("session_id").distinct()
@@ -123,7 +129,7 @@ def session_context(
     found = first.groupBy("signature_id").agg(
         F.sort_array(F.collect_list(F.struct("_rank", "line"))).alias("parts")
     )
-    text = F.substring(F.array_join("parts.line", "\n---\n"), 1, 3000)
+    text = F.substring(F.array_join("parts.line", "\n---\n"), 1, max_chars)
     return clusters.select("signature_id", "canonical_summary").join(found, "signature_id", "left").select(
         "signature_id", F.coalesce(text, "canonical_summary").alias("context")
     )

@@ -13,7 +13,6 @@ from signalmill.functions.text import strip
 from signalmill.operators.events import in_event, rows_of
 from signalmill.operators.ordered import first_per_key
 
-MAX_WINDOW = 120
 MAX_HITS = 30
 MAX_FIELD = 1200
 
@@ -26,18 +25,29 @@ def window(events: DataFrame, start: int, end: int, fields: Sequence[str] | None
     return span.select("session_id", "i", "line_no", *[_field(name).alias(name) for name in fields])
 
 
-def compact_window(events: DataFrame, start: int, end: int, fields: Sequence[str]) -> DataFrame:
-    """`window` of at most 120 events with long strings cut."""
-    span = window(events, start, min(end, start + MAX_WINDOW), fields)
+def compact_window(
+    events: DataFrame,
+    start: int,
+    end: int,
+    fields: Sequence[str],
+    max_events: int | None = None,
+    max_field: int = MAX_FIELD,
+) -> DataFrame:
+    """`window`, on request of at most `max_events` events, with long strings cut."""
+    span = window(events, start, _stop(start, end, max_events), fields)
 
     def short(name: str) -> Column:
         text = F.col(f"`{name}`")
-        cut = F.concat(F.substring(text, 1, MAX_FIELD), F.lit("…"))
-        return F.when(F.length(text) > MAX_FIELD, cut).otherwise(text).alias(name)
+        cut = F.concat(F.substring(text, 1, max_field), F.lit("…"))
+        return F.when(F.length(text) > max_field, cut).otherwise(text).alias(name)
 
     return span.select("session_id", "i", "line_no", *[short(name) for name in fields])
 
 
+def _stop(start: int, end: int, max_events: int | None) -> int:
+    return end if max_events is None else min(end, start + max_events)
+
+
 def _field(name: str) -> Column:
     return F.expr(ragged.plain_text(ragged.child("event", f"$.{name}")))
 
@@ -49,18 +59,20 @@ def search(
     limit: int = 50,
     start: int = 0,
     regex: bool = False,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """The first `limit` events per session, from `start`, that hold `query`.
 
     A plain query is matched without regard to case, a regex as it is written.
-    Without `fields`, the first 20,000 characters of the JSON are searched.
+    Without `fields`, the JSON is searched, on request only its first `max_chars` characters.
     """
     if fields:
         hay = F.concat_ws("\n", *[F.coalesce(_field(name), F.lit("")) for name in fields])
     else:
         # A line that did not parse is searched by its raw text.
         bad = F.to_json(F.struct(F.col("parse_error").alias("_parse_error"), F.col("raw").alias("_raw")))
-        hay = F.substring(F.coalesce(F.to_json("event"), bad), 1, 20000)
+        hay = F.coalesce(F.to_json("event"), bad)
+        hay = hay if max_chars is None else F.substring(hay, 1, max_chars)
     hit = hay.rlike(query) if regex else F.contains(F.lower(hay), F.lit(query.lower()))
     found = events.filter(F.col("i") >= max(0, start)).filter(hit)
     return first_per_key(found, ["session_id"], [F.col("i")], limit).drop("_rank")
@@ -86,24 +98,28 @@ def search_hits(
     fields: Sequence[str] | None = None,
     limit: int = MAX_HITS,
     start: int = 0,
+    regex: bool = False,
+    max_keys: int = 40,
+    max_preview: int = 500,
 ) -> DataFrame:
-    """Condensed search result: position, sorted keys (40 at most) and a preview of 500 characters."""
-    hits = search(events, query, fields, limit, start)
+    """Condensed search result: position, the first sorted keys and the start of the text."""
+    hits = search(events, query, fields, limit, start, regex)
 
     def shown(e: Sql, m: Sql, d: Sql) -> Sql:
         preview = (
             f"coalesce({_content_preview(m)}, {ragged.filled_text_at(m, '$.text')}, "
             f"{ragged.first_filled(e, ('content', 'text'))}, to_json({e}))"
         )
-        return f"named_struct('keys', slice({ragged.keys_of(e)}, 1, 40), 'preview', left({preview}, 500))"
+        return f"named_struct('keys', slice({ragged.keys_of(e)}, 1, {max_keys}), 'preview', left({preview}, {max_preview}))"
 
     return rows_of(hits, ["session_id", "i", "line_no"], in_event(shown))
 
 
-def span_summary(events: DataFrame, start: int, end: int) -> DataFrame:
-    """Per session: events, tool and error events in the span, and up to six short examples."""
-    stop = min(end, start + MAX_WINDOW)
-    span = window(events, start, stop)
+def span_summary(
+    events: DataFrame, start: int, end: int, max_events: int | None = None, examples: int = 6
+) -> DataFrame:
+    """Per session: events, tool and error events in the span, and the first short examples."""
+    span = window(events, start, _stop(start, end, max_events))
 
     def shown(e: Sql, m: Sql, d: Sql) -> Sql:
         def truthy(key: str) -> Sql:
@@ -120,18 +136,13 @@ def span_summary(events: DataFrame, start: int, end: int) -> DataFrame:
         )
 
     rows = rows_of(span, ["session_id", "i"], in_event(shown))
-    # At most 120 rows per session.
-    examples = F.sort_array(
-        F.collect_list(F.when(F.col("example").isNotNull(), F.struct("i", "example")))
+    first = first_per_key(rows.filter("example IS NOT NULL"), ["session_id"], [F.col("i")], examples)
+    picked = first.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("i", "example"))).alias("picked"))
+    counted = rows.groupBy("session_id").agg(
+        F.count("*").alias("events"), F.sum("tool").alias("tool_calls"), F.sum("error").alias("errors")
     )
     return (
-        rows.groupBy("session_id")
-        .agg(
-            F.count("*").alias("events"),
-            F.sum("tool").alias("tool_calls"),
-            F.sum("error").alias("errors"),
-            F.slice(examples, 1, 6).alias("picked"),
-        )
+        counted.join(picked, "session_id", "left")
         .withColumn(
             "summary",
             F.concat(
@@ -142,7 +153,7 @@ def span_summary(events: DataFrame, start: int, end: int) -> DataFrame:
                     "errors",
                 ),
                 F.lit("Examples:\n- "),
-                F.array_join("picked.example", "\n- "),
+                F.coalesce(F.array_join("picked.example", "\n- "), F.lit("")),
             ),
         )
         .drop("picked")

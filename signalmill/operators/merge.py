@@ -5,32 +5,34 @@ threshold; connected clusters become one. No step compares all clusters of a
 block:
 
 * Equal word sets are linked to one representative first.
-* Two sets of sizes a and b reach the threshold only if they share
-  `o = ceil(t/(1+t) * (a+b))` words, so they share one of the first `a-o+1`
-  words of the one and `b-o+1` words of the other, rarest words first. Sets are
-  matched on (block, a, b, word) of these prefixes.
-* A match group that is still large is not paired up. Its members that share
-  `o` words are all similar, so each is linked to a hub per `o`-word subset.
-  That costs a number of rows linear in the members and loses nothing.
+* A set of n words is listed under its first n - ceil(t * n) + 1 words, rarest
+  first; two sets that reach the threshold t share one of them.
+* The sets listed under a word are compared inside tasks, in pairs of blocks.
+  Merging hands on one edge per set and task, never the pairs themselves; a
+  list of pairs keeps the nearest partners of each set.
 """
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalmill.functions.text import jaccard, severity_rank, tokens
+from signalmill.functions.text import severity_rank, tokens
 from signalmill.operators.graph import components
+from signalmill.operators.ordered import first_per_key
+from signalmill.operators.pairing import deal_out, groups_of, roots, shared_counts, sort_by_group, starts_of
 from signalmill.operators.rollup import MAX_TAGS, scored, top_values
-from signalmill.operators.stable import stable
 
 AUTO_JACCARD = 0.62
 ASK_JACCARD = 0.5
 ASK_CONFIDENCE = 0.7
-PAIR_LIMIT = 50_000
+# Partners of a cluster that `similar_pairs` lists and `merge_requests` asks about.
+NEAREST = 20
+BLOCK = 400
 _SLACK = 1e-9
 
 
@@ -62,124 +64,111 @@ def representatives(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return smallest.select(F.col("rep").alias("id"), "block", "words"), links
 
 
-def prefix_keys(sets: DataFrame, threshold: float) -> DataFrame:
-    """(block, lo, hi, need, word, id, size, words): match keys of every possible partner size."""
+def prefix_keys(sets: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """The sets under each of their prefix words, dealt into pairs of blocks: key, first, second, side, id, kind, words."""
     n = F.size("words")
-    smallest = F.ceil(n * threshold - _SLACK).cast("int")
-    largest = F.floor(n / threshold + _SLACK).cast("int")
-    sized = sets.select("id", "block", "words", n.alias("size"), F.explode(F.sequence(smallest, largest)).alias("other"))
-    need = F.ceil((F.col("size") + F.col("other")) * (threshold / (1 + threshold)) - _SLACK).cast("int")
-    return (
-        sized.withColumn("need", need)
-        .filter("need <= least(size, other)")
-        .withColumn("word", F.explode(F.expr("slice(words, 1, size - need + 1)")))
-        .select(
-            "block",
-            F.least("size", "other").alias("lo"),
-            F.greatest("size", "other").alias("hi"),
-            "need",
-            "word",
-            "id",
-            "size",
-            "words",
-        )
-    )
-
-
-_GROUP = ["block", "lo", "hi", "word"]
-
-
-def paired(keys: DataFrame) -> DataFrame:
-    """Distinct candidate pairs a < b of the match groups, with their similarity."""
-    a = keys.filter("size = lo").select(*_GROUP, F.col("id").alias("a"), F.col("words").alias("wa"))
-    b = keys.filter("size = hi").select(*_GROUP, F.col("id").alias("b"), F.col("words").alias("wb"))
-    pairs = a.join(b, _GROUP).filter("a <> b").filter("lo < hi OR a < b")
-    return (
-        pairs.select(
-            F.least("a", "b").alias("a"),
-            F.greatest("a", "b").alias("b"),
-            F.expr(jaccard("wa", "wb")).alias("sim"),
-        )
-        .groupBy("a", "b")
-        .agg(F.first("sim").alias("sim"))
-    )
-
-
-def similar_pairs(clusters: DataFrame, threshold: float = AUTO_JACCARD) -> DataFrame:
+    length = n - F.ceil(n * threshold - _SLACK).cast("int") + 1
+    hashed = F.transform("words", lambda w: F.xxhash64(w))
+    listed = sets.select(
+        "id",
+        F.xxhash64("block").alias("kind"),
+        hashed.alias("words"),
+        F.explode(F.slice("words", F.lit(1), length)).alias("word"),
+    ).withColumn("key", F.xxhash64("kind", "word"))
+    often = listed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    return sort_by_group(deal_out(listed.drop("word").join(often, "key"), "key", "id", block), "key")
+
+
+_GROUP = ["key", "first", "second"]
+
+
+def _similarities(group: pa.Table) -> np.ndarray:
+    """Jaccard similarity of the rows of a group that the group compares; 0 elsewhere."""
+    offsets = group.column("words").combine_chunks()
+    sets = [x.values.to_numpy() for x in offsets]
+    common = shared_counts(sets).astype(np.float64)
+    sizes = np.array([len(x) for x in sets], np.float64)
+    out = common / np.maximum(1, sizes[:, None] + sizes[None, :] - common)
+    kind, side = group.column("kind").to_numpy(), group.column("side").to_numpy()
+    out[kind[:, None] != kind[None, :]] = 0
+    if not group.column("first")[0].equals(group.column("second")[0]):
+        out[side[:, None] == side[None, :]] = 0
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def _each_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    for rows in groups_of(batches, _GROUP):
+        starts = [*starts_of(rows, _GROUP), rows.num_rows]
+        for at, end in zip(starts, starts[1:], strict=False):
+            # Sorted by id, so that ties go to the smaller one.
+            group = rows.slice(at, end - at).sort_by("id")
+            yield group, _similarities(group)
+
+
+def nearest_pairs(sets: DataFrame, low: float, high: float, nearest: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b, sim), a < b, with low <= sim < high, where one is among the `nearest` of the other.
+
+    Nearest means most similar, then smallest id.
+    """
+    kind = dict(sets.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, sim in _each_group(batches):
+            sim[(sim < low) | (sim >= high)] = 0
+            best = np.argsort(-sim, axis=1, kind="stable")[:, :nearest]
+            x = np.repeat(np.arange(len(sim)), best.shape[1])
+            y = best.ravel()
+            true = sim[x, y] > 0
+            ids = group.column("id")
+            columns = {"x": ids.take(pa.array(x[true])), "y": ids.take(pa.array(y[true])), "sim": sim[x[true], y[true]]}
+            yield from pa.table(columns).to_batches()
+
+    rows = prefix_keys(sets, low, block).mapInArrow(run, f"x {kind}, y {kind}, sim double")
+    once = rows.groupBy("x", "y").agg(F.first("sim").alias("sim"))
+    best = first_per_key(once, ["x"], [F.desc("sim"), F.col("y")], nearest)
+    pairs = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sim")
+    return pairs.groupBy("a", "b").agg(F.first("sim").alias("sim"))
+
+
+def similar_pairs(clusters: DataFrame, threshold: float = AUTO_JACCARD, nearest: int = NEAREST) -> DataFrame:
     """Similar pairs (a, b, sim), a < b, of clusters with different word sets.
 
-    Clusters with the same words stand behind the smallest id among them, so a
-    group of copies adds one row, not all its pairs. Merging uses `merge_edges`.
+    Clusters with the same words stand behind the smallest id among them, and a
+    pair is listed if one of the two is among the `nearest` partners of the
+    other. Merging does not use this list; see `merge_edges`.
     """
     reps, _ = representatives(word_sets(clusters))
-    return paired(prefix_keys(reps, threshold)).filter(F.col("sim") >= threshold)
+    return nearest_pairs(reps, threshold, 2.0, nearest)
 
 
-def hub_edges(keys: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all similar members of large match groups.
-
-    Members that share the match word and `need - 1` others are similar across
-    the two sizes; each side is linked to the smallest member of the other.
-    """
-    kind = dict(keys.dtypes)["id"]
-    schema = f"block string, lo int, hi int, word string, id {kind}, size int, subset string"
-
-    def subsets(batches):
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                rest = sorted(w for w in row.words if w != row.word)
-                combos = itertools.combinations(rest, row.need - 1)
-                while chunk := list(itertools.islice(combos, 20_000)):
-                    yield pd.DataFrame(
-                        {
-                            "block": row.block,
-                            "lo": row.lo,
-                            "hi": row.hi,
-                            "word": row.word,
-                            "id": row.id,
-                            "size": row.size,
-                            "subset": [" ".join(c) for c in chunk],
-                        }
-                    )
-
-    columns = [*_GROUP, "id", "size", "words", "need"]
-    spread = keys.select(*columns).mapInPandas(subsets, schema)
-    where = [*_GROUP, "subset"]
-    hubs = (
-        spread.groupBy(*where)
-        .agg(
-            F.min(F.when(F.col("size") == F.col("lo"), F.col("id"))).alias("lo_hub"),
-            F.min(F.when(F.col("size") == F.col("hi"), F.col("id"))).alias("hi_hub"),
-        )
-        .filter("lo_hub IS NOT NULL AND hi_hub IS NOT NULL")
-    )
-    hub = F.when(F.col("size") == F.col("lo"), F.col("hi_hub")).otherwise(F.col("lo_hub"))
-    # With lo = hi both hubs are the smallest member of the group.
-    return (
-        spread.join(hubs, where).select(hub.alias("a"), F.col("id").alias("b")).filter("a <> b").distinct()
-    )
-
-
-def merge_edges(clusters: DataFrame, threshold: float = AUTO_JACCARD, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def merge_edges(clusters: DataFrame, threshold: float = AUTO_JACCARD, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) with the same components as all similar pairs."""
     reps, links = representatives(word_sets(clusters))
-    keys = stable(prefix_keys(reps, threshold))
-    sizes = keys.groupBy(*_GROUP).agg(
-        F.count_if(F.col("size") == F.col("lo")).alias("n_lo"),
-        F.count_if(F.col("size") == F.col("hi")).alias("n_hi"),
-    )
-    large = sizes.filter(F.col("n_lo") * F.col("n_hi") > pair_limit).select(*_GROUP)
-    pairs = paired(keys.join(large, _GROUP, "left_anti")).filter(F.col("sim") >= threshold).select("a", "b")
-    hubs = hub_edges(keys.join(large, _GROUP, "left_semi"))
-    return links.unionByName(pairs).unionByName(hubs)
+    kind = dict(reps.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, sim in _each_group(batches):
+            a, b = np.nonzero(np.triu(sim >= threshold))
+            root = roots(len(sim), a, b)
+            other = np.flatnonzero(root != np.arange(len(sim)))
+            ids = group.column("id")
+            yield from pa.table({"a": ids.take(pa.array(root[other])), "b": ids.take(pa.array(other))}).to_batches()
 
+    edges = prefix_keys(reps, threshold, block).mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return links.unionByName(edges)
 
-def merge_requests(clusters: DataFrame, low: float = ASK_JACCARD, high: float = AUTO_JACCARD) -> DataFrame:
+
+def merge_requests(
+    clusters: DataFrame, low: float = ASK_JACCARD, high: float = AUTO_JACCARD, nearest: int = NEAREST
+) -> DataFrame:
     """Pairs in the band below the automatic threshold, with the facts a model decides on.
 
-    Clusters with the same words merge anyway, so one of them is asked about.
+    Clusters with the same words merge anyway, so one of them is asked about;
+    each is asked about with its `nearest` partners of the band.
     """
-    band = similar_pairs(clusters, low).filter(F.col("sim") < high)
+    reps, _ = representatives(word_sets(clusters))
+    band = nearest_pairs(reps, low, high, nearest)
     facts = clusters.select(
         F.col("signature_id").alias("id"),
         F.to_json(

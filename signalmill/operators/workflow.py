@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signalmill.functions import fixed, ragged
 from signalmill.functions.sql import Sql
-from signalmill.operators.ordered import BLOCK, first_per_key, renumbered, with_following
+from signalmill.operators.ordered import BLOCK, first_per_key, ranked, renumbered, with_following
 
 MIN_N, MAX_N = 2, 5
 
@@ -32,9 +32,7 @@ def numbered_calls(calls: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     if "at" not in calls.columns:
         return renumbered(calls, ["session_id"], "i", "t", block)
-    # One sparse index over (event, block); an event holds far fewer than 2^20 blocks.
-    sparse = calls.withColumn("_at", F.col("i") * F.lit(1 << 20) + F.col("at"))
-    return renumbered(sparse, ["session_id"], "_at", "t", block << 20).drop("_at")
+    return ranked(calls, ["session_id"], ["i", "at"], "t")
 
 
 def ngrams(calls: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -463,7 +463,7 @@ def all_sql() -> dict[str, str]:
     sql["span_window"] = _with(
         _SHAPED,
         """SELECT session_id, i, line_no, CASE WHEN shape = 'heartbeat' THEN 'heartbeat' WHEN shape IN ('result', 'call', 'plain', 'list')
-        THEN 'message' END AS type, CASE WHEN shape <> 'bad' THEN stamp END AS timestamp FROM lines WHERE i >= 5 AND i < 125""",
+        THEN 'message' END AS type, CASE WHEN shape <> 'bad' THEN stamp END AS timestamp FROM lines WHERE i >= 5 AND i < 300""",
     )
     sql["span_summary"] = _with(
         _SHAPED,
@@ -545,13 +545,21 @@ def all_sql() -> dict[str, str]:
     )
 
     distinct = "a IN (SELECT id FROM reps) AND b IN (SELECT id FROM reps)"
-    sql["similar_pairs"] = _with(_DISTINCT, f"SELECT a, b, round(sim, 6) AS sim FROM sims WHERE sim >= 0.62 AND {distinct}")
+
+    def nearest(low: float, high: float) -> str:
+        """Pairs of which one is among the 20 most similar ones of the other."""
+        return f"""band AS (SELECT a AS x, b AS y, sim FROM sims WHERE sim >= {low} AND sim < {high} AND {distinct}
+          UNION ALL SELECT b, a, sim FROM sims WHERE sim >= {low} AND sim < {high} AND {distinct}),
+        nearest AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b, sim FROM (
+          SELECT *, row_number() OVER (PARTITION BY x ORDER BY sim DESC, y) AS place FROM band) WHERE place <= 20)"""
+
+    sql["similar_pairs"] = _with(f"{_DISTINCT}, {nearest(0.62, 2.0)}", "SELECT a, b, round(sim, 6) AS sim FROM nearest")
     sql["merge_components"] = _with(_MEMBERS, "SELECT signature_id, component FROM members")
     sql["merged_members"] = _with(
         _MEMBERS, "SELECT component, signature_id, tier FROM members JOIN clusters USING (signature_id)"
     )
     sql["merged_rollups"] = _with(_MERGED, "SELECT * FROM merged_rows")
-    sql["merge_decisions"] = _with(_DISTINCT, f"SELECT a, b FROM sims WHERE sim >= 0.75 AND sim < 0.9 AND {distinct}")
+    sql["merge_decisions"] = _with(f"{_DISTINCT}, {nearest(0.6, 0.9)}", "SELECT a, b FROM nearest WHERE sim >= 0.75")
 
     sql["ticket_ir"] = _with(
         _CLUSTERS,

@@ -81,13 +81,18 @@ def read_lines(
     return lines.withColumn("seq", F.monotonically_increasing_id())
 
 
-def parse_events(rows: DataFrame) -> DataFrame:
-    """Parse non-blank lines: adds event (VARIANT), parse_error and raw. Bad lines stay as rows."""
+def parse_events(rows: DataFrame, max_raw: int | None = None) -> DataFrame:
+    """Parse non-blank lines: adds event (VARIANT), parse_error and raw. Bad lines stay as rows.
+
+    `max_raw` cuts the text of bad lines.
+    """
+    kept = "{line}" if max_raw is None else f"left({{line}}, {int(max_raw)})"
+
     def parsed(line: Sql, value: Sql) -> Sql:
         return (
             f"named_struct('event', IF({ragged.is_object(value)}, {value}, NULL), "
             f"'parse_error', IF({value} IS NULL, 'malformed JSON', NULL), "
-            f"'raw', IF({value} IS NULL, left({line}, 2000), NULL))"
+            f"'raw', IF({value} IS NULL, {kept.format(line=line)}, NULL))"
         )
 
     row = let(

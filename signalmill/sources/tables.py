@@ -41,26 +41,10 @@ _TOOL = """CASE WHEN event_type IN ('error', 'click') THEN
 _numbered: dict[tuple[str, str], DataFrame] = {}
 
 
-SMALL_BYTES = 1 << 30
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for heavy row-local work: a small one in few files is spread over all cores.
-
-    Only file listings are read for the size. Anything of a gigabyte or more
-    stays as it is scanned, since its row groups already feed many tasks.
-    """
-    df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    files = spark.read.format("binaryFile").load(f"{sf_dir}/{name}.parquet").select("length")
-    count, size = files.agg(F.count("*"), F.sum("length")).first()
-    return df.repartition(cores) if count < cores and size < SMALL_BYTES else df
-
-
 def trace_columns(events: DataFrame, *carry: str) -> DataFrame:
     """Trace columns of `events` rows. Row-local; `carry` names columns to keep."""
     return events.withColumn(

@@ -62,7 +62,7 @@ def similar(rows, threshold):
 @pytest.mark.parametrize("threshold", [0.62, 0.5])
 def test_pairs_are_complete(clusters, threshold):
     rows, df = clusters
-    got = {(r.a, r.b): r.sim for r in merge.similar_pairs(df, threshold).collect()}
+    got = {(r.a, r.b): r.sim for r in merge.similar_pairs(df, threshold, nearest=1000).collect()}
     copies = {}
     for i, k, s in sorted(rows):
         copies.setdefault((k, frozenset(s.split())), i)
@@ -70,15 +70,41 @@ def test_pairs_are_complete(clusters, threshold):
     assert got == pytest.approx(similar(kept, threshold))
 
 
-@pytest.mark.parametrize("pair_limit", [0, 50, 50_000])
-def test_hubs_give_the_components_of_all_pairs(clusters, pair_limit):
+@pytest.mark.parametrize("nearest", [1, 3])
+def test_nearest_pairs(clusters, nearest):
+    rows, df = clusters
+    copies = {}
+    for i, k, s in sorted(rows):
+        copies.setdefault((k, frozenset(s.split())), i)
+    pairs = similar([r for r in rows if r[0] in copies.values()], 0.5)
+    wanted = set()
+    for x in {i for p in pairs for i in p}:
+        partners = sorted((-s, a if b == x else b) for (a, b), s in pairs.items() if x in (a, b))
+        wanted |= {tuple(sorted((x, y))) for _, y in partners[:nearest]}
+    assert {(r.a, r.b) for r in merge.similar_pairs(df, 0.5, nearest).collect()} == wanted
+
+
+@pytest.mark.parametrize("block", [5, 400])
+def test_edges_give_the_components_of_all_pairs(clusters, block):
     rows, df = clusters
     pairs = similar(rows, 0.62)
     expected = {n: c for n, c in union_find({n for p in pairs for n in p}, pairs).items()}
-    got = {r.signature_id: r.component for r in merge.merge_components(df, pair_limit=pair_limit).collect()}
+    got = {r.signature_id: r.component for r in merge.merge_components(df, block=block).collect()}
     assert got == expected
 
 
+def test_a_template_of_long_summaries_stays_linear(spark):
+    """A third of the clusters share a template of 30 words; edges do not grow with its pairs."""
+    long = " ".join(f"w{i}" for i in range(28))
+    rows = [(f"id{n:05d}", "defect", f"{long} a{n} b{n % 50}" if n % 3 == 0 else f"x{n} y{n} z{n}") for n in range(6000)]
+    df = spark.createDataFrame(rows, "signature_id string, kind_v2_primary string, canonical_summary string")
+    edges = merge.merge_edges(df).cache()
+    # 12 prefix words, 5 blocks a word: a set is compared in 5 groups of each word.
+    assert edges.count() < 2000 * 12 * 5
+    got = components(edges)
+    assert got.count() == 2000 and got.select("component").distinct().count() == 1
+
+
 def test_decisions(spark):
     answers = [
         ("a", "b", 'ok {"decision": "MERGE", "confidence": 0.7}'), ("a", "c", '{"decision": "merge", "confidence": 0.69}'),
