@@ -41,6 +41,16 @@ from pyspark.sql import functions as F
 
 from signalmill.llm.common import kept, once_per_worker, words
 from signalmill.operators.graph import components
+from signalmill.operators.pairing import (
+    PAIRS,
+    deal_out,
+    groups_of,
+    roots,
+    row_pairs,
+    shared_counts,
+    sort_by_group,
+    starts_of,
+)
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -50,9 +60,6 @@ STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 400
 KNOWN_WORDS = 400_000
-# Pairs compared at once; bounds the memory of a comparison.
-PAIRS = 1 << 18
-COLUMNS = 1 << 13
 
 _RANDOM = np.random.default_rng(5_281)
 _FACTORS = _RANDOM.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,61 +147,6 @@ def survivors(
     return a, b
 
 
-def row_pairs(sides: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of a group, some at a time: all pairs, or those between side 0 and side 1."""
-    first = np.arange(len(sides)) if same else np.flatnonzero(sides == 0)
-    second = first if same else np.flatnonzero(sides == 1)
-    at_once = max(1, PAIRS // max(1, len(second)))
-    for at in range(0, len(first), at_once):
-        a = np.repeat(first[at : at + at_once], len(second))
-        b = np.tile(second, len(first[at : at + at_once]))
-        yield (a[a < b], b[a < b]) if same else (a, b)
-
-
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest row that each row is connected to by the pairs."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        np.minimum.at(root, before[a], low)
-        np.minimum.at(root, before[b], low)
-        root = root[root]
-        if np.array_equal(root, before):
-            return root
-
-
-def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of whole groups from rows sorted by `keys`; a group may reach over several batches."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        changed = starts_of(pa.Table.from_batches([batch]), keys)
-        if rest and not all(rest[-1][k][-1].equals(batch[k][0]) for k in keys):
-            yield pa.Table.from_batches(rest)
-            rest = []
-        if len(changed) > 1:
-            yield pa.Table.from_batches([*rest, batch.slice(0, changed[-1])])
-            rest = [batch.slice(changed[-1])]
-        else:
-            rest.append(batch)
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
-def starts_of(rows: pa.Table, keys: list[str]) -> np.ndarray:
-    """First row of each group of a sorted table."""
-    changed = np.zeros(rows.num_rows, bool)
-    changed[:1] = True
-    for k in keys:
-        values = rows.column(k).to_numpy()
-        changed[1:] |= values[1:] != values[:-1]
-    return np.flatnonzero(changed)
-
-
 def sketches(docs: DataFrame, id: str, text: str, shingle: int = SHINGLE) -> DataFrame:
     """id, text_hash, digest, size and, for texts with words, values (16 bits each) and bands."""
 
@@ -227,25 +179,6 @@ def sketches(docs: DataFrame, id: str, text: str, shingle: int = SHINGLE) -> Dat
     )
 
 
-def deal_out(rows: DataFrame, group: str, block: int) -> DataFrame:
-    """Rows once per pair of blocks of their group: first, second and, for two different blocks, side."""
-    own = rows.withColumn("_blocks", F.ceil(F.col("members") / block).cast("int")).withColumn(
-        "_own", F.pmod(F.xxhash64(group, "digest", F.lit(17)), F.col("_blocks")).cast("int")
-    )
-    own = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return own.select(
-        *[c for c in rows.columns if c != "members"],
-        F.least("_own", "_other").alias("first"),
-        F.greatest("_own", "_other").alias("second"),
-        (F.col("_own") > F.col("_other")).cast("int").alias("side"),
-    )
-
-
-def sort_by_group(rows: DataFrame, group: str) -> DataFrame:
-    keys = [group, "first", "second"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys)
-
-
 def _matrix(values: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(values.to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
 
@@ -285,7 +218,7 @@ def _candidates(reps: DataFrame, threshold: float, tolerance: float, block: int)
             ends = pa.table({"a": digest.take(pa.array(other)), "b": digest.take(pa.array(root[other]))})
             yield from ends.to_batches()
 
-    return sort_by_group(deal_out(found, "key", block), "key").mapInArrow(run, "a binary, b binary").distinct()
+    return sort_by_group(deal_out(found, "key", "digest", block), "key").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _verified(
@@ -293,7 +226,7 @@ def _verified(
 ) -> DataFrame:
     """(digest, root, links) per representative and pair of blocks where it has a link."""
     texts = docs.select(F.col(id).alias("rep"), F.col(text).alias("text"))
-    rows = deal_out(texts.join(clusters, "rep").drop("rep"), "cluster", block)
+    rows = deal_out(texts.join(clusters, "rep").drop("rep"), "cluster", "digest", block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = once_per_worker(("word hashes",), WordHashes)
@@ -334,27 +267,6 @@ def _links(group: pa.Table, hashes: WordHashes, shingle: int, threshold: float,
     return pa.table({"digest": digest.take(pa.array(some)), "root": digest.take(pa.array(root[some])), "links": links[some]})
 
 
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two sets have in common, by products of 0/1 matrices."""
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    if len(sets) < 2:
-        return out
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(whole := np.concatenate(sets), kind="stable")
-    whole, rows = whole[order], rows[order]
-    fresh = np.concatenate(([True], whole[1:] != whole[:-1]))
-    column = np.cumsum(fresh) - 1
-    often = np.bincount(column)[column] > 1
-    rows, column = rows[often], column[often]
-    column = np.cumsum(np.concatenate(([0], np.diff(column) != 0))) if len(column) else column
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        inside = slice(np.searchsorted(column, low), np.searchsorted(column, low + COLUMNS))
-        part = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - low)), np.float32)
-        part[rows[inside], column[inside] - low] = 1
-        out += part @ part.T
-    return out
-
-
 def _classes(
     docs: DataFrame, id: str, text: str, shingle: int, threshold: float, tolerance: float, block: int
 ) -> DataFrame:

@@ -35,18 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalmill.llm.common import kept, once_per_worker, texts_of, words
-from signalmill.llm.jaccard_join import (
+from signalmill.llm.jaccard_join import WordHashes
+from signalmill.operators.graph import components
+from signalmill.operators.pairing import (
     PAIRS,
-    WordHashes,
     deal_out,
     groups_of,
-    row_pairs,
     roots,
+    row_pairs,
     shared_counts,
     sort_by_group,
     starts_of,
 )
-from signalmill.operators.graph import components
 
 THRESHOLD = 0.8
 # Places of the table of word counts, and how many of them travel in one row.
@@ -242,7 +242,7 @@ def _candidates(sets: DataFrame, threshold: float, block: int) -> DataFrame:
     listed = sets.select("digest", "size", "bits", F.posexplode("prefix").alias("at", "key"))
     listed = listed.withColumn("key", F.col("key").cast("bigint"))
     often = listed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    dealt = deal_out(listed.join(often, "key"), "key", block)
+    dealt = deal_out(listed.join(often, "key"), "key", "digest", block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups_of(batches, ["key", "first", "second"]):
@@ -346,7 +346,7 @@ def _matched(
                 later = _later(group, threshold)
                 yield from pa.table({"digest": group.column("digest").take(pa.array(later))}).to_batches()
 
-    dealt = sort_by_group(deal_out(lines, "cluster", block), "cluster")
+    dealt = sort_by_group(deal_out(lines, "cluster", "digest", block), "cluster")
     return dealt.mapInArrow(run, "digest binary").distinct()
 
 
