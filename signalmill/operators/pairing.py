@@ -36,9 +36,9 @@ def deal_out(rows: DataFrame, group: str, member: str, block: int) -> DataFrame:
     )
 
 
-def sort_by_group(rows: DataFrame, group: str) -> DataFrame:
+def sort_by_group(rows: DataFrame, group: str, *order: str) -> DataFrame:
     keys = [group, "first", "second"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
 def starts_of(rows: pa.Table, keys: Sequence[str]) -> np.ndarray:

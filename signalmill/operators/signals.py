@@ -214,9 +214,9 @@ def mine(views: DataFrame, bounds: DataFrame, max_items: int = MAX_ITEMS, compat
     return items if compat else without_overlap(items)
 
 
-ANSWER = (
-    "struct<items:array<struct<kind:string,summary:string,severity:string,confidence:double,tags:array<string>,"
-    f"evidence:{EVIDENCE},proposed_fix:{FIX}>>>"
+ANSWER_ITEM = (
+    "struct<kind:string,summary:string,severity:string,confidence:double,tags:array<string>,"
+    f"evidence:{EVIDENCE},proposed_fix:{FIX}>"
 )
 
 
@@ -224,20 +224,25 @@ def answers_to_candidates(answers: DataFrame) -> DataFrame:
     """Candidates from model answers (session_id, chunk_idx, answer).
 
     The widest `{...}` span of the text must be a JSON object; its list `items`
-    gives the candidates. Anything else gives none.
+    gives the candidates, entry by entry: an entry that is no object costs only
+    itself, and a field of a wrong type only that field.
     """
     body = F.regexp_extract("answer", r"(?s)(\{.*\})", 1)
-    parsed = answers.withColumn("parsed", F.from_json(F.nullif(body, F.lit("")), ANSWER))
-    return parsed.select("session_id", "chunk_idx", F.posexplode("parsed.items").alias("n", "item")).select(
-        "session_id", "chunk_idx", (F.col("n") + 1).cast("bigint").alias("item_no"), "item.*"
-    )
+    whole = answers.select("session_id", "chunk_idx", F.try_parse_json(F.nullif(body, F.lit(""))).alias("whole"))
+    listed = F.try_variant_get("whole", "$.items", "array<variant>")
+    entries = whole.select("session_id", "chunk_idx", F.posexplode(listed).alias("n", "entry"))
+    objects = entries.filter(F.startswith(F.schema_of_variant("entry"), F.lit("OBJECT")))
+    parsed = objects.withColumn("item", F.from_json(F.to_json("entry"), ANSWER_ITEM))
+    return parsed.select("session_id", "chunk_idx", (F.col("n") + 1).cast("bigint").alias("item_no"), "item.*")
 
 
 def mine_summary(views: DataFrame, items: DataFrame) -> DataFrame:
     """Sessions scanned, sessions with an item, items."""
-    scanned = views.agg(F.count_distinct("session_id").alias("sessions_scanned"))
-    found = items.agg(
-        F.count_distinct("session_id").alias("sessions_with_items"), F.count("*").alias("items")
+    both = views.select(F.col("session_id").alias("scanned"), F.lit(None).cast("string").alias("found")).unionByName(
+        items.select(F.lit(None).cast("string").alias("scanned"), F.col("session_id").alias("found"))
+    )
+    return both.agg(
+        F.count_distinct("scanned").alias("sessions_scanned"),
+        F.count_distinct("found").alias("sessions_with_items"),
+        F.count("found").alias("items"),
     )
-    # Two one-row results side by side.
-    return scanned.withColumn("one", F.lit(1)).join(found.withColumn("one", F.lit(1)), "one").drop("one")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalmill.functions import fixed
@@ -30,7 +30,8 @@ def mine_sessions(
 ) -> tuple[DataFrame, DataFrame]:
     """(items, summary) of the session files below `root`; items also go to `out` as JSON lines.
 
-    By rule, or with the answers of a model when `complete(system, user)` is given.
+    By rule, or with the answers of a model when `complete(system, user)` is
+    given; the summary then counts the requests and those that failed.
     """
     views = stable(sessions.read_views(spark, root, include, exclude, max_sessions, max_text_chars))
     bounds = stable(chunks.chunk_bounds(views, chunk_events, chunk_overlap, compat=compat))
@@ -54,8 +55,11 @@ def mine_sessions(
         "max_items_per_chunk": max_items_per_chunk,
         "model": complete is not None,
     }
-    summary = signals.mine_summary(views, items).select(*[F.lit(v).alias(k) for k, v in settings.items()], "*")
-    return items, summary
+    summary = signals.mine_summary(views, items)
+    made = {"requests": 0, "failed_requests": 0} if complete is None else requests.failed_requests(answers).first().asDict()
+    settings |= {k: F.lit(v).cast("bigint") for k, v in made.items()}
+    named = [(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in settings.items()]
+    return items, summary.select(*named, "*")
 
 
 def roll_up(

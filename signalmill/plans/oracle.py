@@ -638,11 +638,10 @@ def all_sql() -> dict[str, str]:
         """SELECT x.session_id, x.item_id, x.i AS start_i, t.i, t.role, t.text FROM items x
         JOIN trace t ON t.session_id = x.session_id AND t.i BETWEEN x.i - 2 AND x.i + 1""",
     )
-    sql["related_documents"] = f"""WITH q AS (SELECT text FROM benchmark ORDER BY length(text) DESC, item_id LIMIT 1),
-      w AS (SELECT list_filter(regexp_extract_all(lower(text || ' '), '[a-z0-9_]{{4,}}'), lambda x: x NOT IN ({_STOP})) AS w FROM q),
-      k AS (SELECT unnest((list_filter(w, lambda x, k: list_position(w, x) = k))[1:12]) AS word FROM w)
-      SELECT doc_id, CAST(count(*) AS INTEGER) AS score FROM documents JOIN k ON contains(lower(text), word)
-      GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 10"""
+    sql["related_documents"] = f"""WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text || ' '), '[a-z0-9_]{{4,}}'), lambda x: x NOT IN ({_STOP})) AS w FROM benchmark),
+      k AS (SELECT item_id, unnest((list_filter(w, lambda x, k: list_position(w, x) = k))[1:12]) AS word FROM w),
+      s AS (SELECT item_id, doc_id, CAST(count(*) AS INTEGER) AS score FROM documents JOIN k ON contains(lower(text), word) GROUP BY 1, 2)
+      SELECT item_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 3"""
     sql["document_sections"] = f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
       m AS (SELECT doc_id, k, CASE WHEN k % 4 = 2 THEN '## ' || line ELSE line END AS line FROM p),
       h AS (SELECT *, starts_with(line, '## ') AS is_head, sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS section FROM m),
@@ -796,4 +795,49 @@ def all_sql() -> dict[str, str]:
         """SELECT DISTINCT 'sha256:' || sha256('{"kind": "' || kind || '", "quotes": ["' || text || '"], "session_id": "' || session_id
         || '", "summary": "' || summary || '"}') AS item_id, kind FROM hits""",
     )
+
+    sql["session_openings"] = _with(
+        _SHAPED,
+        """SELECT session_id, line_no, i FROM (SELECT session_id, i,
+          i + 1 + count(*) FILTER (pos % 13 = 0) OVER (PARTITION BY session_id ORDER BY i) AS line_no FROM lines) WHERE i < 5""",
+    )
+    sql["message_files"] = _with(
+        _SHAPED,
+        """SELECT session_id, idx, stamp AS timestamp, role, CASE WHEN shape IN ('result', 'list') THEN text ELSE '' END AS text FROM (
+          SELECT *, i + count(*) FILTER (pos % 13 = 0) OVER (PARTITION BY session_id ORDER BY i) AS idx FROM lines)
+        WHERE shape IN ('result', 'call', 'plain', 'list')""",
+    )
+    sql["redacted_views"] = _with(
+        _SHAPED,
+        f"""SELECT session_id, i, {_redact("body")} AS text FROM (SELECT session_id, i, CASE shape WHEN 'bad' THEN 'malformed JSON'
+          WHEN 'result' THEN concat_ws(chr(10), 'tool=' || tool, 'status=' || status, 'exitCode=' || CAST(exit_code AS STRING), content)
+          ELSE content END AS body FROM lines WHERE shape <> 'heartbeat')""",
+    )
+    sql["markdown_files"] = "SELECT item_id, md5(text || chr(10)) AS text_md5 FROM benchmark"
+    sql["item_files_read"] = _with(
+        _ITEMS,
+        """SELECT item_id, session_id, kind, summary, severity, confidence, array_to_string(tags, ',') AS tags,
+          i AS start_i, text AS quotes FROM items""",
+    )
+    sql["items_per_summary"] = _with(_ITEMS, "SELECT summary, least(count(*), 2) AS n FROM items GROUP BY summary")
+    sql["cluster_files"] = _with(
+        _CLUSTERS,
+        """SELECT signature_id, count_items, count_sessions, max_severity, tier, round(score, 6) AS score, kind_v2_primary, kind_counts,
+          tags_top, canonical_summary, fingerprint_id FROM clusters""",
+    )
+    sql["report_header"] = _with(
+        _CLUSTERS,
+        """SELECT 0 AS place, '# Signals' || chr(10) || chr(10) || '- items: ' || sum(count_items) || chr(10) || '- groups: ' || count(*) || chr(10)
+          || '- tier 1: ' || count(*) FILTER (tier = 1) || chr(10) || '- tier 2: ' || count(*) FILTER (tier = 2) || chr(10)
+          || '- tier 3: ' || count(*) FILTER (tier = 3) || chr(10) AS line FROM clusters""",
+    )
+    sql["stream_tickets"] = _with(
+        _KNOWN,
+        """SELECT 'update' AS change, fingerprint_id FROM clusters WHERE fingerprint_id IN (SELECT fingerprint_id FROM known) UNION ALL
+        SELECT 'create', fingerprint_id FROM (SELECT * FROM clusters
+          WHERE fingerprint_id NOT IN (SELECT fingerprint_id FROM known) AND (max_severity = 'critical' OR count_sessions >= 3 OR count_items >= 10)
+          QUALIFY row_number() OVER (PARTITION BY fingerprint_id ORDER BY tier, score DESC, first_place) = 1
+          ORDER BY tier, score DESC, first_place LIMIT 10)""",
+    )
+    sql["stream_sessions"] = _with(_SHAPED, "SELECT session_id, count(*) AS views FROM lines WHERE shape <> 'heartbeat' GROUP BY session_id")
     return sql

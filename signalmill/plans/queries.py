@@ -183,12 +183,8 @@ def event_views(spark, sf_dir):
     return events.event_views(_json_events(spark, sf_dir)).drop("line_no")
 
 
-@register
-def session_files(spark, sf_dir):
-    """The trace written as session files with some blank lines, read back and numbered.
-
-    A long session is written in files of up to 65,536 events.
-    """
+def _session_folder(spark, sf_dir) -> str:
+    """The trace written as session files with some blank lines, in files of up to 65,536 events."""
     path = new_path(spark, "sessions")
     lines = tables.trace_json(spark, sf_dir).withColumn("part", F.expr("i div 65536"))
     (
@@ -199,6 +195,13 @@ def session_files(spark, sf_dir):
         .write.partitionBy("session_id", "part")
         .text(path)
     )
+    return path
+
+
+@register
+def session_files(spark, sf_dir):
+    """Session files read back and numbered."""
+    path = _session_folder(spark, sf_dir)
     read = sessions.read_sessions(spark, path, include=["session_id=s*"], name_glob="*.txt")
     named = read.select(
         F.regexp_extract("rel_path", "session_id=([^/]+)", 1).alias("session_id"),
@@ -211,6 +214,40 @@ def session_files(spark, sf_dir):
     return named.withColumn("i", F.col("part") * 65536 + F.col("i")).drop("part")
 
 
+@register
+def session_openings(spark, sf_dir):
+    """The first five events of every session file."""
+    read = sessions.read_sessions(
+        spark, _session_folder(spark, sf_dir), exclude=["*part=[!0]*"], max_events=5, name_glob="*.txt"
+    )
+    return read.select(F.regexp_extract("rel_path", "session_id=([^/]+)", 1).alias("session_id"), "line_no", "i")
+
+
+@register
+def message_files(spark, sf_dir):
+    """Messages of the session files with the text of their first text block."""
+    read = sessions.read_messages(spark, _session_folder(spark, sf_dir), name_glob="*.txt")
+    return read.select(
+        F.regexp_extract("rel_path", "session_id=([^/]+)", 1).alias("session_id"), "idx", "timestamp", "role", "text"
+    )
+
+
+@register
+def redacted_views(spark, sf_dir):
+    """Normalised events with their texts redacted on the way."""
+    views = events.event_views(_json_events(spark, sf_dir), redactor=tx.redact)
+    return views.select("session_id", "i", "text")
+
+
+@register
+def markdown_files(spark, sf_dir):
+    """Benchmark texts written as a document file each and read back."""
+    path = new_path(spark, "documents")
+    tables.table(spark, sf_dir, "benchmark").write.partitionBy("item_id").text(path)
+    read = docs.read_documents(spark, path, name_glob="*.txt")
+    return read.select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("bigint").alias("item_id"), F.md5("text").alias("text_md5"))
+
+
 @register
 def tool_calls(spark, sf_dir):
     return events.tool_calls(_json_events(spark, sf_dir))
@@ -296,6 +333,30 @@ def mined_items(spark, sf_dir):
     return _flat_items(_items(spark, sf_dir))
 
 
+def _item_folder(spark, sf_dir) -> str:
+    path = new_path(spark, "items")
+    item_files.write_items(_items(spark, sf_dir), path)
+    return path
+
+
+@register
+def item_files_read(spark, sf_dir):
+    """Items written as JSON lines and read back."""
+    items = item_files.read_items(spark, _item_folder(spark, sf_dir))
+    return items.select(
+        "item_id", "session_id", "kind", "summary", "severity", "confidence",
+        F.array_join("tags", ",").alias("tags"), F.col("span.start_i").alias("start_i"),
+        F.array_join("evidence.quote", "|").alias("quotes"),
+    )
+
+
+@register
+def items_per_summary(spark, sf_dir):
+    """How many of the first two items of each summary an item file has."""
+    items = item_files.read_items(spark, _item_folder(spark, sf_dir), strict=False)
+    return item_files.first_per_summary(items, 2).groupBy("summary").agg(F.count("*").alias("n"))
+
+
 @register
 def mined_items_per_chunk(spark, sf_dir):
     """Validated items as each chunk reports them, repeats from overlapping chunks included."""
@@ -318,6 +379,24 @@ def rollup_ranked(spark, sf_dir):
     )
 
 
+@register
+def cluster_files(spark, sf_dir):
+    """Clusters written as JSON lines and read back."""
+    path = new_path(spark, "clusters")
+    clusters = _clusters(spark, sf_dir)
+    item_files.write_clusters(clusters, path)
+    return item_files.read_cluster_lines(spark, path).select(
+        "signature_id", "count_items", "count_sessions", "max_severity", "tier", F.round("score", 6).alias("score"),
+        "kind_v2_primary", _map_text("kind_counts").alias("kind_counts"), _pairs("tags_top").alias("tags_top"),
+        "canonical_summary", "fingerprint_id",
+    )
+
+
+@register
+def report_header(spark, sf_dir):
+    return item_files.report_header(_clusters(spark, sf_dir))
+
+
 @register
 def rollup_counters(spark, sf_dir):
     return _clusters(spark, sf_dir).select(
@@ -566,13 +645,12 @@ def span_context(spark, sf_dir):
 
 @register
 def related_documents(spark, sf_dir):
-    """The documents nearest to the longest benchmark text, taken as a ticket."""
-    longest = (
-        tables.table(spark, sf_dir, "benchmark").orderBy(F.desc(F.length("text")), "item_id").select("text").first()
+    """The three documents nearest to each benchmark text, taken as a ticket."""
+    tickets_of = tables.table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("ticket_id"), F.col("text").alias("title"), F.lit("").alias("description")
     )
-    d = tables.table(spark, sf_dir, "documents")
-    found = evidence.related_documents(d, longest["text"], limit=10, path="doc_id")
-    return found.select("doc_id", "score")
+    found = evidence.related_documents(tables.table(spark, sf_dir, "documents"), tickets_of, path="doc_id")
+    return found.select(F.col("ticket_id").alias("item_id"), "doc_id", "score")
 
 
 @register
@@ -750,7 +828,7 @@ def _answers(spark, sf_dir) -> DataFrame:
     first = first_per_key(inside, ["session_id", "chunk_idx"], [F.col("i")], 1)
     body = F.expr(
         """CASE WHEN pos % 7 = 0 THEN 'no idea'
-        ELSE 'Here: {"items": [{"kind": "' || CASE WHEN pos % 5 = 0 THEN 'bogus' ELSE 'other' END
+        ELSE 'Here: {"items": ["oops", 7, null, [1], {"kind": 5, "summary": "no proof", "tags": "x"}, {"kind": "' || CASE WHEN pos % 5 = 0 THEN 'bogus' ELSE 'other' END
           || '", "summary": " seen: ' || text || ' ", "severity": "' || CASE WHEN pos % 3 = 0 THEN 'HIGH' ELSE 'odd' END
           || '", "confidence": ' || CASE WHEN pos % 2 = 0 THEN '0.8' ELSE '7' END
           || ', "tags": [" Cron ", ""], "evidence": [{"event_i": ' || CAST(i AS STRING)
@@ -834,6 +912,34 @@ def stream_distinct(spark, sf_dir):
     return spark.read.parquet(out).select("item_id", "kind")
 
 
+@register
+def stream_tickets(spark, sf_dir):
+    """Ticket changes that a stream of clusters asks for."""
+    source, out, mark = (new_path(spark, name) for name in ("cluster-rows", "tickets", "tickets-progress"))
+    clusters = _clusters(spark, sf_dir)
+    clusters.write.parquet(source)
+    stream = spark.readStream.schema(clusters.schema).parquet(source)
+    write = live.ticket_writer(lambda: _tickets(spark, sf_dir), out, max_tier=3, max_create=10)
+    live.run_available(stream, mark, write, "append")
+    updates = spark.read.schema("fingerprint_id string").parquet(f"{out}/updates")
+    creates = spark.read.schema("fingerprint_id string").parquet(f"{out}/creates")
+    return updates.select(F.lit("update").alias("change"), "fingerprint_id").unionByName(
+        creates.select(F.lit("create").alias("change"), "fingerprint_id")
+    )
+
+
+@register
+def stream_sessions(spark, sf_dir):
+    """Session files read as a stream: the same sessions and events as in batch."""
+    folder, out, mark = _session_folder(spark, sf_dir), new_path(spark, "views"), new_path(spark, "views-progress")
+    views = live.session_stream(spark, folder, name_glob="*.txt", files_per_trigger=100)
+    live.run_available(views, mark, live.parquet_writer(out), "append")
+    batch = sessions.read_sessions(spark, folder, name_glob="*.txt").select("session_id", "rel_path").distinct()
+    streamed = spark.read.parquet(out).groupBy("session_id").agg(F.count("*").alias("views"))
+    named = F.regexp_extract("rel_path", "session_id=([^/]+)", 1)
+    return streamed.join(batch, "session_id").groupBy(named.alias("session_id")).agg(F.sum("views").alias("views"))
+
+
 def forget() -> None:
     """Drop the tables kept between queries, so that the next query builds its own."""
     _shared.clear()

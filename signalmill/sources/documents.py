@@ -13,11 +13,11 @@ from signalmill.operators.ordered import running_total
 CUT_MARK = "\n...[truncated]\n"
 
 
-def read_documents(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text) of every `*.md` file below `root`."""
+def read_documents(spark: SparkSession, root: str, name_glob: str = "*.md") -> DataFrame:
+    """(path, text) of every Markdown file below `root`."""
     return (
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.md")
+        .option("pathGlobFilter", name_glob)
         .text(root, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )

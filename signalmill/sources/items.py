@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from signalmill.operators.ordered import first_per_key
-from signalmill.operators.rollup import rank_order
+from signalmill.operators.rollup import rank_order, rollup_summary
 
 ITEM = (
     "schema_version int, item_id string, session_id string, "
@@ -22,6 +23,11 @@ CLUSTER = (
     "fingerprint_id string, fingerprint_text string, sentiment string"
 )
 
+# Columns of cluster lines that merging, tickets and reports read.
+CLUSTER_LINE = CLUSTER.replace("tags_top array<array<string>>", "tags_top array<struct<value:string,n:bigint>>") + (
+    ", kind_v2_primary string, first_pos struct<session_id:string,chunk_idx:bigint,rank:bigint>"
+)
+
 
 def read_items(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Items with their file order as `pos`. A bad line fails the read, or is dropped when not strict."""
@@ -60,6 +66,16 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_clusters(clusters: DataFrame, path: str) -> None:
+    """One JSON cluster per line, with all columns, so that any number of tasks can write and read."""
+    clusters.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+
+
+def read_cluster_lines(spark: SparkSession, path: str, schema: StructType | str = CLUSTER_LINE) -> DataFrame:
+    """Clusters of `write_clusters`. With the schema of the written clusters, all their columns come back."""
+    return spark.read.schema(schema).json(path, mode="FAILFAST")
+
+
 def _colons(ddl: str) -> str:
     """DDL columns as struct fields."""
     out = []
@@ -100,6 +116,15 @@ def cluster_report(clusters: DataFrame, limit: int = 50) -> DataFrame:
     return best.withColumn("place", place).select("place", line.alias("line"))
 
 
+def report_header(clusters: DataFrame) -> DataFrame:
+    """(place, line): the head of a report, with items, groups and groups per tier, before place 1."""
+    line = F.format_string(
+        "# Signals\n\n- items: %d\n- groups: %d\n- tier 1: %d\n- tier 2: %d\n- tier 3: %d\n",
+        "items", "groups", "tier1", "tier2", "tier3",
+    )
+    return rollup_summary(clusters).select(F.lit(0).alias("place"), line.alias("line"))
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """The report as one text file; it holds at most a page of top rows."""
     report.orderBy("place").select("line").coalesce(1).write.text(path)

@@ -43,6 +43,14 @@ def _any_glob(path: Column, patterns: Sequence[str]) -> Column:
     return hit
 
 
+def rel_path(path: Column, root: str) -> Column:
+    """A file's path below `root`, from its URI. Batch and stream name sessions by it."""
+    base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
+    # File paths come back URI-encoded.
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, rf"\A.*?{re.escape(base)}/+", "")
+
+
 def read_lines(
     spark: SparkSession,
     root: str,
@@ -66,11 +74,7 @@ def read_lines(
             "value",
         )
     )
-    base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
-    # File paths come back URI-encoded.
-    decoded = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
-    rel_path = F.regexp_replace(decoded, rf"\A.*?{re.escape(base)}/+", "")
-    lines = lines.select(rel_path.alias("rel_path"), "block_start", "value")
+    lines = lines.select(rel_path(F.col("path"), root).alias("rel_path"), "block_start", "value")
     if include:
         lines = lines.filter(_any_glob(F.col("rel_path"), include))
     if exclude:
@@ -173,12 +177,12 @@ def read_views(
     return numbered_views(rows)
 
 
-def read_messages(spark: SparkSession, root: str) -> DataFrame:
+def read_messages(spark: SparkSession, root: str, include: Sequence[str] = (), name_glob: str = "*.jsonl") -> DataFrame:
     """Message events only, with the text of their first text block.
 
     `idx` is the 0-based line number, blank and bad lines included.
     """
-    events = read_sessions(spark, root)
+    events = read_sessions(spark, root, include, name_glob=name_glob)
     blocks = ragged.get("event", "$.message.content", "array<variant>")
     first = keep(blocks, lambda b: f"{ragged.text_at(b, '$.type')} = 'text'")
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,17 +18,20 @@ from signalmill.operators.cron import RAPID_MS
 from signalmill.operators.events import event_views
 from signalmill.operators.signals import heuristic_hits
 from signalmill.operators.tickets import existing_fingerprints, ticket_creates, ticket_ir, ticket_updates
-from signalmill.sources.sessions import parse_events
+from signalmill.sources.sessions import parse_events, rel_path
 
 
-def session_stream(spark: SparkSession, root: str, files_per_trigger: int = 1000) -> DataFrame:
+def session_stream(
+    spark: SparkSession, root: str, files_per_trigger: int = 1000, name_glob: str = "*.jsonl"
+) -> DataFrame:
     """Normalised events of session files as they arrive below `root`."""
     lines = (
         spark.readStream.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.jsonl")
+        .option("pathGlobFilter", name_glob)
         .option("maxFilesPerTrigger", files_per_trigger)
         .text(root)
-        .select(F.expr(session_key("_metadata.file_path")).alias("session_id"), "value")
+        .select(rel_path(F.col("_metadata.file_path"), root).alias("rel_path"), "value")
+        .select(F.expr(session_key("rel_path")).alias("session_id"), "value")
     )
     return event_views(parse_events(lines))
 
@@ -52,8 +56,10 @@ def distinct_items(items: DataFrame, delay: str = "1 hour") -> DataFrame:
     return items.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["item_id"])
 
 
+# Rows per part of the result.
+PART = 100_000
 QUIET_MS = 7 * 24 * 3600 * 1000
-_GAP = "session_id string, ts timestamp, gap_ms double, rapid boolean"
+_GAP = "session_id string, ts timestamp, gap_ms double, rapid boolean, late boolean"
 
 
 def _gaps_of_session(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -61,21 +67,35 @@ def _gaps_of_session(key: tuple, parts: Iterator[pd.DataFrame], state: GroupStat
         state.remove()
         return
     last = state.get[0] if state.exists else None
-    # Spark hands over the batch in parts without an order.
-    times = pd.concat([p["ts"] for p in parts]).sort_values().reset_index(drop=True)
-    micros = times.astype("datetime64[us]").astype("int64")
-    gaps = (micros - micros.shift(1).fillna(last if last is not None else float("nan"))) / 1000.0
-    newest = int(max(micros.iloc[-1], last or 0))
+    # Spark hands over the batch in parts without an order; eight bytes per row are kept of them.
+    micros = np.sort(np.concatenate([p["ts"].to_numpy("datetime64[us]").astype("int64") for p in parts]))
+    late = micros < last if last is not None else np.zeros(len(micros), bool)
+    on_time = micros[~late]
+    before = np.concatenate(([np.nan if last is None else last], on_time[:-1]))
+    gaps = np.full(len(micros), np.nan)
+    gaps[~late] = (on_time - before[: len(on_time)]) / 1000.0
+    newest = int(on_time[-1]) if len(on_time) else last
     state.update((newest,))
     state.setTimeoutTimestamp(newest // 1000 + QUIET_MS)
-    yield pd.DataFrame({"session_id": key[0], "ts": times, "gap_ms": gaps, "rapid": gaps < RAPID_MS})
+    for at in range(0, len(micros), PART):
+        part = slice(at, at + PART)
+        yield pd.DataFrame(
+            {
+                "session_id": key[0],
+                "ts": micros[part].astype("datetime64[us]"),
+                "gap_ms": gaps[part],
+                "rapid": gaps[part] < RAPID_MS,
+                "late": late[part],
+            }
+        )
 
 
 def gap_stream(cron: DataFrame) -> DataFrame:
     """Time since the cron event before, per session, over a stream of (session_id, ts).
 
     The state is one timestamp per session. It expires once the watermark is a
-    quiet week ahead of it.
+    quiet week ahead of it. A row that is older than an earlier batch of its
+    session is marked late and has no gap, since gaps around it are out already.
     """
     timed = cron.select("session_id", "ts").withWatermark("ts", "1 day")
     return timed.groupBy("session_id").applyInPandasWithState(
