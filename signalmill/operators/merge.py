@@ -210,9 +210,13 @@ def merged_rollups(
     membership: DataFrame,
     items: DataFrame | None = None,
     max_tags: int = MAX_TAGS,
+    compat: bool = False,
 ) -> DataFrame:
     """Clusters with merged ones folded together; single ones pass unchanged.
 
+    A merged cluster is an incident if a member is one. `compat` asks for the tag
+    among the members' top tags instead, as does a cluster file without the flag.
+
     Given the items (with `signature_id`), sessions are counted once per merged
     cluster; without them the members' counts are added up. Member lists stay
     in `merged_from`, since a component has no size limit.
@@ -269,7 +273,10 @@ def merged_rollups(
     mood = as_map(summed(one), "sentiment").select("component", F.col("sentiment_mode").alias("sentiment"))
     tag_counts = summed(F.col("tags_top"))
     tags = top_values(tag_counts, ["component"], max_tags, "tags_top")
-    incident = tag_counts.groupBy("component").agg(F.bool_or(F.col("value") == "incident").alias("incident"))
+    if compat or "incident" not in clusters.columns:
+        incident = tag_counts.groupBy("component").agg(F.bool_or(F.col("value") == "incident").alias("incident"))
+    else:
+        incident = members.groupBy("component").agg(F.bool_or("incident").alias("incident"))
     folded = (
         sums.join(kinds, "component")
         .join(fine, "component")

@@ -151,7 +151,7 @@ def samples(items: DataFrame, limit: int = MAX_SAMPLES) -> DataFrame:
 
 
 def scored(clusters: DataFrame) -> DataFrame:
-    """Add tier, reasons, score and fingerprint to clusters with counters and flags."""
+    """Add tier, reasons, score and fingerprint to clusters with counters and flags; `incident` stays."""
     flags = ("incident", "error", "frustration")
     text = fingerprint_text("kind_v2_primary", "canonical_summary", "tags_top.value")
     return (
@@ -162,7 +162,7 @@ def scored(clusters: DataFrame) -> DataFrame:
         .withColumn("fingerprint_text", F.expr(text))
         .withColumn("fingerprint_id", F.expr(hashed("fp1:", "fingerprint_text")))
         .withColumn("fingerprint_text", F.expr(redacted_if_needed("fingerprint_text")))
-        .drop("_tier", "incident", "error", "frustration")
+        .drop("_tier", "error", "frustration")
     )
 
 

@@ -290,9 +290,10 @@ mfacets AS (SELECT component,
     first(value ORDER BY n DESC, o) FILTER (facet = 'kind_v2') AS kind_v2_primary,
     bool_or(facet = 'kind' AND value = 'error') AS error,
     bool_or(facet = 'kind' AND value = 'user_frustration') AS frustration FROM mkinds GROUP BY 1),
-mall AS (SELECT *, list_contains(tag_list, 'incident') AS incident FROM
+mall AS (SELECT * FROM
   {_token_columns("mbase", "canonical_summary")} JOIN mfacets USING (component) JOIN mmood USING (component)
-  JOIN sess USING (component) JOIN mtop USING (component)),
+  JOIN sess USING (component) JOIN mtop USING (component)
+  JOIN (SELECT component, bool_or(incident) AS incident FROM mem GROUP BY 1) USING (component)),
 merged_rows AS (
   SELECT signature_id, merged, count_items, count_sessions, max_severity, CAST({_tier("max_severity")} AS INTEGER) AS tier,
     round({_score("count_items", "max_severity")}, 6) AS score, kind_v2_primary, sentiment, kind_counts, kind_v2_counts,

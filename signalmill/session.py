@@ -18,6 +18,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         # Small test tables still use all cores; clusters keep the default.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Checkpoints go when the driver no longer refers to them.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("SIGNALMILL_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .getOrCreate()

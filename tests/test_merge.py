@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from signalmill.operators import merge
 from signalmill.operators.graph import components
@@ -112,3 +113,26 @@ def test_decisions(spark):
     ]
     got = merge.merge_decisions(spark.createDataFrame(answers, "a string, b string, answer string")).collect()
     assert [(r.a, r.b) for r in got] == [("a", "b")]
+
+
+def test_incident_flag_survives_the_cut_of_tags(spark):
+    """A member whose incident tag is no top tag still makes the merged cluster an incident."""
+    from signalmill.operators import rollup
+
+    def item(n, summary, tags):
+        return (f"i{n}", f"s{n}", "error", summary, "low", tags, n)
+
+    many = [f"t{k}" for k in range(9)]
+    rows = [item(n, f"gateway timeout seen in node cluster {w}", many) for n, w in enumerate(["alpha", "beta", "alpha", "beta"])]
+    rows.append(item(9, "gateway timeout seen in node cluster beta", [*many, "incident"]))
+    items = spark.createDataFrame(rows, "item_id string, session_id string, kind string, summary string, severity string, tags array<string>, pos int")
+    clusters = rollup.rollups(
+        items.withColumn("span", F.expr("named_struct('start_i', 0L, 'end_i', 1L)")).withColumn(
+            "source", F.expr("named_struct('file_hint', 's', 'chunk_id', 'c')")
+        )
+    ).cache()
+    members = merge.merge_components(clusters)
+    merged = merge.merged_rollups(clusters, members).collect()
+    assert [(r.merged, r.incident, r.tier) for r in merged] == [(clusters.count(), True, 1)]
+    assert not any(t.value == "incident" for t in merged[0].tags_top)
+    assert not merge.merged_rollups(clusters, members, compat=True).first().incident
