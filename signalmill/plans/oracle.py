@@ -841,4 +841,30 @@ def all_sql() -> dict[str, str]:
           ORDER BY tier, score DESC, first_place LIMIT 10)""",
     )
     sql["stream_sessions"] = _with(_SHAPED, "SELECT session_id, count(*) AS views FROM lines WHERE shape <> 'heartbeat' GROUP BY session_id")
+
+    shaped = """d AS (SELECT source AS session_id, doc_id AS i, doc_id % 5 AS shape, lang, source, text,
+        'bad "quote" ' || lang AS flat_error, 'it''s "' || lang || '"' || chr(10) || source AS error FROM documents)"""
+    body = """CASE shape WHEN 0 THEN concat_ws(chr(10), nullif(text, ''), flat_error, lang, source)
+        WHEN 1 THEN concat_ws(chr(10), 'tool=exec', 'status=error', 'exitCode=2', 'error=' || error, nullif(text, ''), source, lang, nullif(text, ''))
+        WHEN 4 THEN '"quoted" \\ ' || text || chr(9) || '| end' ELSE text END"""
+    sql["document_views"] = _with(
+        shaped,
+        f"""SELECT session_id, i, CASE shape WHEN 0 THEN 'assistant' WHEN 1 THEN 'toolResult' WHEN 2 THEN 'toolCall' ELSE 'user' END AS role,
+        CASE shape WHEN 0 THEN 'exec' WHEN 1 THEN 'exec' WHEN 2 THEN 'read' END AS tool, CASE WHEN shape = 1 THEN 'error' END AS status,
+        CASE WHEN shape = 1 THEN 'EXIT_2' END AS error_code, md5({_strip(body)}) AS text_md5,
+        CASE shape WHEN 0 THEN 'event' WHEN 1 THEN 'message.details+content' WHEN 2 THEN 'message.input' ELSE 'message.content' END AS raw_shape
+        FROM d""",
+    )
+    sql["document_failures"] = _with(
+        shaped,
+        """SELECT session_id, i, CASE shape WHEN 0 THEN 'error_field' ELSE 'tool_error' END AS kind,
+        CASE shape WHEN 0 THEN flat_error ELSE error END AS detail, CASE WHEN shape = 1 THEN 'exec' END AS tool_name,
+        CASE WHEN shape = 1 THEN 'error' END AS status, CASE WHEN shape = 1 THEN 2::BIGINT END AS exit_code FROM d WHERE shape IN (0, 1)""",
+    )
+    sql["document_calls"] = _with(
+        shaped,
+        f"""SELECT session_id, i, 'exec' AS tool_name, CASE WHEN shape = 0 THEN lang END AS action, CASE WHEN shape = 1 THEN 'error' END AS status,
+        CASE WHEN shape = 1 THEN '2' END AS exit_code, CASE shape WHEN 0 THEN flat_error ELSE error END AS error,
+        nullif(left({_strip("text")}, 300), '') AS preview FROM d WHERE shape IN (0, 1)""",
+    )
     return sql

@@ -214,6 +214,25 @@ def session_files(spark, sf_dir):
     return named.withColumn("i", F.col("part") * 65536 + F.col("i")).drop("part")
 
 
+@register
+def document_views(spark, sf_dir):
+    """Documents of every event shape as normalised events, uncut."""
+    views = events.event_views(sessions.parse_events(tables.document_json(spark, sf_dir)), max_text=1 << 30)
+    return views.select("session_id", "i", "role", "tool", "status", "error_code", F.md5("text").alias("text_md5"), "raw_shape")
+
+
+@register
+def document_failures(spark, sf_dir):
+    found = events.failures(sessions.parse_events(tables.document_json(spark, sf_dir)), limit=None)
+    return found.select("session_id", "i", "kind", "detail", "tool_name", "status", "exit_code")
+
+
+@register
+def document_calls(spark, sf_dir):
+    calls = events.tool_calls(sessions.parse_events(tables.document_json(spark, sf_dir)))
+    return calls.select("session_id", "i", "tool_name", "action", "status", "exit_code", "error", "preview")
+
+
 @register
 def session_openings(spark, sf_dir):
     """The first five events of every session file."""

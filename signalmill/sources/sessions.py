@@ -80,8 +80,14 @@ def read_lines(
     if exclude:
         lines = lines.filter(~_any_glob(F.col("rel_path"), exclude))
     if max_sessions is not None:
-        first = lines.select("rel_path").distinct().orderBy("rel_path").limit(max_sessions)
-        lines = lines.join(first, "rel_path", "left_semi")
+        # Names come from the listing of the files; their text is not read for it.
+        files = (
+            spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name_glob).load(root)
+        )
+        names = files.select(rel_path(F.col("path"), root).alias("rel_path"))
+        names = names.filter(_any_glob(F.col("rel_path"), include)) if include else names
+        names = names.filter(~_any_glob(F.col("rel_path"), exclude)) if exclude else names
+        lines = lines.join(names.orderBy("rel_path").limit(max_sessions), "rel_path", "left_semi")
     return lines.withColumn("seq", F.monotonically_increasing_id())
 
 

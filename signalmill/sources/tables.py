@@ -100,5 +100,29 @@ def trace_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("session_id", "i + 1 AS line_no", "i", "pos", f"{_JSON} AS value")
 
 
+# Documents as events of five shapes, with long texts, line breaks, quotes and every field of a tool result.
+_DOCUMENT_JSON = """CASE doc_id % 5
+  WHEN 0 THEN to_json(named_struct('role', 'assistant', 'tool', 'exec', 'input', named_struct('action', lang),
+    'error', concat('bad "quote" ', lang), 'stderr', lang, 'stdout', source, 'content', text))
+  WHEN 1 THEN to_json(named_struct('type', 'message', 'message', named_struct('role', 'toolResult', 'toolName', 'exec',
+    'details', named_struct('status', 'error', 'exitCode', 2, 'error', concat('it\\'s "', lang, '"\n', source),
+      'stderr', text, 'stdout', source, 'aggregated', lang),
+    'content', array(named_struct('type', 'text', 'text', text)))))
+  WHEN 2 THEN to_json(named_struct('type', 'message', 'message', named_struct('role', 'toolCall', 'toolName', 'read',
+    'input', named_struct('action', lang, 'text', text))))
+  WHEN 3 THEN to_json(named_struct('type', 'message', 'message', named_struct('role', 'user',
+    'content', named_struct('k', 1, 'stdout', text))))
+  ELSE to_json(named_struct('type', 'message', 'message', named_struct('role', 'user',
+    'content', concat('"quoted" \\\\ ', text, '\t| end'))))
+  END"""
+
+
+def document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` as raw JSON lines: session_id (source), line_no, i (doc_id), value."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "source AS session_id", "doc_id + 1 AS line_no", "doc_id AS i", f"{_DOCUMENT_JSON} AS value"
+    )
+
+
 def forget() -> None:
     _numbered.clear()
