@@ -72,9 +72,10 @@ def read_lines(
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("block_start"),
             "value",
+            F.monotonically_increasing_id().alias("seq"),
         )
     )
-    lines = lines.select(rel_path(F.col("path"), root).alias("rel_path"), "block_start", "value")
+    lines = lines.select(rel_path(F.col("path"), root).alias("rel_path"), "block_start", "seq", "value")
     if include:
         lines = lines.filter(_any_glob(F.col("rel_path"), include))
     if exclude:
@@ -88,7 +89,7 @@ def read_lines(
         names = names.filter(_any_glob(F.col("rel_path"), include)) if include else names
         names = names.filter(~_any_glob(F.col("rel_path"), exclude)) if exclude else names
         lines = lines.join(names.orderBy("rel_path").limit(max_sessions), "rel_path", "left_semi")
-    return lines.withColumn("seq", F.monotonically_increasing_id())
+    return lines
 
 
 def parse_events(rows: DataFrame, max_raw: int | None = None) -> DataFrame:
@@ -113,6 +114,26 @@ def parse_events(rows: DataFrame, max_raw: int | None = None) -> DataFrame:
     return rows.select(*others, F.expr(f"inline(array_compact(array({row})))"))
 
 
+def with_line_numbers(lines: DataFrame) -> DataFrame:
+    """Add `line_no`, the 1-based line of a file, to lines as the scan gives them.
+
+    `seq` counts up by one inside a file block, so a line's number follows from
+    the first `seq` of its block and the lines of the blocks before: one row per
+    block, counted in a scan of its own. Texts are neither written nor sorted.
+    The files must not change between the two scans, whose splits are the same.
+    """
+    earlier = Window.partitionBy("rel_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        lines.groupBy("rel_path", "block_start")
+        .agg(F.count("*").alias("rows"), F.min("seq").alias("first"))
+        .withColumn("shift", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+        .drop("rows")
+    )
+    placed = lines.join(blocks, ["rel_path", "block_start"])
+    line_no = F.col("seq") - F.col("first") + F.col("shift") + 1
+    return placed.withColumn("line_no", line_no).drop("first", "shift", "block_start", "seq")
+
+
 def numbered(rows: DataFrame, out: str) -> DataFrame:
     """Add `out`: the 1-based place of a row in its file. Needs rel_path, block_start, seq.
 
@@ -152,7 +173,7 @@ def read_sessions(
 ) -> DataFrame:
     """Events of all sessions: session_id, rel_path, line_no, i, event, parse_error, raw."""
     lines = read_lines(spark, root, include, exclude, max_sessions, name_glob)
-    placed = numbered(lines, "line_no").withColumn("session_id", F.expr(session_key("rel_path")))
+    placed = with_line_numbers(lines).withColumn("session_id", F.expr(session_key("rel_path")))
     events = renumbered(parse_events(placed), ["session_id"], "line_no", "i")
     return events if max_events is None else events.filter(F.col("i") < max_events)
 
