@@ -104,6 +104,11 @@ def search_hits(
 ) -> DataFrame:
     """Condensed search result: position, the first sorted keys and the start of the text."""
     hits = search(events, query, fields, limit, start, regex)
+    return rows_of(hits, ["session_id", "i", "line_no"], _hit(max_keys, max_preview))
+
+
+def _hit(max_keys: int = 40, max_preview: int = 500) -> Sql:
+    """struct<keys, preview> of an event."""
 
     def shown(e: Sql, m: Sql, d: Sql) -> Sql:
         preview = (
@@ -112,7 +117,7 @@ def search_hits(
         )
         return f"named_struct('keys', slice({ragged.keys_of(e)}, 1, {max_keys}), 'preview', left({preview}, {max_preview}))"
 
-    return rows_of(hits, ["session_id", "i", "line_no"], in_event(shown))
+    return in_event(shown)
 
 
 def span_summary(
@@ -120,6 +125,12 @@ def span_summary(
 ) -> DataFrame:
     """Per session: events, tool and error events in the span, and the first short examples."""
     span = window(events, start, _stop(start, end, max_events))
+    rows = rows_of(span, ["session_id", "i"], _example())
+    return _summed(rows, start, end, examples)
+
+
+def _example() -> Sql:
+    """struct<tool, error, example> of an event."""
 
     def shown(e: Sql, m: Sql, d: Sql) -> Sql:
         def truthy(key: str) -> Sql:
@@ -135,7 +146,10 @@ def span_summary(
             f"'error', IF({truthy('error')}, 1, 0), 'example', {filled(example)})"
         )
 
-    rows = rows_of(span, ["session_id", "i"], in_event(shown))
+    return in_event(shown)
+
+
+def _summed(rows: DataFrame, start: int, end: int, examples: int) -> DataFrame:
     first = first_per_key(rows.filter("example IS NOT NULL"), ["session_id"], [F.col("i")], examples)
     picked = first.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("i", "example"))).alias("picked"))
     counted = rows.groupBy("session_id").agg(
@@ -159,3 +173,40 @@ def span_summary(
         .drop("picked")
     )
 
+
+def register_sql(events: DataFrame, name: str = "trace") -> None:
+    """The helpers as SQL: the view `{name}_events` and the table functions
+
+    `{name}_window(first, stop)`, `{name}_compact(first, stop, max_chars)`, `{name}_search(query, hits)`,
+    `{name}_search_hits(query, hits)` and `{name}_span(first, stop)`, which counts tool and error events.
+    """
+    spark = events.sparkSession
+    events.select("session_id", "i", "line_no", "event", "parse_error", "raw").createOrReplaceTempView(f"{name}_events")
+    found = "coalesce(to_json(event), to_json(named_struct('_parse_error', parse_error, '_raw', raw)))"
+
+    def function(title: str, arguments: str, columns: str, body: str) -> None:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_{title}({arguments}) RETURNS TABLE ({columns}) RETURN {body}")
+
+    def hits(title: str, picked: str) -> str:
+        return f"""SELECT session_id, i, line_no, {picked} FROM (
+          SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY i) AS _place FROM {name}_events
+          WHERE contains(lower({found}), lower({name}_{title}.query))) WHERE _place <= {name}_{title}.hits"""
+
+    def span(title: str) -> str:
+        return f"FROM {name}_events WHERE i >= greatest(0, {name}_{title}.first) AND i < {name}_{title}.stop"
+
+    place = "session_id STRING, i BIGINT, line_no BIGINT"
+    function("window", "first BIGINT, stop BIGINT", f"{place}, event VARIANT", f"SELECT session_id, i, line_no, event {span('window')}")
+    cut = f"IF(length({found}) > {name}_compact.max_chars, concat(left({found}, {name}_compact.max_chars), '…'), {found})"
+    function(
+        "compact", "first BIGINT, stop BIGINT, max_chars INT", f"{place}, json STRING",
+        f"SELECT session_id, i, line_no, {cut} {span('compact')}",
+    )
+    function("search", "query STRING, hits INT", f"{place}, event VARIANT", hits("search", "event"))
+    shown = f"SELECT session_id, i, line_no, h.keys, h.preview FROM (SELECT session_id, i, line_no, {_hit()} AS h FROM ({hits('search_hits', 'event')}))"
+    function("search_hits", "query STRING, hits INT", f"{place}, keys ARRAY<STRING>, preview STRING", f"{shown} WHERE h IS NOT NULL")
+    counted = f"""SELECT session_id, count(*), sum(h.tool), sum(h.error) FROM (
+      SELECT session_id, {_example()} AS h {span('span')}) WHERE h IS NOT NULL GROUP BY session_id"""
+    function(
+        "span", "first BIGINT, stop BIGINT", "session_id STRING, events BIGINT, tool_calls BIGINT, errors BIGINT", counted
+    )

@@ -130,3 +130,22 @@ def test_flow(spark, root, tmp_path):
 
     told, _ = flows.mine_sessions(spark, root, complete=answer)
     assert told.count() == 3 and {r.kind for r in told.collect()} == {"other"}
+
+
+def test_sql_helpers_agree_with_the_functions(spark):
+    from signalmill.sources import tables
+
+    events = sessions.parse_events(tables.trace_json(spark, "/root/testdata/sf0.001")).cache()
+    inspect.register_sql(events)
+
+    def same(sql, df):
+        rows = lambda x: sorted(repr(tuple(r)) for r in x.collect())
+        assert rows(spark.sql(sql)) == rows(df) and df.count()
+
+    same("SELECT session_id, i, line_no FROM trace_window(5, 30)", inspect.window(events, 5, 30).select("session_id", "i", "line_no"))
+    same("SELECT session_id, i FROM trace_search('GATEWAY', 3)", inspect.search(events, "GATEWAY", limit=3).select("session_id", "i"))
+    same("SELECT * FROM trace_search_hits('gateway', 30)", inspect.search_hits(events, "gateway"))
+    summary = inspect.span_summary(events, 0, 40).select("session_id", "events", "tool_calls", "errors")
+    same("SELECT * FROM trace_span(0, 40)", summary)
+    cut = spark.sql("SELECT max(length(json)) AS most FROM trace_compact(0, 10, 20)").first()
+    assert cut.most == 21
