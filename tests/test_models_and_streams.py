@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from signalmill.operators import requests, signals
+from signalmill.sources import sessions
 from signalmill.streaming import live
 
 
@@ -44,7 +45,10 @@ def test_ask_keeps_rows_of_failing_calls(spark):
             raise ValueError(user)
         return f"```json\n{{\"class\": \"defect\", \"confidence\": \"low\"}}\n``` {system}"
 
-    got = {r.id: r for r in requests.class_answers(requests.ask(asked, complete)).collect()}
+    answered = requests.ask(asked, complete).cache()
+    assert {r.id: r.error for r in answered.collect()} == {"a": None, "b": "ValueError: boom"}
+    assert tuple(requests.failed_requests(answered).first()) == (2, 1)
+    got = {r.id: r for r in requests.class_answers(answered).collect()}
     assert (got["a"]["class"], got["a"].confidence, got["a"].reasoning) == ("defect", "low", "")
     assert (got["b"]["class"], got["b"].confidence) == ("unknown", "none")
     raw = [('{"is_real_issue": false}',), ("```\n{\"is_real_issue\": true, \"severity\": \"high\"}```",), ("??",)]
@@ -61,6 +65,8 @@ def test_session_stream(spark, tmp_path):
         live.run_available(live.session_stream(spark, str(logs)), mark, live.parquet_writer(out), "append")
         rows = spark.read.parquet(out)
         assert rows.count() == 2 * (n + 1) and rows.filter("role = 'user'").count() == n + 1
+    batch = sessions.read_sessions(spark, str(logs))
+    assert {r.session_id for r in rows.collect()} == {r.session_id for r in batch.collect()}
 
 
 def test_gap_stream_keeps_state_between_batches(spark, tmp_path):
@@ -75,6 +81,34 @@ def test_gap_stream_keeps_state_between_batches(spark, tmp_path):
     assert got == [(None, False), (4000.0, True), (56000.0, False)]
 
 
+def test_late_rows_of_gap_stream_are_marked(spark, tmp_path):
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    for seconds in ([0], [90, 60], [30, 100, 95]):
+        days = [F.expr(f"TIMESTAMP '2026-01-01 00:00:00' + INTERVAL {s} SECONDS").cast("timestamp") for s in seconds]
+        spark.range(1).select(F.lit("s").alias("session_id"), F.explode(F.array(*days)).alias("ts")).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("session_id string, ts timestamp").parquet(source)
+        live.run_available(live.gap_stream(stream), mark, live.parquet_writer(out), "append")
+    got = [(r.ts.second + 60 * r.ts.minute, r.gap_ms, r.rapid, r.late) for r in spark.read.parquet(out).orderBy("ts").collect()]
+    assert got == [
+        (0, None, False, False), (30, None, False, True), (60, 60000.0, False, False), (90, 30000.0, False, False),
+        (95, 5000.0, True, False), (100, 5000.0, True, False),
+    ]
+
+
+def test_one_bad_entry_costs_one_entry(spark):
+    from signalmill.operators import signals
+
+    bodies = [
+        '{"items": ["oops", 5, null, [1], {"kind": "other", "summary": "good", "tags": "x", "confidence": 0.7}]}',
+        'text {"items": {"kind": "other"}} text',
+        '{"items": [{"kind": "other", "summary": "a \\"b\\"\\n", "evidence": [{"event_i": 1, "quote": "q"}]}]',
+        "none",
+    ]
+    answers = spark.createDataFrame([("s", n, b) for n, b in enumerate(bodies)], "session_id string, chunk_idx bigint, answer string")
+    got = signals.answers_to_candidates(answers).collect()
+    assert [(r.chunk_idx, r.item_no, r.kind, r.summary, r.tags, r.confidence) for r in got] == [(0, 5, "other", "good", None, 0.7)]
+
+
 def test_ticket_writer(spark, tmp_path):
     from signalmill.operators import rollup
 
