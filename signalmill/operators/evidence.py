@@ -233,8 +233,9 @@ def related_documents(
     out = None
     for k in range(blocks):
         own = words.filter(F.pmod(F.xxhash64("ticket_id"), F.lit(blocks)) == k).collect()
-        found = rows.mapInArrow(_best_documents([(r[0], list(r[1])) for r in own], limit), f"ticket_id {kinds[0]}, path {kinds[1]}, score int")
+        found = rows.mapInArrow(_best_documents([(r[0], list(r[1])) for r in own], limit), "ticket_id string, path string, score int")
         out = found if out is None else out.unionByName(found)
+    out = out.select(F.col("ticket_id").cast(kinds[0]), F.col("path").cast(kinds[1]), "score")
     best = first_per_key(out, ["ticket_id"], [F.desc("score"), F.col("path")], limit)
     return best.withColumnRenamed("_rank", "place").withColumnRenamed("path", path)
 
@@ -264,10 +265,10 @@ def _best_documents(tickets: list[tuple], limit: int):
                     if len(best[k]) < limit or (-score[k], path) < best[k][-1]:
                         bisect.insort(best[k], (-int(score[k]), path))
                         del best[k][limit:]
-        rows = [(tickets[k][0], path, -score) for k, own in enumerate(best) for score, path in own]
+        rows = [(str(tickets[k][0]), str(path), -score) for k, own in enumerate(best) for score, path in own]
         columns = list(zip(*rows, strict=True))
         if columns:
-            arrays = [pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], pa.int32())]
+            arrays = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32())]
             yield pa.RecordBatch.from_arrays(arrays, names=["ticket_id", "path", "score"])
 
     return run
