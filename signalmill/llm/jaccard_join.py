@@ -78,7 +78,7 @@ class WordHashes(dict):
         return value
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(33))
 
@@ -92,7 +92,7 @@ def shingles(listed: list[bytes], hashes: WordHashes, size: int = SHINGLE) -> np
     out = np.full(len(own) - size + 1, size, np.uint64)
     for i in range(size):
         out += own[i : len(own) - size + 1 + i] * _PLACES[i]
-    return np.unique(_mixed(out))
+    return np.unique(mixed(out))
 
 
 def signature(found: np.ndarray) -> np.ndarray:
@@ -108,7 +108,7 @@ def band_keys(lowest: np.ndarray) -> np.ndarray:
     rows = lowest.reshape(BANDS, ROWS).astype(np.uint64)
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
-        keys = _mixed(keys * _PLACES[8] + rows[:, i])
+        keys = mixed(keys * _PLACES[8] + rows[:, i])
     return keys.view(np.int64)
 
 
