@@ -1,10 +1,8 @@
 """The registered queries: against DuckDB where SQL can express them, and the pipeline against its operators' rules."""
 
 import os
-import zlib
 
 import duckdb
-import numpy as np
 import pytest
 
 from signalmill.llm.oracle import all_sql
