@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import texts_of
+from signalmill.llm.common import kept, texts_of
 from signalmill.llm.tokens import worker_encoder
 
 BLOCK = 1024
@@ -45,6 +45,8 @@ def answers(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
     Between two lengths the truncated total grows by docs_at_least of the
     higher one per token. No rows for an empty table.
     """
+    # Used twice below; the texts are encoded once.
+    histogram = kept(histogram)
     rows = histogram.select(
         "length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.expr(f"length div {block}").alias("block")
     )
