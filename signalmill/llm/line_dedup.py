@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalmill.llm.common import kept, once_per_worker, texts_of, words
-from signalmill.llm.jaccard_join import WordHashes
+from signalmill.llm.jaccard_join import WordHashes, mixed
 from signalmill.operators.graph import components
 from signalmill.operators.pairing import (
     PAIRS,
@@ -55,9 +55,12 @@ CHUNK = 1 << 16
 # Bits of the filter that says which lines a cluster needs.
 NEEDED = 1 << 26
 BLOCK = 400
-# The smallest bitmap, and the words that it serves; each next one has four times both.
+ROWS_AT_ONCE = 100_000
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+# Bits of the bitmap of every set, and of the second one of sets with more than LONG words.
 BITS = 128
-BIT_WORDS = 64
+LONG_BITS = 512
+LONG = 128
 
 
 def least_overlap(sizes, threshold: float):
@@ -104,18 +107,23 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
                 # np.add.at is slow, and a text has few words.
                 places, times = np.unique(own & np.uint64(TABLE - 1), return_counts=True)
                 total[places.astype(np.int64)] += times
-        parts = total.reshape(-1, CHUNK)
-        done = _chunks({k: part for k, part in enumerate(parts) if part.any()})
-        yield done
+        yield _chunks({k: part for k, part in enumerate(total.reshape(-1, CHUNK)) if part.any()})
 
-    schema = "chunk int, places binary, counts binary, salt int"
-    rows = docs.select(F.col(text)).mapInArrow(count, schema).withColumn("salt", F.spark_partition_id() % 32)
-    once = rows.repartition("chunk", "salt").mapInArrow(_summed, schema)
+    return np.minimum(255, 8 * np.log2(1.0 + _collected(docs.select(F.col(text)).mapInArrow(count, _CHUNK)))).astype(np.uint8)
+
+
+_CHUNK = "chunk int, places binary, counts binary, salt int"
+
+
+def _collected(rows: DataFrame) -> np.ndarray:
+    """The table of counts that tasks handed on in chunks: TABLE numbers, whatever the data."""
+    salted = rows.withColumn("salt", F.spark_partition_id() % 32)
+    once = salted.repartition("chunk", "salt").mapInArrow(_summed, _CHUNK)
     out = np.zeros(TABLE, np.int64)
-    for row in once.repartition("chunk").mapInArrow(_summed, schema).collect():
+    for row in once.repartition("chunk").mapInArrow(_summed, _CHUNK).collect():
         at = np.frombuffer(row["places"], np.uint16).astype(np.int64) + row["chunk"] * CHUNK
         out[at] = np.frombuffer(row["counts"], np.int64)
-    return np.minimum(255, 8 * np.log2(1.0 + out)).astype(np.uint8)
+    return out
 
 
 # --- sets of lines --------------------------------------------------------------
@@ -138,13 +146,14 @@ def _digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def bitmap(own: np.ndarray) -> bytes:
-    size = BITS
-    while len(own) > size // (BITS // BIT_WORDS):
-        size *= 4
+def bitmap(own: np.ndarray, size: int = BITS) -> bytes:
     out = np.zeros(size, bool)
     out[((own >> np.uint64(24)) & np.uint64(size - 1)).astype(np.int64)] = True
-    return np.packbits(out, bitorder="little").tobytes()
+    return np.packbits(out).tobytes()
+
+
+def bitmaps(own: np.ndarray) -> tuple[bytes, bytes | None]:
+    return bitmap(own), bitmap(own, LONG_BITS) if len(own) > LONG else None
 
 
 _PLACED = "id bigint, text_hash bigint, line int, digest binary"
@@ -158,7 +167,7 @@ def _placed(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, id: str, text: str, threshold: float) -> DataFrame:
-    """One row per different set: digest, first place, number of lines, size, prefix words, bitmap."""
+    """One row per different set: node, digest, first place, number of lines, size, prefix words, bitmaps."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +182,8 @@ def _sets(docs: DataFrame, id: str, text: str, threshold: float) -> DataFrame:
                     start, end = starts[at], starts[at + 1]
                     if end > start:
                         prefix = by_rarity[start : start + prefix_length(end - start, threshold)]
-                        rows.append((k, at, _digest(own[start:end]), end - start, prefix, bitmap(own[start:end])))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
+                        rows.append((k, at, _digest(own[start:end]), end - start, prefix, *bitmaps(own[start:end])))
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
             where = pa.array(columns[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -185,39 +194,37 @@ def _sets(docs: DataFrame, id: str, text: str, threshold: float) -> DataFrame:
                     pa.array(columns[3], pa.int32()),
                     pa.array(columns[4], pa.list_(pa.int32())),
                     pa.array(columns[5], pa.binary()),
+                    pa.array(columns[6], pa.binary()),
                 ],
-                names=["id", "text_hash", "line", "digest", "size", "prefix", "bits"],
+                names=["id", "text_hash", "line", "digest", "size", "prefix", "bits", "more"],
             )
 
-    found = _placed(docs, id, text).mapInArrow(run, _PLACED + ", size int, prefix array<int>, bits binary")
-    first = F.min(F.struct("id", "text_hash", "line", "size", "prefix", "bits")).alias("first")
-    return found.groupBy("digest").agg(first, F.count("*").alias("times")).select("digest", "first.*", "times")
+    schema = _PLACED + ", size int, prefix array<int>, bits binary, more binary"
+    found = _placed(docs, id, text).mapInArrow(run, schema)
+    first = F.min(F.struct("id", "text_hash", "line", "size", "prefix", "bits", "more")).alias("first")
+    sets = found.groupBy("digest").agg(first, F.count("*").alias("times")).select("digest", "first.*", "times")
+    return sets.withColumn("node", F.monotonically_increasing_id())
 
 
 # --- candidates -----------------------------------------------------------------
 
 
 class Bitmaps:
-    """Bitmaps of several sizes; pairs are compared at the smaller size of the two."""
-
-    def __init__(self, bits: list[bytes]):
-        lengths = np.array([len(b) for b in bits])
-        self.sizes = np.unique(lengths)
-        self.length = lengths
-        self.row = {int(s): np.cumsum(lengths >= s) - 1 for s in self.sizes}
-        self.matrix = {}
-        for s in self.sizes:
-            rows = [np.frombuffer(b, np.uint8).reshape(-1, s) for b in bits if len(b) >= s]
-            folded = [r[0] if len(r) == 1 else np.bitwise_or.reduce(r) for r in rows]
-            self.matrix[int(s)] = np.ascontiguousarray(np.array(folded)).view(np.uint64)
+    """Bitmaps of some sets, and the larger ones of long sets."""
+
+    def __init__(self, bits: list[bytes], more: list[bytes | None]):
+        self.bits = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64)
+        self.has = np.array([m is not None for m in more], bool)
+        self.place = np.cumsum(self.has) - 1
+        self.more = np.frombuffer(b"".join(m for m in more if m is not None), np.uint64).reshape(-1, LONG_BITS // 64)
 
     def differences(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Fewest words in which the sets of each pair differ."""
-        out, smaller = np.zeros(len(a), np.int64), np.minimum(self.length[a], self.length[b])
-        for s in self.sizes:
-            own = np.flatnonzero(smaller == s)
-            rows, matrix = self.row[int(s)], self.matrix[int(s)]
-            out[own] = np.bitwise_count(matrix[rows[a[own]]] ^ matrix[rows[b[own]]]).sum(axis=1)
+        out = np.bitwise_count(self.bits[a] ^ self.bits[b]).sum(axis=1, dtype=np.int64)
+        both = np.flatnonzero(self.has[a] & self.has[b])
+        if len(both):
+            x, y = self.more[self.place[a[both]]], self.more[self.place[b[both]]]
+            out[both] = np.maximum(out[both], np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))
         return out
 
 
@@ -228,7 +235,7 @@ def able_pairs(
     x, y = sizes[a], sizes[b]
     able = np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9
     if at is not None:
-        most = np.minimum(at[a], at[b]) + 1 + np.minimum(x - at[a], y - at[b]) - 1
+        most = np.minimum(at[a], at[b]) + np.minimum(x - at[a], y - at[b])
         able &= most >= least_overlap(x + y, threshold)
     a, b = a[able], b[able]
     # |A| + |B| = 2 |A and B| + |A xor B|, and the bitmaps differ in no more places than the sets.
@@ -237,24 +244,70 @@ def able_pairs(
     return a[able], b[able]
 
 
+def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix words of some sets, and their rows."""
+    prefix = batch.column(batch.schema.get_field_index("prefix"))
+    lengths = np.asarray(prefix.value_lengths().fill_null(0))
+    return prefix.flatten().to_numpy().view(np.uint32).astype(np.int64), np.repeat(np.arange(len(lengths)), lengths)
+
+
+def _listings(sets: DataFrame) -> np.ndarray:
+    """How many sets are listed under the words of each place of the table."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(TABLE, np.int64)
+        for batch in batches:
+            total += np.bincount(_places(batch)[0] & (TABLE - 1), minlength=TABLE)
+        yield _chunks({k: part for k, part in enumerate(total.reshape(-1, CHUNK)) if part.any()})
+
+    return _collected(sets.select("prefix").mapInArrow(count, _CHUNK))
+
+
+# `meta` packs size, place in the prefix, side, and whether both blocks are the same.
+_LISTED = "key bigint, node bigint, meta bigint, bits binary, more binary"
+
+
 def _candidates(sets: DataFrame, threshold: float, block: int) -> DataFrame:
     """(a, b): star edges over the pairs of sets that meet under a word and pass the filters."""
-    listed = sets.select("digest", "size", "bits", F.posexplode("prefix").alias("at", "key"))
-    listed = listed.withColumn("key", F.col("key").cast("bigint"))
-    often = listed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    dealt = deal_out(listed.join(often, "key"), "key", "digest", block)
+    counts = _listings(sets)
+    shared = sets.sparkSession.sparkContext.broadcast(np.where(counts > 1, -(-counts // block), 0).astype(np.uint32))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks_of = shared.value
+        for batch in batches:
+            words_of, row = _places(batch)
+            node, size = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            at = np.arange(len(row)) - np.searchsorted(row, row)
+            blocks = blocks_of[words_of & (TABLE - 1)].astype(np.int64)
+            # One listing per block that the own block is compared with; none for a word alone.
+            source = np.repeat(np.arange(len(row)), blocks)
+            other = np.arange(len(source)) - np.searchsorted(source, source)
+            word, of = words_of[source].astype(np.uint64), row[source]
+            own = (mixed(node[of].astype(np.uint64) * _STEP + word) % blocks[source].astype(np.uint64)).astype(np.int64)
+            first, second = np.minimum(own, other), np.maximum(own, other)
+            key = mixed(mixed(word * _STEP + first.astype(np.uint64)) + second.astype(np.uint64) * _STEP)
+            meta = size[of] << 33 | at[source] << 2 | (own > other).astype(np.int64) << 1 | (first == second)
+            rows = pa.array(of)
+            for begin in range(0, len(of), ROWS_AT_ONCE):
+                part = slice(begin, begin + ROWS_AT_ONCE)
+                take = rows[part]
+                columns = [pa.array(key[part].view(np.int64)), pa.array(node[of[part]]), pa.array(meta[part])]
+                columns += [batch.column(3).take(take), batch.column(4).take(take)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "meta", "bits", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in groups_of(batches, ["key", "first", "second"]):
-            starts = [*starts_of(rows, ["key", "first", "second"]), rows.num_rows]
-            sizes, at, sides = (rows.column(k).to_numpy().astype(np.int64) for k in ("size", "at", "side"))
-            first, second = rows.column("first").to_numpy(), rows.column("second").to_numpy()
-            bits = Bitmaps(rows.column("bits").to_pylist())
+        for rows in groups_of(batches, ["key"]):
+            starts = [*starts_of(rows, ["key"]), rows.num_rows]
+            node, meta = rows.column("node").to_numpy(), rows.column("meta").to_numpy()
+            sizes, at, sides, same = meta >> 33, (meta >> 2) & 0x7FFFFFFF, (meta >> 1) & 1, meta & 1
+            bits = Bitmaps(rows.column("bits").to_pylist(), rows.column("more").to_pylist())
             waiting: list[tuple[np.ndarray, np.ndarray]] = []
             left: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
             held = 0
             for begin, end in zip(starts, starts[1:], strict=False):
-                for a, b in row_pairs(sides[begin:end], first[begin] == second[begin]):
+                if end - begin < 2:
+                    continue
+                for a, b in row_pairs(sides[begin:end], same[begin]):
                     waiting.append((a + begin, b + begin))
                     held += len(a)
                     if held >= PAIRS:
@@ -263,12 +316,13 @@ def _candidates(sets: DataFrame, threshold: float, block: int) -> DataFrame:
             if waiting:
                 left.append(able_pairs(*map(np.concatenate, zip(*waiting, strict=True)), sizes, at, bits, threshold))
             a, b = (np.concatenate(x) for x in zip(*left, strict=True))
-            root, digest = roots(rows.num_rows, a, b), rows.column("digest")
+            root = roots(rows.num_rows, a, b)
             other = np.flatnonzero(root != np.arange(rows.num_rows))
-            ends = pa.table({"a": digest.take(pa.array(other)), "b": digest.take(pa.array(root[other]))})
-            yield from ends.to_batches()
+            yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(node[root[other]])], names=["a", "b"])
 
-    return sort_by_group(dealt, "key").mapInArrow(run, "a binary, b binary").distinct()
+    # The number of blocks of a word is known from the table, so one shuffle is enough.
+    rows = sets.select("node", "size", "prefix", "bits", "more").mapInArrow(listed, _LISTED)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 # --- verification ---------------------------------------------------------------
@@ -357,7 +411,7 @@ def _later(group: pa.Table, threshold: float) -> np.ndarray:
     place = np.lexsort([group.column(k).to_numpy() for k in ("line", "text_hash", "id")])
     rank = np.empty(len(place), np.int64)
     rank[place] = np.arange(len(place))
-    bits, common = Bitmaps([bitmap(s) for s in sets]), shared_counts(sets)
+    bits, common = Bitmaps(*zip(*map(bitmaps, sets), strict=True)), shared_counts(sets)
     out = [np.zeros(0, np.int64)]
     same = group.column("first")[0].equals(group.column("second")[0])
     for a, b in row_pairs(group.column("side").to_numpy(), same):
@@ -377,8 +431,8 @@ def _removed(docs: DataFrame, id: str, text: str, threshold: float, block: int)
     sets = kept(_sets(docs, id, text, threshold))
     near = components(_candidates(sets, threshold, block))
     sized = near.groupBy("component").agg(F.count("*").alias("members"))
-    nodes = near.join(sized, "component").select(F.col("id").alias("digest"), F.xxhash64("component").alias("cluster"), "members")
-    nodes = kept(nodes.join(sets.select("digest", "id", "text_hash", "line"), "digest"))
+    nodes = near.join(sized, "component").select(F.col("id").alias("node"), F.col("component").alias("cluster"), "members")
+    nodes = kept(nodes.join(sets.select("node", "digest", "id", "text_hash", "line"), "node").drop("node"))
     matched = kept(_matched(docs, nodes, id, text, threshold, block))
     told = sets.join(matched.withColumn("matched", F.lit(True)), "digest", "left").filter("matched OR times > 1")
     told = told.select(

@@ -80,7 +80,7 @@ def test_bitmaps_never_bound_too_low():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 5, 60, 64, 65, 200, 256, 257, 1000)]
     sets += [np.unique(np.concatenate((s[: len(s) * 9 // 10 + 1], rng.integers(0, 2**63, 9, dtype=np.uint64)))) for s in sets]
-    bits = line_dedup.Bitmaps([line_dedup.bitmap(s) for s in sets])
+    bits = line_dedup.Bitmaps(*zip(*map(line_dedup.bitmaps, sets), strict=True))
     a, b = (x.ravel() for x in np.indices((len(sets), len(sets))))
     true = np.array([len(np.setxor1d(sets[x], sets[y])) for x, y in zip(a, b, strict=True)])
     found = bits.differences(a, b)
