@@ -8,13 +8,15 @@ block:
 * A set of n words is listed under its first n - ceil(t * n) + 1 words, rarest
   first; two sets that reach the threshold t share one of them.
 * The sets listed under a word are compared inside tasks, in pairs of blocks.
-  Merging hands on one edge per set and task, never the pairs themselves; a
-  list of pairs keeps the nearest partners of each set.
+  Merging hands on one edge per set and task, never the pairs themselves. The
+  exact linear report of all pairs is `similar_members`; lists of pairs are
+  whole as well, unless they are asked to keep the nearest partners only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,12 @@ from signalmill.operators.graph import components
 from signalmill.operators.ordered import first_per_key
 from signalmill.operators.pairing import deal_out, groups_of, roots, shared_counts, sort_by_group, starts_of
 from signalmill.operators.rollup import MAX_TAGS, scored, top_values
+from signalmill.operators.stable import stable
 
 AUTO_JACCARD = 0.62
 ASK_JACCARD = 0.5
 ASK_CONFIDENCE = 0.7
-# Partners of a cluster that `similar_pairs` lists and `merge_requests` asks about.
+# Partners of a cluster in the reports of nearest pairs, and in the first round of questions.
 NEAREST = 20
 BLOCK = 400
 _SLACK = 1e-9
@@ -65,15 +68,19 @@ def representatives(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def prefix_keys(sets: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """The sets under each of their prefix words, dealt into pairs of blocks: key, first, second, side, id, kind, words."""
+    """The sets under each of their prefix words, dealt into pairs of blocks: key, first, second, side, id, kind, words, at.
+
+    `at` is the place of the prefix word; columns besides id, block and words stay.
+    """
     n = F.size("words")
     length = n - F.ceil(n * threshold - _SLACK).cast("int") + 1
     hashed = F.transform("words", lambda w: F.xxhash64(w))
     listed = sets.select(
         "id",
         F.xxhash64("block").alias("kind"),
+        *[c for c in sets.columns if c not in ("id", "block", "words")],
         hashed.alias("words"),
-        F.explode(F.slice("words", F.lit(1), length)).alias("word"),
+        F.posexplode(F.slice("words", F.lit(1), length)).alias("at", "word"),
     ).withColumn("key", F.xxhash64("kind", "word"))
     often = listed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     return sort_by_group(deal_out(listed.drop("word").join(often, "key"), "key", "id", block), "key")
@@ -106,40 +113,112 @@ def _each_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, n
             yield group, _similarities(group)
 
 
-def nearest_pairs(sets: DataFrame, low: float, high: float, nearest: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b, sim), a < b, with low <= sim < high, where one is among the `nearest` of the other.
+def _first_here(group: pa.Table) -> np.ndarray:
+    """Whether the word of the group is the first that two rows share; each similar pair has one such group."""
+    words, at = group.column("words").combine_chunks(), group.column("at").to_pylist()
+    return shared_counts([x.values.to_numpy()[:n] for x, n in zip(words, at, strict=True)]) == 0
 
-    Nearest means most similar, then smallest id.
+
+def all_pairs(sets: DataFrame, low: float, high: float, block: int = BLOCK) -> DataFrame:
+    """Every pair (a, b, sim), a < b, with low <= sim < high, once."""
+    kind = dict(sets.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, sim in _each_group(batches):
+            a, b = np.nonzero(np.triu((sim >= low) & (sim < high) & _first_here(group)))
+            ids = group.column("id")
+            yield from pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "sim": sim[a, b]}).to_batches()
+
+    return prefix_keys(sets, low, block).mapInArrow(run, f"a {kind}, b {kind}, sim double")
+
+
+def link_counts(sets: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(id, n_links): how many sets are similar to a set, of those that have any; pairs are counted in place."""
+    kind = dict(sets.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, sim in _each_group(batches):
+            n = ((sim >= threshold) & _first_here(group)).sum(axis=1)
+            some = np.flatnonzero(n)
+            yield from pa.table({"id": group.column("id").take(pa.array(some)), "n": n[some].astype(np.int64)}).to_batches()
+
+    counts = prefix_keys(sets, threshold, block).mapInArrow(run, f"id {kind}, n bigint")
+    return counts.groupBy("id").agg(F.sum("n").alias("n_links"))
+
+
+def nearest_partners(sets: DataFrame, low: float, high: float, nearest: int, block: int = BLOCK) -> DataFrame:
+    """(x, y, sim) with low <= sim < high: the `nearest` partners of each set, most similar first, then smallest id.
+
+    With a column `component`, sets of one component are no partners. With
+    `past_sim` and `past_id`, a set takes the partners that come after that one.
     """
     kind = dict(sets.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, sim in _each_group(batches):
+            ids = group.column("id")
             sim[(sim < low) | (sim >= high)] = 0
+            if "component" in group.column_names:
+                own = group.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+                sim[own[:, None] == own[None, :]] = 0
+            if "past_sim" in group.column_names:
+                order = ids.to_pylist()
+                for x, (last, y) in enumerate(zip(group.column("past_sim").to_pylist(), group.column("past_id").to_pylist(), strict=True)):
+                    if last is not None:
+                        sim[x, sim[x] > last] = 0
+                        sim[x, : bisect_right(order, y)][sim[x, : bisect_right(order, y)] == last] = 0
             best = np.argsort(-sim, axis=1, kind="stable")[:, :nearest]
             x = np.repeat(np.arange(len(sim)), best.shape[1])
             y = best.ravel()
             true = sim[x, y] > 0
-            ids = group.column("id")
             columns = {"x": ids.take(pa.array(x[true])), "y": ids.take(pa.array(y[true])), "sim": sim[x[true], y[true]]}
             yield from pa.table(columns).to_batches()
 
     rows = prefix_keys(sets, low, block).mapInArrow(run, f"x {kind}, y {kind}, sim double")
     once = rows.groupBy("x", "y").agg(F.first("sim").alias("sim"))
-    best = first_per_key(once, ["x"], [F.desc("sim"), F.col("y")], nearest)
-    pairs = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sim")
+    return first_per_key(once, ["x"], [F.desc("sim"), F.col("y")], nearest)
+
+
+def _as_pairs(partners: DataFrame) -> DataFrame:
+    pairs = partners.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sim")
     return pairs.groupBy("a", "b").agg(F.first("sim").alias("sim"))
 
 
-def similar_pairs(clusters: DataFrame, threshold: float = AUTO_JACCARD, nearest: int = NEAREST) -> DataFrame:
+def nearest_pairs(sets: DataFrame, low: float, high: float, nearest: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b, sim), a < b, with low <= sim < high, where one is among the `nearest` of the other.
+
+    Nearest means most similar, then smallest id.
+    """
+    return _as_pairs(nearest_partners(sets, low, high, nearest, block))
+
+
+def similar_pairs(clusters: DataFrame, threshold: float = AUTO_JACCARD, nearest: int | None = None) -> DataFrame:
     """Similar pairs (a, b, sim), a < b, of clusters with different word sets.
 
-    Clusters with the same words stand behind the smallest id among them, and a
-    pair is listed if one of the two is among the `nearest` partners of the
-    other. Merging does not use this list; see `merge_edges`.
+    Clusters with the same words stand behind the smallest id among them. All
+    pairs are listed, which grows with the square of a group of similar
+    clusters; `similar_members` says the same in rows per cluster. With
+    `nearest`, a pair is listed if one of the two is among the `nearest`
+    partners of the other. Merging uses neither list; see `merge_edges`.
     """
     reps, _ = representatives(word_sets(clusters))
-    return nearest_pairs(reps, threshold, 2.0, nearest)
+    return all_pairs(reps, threshold, 2.0) if nearest is None else nearest_pairs(reps, threshold, 2.0, nearest)
+
+
+def similar_members(clusters: DataFrame, threshold: float = AUTO_JACCARD, block: int = BLOCK) -> DataFrame:
+    """(signature_id, component, rep, n_links) of clusters that are similar to another one.
+
+    `rep` is the smallest id with the same words, `n_links` the exact number of
+    other word sets that are similar to it.
+    """
+    reps, links = representatives(word_sets(clusters))
+    links = links.select(F.col("b").alias("signature_id"), F.col("a").alias("rep"))
+    found = merge_components(clusters, threshold=threshold, block=block).join(links, "signature_id", "left")
+    found = found.withColumn("rep", F.coalesce("rep", "signature_id"))
+    counts = link_counts(reps, threshold, block).withColumnRenamed("id", "rep")
+    return found.join(counts, "rep", "left").select(
+        "signature_id", "component", "rep", F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
 
 
 def merge_edges(clusters: DataFrame, threshold: float = AUTO_JACCARD, block: int = BLOCK) -> DataFrame:
@@ -160,15 +239,19 @@ def merge_edges(clusters: DataFrame, threshold: float = AUTO_JACCARD, block: int
 
 
 def merge_requests(
-    clusters: DataFrame, low: float = ASK_JACCARD, high: float = AUTO_JACCARD, nearest: int = NEAREST
+    clusters: DataFrame, low: float = ASK_JACCARD, high: float = AUTO_JACCARD, nearest: int | None = None
 ) -> DataFrame:
     """Pairs in the band below the automatic threshold, with the facts a model decides on.
 
-    Clusters with the same words merge anyway, so one of them is asked about;
-    each is asked about with its `nearest` partners of the band.
+    Clusters with the same words merge anyway, so one of them is asked about.
+    All pairs of the band are, or with `nearest` each with so many partners;
+    `asked_edges` asks in rounds and leaves out what earlier answers settle.
     """
     reps, _ = representatives(word_sets(clusters))
-    band = nearest_pairs(reps, low, high, nearest)
+    return _with_facts(all_pairs(reps, low, high) if nearest is None else nearest_pairs(reps, low, high, nearest), clusters)
+
+
+def _with_facts(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     facts = clusters.select(
         F.col("signature_id").alias("id"),
         F.to_json(
@@ -178,7 +261,45 @@ def merge_requests(
     one = facts.select(F.col("id").alias("a"), F.col("facts").alias("fa"))
     two = facts.select(F.col("id").alias("b"), F.col("facts").alias("fb"))
     payload = F.concat(F.lit('{"a": '), "fa", F.lit(', "b": '), "fb", F.lit("}"))
-    return band.join(one, "a").join(two, "b").select("a", "b", "sim", payload.alias("user"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sim", payload.alias("user"))
+
+
+def asked_edges(
+    clusters: DataFrame,
+    ask: Callable[[DataFrame], DataFrame],
+    low: float = ASK_JACCARD,
+    high: float = AUTO_JACCARD,
+    nearest: int = NEAREST,
+    block: int = BLOCK,
+) -> DataFrame:
+    """Edges (a, b) that a model adds; at the end no pair of the band between two components is unasked.
+
+    `ask` adds `answer` to requests (a, b, sim, user). Each round asks about the
+    next partners of every cluster that are still in another component, first
+    `nearest` and twice as many each time; a cluster only keeps the last partner
+    it was asked about. No pair is asked about twice.
+    """
+    reps, _ = representatives(word_sets(clusters))
+    reps, sure = stable(reps), stable(merge_edges(clusters, high, block))
+    kind = dict(reps.dtypes)["id"]
+    spark = clusters.sparkSession
+    asked = spark.createDataFrame([], f"a {kind}, b {kind}")
+    added = asked
+    past = spark.createDataFrame([], f"id {kind}, past_sim double, past_id {kind}")
+    while True:
+        members = components(sure.unionByName(added))
+        sets = reps.join(members, "id", "left").withColumn("component", F.coalesce("component", "id")).join(past, "id", "left")
+        partners = stable(nearest_partners(sets, low, high, nearest, block))
+        if partners.isEmpty():
+            return added
+        last = partners.groupBy(F.col("x").alias("id")).agg(F.max(F.struct(-F.col("sim"), "y")).alias("e"))
+        last = last.select("id", (-F.col("e.col1")).alias("past_sim"), F.col("e.y").alias("past_id"))
+        past = stable(past.join(last, "id", "left_anti").unionByName(last))
+        pairs = _as_pairs(partners).join(asked, ["a", "b"], "left_anti")
+        answers = stable(ask(_with_facts(pairs, clusters)))
+        asked = stable(asked.unionByName(answers.select("a", "b")))
+        added = stable(added.unionByName(merge_decisions(answers)))
+        nearest *= 2
 
 
 def merge_decisions(answers: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     """How many elements each two sets have in common, by products of 0/1 matrices."""
     out = np.zeros((len(sets), len(sets)), np.float32)
-    if len(sets) < 2:
+    if len(sets) < 2 or not any(map(len, sets)):
         return out
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(whole := np.concatenate(sets), kind="stable")

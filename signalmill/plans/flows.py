@@ -73,7 +73,8 @@ def roll_up(
 ) -> DataFrame:
     """Ranked clusters of items, similar ones merged on request.
 
-    With `complete`, a model decides on pairs a little below the merge threshold.
+    With `complete`, a model decides on pairs a little below the merge threshold,
+    until none between two clusters is left.
     """
     clusters = rollup.rollups(items, max_samples, max_tags)
     if not merge_similar:
@@ -81,9 +82,12 @@ def roll_up(
     clusters = stable(clusters)
     extra = None
     if complete is not None:
-        asked = merge.merge_requests(clusters, ask_jaccard, auto_jaccard)
         system = F.lit(fixed.MERGE_SYSTEM_PROMPT).alias("system")
-        extra = merge.merge_decisions(stable(requests.ask(asked.select("a", "b", system, "user"), complete)))
+
+        def ask(asked: DataFrame) -> DataFrame:
+            return requests.ask(asked.select("a", "b", system, "user"), complete)
+
+        extra = merge.asked_edges(clusters, ask, ask_jaccard, auto_jaccard)
     members = merge.merge_components(clusters, extra, threshold=auto_jaccard)
     named = rollup.with_signature(items).select("signature_id", "session_id")
     return rollup.in_rank_order(merge.merged_rollups(clusters, members, named, max_tags))

@@ -136,3 +136,37 @@ def test_incident_flag_survives_the_cut_of_tags(spark):
     assert [(r.merged, r.incident, r.tier) for r in merged] == [(clusters.count(), True, 1)]
     assert not any(t.value == "incident" for t in merged[0].tags_top)
     assert not merge.merged_rollups(clusters, members, compat=True).first().incident
+
+
+def test_hot_partners_are_all_listed_and_asked(spark):
+    """Pairs beyond the 20 nearest are listed, counted and put to the model."""
+    from signalmill.operators import requests
+
+    # A template of 30 clusters: equal similarity (4 of 6 words) for all pairs.
+    hot = [(f"id{n:02d}", "defect", f"alpha beta gamma delta x{n}") for n in range(30)]
+    df = spark.createDataFrame([*hot, ("id99", "defect", "alpha beta gamma delta x0")], "signature_id string, kind_v2_primary string, canonical_summary string").cache()
+    pairs = {(r.a, r.b) for r in merge.similar_pairs(df).collect()}
+    assert pairs == {(f"id{a:02d}", f"id{b:02d}") for b in range(30) for a in range(b)}
+    members = {r.signature_id: (r.component, r.rep, r.n_links) for r in merge.similar_members(df, block=7).collect()}
+    assert members == {f"id{n:02d}": ("id00", f"id{n:02d}", 29) for n in range(30)} | {"id99": ("id00", "id00", 29)}
+
+    facts = df.withColumn("kind_v2_counts", F.lit("{}")).withColumn("tags_top", F.lit("[]"))
+    band = (0.6, 0.7)
+    assert {(r.a, r.b) for r in merge.merge_requests(facts, *band).collect()} == pairs
+
+    def only_last(system, user):
+        """Merge nothing but the pair that is last in every order."""
+        return '{"decision": "%s", "confidence": 1}' % ("merge" if "x28" in user and "x29" in user else "separate")
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def ask(asked, complete):
+        seen.add(asked.count())
+        return requests.ask(asked, complete)
+
+    added = merge.asked_edges(facts, lambda asked: ask(asked, only_last), *band, nearest=3, block=7)
+    assert [(r.a, r.b) for r in added.collect()] == [("id28", "id29")]
+    assert 435 - 28 <= seen.value <= 435  # each pair once; less those that the merge settles
+    seen.value = 0
+    added = merge.asked_edges(facts, lambda asked: ask(asked, lambda *_: '{"decision": "merge", "confidence": 1}'), *band, nearest=3)
+    assert {c.component for c in components(added).collect()} == {"id00"} and seen.value < 435
