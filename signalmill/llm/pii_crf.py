@@ -9,7 +9,9 @@ each document. A token that is surely an entity and lies outside the base spans
 becomes an added span; base spans always stay.
 
 The weights are trained on the documents themselves: the base spans are the
-labels. Tasks only hand on counts of (features, label) and of label pairs along
+labels. A token outside them that repeats one inside is what the field has to
+find, so it counts as unlabelled. Where the field is applied, the labels of
+base spans are evidence. Tasks only hand on counts of (features, label) and of label pairs along
 the two kinds of edges, over all documents; their number is bounded by the
 feature space, not by the data.
 
@@ -41,6 +43,8 @@ SURE = 0.9
 UNSEEN = 4.0
 ROUNDS = 12
 DAMPING = 0.5
+# Log odds of the label of a base span, which is evidence.
+GIVEN = 50.0
 # Fewest digits by which two different tokens count as similar.
 SAME_DIGITS = 4
 
@@ -104,13 +108,14 @@ def base_spans(text: str) -> list[Span]:
 
 @dataclass
 class Tokens:
-    """Active tokens of one text: spans, features, label by the base spans, and edges."""
+    """Active tokens of one text: spans, features, label by the base spans, edges, and tokens that only repeat a labelled one."""
 
     spans: list[tuple[int, int]]
     features: list[tuple[int, int]]
     labels: list[int]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
+    tied: list[bool]
 
 
 def _bucket(n: int) -> int:
@@ -150,7 +155,9 @@ def tokens(text: str, base: list[Span]) -> Tokens:
         earlier = {last.get(x) for x in _keys(core, digits)} - {None, k - 1 if k and near[k - 1] else None}
         skip += [(x, k) for x in sorted(earlier)]
         last.update(dict.fromkeys(_keys(core, digits), k))
-    return Tokens(spans, features, labels, chain, skip)
+    known = {x for core, digits, y in zip(cores, numbers, labels, strict=True) if y for x in _keys(core, digits)}
+    tied = [not y and not known.isdisjoint(_keys(core, digits)) for core, digits, y in zip(cores, numbers, labels, strict=True)]
+    return Tokens(spans, features, labels, chain, skip, tied)
 
 
 def _keys(core: str, digits: str) -> list[tuple[str, str]]:
@@ -163,7 +170,10 @@ _COUNTS = "kind int, a int, b int, label int, n bigint"
 
 
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Counts of features with labels, and of label pairs along chain and skip edges, over all texts."""
+    """Counts of features with labels, and of label pairs along chain and skip edges, over all texts.
+
+    Tied tokens have no label and are left out, with their edges.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -171,9 +181,9 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
             for whole in texts_of(batch, text):
                 if _ACTIVE.search(whole):
                     t = tokens(whole, base_spans(whole))
-                    found.update((_UNARY, *f, y) for f, y in zip(t.features, t.labels, strict=True))
-                    found.update((_CHAIN, t.labels[a], 0, t.labels[b]) for a, b in t.chain)
-                    found.update((_SKIP, t.labels[a], 0, t.labels[b]) for a, b in t.skip)
+                    found.update((_UNARY, *f, y) for f, y, tied in zip(t.features, t.labels, t.tied, strict=True) if not tied)
+                    found.update((_CHAIN, t.labels[a], 0, t.labels[b]) for a, b in t.chain if not (t.tied[a] or t.tied[b]))
+                    found.update((_SKIP, t.labels[a], 0, t.labels[b]) for a, b in t.skip if not (t.tied[a] or t.tied[b]))
         rows = np.array([(*k, n) for k, n in found.items()], np.int64).reshape(-1, 5).T
         columns = [pa.array(x.astype(np.int32)) for x in rows[:4]] + [pa.array(rows[4])]
         yield pa.RecordBatch.from_arrays(columns, names=["kind", "a", "b", "label", "n"])
@@ -234,9 +244,15 @@ def train(rows: list[tuple[int, int, int, int, int]], steps: int = 400) -> Weigh
 
 
 def marginals(weights: Weights, parts: list[Tokens]) -> np.ndarray:
-    """Label probabilities of all tokens of some texts, by loopy message passing."""
+    """Label probabilities of all tokens of some texts, by loopy message passing. Labels of base spans are given."""
     features = np.array([f for t in parts for f in t.features], np.int64).reshape(-1, 2).T
-    unary = _log_softmax(weights.shape[features[0]] + weights.number[features[1]])
+    shape = weights.shape[features[0]]
+    # A tied token brings evidence of its own; a shape without examples says nothing about it.
+    tied = np.array([x for t in parts for x in t.tied], bool)
+    shape[tied & (shape == UNSEEN * (np.arange(len(LABELS)) == 0)).all(axis=1)] = 0
+    unary = _log_softmax(shape + weights.number[features[1]])
+    given = np.array([y for t in parts for y in t.labels], np.int64)
+    unary[given > 0] = np.where(np.eye(len(LABELS))[given[given > 0]] > 0, 0.0, -GIVEN)
     before = np.cumsum([0] + [len(t.spans) for t in parts])
     edges, potential = [], []
     for kind, table in (("chain", weights.chain), ("skip", weights.skip)):

@@ -116,3 +116,27 @@ def test_training_does_not_depend_on_the_order_and_empty_table(spark):
     assert np.allclose(weights.shape, again.shape) and np.allclose(weights.chain, again.chain)
     empty = table(spark, [])
     assert pii_crf.personal_data(empty, pii_crf.fit(empty)).count() == 0
+
+
+def test_repeats_are_found_in_the_documents_of_the_fit(spark):
+    """Most phones repeat in a bare form that no rule sees; the same documents train and are scored."""
+    rng = random.Random(7)
+    rows, wanted = [], set()
+    for i in range(1000):
+        last, order = f"555-{rng.randint(1000, 9999)}", rng.randint(1000, 9999)
+        text = f"call +1 ({rng.randint(200, 999)}) {last} about order {order} of {rng.randint(1, 99)} parts, order {order} is late"
+        if i % 2:
+            bare = last if i % 4 == 1 else last.replace("-", "")
+            text += f" so please use {bare} today"
+            at = text.rindex(bare)
+            wanted.add((i, at, at + len(bare)))
+        elif i % 20 == 0:
+            text += f" or write to +1 (212) {last} today"
+        rows.append((i, text))
+    docs = table(spark, rows)
+    weights = pii_crf.fit(docs)
+    phone = pii_crf.LABELS.index("phone")
+    assert weights.skip[phone, phone] > 1 > -1 > weights.skip[phone, 0]
+    found = pii_crf.personal_data(docs, weights).collect()
+    added = {(r["doc_id"], s["start"], s["end"]) for r in found for s in set(r["spans"]) - set(r["base"])}
+    assert (len(wanted & added), len(added - wanted)) == (500, 0)
