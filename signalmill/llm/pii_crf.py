@@ -41,7 +41,10 @@ NUMBERS = 32
 SURE = 0.9
 # Advantage of none, in log odds, for a shape without examples.
 UNSEEN = 4.0
-ROUNDS = 12
+# Messages of a text settle when none changes by more than this, in log odds.
+SETTLED = 1e-3
+# Rounds that a text may take beyond two for each of its edges, if its messages swing.
+ROUNDS = 100
 DAMPING = 0.5
 # Log odds of the label of a base span, which is evidence.
 GIVEN = 50.0
@@ -254,10 +257,11 @@ def marginals(weights: Weights, parts: list[Tokens]) -> np.ndarray:
     given = np.array([y for t in parts for y in t.labels], np.int64)
     unary[given > 0] = np.where(np.eye(len(LABELS))[given[given > 0]] > 0, 0.0, -GIVEN)
     before = np.cumsum([0] + [len(t.spans) for t in parts])
-    edges, potential = [], []
+    edges, potential, text = [], [], []
     for kind, table in (("chain", weights.chain), ("skip", weights.skip)):
         own = [(a + k, b + k) for t, k in zip(parts, before, strict=False) for a, b in getattr(t, kind)]
         edges += own
+        text += [k for k, t in enumerate(parts) for _ in getattr(t, kind)]
         potential += [table] * len(own)
     if not edges:
         return np.exp(unary)
@@ -266,15 +270,24 @@ def marginals(weights: Weights, parts: list[Tokens]) -> np.ndarray:
     # Every edge in both directions; the reverse of message k is k + E modulo 2E.
     source, target = np.concatenate((a, b)), np.concatenate((b, a))
     table = np.concatenate((table, table.transpose(0, 2, 1)))
+    text = np.array(text)
+    last = 2 * np.bincount(text) + ROUNDS
+    text = np.concatenate((text, text))
     back = np.roll(np.arange(2 * len(a)), len(a))
     message = np.zeros((2 * len(a), len(LABELS)))
-    for _ in range(ROUNDS):
+    # Texts leave once settled; their messages stay.
+    moving, turn = np.arange(2 * len(a)), 0
+    while len(moving):
+        turn += 1
         belief = unary.copy()
         np.add.at(belief, target, message)
-        sent = (belief[source] - message[back])[:, :, None] + table
+        sent = (belief[source[moving]] - message[back[moving]])[:, :, None] + table[moving]
         top = sent.max(axis=1, keepdims=True)
         fresh = _log_softmax(np.log(np.exp(sent - top).sum(axis=1)) + top[:, 0])
-        message = DAMPING * message + (1 - DAMPING) * fresh
+        change = np.zeros(len(last))
+        np.maximum.at(change, text[moving], np.abs(fresh - message[moving]).max(axis=1))
+        message[moving] = DAMPING * message[moving] + (1 - DAMPING) * fresh
+        moving = moving[((change > SETTLED) & (turn < last))[text[moving]]]
     belief = unary.copy()
     np.add.at(belief, target, message)
     return np.exp(_log_softmax(belief))

@@ -140,3 +140,19 @@ def test_repeats_are_found_in_the_documents_of_the_fit(spark):
     found = pii_crf.personal_data(docs, weights).collect()
     added = {(r["doc_id"], s["start"], s["end"]) for r in found for s in set(r["spans"]) - set(r["base"])}
     assert (len(wanted & added), len(added - wanted)) == (500, 0)
+
+
+def test_evidence_reaches_all_repeats_of_a_long_text():
+    """One base span, then 300 bare repeats: the marginals are those of the chain, to its end."""
+    size = len(pii_crf.LABELS)
+    w = pii_crf.Weights(*(np.zeros((n, size)) for n in (pii_crf.SHAPES, pii_crf.NUMBERS, size, size)))
+    w.skip = np.where(np.eye(size) > 0, 6.0, -1.0)
+    text = "+1 (417) 555-7713" + " and 555-7713 too" * 300
+    t = pii_crf.tokens(text, pii_crf.base_spans(text))
+    other = pii_crf.tokens("call 12 34 word 77", [])
+    got = pii_crf.marginals(w, [other, t])[len(other.spans) :]
+    step = np.exp(w.skip) / np.exp(w.skip).sum(1, keepdims=True)
+    wanted = np.eye(size)[pii_crf.LABELS.index("phone")]
+    for row in got[-300:]:
+        wanted = wanted @ step
+        assert np.allclose(row, wanted, atol=2e-2)
