@@ -54,3 +54,21 @@ def test_whole_texts_and_empty_tables(spark):
     assert sorted(map(repr, map(tuple, found))) == ["(1, 'MIT', 1, 1.0)", "(None, 'MIT', 1, 1.0)"]
     assert license_scan.licences(table(spark, [])).count() == 0
     assert license_scan.licences(table(spark, ODD), known=[("x", "one")]).count() == 0
+
+
+def test_whole_licences_and_standard_headers(spark):
+    """The texts as their publishers give them, also inside a file that holds more."""
+    texts = {f.stem: f.read_text() for f in license_scan.TEXTS.glob("*.txt")}
+    apache = texts["Apache-2.0"][texts["Apache-2.0"].rindex('   Licensed under the Apache License') :]
+    gnu = "{0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    prose = "words of a page " * 300
+    cases = [(k, f"Copyright (c) 2020 Some One\n\n{t}") for k, t in texts.items()]
+    cases += [("Apache-2.0", f"Copyright 2020 Some One\n\n{apache}\n\n{prose}")]
+    cases += [("AGPL-3.0", gnu.format("This program", "Affero ") + f"\n\n{prose}"), ("LGPL-3.0", gnu.format("This program", "Lesser ") + f"\n\n{prose}")]
+    cases += [("BSD-3-Clause", f"{prose}\n\n{texts['BSD-3-Clause']}\n\n{prose}")]
+    found = license_scan.licences(table(spark, [(i, t) for i, (_, t) in enumerate(cases)])).collect()
+    for i, (licence, _) in enumerate(cases):
+        mine = {r["licence"]: r["dice"] for r in found if r["doc_id"] == i}
+        assert mine.get(licence, 0) > 0.9, (licence, mine)
+        assert licence != "BSD-3-Clause" or "BSD-2-Clause" not in mine
+        assert licence not in ("AGPL-3.0", "LGPL-3.0") or "GPL-3.0" not in mine
