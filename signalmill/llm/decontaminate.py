@@ -5,8 +5,8 @@ set that every task holds. A task turns the words of a text into numbers (0 for
 a word that no item has), looks only at stretches of known words that are long
 enough, hashes all their windows at once, and verifies each hit word by word.
 
-The set is broadcast in blocks of at most `BLOCK_WORDS` item words; its size is
-checked before. A benchmark of several blocks is scanned block by block: the
+The set is broadcast in blocks of at most `BLOCK_WORDS` item words; their sizes
+are counted before, equal rows once, and long items are cut. A benchmark of several blocks is scanned block by block: the
 hit marks travel with the rows, which are written between the passes, so a task
 never holds more than one block.
 """
@@ -90,13 +90,42 @@ def hits(listed: list[bytes], index: Index) -> tuple[np.ndarray | None, set]:
     return marks, items
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> list[DataFrame]:
-    """The items in parts of about `block_words` words at most."""
-    rows = benchmark.select(F.col(item).cast("string"), F.col(text)).filter(F.col(text).isNotNull())
-    # Every word takes two bytes at least, with its separator.
-    total = rows.agg(F.sum(F.expr(f"(octet_length(`{text}`) + 1) div 2"))).first()[0] or 0
-    count = max(1, -(-total // block_words))
-    return [rows.filter(F.pmod(F.xxhash64("*"), F.lit(count)) == i) for i in range(count)]
+def _blocks(benchmark: DataFrame, item: str, text: str, n: int, block_words: int) -> list[DataFrame]:
+    """The different items in parts of at most `block_words` words, long ones in stretches that overlap by n - 1 words."""
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).distinct()
+    most = max(n, block_words // 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                listed = words(whole)
+                starts = range(0, len(listed) - n + 1, most - n + 1) if len(listed) > most else [0] if listed else []
+                parts = [listed[at : at + most] for at in starts]
+                if parts:
+                    columns = [[name] * len(parts), [b" ".join(x).decode() for x in parts], list(map(len, parts))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["item", "text", "size"])
+
+    parts = rows.mapInArrow(run, "item string, text string, size bigint").distinct()
+    total = parts.agg(F.sum("size")).first()[0] or 0
+    if total <= block_words:
+        return [parts.select("item", "text")]
+    parts = kept(parts)
+    places = 64 * -(-total // block_words)
+    while True:
+        place = F.pmod(F.xxhash64("item", "text"), F.lit(places))
+        sizes = sorted(tuple(r) for r in parts.groupBy(place.alias("place")).agg(F.sum("size"), F.count("*")).collect())
+        # A single stretch may be larger only where the bound is below the length of a window.
+        if all(size <= block_words or count == 1 for _, size, count in sizes):
+            break
+        places *= 2
+    cuts, held = [0], 0
+    for at, size, _ in sizes:
+        if held and held + size > block_words:
+            cuts.append(at)
+            held = 0
+        held += size
+    cuts.append(places)
+    return [parts.filter((place >= a) & (place < b)).select("item", "text") for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 _STATE = "struct<n_words: bigint, n_hit: bigint, marks: binary, items: array<string>>"
@@ -122,7 +151,7 @@ def marked(
     """
     context = docs.sparkSession.sparkContext
     df = docs.select(F.struct("*").alias("row"), F.lit(None).cast(_STATE).alias("hit"))
-    blocks = _blocks(benchmark, item, item_text, block_words)
+    blocks = _blocks(benchmark, item, item_text, n, block_words)
     for block in blocks:
         shared = context.broadcast(index_of([tuple(r) for r in block.collect()], n))
 

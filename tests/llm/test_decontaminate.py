@@ -68,3 +68,24 @@ def test_empty_tables(spark):
     assert decontaminate.report(table(spark, []), items_table(spark, ITEMS)).count() == 0
     rows = decontaminate.report(table(spark, ODD), items_table(spark, [])).collect()
     assert len(rows) == len(ODD) and not any(r["contaminated"] for r in rows)
+
+
+def test_blocks_keep_their_bound(spark):
+    """Repeated rows count once and a long item is cut; the windows of all blocks are those of the items."""
+    from signalmill.llm import decontaminate
+
+    long = " ".join(f"w{k}" for k in range(1000))
+    rows = [(1, "one two three " * 10)] * 300 + [(2, long), (3, "a b"), (None, "c d")]
+    items = spark.createDataFrame(rows, "item_id int, text string")
+    blocks = [[tuple(r) for r in b.collect()] for b in decontaminate._blocks(items, "item_id", "text", 13, 200)]
+    assert len(blocks) > 5 and all(sum(len(t.split()) for _, t in b) <= 200 for b in blocks)
+
+    def windows(listed):
+        out = set()
+        for item, text in listed:
+            w = text.split()
+            size = min(13, len(w))
+            out |= {(item and str(item), tuple(w[k : k + size])) for k in range(len(w) - size + 1)}
+        return out
+
+    assert windows(r for b in blocks for r in b) == windows(rows)
