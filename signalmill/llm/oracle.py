@@ -160,6 +160,91 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, s AS text_sha256 F
 """
 
 
+# Unsigned CRC-32 of the decimal digits of an id, bit by bit.
+_CRC = """xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT), lambda c, d: list_reduce(range(8),
+    lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, d)), 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    return f"sha256({' || '.join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields)})"
+
+
+# All levels of all trees, one row per node; a proof is walked up level by level.
+_MANIFEST = f"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, source, {_leaf("text")} AS leaf,
+    CASE WHEN {_CRC} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS claim FROM documents),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM rows),
+nodes AS (
+  SELECT source, 0 AS level, i, n, leaf AS digest FROM numbered
+  UNION ALL
+  SELECT source, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM nodes WHERE n > 1
+  GROUP BY source, level, i // 3, n),
+subroots AS (
+  SELECT source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+top AS (
+  SELECT 0 AS level, i, n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 3, n),
+lower_runs AS (SELECT source, level, i // 3 AS run, list(digest ORDER BY i) AS members FROM nodes WHERE n > 1 GROUP BY ALL),
+upper_runs AS (SELECT level, i // 3 AS run, list(digest ORDER BY i) AS members FROM top WHERE n > 1 GROUP BY ALL),
+steps AS (
+  SELECT x.doc_id, x.leaf, l.level, members, x.i // (3 ** l.level)::BIGINT % 3 AS own
+  FROM numbered x JOIN lower_runs l ON l.source IS NOT DISTINCT FROM x.source AND l.run = x.i // (3 ** (l.level + 1))::BIGINT
+  UNION ALL
+  SELECT x.doc_id, x.leaf, 1000 + u.level, members, s.i // (3 ** u.level)::BIGINT % 3 AS own
+  FROM numbered x JOIN subroots s ON s.source IS NOT DISTINCT FROM x.source JOIN upper_runs u ON u.run = s.i // (3 ** (u.level + 1))::BIGINT),
+paths AS (
+  SELECT doc_id, leaf, list({{'l': array_to_string(members[1:own], ''), 'r': array_to_string(members[own + 2:], '')}} ORDER BY level) AS path
+  FROM steps GROUP BY doc_id, leaf),
+told AS (
+  SELECT x.doc_id, x.leaf, x.claim, s.digest AS subroot, (SELECT digest FROM top WHERE n = 1) AS root,
+    coalesce(p.path, []) AS path
+  FROM numbered x JOIN subroots s ON s.source IS NOT DISTINCT FROM x.source LEFT JOIN paths p ON p.doc_id = x.doc_id AND p.leaf = x.leaf)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda p: p.l || p.r), '')) AS proof_sha256,
+  list_reduce(list_transform(path, lambda p: {{'l': p.l, 'd': '', 'r': p.r}}), lambda a, p: {{'l': '', 'd': sha256(p.l || a.d || p.r), 'r': ''}},
+    {{'l': '', 'd': claim, 'r': ''}}).d AS folded_root,
+  folded_root = root AS verified
+FROM told
+"""
+
+_TOP_K = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+placed AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM placed WHERE rank <= 5
+"""
+
+# Every lag of every pair of equal words, then the islands of each lag.
+_PERIODIC_RUNS = rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w, {_CRC} AS h, h // 10 AS g FROM documents),
+bent AS (
+  SELECT doc_id, w, h % 10 = 0 AND len(w) > 0 AS periodic, g % greatest(len(w), 1) AS a, 1 + (len(w) - a) // (3 + g % 8) AS p FROM docs),
+made AS (
+  SELECT doc_id, CASE WHEN periodic THEN list_transform(range(len(w)), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM bent),
+words AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS x, len(w) AS n FROM made),
+met AS (SELECT b.doc_id, b.i, b.i - a.i AS lag FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.x = b.x AND a.i < b.i AND 4 * (b.i - a.i) <= b.n),
+islands AS (SELECT doc_id, lag, i, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS island FROM met),
+diagonals AS (SELECT doc_id, lag, min(i) - lag AS start, count(*) + lag AS length FROM islands GROUP BY doc_id, lag, island),
+runs AS (SELECT doc_id, start, length, min(lag) AS period FROM diagonals WHERE length >= greatest(6, 4 * lag) GROUP BY doc_id, start, length),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+told AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+    first({{'s': start, 'l': length, 'p': period}} ORDER BY length DESC, start, period) AS longest FROM runs GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, longest.s AS start, longest.l AS length, longest.p AS period,
+  1000 * longest.l // longest.p AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM made LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op1_ngram_join": _NGRAM_JOIN,
@@ -168,4 +253,7 @@ def all_sql() -> dict[str, str]:
         "op6_line_dedup": _LINE_DEDUP,
         "op7_licenses": _licenses(),
         "op10_exact_dedup": _EXACT_DEDUP,
+        "op11_manifest": _MANIFEST,
+        "op12_top_k": _TOP_K,
+        "op13_periodic_runs": _PERIODIC_RUNS,
     }
