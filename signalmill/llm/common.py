@@ -37,13 +37,16 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def once_per_worker(key: tuple, make: Callable[[], object]) -> object:
-    """A value made once in a Python worker and used by all tasks that it runs.
+    """A value made once in a Python worker and used by the tasks that it runs.
 
     Functions travel to the workers by value, which makes module globals anew in
-    every task; an attribute of `sys` lives as long as the worker.
+    every task; an attribute of `sys` lives as long as the worker. A worker holds
+    one such value: the next operator that asks for another one drops it, so a
+    chain of operators needs no more memory than the largest of them.
     """
     store = sys.__dict__.setdefault("_signalmill_worker", {})
     if key not in store:
+        store.clear()
         store[key] = make()
     return store[key]
 

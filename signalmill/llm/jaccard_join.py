@@ -59,7 +59,7 @@ ROWS = 5
 STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 400
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 
 _RANDOM = np.random.default_rng(5_281)
 _FACTORS = _RANDOM.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
