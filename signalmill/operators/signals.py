@@ -77,13 +77,17 @@ def heuristic_candidates(
     quote of a long text is its first 200 characters; with `compat` it is the
     shortened text with trailing dots, which validation then mostly rejects.
     """
+    return chunk_candidates(heuristic_hits(views).join(chunk_members(bounds), ["session_id", "v"]), max_items, compat)
+
+
+def chunk_candidates(hits: DataFrame, max_items: int = MAX_ITEMS, compat: bool = False) -> DataFrame:
+    """`heuristic_candidates` of rule hits that carry their chunk_idx."""
     quote = F.expr(truncate("text", MAX_QUOTE) if compat else rstrip(f"left({strip('text')}, {MAX_QUOTE})"))
     evidence = F.array(
         F.struct(
             F.col("i").cast("bigint").alias("event_i"), "role", F.lit("text").alias("field_path"), quote.alias("quote")
         )
     )
-    hits = heuristic_hits(views).join(chunk_members(bounds), ["session_id", "v"])
     first = first_per_key(hits, ["session_id", "chunk_idx"], [F.col("i")], max_items)
     return first.select(
         "session_id",

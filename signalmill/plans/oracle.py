@@ -786,6 +786,8 @@ def all_sql() -> dict[str, str]:
         f"{_TRACE},{_HITS}",
         "SELECT epoch_us(date_trunc('day', ts)) AS window_start, kind, count(*) AS n FROM hits GROUP BY ALL",
     )
+    sql["stream_chunks"] = _with(bounds, "SELECT session_id, chunk_idx, s AS start_v, e AS end_v FROM bounds")
+    sql["stream_mined_items"] = sql["mined_items"]
     sql["stream_gaps"] = _with(
         _CRON,
         """SELECT session_id, count(*) AS n, round(sum(g), 3) AS gap_sum, count(*) FILTER (g < 10000) AS rapid FROM (

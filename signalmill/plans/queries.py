@@ -31,7 +31,7 @@ from signalmill.operators.stable import new_path, stable
 from signalmill.sources import documents as docs
 from signalmill.sources import items as item_files
 from signalmill.sources import sessions, tables
-from signalmill.streaming import live
+from signalmill.streaming import gaps, live, mining
 
 _ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
@@ -909,13 +909,24 @@ def stream_counts(spark, sf_dir):
     return rows.select(F.unix_micros("window_start").alias("window_start"), "kind", "n")
 
 
+# The trace reaches the gap stream in slices of time; every third row comes one slice later than it should.
+_SLICES = 3
+_SLICE_DAYS = 10
+
+
 @register
 def stream_gaps(spark, sf_dir):
-    out, mark = new_path(spark, "gaps"), new_path(spark, "gaps-progress")
-    cron_rows = _event_stream(spark, sf_dir).filter(F.contains("text", F.lit("Cron")))
-    live.run_available(live.gap_stream(cron_rows), mark, live.parquet_writer(out), "append")
-    rows = spark.read.parquet(out)
-    return rows.groupBy("session_id").agg(
+    """Gaps between cron rows that come slice by slice and out of order."""
+    source, out, mark = (new_path(spark, name) for name in ("cron", "gaps", "gaps-progress"))
+    rows = tables.trace(spark, sf_dir).filter(F.contains("text", F.lit("Cron"))).select("session_id", "ts", "pos")
+    start = rows.agg(F.min("ts")).first()[0]
+    due = F.floor(F.timestamp_diff("DAY", F.lit(start), "ts") / _SLICE_DAYS) + (F.col("pos") % 3 == 0).cast("int")
+    slices = rows.withColumn("due", F.least(due, F.lit(_SLICES - 1)))
+    for k in range(_SLICES):
+        slices.filter(F.col("due") == k).select("session_id", "ts").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("session_id string, ts timestamp").parquet(source)
+        gaps.release_available(stream, out, mark, f"{2 * _SLICE_DAYS} days")
+    return gaps.settled(spark, out, mark).groupBy("session_id").agg(
         F.count("*").alias("n"), F.round(F.sum("gap_ms"), 3).alias("gap_sum"), F.count_if("rapid").alias("rapid")
     )
 
@@ -931,6 +942,37 @@ def stream_distinct(spark, sf_dir):
     return spark.read.parquet(out).select("item_id", "kind")
 
 
+# Files that the numbered trace is dealt into for a stream, in no order, and how many a batch reads.
+_STREAM_FILES = 6
+_BATCH_FILES = 2
+
+
+def _mined_stream(spark, sf_dir) -> str:
+    """The folder of a mining stream over the numbered trace in several unordered files."""
+
+    def mine() -> DataFrame:
+        source, out, mark = (new_path(spark, name) for name in ("views", "mined", "mined-progress"))
+        views = _views(spark, sf_dir).repartition(_STREAM_FILES, "pos")
+        views.write.option("maxRecordsPerFile", 0).parquet(source)
+        stream = spark.readStream.schema(views.schema).option("maxFilesPerTrigger", _BATCH_FILES).parquet(source)
+        mining.mine_available(stream, out, mark)
+        return spark.createDataFrame([(out,)], "path string")
+
+    return _once(spark, sf_dir, "mined-stream", mine).first()["path"]
+
+
+@register
+def stream_chunks(spark, sf_dir):
+    """Chunks of sessions whose views come unordered in several batches."""
+    return mining.mined_chunks(spark, _mined_stream(spark, sf_dir)).select("session_id", "chunk_idx", "start_v", "end_v")
+
+
+@register
+def stream_mined_items(spark, sf_dir):
+    """Items mined from the same stream, chunk by chunk."""
+    return _flat_items(mining.mined_items(spark, _mined_stream(spark, sf_dir)))
+
+
 @register
 def stream_tickets(spark, sf_dir):
     """Ticket changes that a stream of clusters asks for."""

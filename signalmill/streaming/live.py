@@ -1,20 +1,16 @@
-"""The row-local steps of the batch path on streams, plus windowed and stateful operators.
+"""The row-local steps of the batch path on streams, windowed operators, and what stateful ones share.
 
-Line numbers and chunks need whole sessions, so chunked mining stays with batch.
+Chunked mining is in `mining`, gaps are in `gaps`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from signalmill.functions.text import session_key
-from signalmill.operators.cron import RAPID_MS
 from signalmill.operators.events import event_views
 from signalmill.operators.signals import heuristic_hits
 from signalmill.operators.tickets import existing_fingerprints, ticket_creates, ticket_ir, ticket_updates
@@ -56,51 +52,17 @@ def distinct_items(items: DataFrame, delay: str = "1 hour") -> DataFrame:
     return items.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["item_id"])
 
 
-# Rows per part of the result.
-PART = 100_000
-QUIET_MS = 7 * 24 * 3600 * 1000
-_GAP = "session_id string, ts timestamp, gap_ms double, rapid boolean, late boolean"
-
-
-def _gaps_of_session(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    last = state.get[0] if state.exists else None
-    # Spark hands over the batch in parts without an order; eight bytes per row are kept of them.
-    micros = np.sort(np.concatenate([p["ts"].to_numpy("datetime64[us]").astype("int64") for p in parts]))
-    late = micros < last if last is not None else np.zeros(len(micros), bool)
-    on_time = micros[~late]
-    before = np.concatenate(([np.nan if last is None else last], on_time[:-1]))
-    gaps = np.full(len(micros), np.nan)
-    gaps[~late] = (on_time - before[: len(on_time)]) / 1000.0
-    newest = int(on_time[-1]) if len(on_time) else last
-    state.update((newest,))
-    state.setTimeoutTimestamp(newest // 1000 + QUIET_MS)
-    for at in range(0, len(micros), PART):
-        part = slice(at, at + PART)
-        yield pd.DataFrame(
-            {
-                "session_id": key[0],
-                "ts": micros[part].astype("datetime64[us]"),
-                "gap_ms": gaps[part],
-                "rapid": gaps[part] < RAPID_MS,
-                "late": late[part],
-            }
-        )
-
-
-def gap_stream(cron: DataFrame) -> DataFrame:
-    """Time since the cron event before, per session, over a stream of (session_id, ts).
-
-    The state is one timestamp per session. It expires once the watermark is a
-    quiet week ahead of it. A row that is older than an earlier batch of its
-    session is marked late and has no gap, since gaps around it are out already.
-    """
-    timed = cron.select("session_id", "ts").withWatermark("ts", "1 day")
-    return timed.groupBy("session_id").applyInPandasWithState(
-        _gaps_of_session, _GAP, "last bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def with_rocksdb[T](spark: SparkSession, start: Callable[[], T]) -> T:
+    """Start a query whose operators keep lists, maps and timers, or read their state: the RocksDB store holds it."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return start()
+    finally:
+        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
 
 
 def run_available(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str) -> None:

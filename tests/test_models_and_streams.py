@@ -69,32 +69,6 @@ def test_session_stream(spark, tmp_path):
     assert {r.session_id for r in rows.collect()} == {r.session_id for r in batch.collect()}
 
 
-def test_gap_stream_keeps_state_between_batches(spark, tmp_path):
-    source = str(tmp_path / "in")
-    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
-    for second in (0, 4, 60):
-        day = F.expr(f"TIMESTAMP '2026-01-01 00:00:00' + INTERVAL {second} SECONDS").cast("timestamp")
-        spark.range(1).select(F.lit("s").alias("session_id"), day.alias("ts")).write.mode("append").parquet(source)
-        stream = spark.readStream.schema("session_id string, ts timestamp").parquet(source)
-        live.run_available(live.gap_stream(stream), mark, live.parquet_writer(out), "append")
-    got = [(r.gap_ms, r.rapid) for r in spark.read.parquet(out).orderBy("ts").collect()]
-    assert got == [(None, False), (4000.0, True), (56000.0, False)]
-
-
-def test_late_rows_of_gap_stream_are_marked(spark, tmp_path):
-    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
-    for seconds in ([0], [90, 60], [30, 100, 95]):
-        days = [F.expr(f"TIMESTAMP '2026-01-01 00:00:00' + INTERVAL {s} SECONDS").cast("timestamp") for s in seconds]
-        spark.range(1).select(F.lit("s").alias("session_id"), F.explode(F.array(*days)).alias("ts")).write.mode("append").parquet(source)
-        stream = spark.readStream.schema("session_id string, ts timestamp").parquet(source)
-        live.run_available(live.gap_stream(stream), mark, live.parquet_writer(out), "append")
-    got = [(r.ts.second + 60 * r.ts.minute, r.gap_ms, r.rapid, r.late) for r in spark.read.parquet(out).orderBy("ts").collect()]
-    assert got == [
-        (0, None, False, False), (30, None, False, True), (60, 60000.0, False, False), (90, 30000.0, False, False),
-        (95, 5000.0, True, False), (100, 5000.0, True, False),
-    ]
-
-
 def test_one_bad_entry_costs_one_entry(spark):
     from signalmill.operators import signals
 
