@@ -556,6 +556,7 @@ def all_sql() -> dict[str, str]:
 
     sql["similar_pairs"] = _with(f"{_DISTINCT}, {nearest(0.62, 2.0)}", "SELECT a, b, round(sim, 6) AS sim FROM nearest")
     sql["merge_components"] = _with(_MEMBERS, "SELECT signature_id, component FROM members")
+    sql["components_daily"] = sql["merge_components"]
     sql["merged_members"] = _with(
         _MEMBERS, "SELECT component, signature_id, tier FROM members JOIN clusters USING (signature_id)"
     )

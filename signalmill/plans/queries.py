@@ -16,6 +16,7 @@ from signalmill.operators import (
     evaluate,
     events,
     evidence,
+    graph,
     inspect,
     latency,
     merge,
@@ -500,6 +501,18 @@ def merge_components(spark, sf_dir):
     return _once(spark, sf_dir, "members", lambda: merge.merge_components(_clusters(spark, sf_dir)))
 
 
+@register
+def components_daily(spark, sf_dir):
+    """Components of similar clusters whose edges come in batches, of which each only adds to what is stored."""
+    path = new_path(spark, "components")
+    edges = stable(merge.merge_edges(_clusters(spark, sf_dir)).select("a", "b"))
+    days = 4
+    for day in range(days):
+        graph.add_batch(edges.filter(F.pmod(F.xxhash64("a", "b"), F.lit(days)) == day), path, day)
+    kind = dict(edges.dtypes)["a"]
+    return graph.read_grouping(spark, path, days, kind).current().select(F.col("id").alias("signature_id"), "component")
+
+
 @register
 def merged_rollups(spark, sf_dir):
     items = rollup.with_signature(_items(spark, sf_dir)).select("signature_id", "session_id")
