@@ -33,8 +33,8 @@ def with_signature(items: DataFrame) -> DataFrame:
     )
 
 
-def facet_counts(items: DataFrame) -> DataFrame:
-    """(signature_id, facet, value, n, first_pos) over items with `pos`.
+def facet_counts(items: DataFrame, *keys: str) -> DataFrame:
+    """(signature_id, facet, value, n, first_pos) over items with `pos`, also by `keys`.
 
     Of the tags only `incident` is among the facets; `tag_counts` has them all.
     """
@@ -56,19 +56,19 @@ def facet_counts(items: DataFrame) -> DataFrame:
     facets = f"concat(array({', '.join(one)}), {flag})"
     labelled = with_signature(items).withColumn("fine", F.expr(kind_v2("kind", "summary", "tags")))
     return (
-        labelled.select("signature_id", "pos", F.explode(F.expr(facets)).alias("f"))
+        labelled.select(*keys, "signature_id", "pos", F.explode(F.expr(facets)).alias("f"))
         .filter("f.value IS NOT NULL")
-        .groupBy("signature_id", "f.facet", "f.value")
+        .groupBy(*keys, "signature_id", "f.facet", "f.value")
         .agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
     )
 
 
-def tag_counts(items: DataFrame) -> DataFrame:
+def tag_counts(items: DataFrame, *keys: str) -> DataFrame:
     """(signature_id, value, n, first_pos) of tags; `first_pos` also tells tags of one item apart."""
-    tags = with_signature(items).select("signature_id", "pos", F.posexplode("tags").alias("at", "value"))
+    tags = with_signature(items).select(*keys, "signature_id", "pos", F.posexplode("tags").alias("at", "value"))
     return (
         tags.filter("value IS NOT NULL")
-        .groupBy("signature_id", "value")
+        .groupBy(*keys, "signature_id", "value")
         .agg(F.count("*").alias("n"), F.min(F.struct("pos", "at")).alias("first_pos"))
     )
 
@@ -105,7 +105,11 @@ def _no_tags() -> Column:
 
 def rollups(items: DataFrame, max_samples: int = MAX_SAMPLES, max_tags: int = MAX_TAGS) -> DataFrame:
     """Clusters of items with the same signature. Sort with `in_rank_order`."""
-    counts = facet_counts(items)
+    return from_counts(facet_counts(items), tag_counts(items), first_items(items, max_samples), max_tags)
+
+
+def from_counts(counts: DataFrame, tag_rows: DataFrame, first: DataFrame, max_tags: int = MAX_TAGS) -> DataFrame:
+    """Clusters from `facet_counts`, `tag_counts` and `first_items`."""
     is_severity = F.col("facet") == "severity"
     worst = F.when(is_severity, F.struct(-F.expr(severity_rank("value")), F.col("first_pos")))
     reasons = F.sort_array(
@@ -129,25 +133,26 @@ def rollups(items: DataFrame, max_samples: int = MAX_SAMPLES, max_tags: int = MA
         _has("kind", "error").alias("error"),
         _has("kind", "user_frustration").alias("frustration"),
     )
-    tags = top_values(tag_counts(items), ["signature_id"], max_tags, "tags_top")
+    tags = top_values(tag_rows, ["signature_id"], max_tags, "tags_top")
     clusters = (
         base.withColumn("signature_text", F.expr(redacted_if_needed("signature_text")))
         .join(tags, "signature_id", "left")
         .withColumn("tags_top", F.coalesce("tags_top", _no_tags()))
     )
-    return scored(clusters).join(samples(items, max_samples), "signature_id", "left")
+    return scored(clusters).join(samples(first), "signature_id", "left")
 
 
-def samples(items: DataFrame, limit: int = MAX_SAMPLES) -> DataFrame:
-    """References to the first items of each signature."""
+def first_items(items: DataFrame, limit: int = MAX_SAMPLES, *keys: str) -> DataFrame:
+    """(signature_id, pos, ref, _rank): references to the first items of each signature, also by `keys`."""
     wanted = [c for c in ("item_id", "session_id", "span", "source") if c in items.columns]
-    first = first_per_key(with_signature(items), ["signature_id"], [F.col("pos")], limit)
-    return first.groupBy("signature_id").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("_rank", F.struct(*wanted).alias("ref")))),
-            lambda s: s["ref"],
-        ).alias("sample_refs")
-    )
+    refs = with_signature(items).select(*keys, "signature_id", "pos", F.struct(*wanted).alias("ref"))
+    return first_per_key(refs, [*keys, "signature_id"], [F.col("pos")], limit)
+
+
+def samples(first: DataFrame) -> DataFrame:
+    """The references of `first_items` as one list per signature."""
+    listed = F.sort_array(F.collect_list(F.struct("_rank", "ref")))
+    return first.groupBy("signature_id").agg(F.transform(listed, lambda s: s["ref"]).alias("sample_refs"))
 
 
 def scored(clusters: DataFrame) -> DataFrame:

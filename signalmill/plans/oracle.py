@@ -787,6 +787,15 @@ def all_sql() -> dict[str, str]:
         f"{_TRACE},{_HITS}",
         "SELECT epoch_us(date_trunc('day', ts)) AS window_start, kind, count(*) AS n FROM hits GROUP BY ALL",
     )
+    sql["cron_throttled"] = sql["stream_throttled"] = f"""WITH RECURSIVE {_TRACE},
+    posts AS (SELECT session_id, pos, ts, row_number() OVER (PARTITION BY session_id ORDER BY ts, pos) AS k FROM trace WHERE contains(text, 'Cron')),
+    passed AS (
+      SELECT session_id, k, ts FROM posts WHERE k = 1
+      UNION ALL
+      SELECT session_id, n.k, n.ts FROM (
+        SELECT p.session_id, min({{'k': x.k, 'ts': x.ts}}) AS n FROM passed p
+        JOIN posts x ON x.session_id = p.session_id AND x.ts >= p.ts + INTERVAL 6 HOUR GROUP BY p.session_id))
+    SELECT session_id, pos, passed.k IS NOT NULL AS kept FROM posts LEFT JOIN passed USING (session_id, k)"""
     sql["stream_chunks"] = _with(bounds, "SELECT session_id, chunk_idx, s AS start_v, e AS end_v FROM bounds")
     sql["stream_mined_items"] = sql["mined_items"]
     sql["stream_gaps"] = _with(
@@ -829,6 +838,7 @@ def all_sql() -> dict[str, str]:
         """SELECT signature_id, count_items, count_sessions, max_severity, tier, round(score, 6) AS score, kind_v2_primary, kind_counts,
           tags_top, canonical_summary, fingerprint_id FROM clusters""",
     )
+    sql["rollup_daily"] = sql["cluster_files"]
     sql["report_header"] = _with(
         _CLUSTERS,
         """SELECT 0 AS place, '# Signals' || chr(10) || chr(10) || '- items: ' || sum(count_items) || chr(10) || '- groups: ' || count(*) || chr(10)

@@ -22,7 +22,9 @@ from signalmill.operators import (
     merge,
     requests,
     rollup,
+    rollup_state,
     signals,
+    throttle,
     tickets,
     triage,
     workflow,
@@ -412,6 +414,22 @@ def cluster_files(spark, sf_dir):
     )
 
 
+@register
+def rollup_daily(spark, sf_dir):
+    """Clusters from items that come in three deliveries, among them drafts that a later one takes back."""
+    state = rollup_state.RollupState(spark, new_path(spark, "rollup-state"))
+    items = _items(spark, sf_dir).withColumn("day", F.pmod(F.xxhash64("item_id"), F.lit(3)))
+    drafts = items.filter("day = 2").withColumn("item_id", F.concat(F.lit("draft:"), "item_id"))
+    days = [items.filter("day = 0").unionByName(drafts), items.filter("day = 1"), items.filter("day = 2")]
+    for k, delivered in enumerate(days):
+        state.add(delivered.drop("day"), drafts.select("item_id") if k == 2 else None, k)
+    return state.clusters(len(days)).select(
+        "signature_id", "count_items", "count_sessions", "max_severity", "tier", F.round("score", 6).alias("score"),
+        "kind_v2_primary", _map_text("kind_counts").alias("kind_counts"), _pairs("tags_top").alias("tags_top"),
+        "canonical_summary", "fingerprint_id",
+    )
+
+
 @register
 def report_header(spark, sf_dir):
     return item_files.report_header(_clusters(spark, sf_dir))
@@ -922,6 +940,31 @@ def stream_counts(spark, sf_dir):
     return rows.select(F.unix_micros("window_start").alias("window_start"), "kind", "n")
 
 
+# Hours between two cron posts of a session that are let through; the trace has few within 30 seconds.
+_QUIET_HOURS = 6
+
+
+@register
+def cron_throttled(spark, sf_dir):
+    """Cron rows that a rate limit per session lets through."""
+    rows = tables.trace(spark, sf_dir).filter(F.contains("text", F.lit("Cron"))).select("session_id", "ts", "pos")
+    told = throttle.throttled(rows, "pos", _QUIET_HOURS * 3_600_000)
+    return told.select("session_id", "pos", "kept")
+
+
+@register
+def stream_throttled(spark, sf_dir):
+    """The same rate limit over a stream of time slices, which goes on from the last row that was let through."""
+    source, out, mark = (new_path(spark, name) for name in ("posts", "throttled", "throttled-progress"))
+    rows = tables.trace(spark, sf_dir).filter(F.contains("text", F.lit("Cron"))).select("session_id", "ts", "pos")
+    day = F.dayofmonth("ts")
+    for low, high in ((0, 9), (9, 20), (20, 32)):
+        rows.filter((day >= low) & (day < high)).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("session_id string, ts timestamp, pos bigint").parquet(source)
+        live.run_available(stream, mark, throttle.throttle_writer(out, "pos", _QUIET_HOURS * 3_600_000), "append")
+    return spark.read.parquet(f"{out}/rows").select("session_id", "pos", "kept")
+
+
 # The trace reaches the gap stream in slices of time; every third row comes one slice later than it should.
 _SLICES = 3
 _SLICE_DAYS = 10
