@@ -98,12 +98,17 @@ class RollupState:
         cells = own.select("cell", "signature_id", "bucket").distinct().unionByName(old)
         _write(cells, self.path, "cells", batch)
         keys = ["cell", "bucket"]
-        _write(rollup.facet_counts(counted, *keys), self.path, "facets", batch, "bucket")
-        _write(rollup.tag_counts(counted, *keys), self.path, "tags", batch, "bucket")
-        _write(rollup.first_items(counted, self.max_samples, *keys).drop("_rank"), self.path, "firsts", batch, "bucket")
+        versions = {
+            "facets": rollup.facet_counts(counted, *keys),
+            "tags": rollup.tag_counts(counted, *keys),
+            "firsts": rollup.first_items(counted, self.max_samples, *keys).drop("_rank"),
+        }
+        for table, rows in versions.items():
+            _write(rows, self.path, table, batch, "bucket")
 
         touched = stable(cells.select("signature_id", "bucket").distinct())
-        self._rebuilt(touched, counted, batch).write.mode("overwrite").parquet(f"{self.path}/clusters/batch_id={batch}")
+        schemas = {table: rows.drop("bucket").schema for table, rows in versions.items()}
+        self._rebuilt(touched, schemas, batch).write.mode("overwrite").parquet(f"{self.path}/clusters/batch_id={batch}")
         return touched.select("signature_id")
 
     def _gone(self, below: int) -> DataFrame:
@@ -125,7 +130,7 @@ class RollupState:
         _write(found.select("item_id", "cell"), self.path, "gone", batch)
         return found
 
-    def _rebuilt(self, touched: DataFrame, counted: DataFrame, batch: int) -> DataFrame:
+    def _rebuilt(self, touched: DataFrame, schemas: dict, batch: int) -> DataFrame:
         """The clusters of the touched signatures, from the newest versions of their cells."""
         buckets = _touched_buckets(touched)
         cells = self._read("cells", "cell bigint, signature_id string", batch + 1)
@@ -135,13 +140,11 @@ class RollupState:
             .agg(F.max("batch_id").alias("batch_id"))
         )
 
-        def merged(table: str, example: DataFrame) -> DataFrame:
-            rows = self._read(table, example.drop("bucket").schema, batch + 1, buckets)
+        def merged(table: str) -> DataFrame:
+            rows = self._read(table, schemas[table], batch + 1, buckets)
             return rows.join(newest, ["cell", "signature_id", "batch_id"], "left_semi")
 
-        facets = merged("facets", rollup.facet_counts(counted, "cell", "bucket"))
-        tags = merged("tags", rollup.tag_counts(counted, "cell", "bucket"))
-        firsts = merged("firsts", rollup.first_items(counted, self.max_samples, "cell", "bucket").drop("_rank"))
+        facets, tags, firsts = merged("facets"), merged("tags"), merged("firsts")
         total = [F.sum("n").alias("n"), F.min("first_pos").alias("first_pos")]
         return rollup.from_counts(
             facets.groupBy("signature_id", "facet", "value").agg(*total),

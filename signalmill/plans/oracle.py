@@ -547,21 +547,26 @@ def all_sql() -> dict[str, str]:
 
     distinct = "a IN (SELECT id FROM reps) AND b IN (SELECT id FROM reps)"
 
-    def nearest(low: float, high: float) -> str:
-        """Pairs of which one is among the 20 most similar ones of the other."""
-        return f"""band AS (SELECT a AS x, b AS y, sim FROM sims WHERE sim >= {low} AND sim < {high} AND {distinct}
-          UNION ALL SELECT b, a, sim FROM sims WHERE sim >= {low} AND sim < {high} AND {distinct}),
-        nearest AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b, sim FROM (
-          SELECT *, row_number() OVER (PARTITION BY x ORDER BY sim DESC, y) AS place FROM band) WHERE place <= 20)"""
-
-    sql["similar_pairs"] = _with(f"{_DISTINCT}, {nearest(0.62, 2.0)}", "SELECT a, b, round(sim, 6) AS sim FROM nearest")
+    def band(low: float, high: float) -> str:
+        """All pairs of different word sets in a band of similarity."""
+        return f"band AS (SELECT a, b, sim FROM sims WHERE sim >= {low} AND sim < {high} AND {distinct})"
+
+    sql["similar_pairs"] = _with(f"{_DISTINCT}, {band(0.62, 2.0)}", "SELECT a, b, round(sim, 6) AS sim FROM band")
     sql["merge_components"] = _with(_MEMBERS, "SELECT signature_id, component FROM members")
+    sql["similar_members"] = _with(
+        f"""{_MEMBERS},
+        repof AS (SELECT signature_id, min(signature_id) OVER (PARTITION BY block, list_sort(w)) AS rep FROM sets),
+        band AS (SELECT a, b FROM sims WHERE sim >= 0.62 AND a IN (SELECT rep FROM repof) AND b IN (SELECT rep FROM repof)),
+        linked AS (SELECT rep, count(*) AS n FROM (SELECT a AS rep FROM band UNION ALL SELECT b FROM band) GROUP BY rep)""",
+        "SELECT signature_id, component, rep, coalesce(n, 0) AS n_links FROM members JOIN repof USING (signature_id) LEFT JOIN linked USING (rep)",
+    )
+    sql["asked_components"] = _with(_MEMBERS.replace("0.62", "0.75"), "SELECT signature_id, component FROM members")
     sql["components_daily"] = sql["merge_components"]
     sql["merged_members"] = _with(
         _MEMBERS, "SELECT component, signature_id, tier FROM members JOIN clusters USING (signature_id)"
     )
     sql["merged_rollups"] = _with(_MERGED, "SELECT * FROM merged_rows")
-    sql["merge_decisions"] = _with(f"{_DISTINCT}, {nearest(0.6, 0.9)}", "SELECT a, b FROM nearest WHERE sim >= 0.75")
+    sql["merge_decisions"] = _with(f"{_DISTINCT}, {band(0.6, 0.9)}", "SELECT a, b FROM band WHERE sim >= 0.75")
 
     sql["ticket_ir"] = _with(
         _CLUSTERS,

@@ -565,10 +565,27 @@ def merge_decisions(spark, sf_dir):
 
     The band is moved up to where the trace has pairs.
     """
-    asked = merge.merge_requests(_clusters(spark, sf_dir), 0.6, 0.9)
+    return merge.merge_decisions(_answered(merge.merge_requests(_clusters(spark, sf_dir), 0.6, 0.9)))
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """Stand-in answers: sure from a similarity of 0.75 on."""
     sure = F.when(F.col("sim") >= 0.75, 0.9).otherwise(0.4)
     said = F.concat(F.lit('Sure: {"decision": "Merge", "confidence": '), sure.cast("string"), F.lit("}"))
-    return merge.merge_decisions(asked.withColumn("answer", said))
+    return asked.withColumn("answer", said)
+
+
+@register
+def similar_members(spark, sf_dir):
+    """Similar clusters in rows per cluster: component, the cluster they share their words with, links."""
+    return merge.similar_members(_clusters(spark, sf_dir))
+
+
+@register
+def asked_components(spark, sf_dir):
+    """Components after asking in rounds, until no pair of the band between two of them is unasked."""
+    clusters = _clusters(spark, sf_dir)
+    return merge.merge_components(clusters, merge.asked_edges(clusters, _answered, 0.6, 0.9), threshold=0.9)
 
 
 # --- tickets -----------------------------------------------------------------

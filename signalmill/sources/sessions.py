@@ -61,35 +61,29 @@ def read_lines(
 ) -> DataFrame:
     """Raw lines of all session files below `root`: rel_path, block_start, seq, value.
 
-    The path filters prune whole files. `seq` orders the lines of a file block,
-    which one task reads from start to end.
+    The path filters work on the listing, before a file is opened. `seq` orders
+    the lines of a file block, which one task reads from start to end.
     """
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", name_glob)
-        .text(root)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-            "value",
-            F.monotonically_increasing_id().alias("seq"),
-        )
-    )
-    lines = lines.select(rel_path(F.col("path"), root).alias("rel_path"), "block_start", "seq", "value")
-    if include:
-        lines = lines.filter(_any_glob(F.col("rel_path"), include))
-    if exclude:
-        lines = lines.filter(~_any_glob(F.col("rel_path"), exclude))
+
+    def chosen(files: DataFrame, uri: str) -> DataFrame:
+        path = rel_path(F.col(uri), root)
+        files = files.filter(_any_glob(path, include)) if include else files
+        return files.filter(~_any_glob(path, exclude)) if exclude else files
+
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name_glob)
+    # Below the numbering, where the filters reach the scan.
+    lines = chosen(reader.text(root), "_metadata.file_path")
     if max_sessions is not None:
-        # Names come from the listing of the files; their text is not read for it.
-        files = (
-            spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name_glob).load(root)
-        )
-        names = files.select(rel_path(F.col("path"), root).alias("rel_path"))
-        names = names.filter(_any_glob(F.col("rel_path"), include)) if include else names
-        names = names.filter(~_any_glob(F.col("rel_path"), exclude)) if exclude else names
-        lines = lines.join(names.orderBy("rel_path").limit(max_sessions), "rel_path", "left_semi")
-    return lines
+        # The first names by the listing; the last one of them bounds the scan.
+        names = chosen(reader.format("binaryFile").load(root), "path").select(rel_path(F.col("path"), root).alias("name"))
+        last = names.orderBy("name").limit(max_sessions).agg(F.max("name")).first()[0]
+        lines = lines.filter(rel_path(F.col("_metadata.file_path"), root) <= F.lit(last))
+    return lines.select(
+        rel_path(F.col("_metadata.file_path"), root).alias("rel_path"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("seq"),
+        "value",
+    )
 
 
 def parse_events(rows: DataFrame, max_raw: int | None = None) -> DataFrame:
@@ -120,18 +114,25 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     `seq` counts up by one inside a file block, so a line's number follows from
     the first `seq` of its block and the lines of the blocks before: one row per
     block, counted in a scan of its own. Texts are neither written nor sorted.
-    The files must not change between the two scans, whose splits are the same.
+    A file may grow meanwhile, which only adds lines behind its last block; a
+    file that changes otherwise ends in an error.
     """
-    earlier = Window.partitionBy("rel_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    by_block = Window.partitionBy("rel_path").orderBy("block_start")
+    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         lines.groupBy("rel_path", "block_start")
         .agg(F.count("*").alias("rows"), F.min("seq").alias("first"))
         .withColumn("shift", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+        .withColumn("limit", F.when(F.lead("rows").over(by_block).isNotNull(), F.col("rows")))
         .drop("rows")
     )
-    placed = lines.join(blocks, ["rel_path", "block_start"])
-    line_no = F.col("seq") - F.col("first") + F.col("shift") + 1
-    return placed.withColumn("line_no", line_no).drop("first", "shift", "block_start", "seq")
+    placed = lines.join(blocks, ["rel_path", "block_start"], "left")
+    # A block without a count, or with other lines than were counted.
+    changed = "first IS NULL OR seq < first OR seq - first >= limit"
+    line_no = F.expr(
+        f"IF(coalesce({changed}, false), raise_error(concat(rel_path, ' changed while it was read')), seq - first + shift + 1)"
+    ).cast("bigint")
+    return placed.withColumn("line_no", line_no).drop("first", "shift", "limit", "block_start", "seq")
 
 
 def numbered(rows: DataFrame, out: str) -> DataFrame:

@@ -54,6 +54,38 @@ def test_discovery_and_numbering(spark, root, read):
     assert sessions.read_sessions(spark, root, max_events=2).filter("rel_path = 'a.jsonl'").count() == 2
 
 
+def test_excluded_files_are_not_opened(spark, tmp_path):
+    for k in range(20):
+        (tmp_path / f"s{k:02d}.jsonl.gz").write_bytes(b"no gzip at all")
+    (tmp_path / "ok.jsonl").write_text('{"role": "user", "content": "x"}\n')
+    options = {"name_glob": "*.jsonl*"}
+    assert sessions.read_sessions(spark, str(tmp_path), include=["ok*"], **options).count() == 1
+    assert sessions.read_sessions(spark, str(tmp_path), exclude=["s*"], **options).count() == 1
+    assert sessions.read_sessions(spark, str(tmp_path), max_sessions=1, **options).count() == 1
+    with pytest.raises(Exception, match="(?i)gzip|gz|not in"):
+        sessions.read_sessions(spark, str(tmp_path), include=["s03*"], **options).count()
+
+
+def test_a_changed_file_ends_in_an_error(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    row = "rel_path string, block_start bigint, seq bigint, value string"
+    lines = spark.createDataFrame([("a", 0, 5, "x"), ("a", 0, 6, "y"), ("a", 90, 9, "z")], row)
+    assert [r.line_no for r in sessions.with_line_numbers(lines).orderBy("line_no").collect()] == [1, 2, 3]
+    # The first scan saw one line less than the second.
+    seen = iter([lines.filter("seq <> 6"), lines])
+
+    class Changing:
+        def groupBy(self, *keys):
+            return next(seen).groupBy(*keys)
+
+        def join(self, *args):
+            return next(seen).join(*args)
+
+    with pytest.raises(Exception, match="changed while it was read"):
+        sessions.with_line_numbers(Changing()).select(F.sum("line_no")).collect()
+
+
 def test_views(read):
     got = {r.line_no: r for r in events.event_views(read).filter("line_no > 1 OR text <> 'n0'").collect() if not r.text.startswith("n")}
     assert 1 not in got and 4 not in got and 5 not in got and 14 not in got
