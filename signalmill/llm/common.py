@@ -15,12 +15,15 @@ import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from signalmill.functions.sql import each
 from signalmill.operators.stable import stable
 
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
+# Bytes of text that a worker holds as Python or numpy objects at once, or one text.
+PIECE = 1 << 22
 # A-Z to lower case, every other ASCII character that is no digit or letter to a space.
 WORD_TABLE = bytes(
     i + 32 if 0x41 <= i <= 0x5A else 0x20 if i in _SEPARATORS else i for i in range(256)
@@ -61,6 +64,20 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in slices of about `PIECE` bytes of text, or of one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
+        first, held = 0, 0
+        for k, size in enumerate(sizes):
+            if k > first and held + size > PIECE:
+                yield batch.slice(first, k - first)
+                first, held = k, 0
+            held += size
+        if first < len(sizes):
+            yield batch.slice(first)
+
+
 def filtered(
     df: DataFrame, text: str, keep: Callable[[], Callable[[list[str]], list[bool]]]
 ) -> DataFrame:
@@ -71,11 +88,12 @@ def filtered(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         accept = keep()
-        for batch in batches:
+        for batch in pieces_of(batches, text):
             yield batch.filter(pa.array(accept(texts_of(batch, text)), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
+
 def listed(spans: str = "spans") -> str:
     """SQL for `kind:start:end` of spans, comma-joined."""
     return f"array_join({each(spans, lambda x: f'concat_ws(\':\', {x}.kind, {x}.start, {x}.end)')}, ',')"

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import kept, texts_of
+from signalmill.llm.common import kept, pieces_of, texts_of
 from signalmill.llm.tokens import worker_encoder
 
 CAPACITY = 1024
@@ -45,13 +45,15 @@ def pieces(
     only. The first piece of a cut document holds what the others leave.
     """
 
+    name = text if text != id else "_text"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = worker_encoder(path), np.zeros(capacity + 1, np.int64)
         part, last = TaskContext.get().partitionId(), np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in pieces_of(batches, name):
             rows: list[tuple] = []
             ids_out: list[np.ndarray] = []
-            for k, ids in enumerate(encoder.encode(texts_of(batch, text))):
+            for k, ids in enumerate(encoder.encode(texts_of(batch, name))):
                 ids += last
                 total, piece, start = len(ids) // 4, 0, 0
                 while start < total:
@@ -73,7 +75,7 @@ def pieces(
     schema = f"`{id}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part bigint, place bigint"
     schema += ", ids array<int>" if with_ids else ""
     names = [id, "piece", "start", "length", "ids_crc32", "part", "place", "ids"][: 7 + with_ids]
-    return docs.select(F.col(id), F.col(text).alias(text if text != id else "_text")).mapInArrow(run, schema)
+    return docs.select(F.col(id), F.col(text).alias(name)).mapInArrow(run, schema)
 
 
 def reduced(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[Plan, dict[int, int]]:

@@ -23,7 +23,7 @@ prose ends after the first scale and the worst text costs n log n.
 Defined cases. A NULL or empty text has no words, no runs and collapses to the
 empty text. Every row is a result of its own, also without an id or repeated.
 Memory is about twenty times the longest text; short ones go in pieces of
-`PIECE` bytes. Other columns are never looked at.
+`common.PIECE` bytes. Other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-# Bytes of text that are worked on at once, or one text.
-PIECE = 1 << 22
+from signalmill.llm.common import pieces_of
+
 LEAST = 6
 # Matches in a row that a run of lag p must have, as a multiple of p.
 MATCHES = 3
@@ -162,19 +162,6 @@ def _found(ids: pa.Array, texts: pa.Array, names: list[str]) -> pa.RecordBatch:
     )
 
 
-def _pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of rows with about `PIECE` bytes of text at most, or one row."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-    first, held = 0, 0
-    for k, size in enumerate(sizes):
-        if k > first and held + size > PIECE:
-            yield batch.slice(first, k - first)
-            first, held = k, 0
-        held += size
-    if first < len(sizes):
-        yield batch.slice(first)
-
-
 def runs(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, n_words, runs (start, length, period; by start and period) and collapsed.
 
@@ -186,8 +173,7 @@ def runs(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in _pieces(batch, "_text"):
-                yield _found(piece.column("_id"), piece.column("_text"), names)
+        for piece in pieces_of(batches, "_text"):
+            yield _found(piece.column("_id"), piece.column("_text"), names)
 
     return docs.selectExpr(f"`{id}` AS _id", f"`{text}` AS _text").mapInArrow(work, schema)

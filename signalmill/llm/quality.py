@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import filtered, texts_of
+from signalmill.llm.common import filtered, pieces_of, texts_of
 
 PIECE = 128
 DICTIONARY_BYTES = 1 << 16
@@ -84,7 +84,11 @@ def scores(model: Model) -> Callable[[list[str]], np.ndarray]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, docs_per_class: int) -> DataFrame:
-    """Labelled texts for learning: (text, label, fitting). Ids with two different labels are left out."""
+    """Labelled texts for learning: (text, label, fitting), one per id.
+
+    Ids with two different labels are left out; of rows that repeat an id the
+    text with the smallest hash is taken.
+    """
     known = labels.select(F.col(id).alias("_id"), F.col(label).alias("_label")).filter("_id IS NOT NULL AND _label IN (0, 1)")
     known = known.groupBy("_id").agg(F.min("_label").alias("label"), F.max("_label").alias("_other")).filter("label = _other")
     known = known.withColumn("_fold", fold(F.col("_id"))).filter("_fold > 0")
@@ -94,9 +98,10 @@ def _sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str,
             own = known.filter((F.col("label") == value) & ((F.col("_fold") < FOLDS - 1) == fitting))
             own = own.orderBy(F.xxhash64("_id"), "_id").limit(docs_per_class).select("_id", "label", F.lit(fitting).alias("fitting"))
             chosen = own if chosen is None else chosen.unionByName(own)
-    # At most 4 * docs_per_class rows.
+    # At most 4 * docs_per_class rows, and as many again after the join, since repeats of an id become one.
     texts = docs.select(F.col(id).alias("_id"), F.col(text).alias("text"))
-    return texts.join(F.broadcast(chosen), "_id").select("_id", "text", "label", "fitting")
+    least = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    return texts.join(F.broadcast(chosen), "_id").groupBy("_id", "label", "fitting").agg(least)
 
 
 def _dictionary(parts: list[bytes]) -> bytes:
@@ -176,7 +181,7 @@ def scored(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scores(Model(*shared.value))
-        for batch in batches:
+        for batch in pieces_of(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(texts_of(batch, "text")))], names=["id", "score"])
 
     kind = docs.schema[id].dataType.simpleString()

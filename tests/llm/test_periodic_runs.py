@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from signalmill.llm import periodic_runs
+from signalmill.llm import common, periodic_runs
 
 from .cases import LONG, ODD, table
 
@@ -81,5 +81,5 @@ def test_long_texts_take_no_quadratic_work(spark, unit):
 def test_pieces_do_not_matter(spark, monkeypatch):
     rows = list(enumerate([*texts()[::9], LONG, "a b c " * 30]))
     whole = sorted(map(repr, periodic_runs.runs(table(spark, rows)).collect()))
-    monkeypatch.setattr(periodic_runs, "PIECE", 50)
+    monkeypatch.setattr(common, "PIECE", 50)
     assert sorted(map(repr, periodic_runs.runs(table(spark, rows)).collect())) == whole

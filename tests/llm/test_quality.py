@@ -35,6 +35,48 @@ def test_held_out_accuracy_and_interface(spark):
     assert {r["doc_id"] for r in left.collect()} == {i for i, r in found.items() if r["predicted"]}
 
 
+def test_scores_equal_a_plain_version(spark):
+    """Pieces of 128 bytes, each compressed with either dictionary on its own."""
+    import math
+
+    import zstandard
+
+    good, bad = made(80, False, 5), made(80, True, 6)
+    rows = [*enumerate([*good, *bad]), *((1000 + (i or 0), t) for i, t in ODD)]
+    docs = table(spark, rows)
+    labels = spark.createDataFrame([(i, int(i < 80)) for i in range(160)], "doc_id bigint, quality int")
+    model = quality.fit(docs, labels)
+
+    def size(piece, dictionary):
+        own = zstandard.ZstdCompressionDict(dictionary)
+        options = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        return len(zstandard.ZstdCompressor(dict_data=own, **options).compress(piece))
+
+    def score(text):
+        raw = (text or "").encode()
+        pieces = [raw[i : i + 128] for i in range(0, len(raw), 128)]
+        gain = sum(size(p, model.bad) - size(p, model.good) for p in pieces)
+        return 1 / (1 + math.exp(-(model.a + model.b * gain / max(1, len(raw)))))
+
+    small = [(i, t) for i, t in rows if len(t or "") < 5_000]
+    got = sorted((r["doc_id"], r["score"]) for r in quality.scored(table(spark, small), model).collect())
+    assert np.allclose([s for _, s in got], [s for _, s in sorted((i, score(t)) for i, t in small)], atol=1e-9)
+    # The dictionaries come from folds 1 to 3 alone: other texts of fold 4 do not change them.
+    others = [(i, t if zlib.crc32(str(i).encode()) % 5 != 4 else t[::-1]) for i, t in rows if t is not None]
+    again = quality.fit(table(spark, others), labels)
+    assert (again.good, again.bad) == (model.good, model.bad)
+
+
+def test_repeats_of_a_labelled_id_do_not_grow_the_sample(spark):
+    good, bad = made(30, False, 7), made(30, True, 8)
+    rows = [*enumerate([*good, *bad]), *((1, f"{t} again") for t in good * 20), *((1, None) for _ in range(50))]
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(60)], "doc_id bigint, quality int")
+    sample = quality._sample(table(spark, rows), labels, "doc_id", "text", "quality", 10).collect()
+    assert len(sample) == len({r["_id"] for r in sample}) <= 40
+    fitted = quality.fit(table(spark, rows), labels)
+    assert 0 < len(fitted.good) <= quality.DICTIONARY_BYTES
+
+
 def test_held_out_labels_are_not_learnt(spark):
     good, bad = made(60, False, 3), made(60, True, 4)
     rows = list(enumerate([*good, *bad]))
