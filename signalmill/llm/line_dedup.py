@@ -25,17 +25,17 @@ lost, and nothing is capped.
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalmill.llm.common import kept, once_per_worker, texts_of, words
-from signalmill.llm.jaccard_join import WordHashes, mixed
+from signalmill.llm.common import WORD_TABLE, kept, pieces_of
+from signalmill.llm.jaccard_join import mixed
 from signalmill.operators.graph import components
 from signalmill.operators.pairing import (
     PAIRS,
@@ -61,6 +61,11 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 BITS = 128
 LONG_BITS = 512
 LONG = 128
+# Words of up to this many bytes are hashed in vectorised steps of eight bytes.
+SHORT_WORD = 64
+_FOLDED = np.frombuffer(WORD_TABLE, np.uint8)
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_SEEDS = np.array([0x2545F4914F6CDD1D, 0xD1B54A32D192ED03], np.uint64)
 
 
 def least_overlap(sizes, threshold: float):
@@ -68,8 +73,113 @@ def least_overlap(sizes, threshold: float):
     return np.ceil(threshold / (1 + threshold) * sizes - 1e-9)
 
 
-def prefix_length(n: int, threshold: float) -> int:
-    return n - math.ceil(threshold * n - 1e-9) + 1
+def prefix_length(n, threshold: float):
+    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+
+
+# --- words and sets of lines ----------------------------------------------------
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    """A one-to-one map of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def word_hashes(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at `begin`; `text` has eight more bytes than its words reach."""
+    lanes = np.ndarray(len(text) - 7, np.uint64, text, strides=(1,))
+    out = length.astype(np.uint64) * _STEP
+    live = slice(None)
+    for at in range(0, SHORT_WORD, 8):
+        left = length[live] - at
+        lane = lanes[begin[live] + at] & _MASKS[np.minimum(left, 8)]
+        out[live] = _spread(out[live] ^ lane)
+        more = np.flatnonzero(left > 8)
+        live = more if at == 0 else live[more]
+        if not len(live):
+            break
+    for k in live:
+        out[k] = xxhash.xxh64_intdigest(text[begin[k] : begin[k] + length[k]].tobytes())
+    return out
+
+
+def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all texts of a string column, and the text and the line, counted from 0, of each word."""
+    column = column.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if not len(column) or offsets[0] == offsets[-1]:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    bounds = offsets[:-1] - offsets[0]
+    text = np.concatenate((_FOLDED[raw], np.full(8, 0x20, np.uint8)))
+    inside = text[: len(raw)] != 0x20
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    end[:-1] &= ~inside[1:]
+    # A text starts and ends words, too.
+    edges = bounds[(bounds > 0) & (bounds < len(raw))]
+    begin[edges], end[edges - 1] = inside[edges], inside[edges - 1]
+    begin = np.flatnonzero(begin)
+    length = np.flatnonzero(end) - begin + 1
+    breaks = np.flatnonzero(raw == 0x0A)
+    of = np.searchsorted(bounds, begin, "right") - 1
+    line = np.searchsorted(breaks, begin) - np.searchsorted(breaks, bounds)[of]
+    return word_hashes(text, begin, length), of, line
+
+
+@dataclass
+class LineSets:
+    """The word sets of all lines that have words: `words` of set k are starts[k] to starts[k + 1]."""
+
+    words: np.ndarray
+    starts: np.ndarray
+    text: np.ndarray
+    line: np.ndarray
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.starts)
+
+    def digests(self) -> np.ndarray:
+        """Two 64-bit numbers per set, sums over its words, whatever their order."""
+        if not len(self.words):
+            return np.zeros((0, 2), np.uint64)
+        return np.stack([np.add.reduceat(_spread(self.words ^ seed), self.starts[:-1]) for seed in _SEEDS], axis=1)
+
+
+def line_sets(column: pa.Array, rare: np.ndarray | None = None) -> LineSets:
+    """The sets of the lines of some texts; words go from rare to frequent, by `rare`, and by hash."""
+    own, text, line = text_words(column)
+    changed = np.ones(len(own), bool)
+    changed[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1])
+    first, row = np.flatnonzero(changed), np.cumsum(changed) - 1
+    order = _ordered(own, row, np.zeros(len(own), np.uint8) if rare is None else rare[own & np.uint64(TABLE - 1)])
+    own, at = own[order], row[order]
+    fresh = np.ones(len(own), bool)
+    fresh[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1])
+    own, at = own[fresh], at[fresh]
+    return LineSets(own, np.searchsorted(at, np.arange(len(first) + 1)), text[first], line[first])
+
+
+def _ordered(own: np.ndarray, row: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """The order by row, rarity and hash."""
+    if len(row) and row[-1] < 1 << 24:
+        # One number per word is sorted faster than three; it has the upper half of the hash.
+        key = row.astype(np.uint64) << np.uint64(40) | rare.astype(np.uint64) << np.uint64(32) | own >> np.uint64(32)
+        order = np.argsort(key)
+        key, sorted_own = key[order], own[order]
+        if not ((key[1:] == key[:-1]) & (sorted_own[1:] != sorted_own[:-1])).any():
+            return order
+    return np.lexsort((own, rare, row))
+
+
+def binary(values: np.ndarray) -> pa.Array:
+    """The rows of a two-dimensional array of numbers as binary values."""
+    width = values.shape[1] * values.itemsize
+    offsets = np.arange(len(values) + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 # --- word counts ----------------------------------------------------------------
@@ -100,13 +210,15 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
     """How frequent the words of each place of the table are: 0 to 255, on a log scale. TABLE bytes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = once_per_worker(("word hashes",), WordHashes), np.zeros(TABLE, np.int64)
-        for batch in batches:
-            for whole in texts_of(batch, text):
-                own = np.fromiter(map(hashes.__getitem__, words(whole)), np.uint64)
-                # np.add.at is slow, and a text has few words.
-                places, times = np.unique(own & np.uint64(TABLE - 1), return_counts=True)
-                total[places.astype(np.int64)] += times
+        total, waiting, held = np.zeros(TABLE, np.int64), [], 0
+        for piece in pieces_of(batches, text):
+            waiting.append((text_words(piece.column(0))[0] & np.uint64(TABLE - 1)).astype(np.int64))
+            held += len(waiting[-1])
+            if held >= TABLE // 2:
+                total += np.bincount(np.concatenate(waiting), minlength=TABLE)
+                waiting, held = [], 0
+        if waiting:
+            total += np.bincount(np.concatenate(waiting), minlength=TABLE)
         yield _chunks({k: part for k, part in enumerate(total.reshape(-1, CHUNK)) if part.any()})
 
     return np.minimum(255, 8 * np.log2(1.0 + _collected(docs.select(F.col(text)).mapInArrow(count, _CHUNK)))).astype(np.uint8)
@@ -129,33 +241,30 @@ def _collected(rows: DataFrame) -> np.ndarray:
 # --- sets of lines --------------------------------------------------------------
 
 
-def line_sets(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all lines, sorted in each line and without repeats; their lines; first index per line, and the end."""
-    listed = [words(line) for line in text.split("\n")]
-    whole = np.fromiter((hashes[w] for line in listed for w in line), np.uint64)
-    line = np.repeat(np.arange(len(listed)), [len(x) for x in listed])
-    order = np.lexsort((whole, line))
-    whole, line = whole[order], line[order]
-    fresh = np.ones(len(whole), bool)
-    fresh[1:] = (whole[1:] != whole[:-1]) | (line[1:] != line[:-1])
-    whole, line = whole[fresh], line[fresh]
-    return whole, line, np.searchsorted(line, np.arange(len(listed) + 1))
-
+def bitmap_rows(own: np.ndarray, starts: np.ndarray, size: int = BITS) -> np.ndarray:
+    """The bitmaps of some sets that are not empty, as rows of 64-bit numbers."""
+    at = (own >> np.uint64(24)) & np.uint64(size - 1)
+    bit, lane = np.uint64(1) << (at & np.uint64(63)), at >> np.uint64(6)
+    lanes = [np.bitwise_or.reduceat(np.where(lane == k, bit, np.uint64(0)), starts[:-1]) for k in range(size // 64)]
+    return np.stack(lanes, axis=1)
 
-def _digest(own: np.ndarray) -> bytes:
-    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
-
-def bitmap(own: np.ndarray, size: int = BITS) -> bytes:
-    out = np.zeros(size, bool)
-    out[((own >> np.uint64(24)) & np.uint64(size - 1)).astype(np.int64)] = True
-    return np.packbits(out).tobytes()
+def bitmaps(own: np.ndarray) -> tuple[bytes, bytes | None]:
+    starts = np.array([0, len(own)])
+    return bitmap_rows(own, starts).tobytes(), bitmap_rows(own, starts, LONG_BITS).tobytes() if len(own) > LONG else None
 
 
-def bitmaps(own: np.ndarray) -> tuple[bytes, bytes | None]:
-    return bitmap(own), bitmap(own, LONG_BITS) if len(own) > LONG else None
+def set_bitmaps(own: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes | None]]:
+    """The bitmaps of some sets, and the larger ones of long sets."""
+    if not len(own):
+        return np.zeros((0, BITS // 64), np.uint64), []
+    more: list[bytes | None] = [None] * (len(starts) - 1)
+    for k in np.flatnonzero(np.diff(starts) > LONG):
+        more[k] = bitmaps(own[starts[k] : starts[k + 1]])[1]
+    return bitmap_rows(own, starts), more
 
 
+_BITS = [f"bits{k}" for k in range(BITS // 64)]
 _PLACED = "id bigint, text_hash bigint, line int, digest binary"
 
 
@@ -171,37 +280,31 @@ def _sets(docs: DataFrame, id: str, text: str, threshold: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rare = once_per_worker(("word hashes",), WordHashes), shared.value
-        for batch in batches:
-            rows: list[tuple] = []
-            for k, whole in enumerate(texts_of(batch, "text")):
-                own, line, starts = line_sets(whole, hashes)
-                order = np.lexsort((own, rare[(own & np.uint64(TABLE - 1)).astype(np.int64)], line))
-                by_rarity = (own[order] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                for at in range(len(starts) - 1):
-                    start, end = starts[at], starts[at + 1]
-                    if end > start:
-                        prefix = by_rarity[start : start + prefix_length(end - start, threshold)]
-                        rows.append((k, at, _digest(own[start:end]), end - start, prefix, *bitmaps(own[start:end])))
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            where = pa.array(columns[0], pa.int64())
+        rare = shared.value
+        for piece in pieces_of(batches, "text"):
+            sets = line_sets(piece.column(2), rare)
+            lengths = prefix_length(sets.sizes, threshold)
+            place = np.arange(len(sets.words)) - np.repeat(sets.starts[:-1], sets.sizes)
+            listed = (sets.words[place < np.repeat(lengths, sets.sizes)] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            bits, more = set_bitmaps(sets.words, sets.starts)
+            where = pa.array(sets.text)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(where),
-                    batch.column(1).take(where),
-                    pa.array(columns[1], pa.int32()),
-                    pa.array(columns[2], pa.binary()),
-                    pa.array(columns[3], pa.int32()),
-                    pa.array(columns[4], pa.list_(pa.int32())),
-                    pa.array(columns[5], pa.binary()),
-                    pa.array(columns[6], pa.binary()),
+                    piece.column(0).take(where),
+                    piece.column(1).take(where),
+                    pa.array(sets.line.astype(np.int32)),
+                    binary(sets.digests()),
+                    pa.array(sets.sizes.astype(np.int32)),
+                    pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32), pa.array(listed)),
+                    *[pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(BITS // 64)],
+                    pa.array(more, pa.binary()),
                 ],
-                names=["id", "text_hash", "line", "digest", "size", "prefix", "bits", "more"],
+                names=["id", "text_hash", "line", "digest", "size", "prefix", *_BITS, "more"],
             )
 
-    schema = _PLACED + ", size int, prefix array<int>, bits binary, more binary"
+    schema = f"{_PLACED}, size int, prefix array<int>, {', '.join(f'{c} bigint' for c in _BITS)}, more binary"
     found = _placed(docs, id, text).mapInArrow(run, schema)
-    first = F.min(F.struct("id", "text_hash", "line", "size", "prefix", "bits", "more")).alias("first")
+    first = F.min(F.struct("id", "text_hash", "line", "size", "prefix", *_BITS, "more")).alias("first")
     sets = found.groupBy("digest").agg(first, F.count("*").alias("times")).select("digest", "first.*", "times")
     return sets.withColumn("node", F.monotonically_increasing_id())
 
@@ -212,11 +315,12 @@ def _sets(docs: DataFrame, id: str, text: str, threshold: float) -> DataFrame:
 class Bitmaps:
     """Bitmaps of some sets, and the larger ones of long sets."""
 
-    def __init__(self, bits: list[bytes], more: list[bytes | None]):
-        self.bits = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64)
-        self.has = np.array([m is not None for m in more], bool)
+    def __init__(self, bits: np.ndarray | list[bytes], more: list[bytes | None] | pa.ChunkedArray):
+        self.bits = (bits if isinstance(bits, np.ndarray) else np.frombuffer(b"".join(bits), np.uint64)).reshape(-1, BITS // 64)
+        more = more if isinstance(more, pa.ChunkedArray) else pa.chunked_array([pa.array(more, pa.binary())])
+        self.has = more.is_valid().to_numpy()
         self.place = np.cumsum(self.has) - 1
-        self.more = np.frombuffer(b"".join(m for m in more if m is not None), np.uint64).reshape(-1, LONG_BITS // 64)
+        self.more = np.frombuffer(b"".join(more.drop_null().to_pylist()), np.uint64).reshape(-1, LONG_BITS // 64)
 
     def differences(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Fewest words in which the sets of each pair differ."""
@@ -264,7 +368,26 @@ def _listings(sets: DataFrame) -> np.ndarray:
 
 
 # `meta` packs size, place in the prefix, side, and whether both blocks are the same.
-_LISTED = "key bigint, node bigint, meta bigint, bits binary, more binary"
+_LISTED = f"key bigint, node bigint, meta bigint, {', '.join(f'{c} bigint' for c in _BITS)}, more binary"
+
+
+def _meeting(key: np.ndarray, sizes: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs with the same key that pass the length filter, some at a time; rows are sorted by key and size."""
+    group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))).astype(np.int64)
+    largest = np.minimum(np.floor(sizes / threshold + 1e-9).astype(np.int64), (1 << 31) - 1)
+    # The rows from the next one up to `end` have the same key and are small enough.
+    end = np.searchsorted(group << 31 | sizes, group << 31 | largest, "right")
+    partners = end - np.arange(len(key)) - 1
+    total = np.cumsum(partners)
+    first = 0
+    while first < len(key):
+        done = total[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+        a = np.repeat(np.arange(first, last), partners[first:last])
+        b = a + 1 + np.arange(len(a)) - np.repeat(total[first:last] - partners[first:last] - done, partners[first:last])
+        if len(a):
+            yield a, b
+        first = last
 
 
 def _candidates(sets: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -292,37 +415,26 @@ def _candidates(sets: DataFrame, threshold: float, block: int) -> DataFrame:
                 part = slice(begin, begin + ROWS_AT_ONCE)
                 take = rows[part]
                 columns = [pa.array(key[part].view(np.int64)), pa.array(node[of[part]]), pa.array(meta[part])]
-                columns += [batch.column(3).take(take), batch.column(4).take(take)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "meta", "bits", "more"])
+                columns += [batch.column(k).take(take) for k in range(3, 4 + len(_BITS))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "meta", *_BITS, "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups_of(batches, ["key"]):
-            starts = [*starts_of(rows, ["key"]), rows.num_rows]
-            node, meta = rows.column("node").to_numpy(), rows.column("meta").to_numpy()
+            node, meta, key = (rows.column(c).to_numpy() for c in ("node", "meta", "key"))
             sizes, at, sides, same = meta >> 33, (meta >> 2) & 0x7FFFFFFF, (meta >> 1) & 1, meta & 1
-            bits = Bitmaps(rows.column("bits").to_pylist(), rows.column("more").to_pylist())
-            waiting: list[tuple[np.ndarray, np.ndarray]] = []
+            bits = Bitmaps(np.stack([rows.column(c).to_numpy().view(np.uint64) for c in _BITS], axis=1), rows.column("more"))
             left: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
-            held = 0
-            for begin, end in zip(starts, starts[1:], strict=False):
-                if end - begin < 2:
-                    continue
-                for a, b in row_pairs(sides[begin:end], same[begin]):
-                    waiting.append((a + begin, b + begin))
-                    held += len(a)
-                    if held >= PAIRS:
-                        left.append(able_pairs(*map(np.concatenate, zip(*waiting, strict=True)), sizes, at, bits, threshold))
-                        waiting, held = [], 0
-            if waiting:
-                left.append(able_pairs(*map(np.concatenate, zip(*waiting, strict=True)), sizes, at, bits, threshold))
+            for a, b in _meeting(key, sizes, threshold):
+                able = (same[a] == 1) | (sides[a] != sides[b])
+                left.append(able_pairs(a[able], b[able], sizes, at, bits, threshold))
             a, b = (np.concatenate(x) for x in zip(*left, strict=True))
             root = roots(rows.num_rows, a, b)
             other = np.flatnonzero(root != np.arange(rows.num_rows))
             yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(node[root[other]])], names=["a", "b"])
 
-    # The number of blocks of a word is known from the table, so one shuffle is enough.
-    rows = sets.select("node", "size", "prefix", "bits", "more").mapInArrow(listed, _LISTED)
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+    # Sizes are the upper part of `meta`. The number of blocks of a word is known from the table, so one shuffle is enough.
+    rows = sets.select("node", "size", "prefix", *_BITS, "more").mapInArrow(listed, _LISTED)
+    return rows.repartition("key").sortWithinPartitions("key", "meta").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 # --- verification ---------------------------------------------------------------
@@ -334,7 +446,7 @@ def _needed(nodes: DataFrame) -> bytes:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(NEEDED // 8, np.uint8)
         for batch in batches:
-            at = _filter_places(batch.column(0).to_pylist())
+            at = _filter_places(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64))
             np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
         some = np.flatnonzero(out)
         yield pa.RecordBatch.from_pydict({"at": pa.array(some, pa.int64()), "bits": pa.array(out[some].astype(np.int32))})
@@ -357,10 +469,9 @@ def _needed(nodes: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _filter_places(digests: list[bytes]) -> np.ndarray:
+def _filter_places(digests: np.ndarray) -> np.ndarray:
     """Two places of the filter per digest."""
-    parts = np.frombuffer(b"".join(digests), np.uint64).astype(np.uint64)
-    return (parts % np.uint64(NEEDED)).astype(np.int64)
+    return (digests.ravel() % np.uint64(NEEDED)).astype(np.int64)
 
 
 def _matched(
@@ -370,20 +481,16 @@ def _matched(
     shared = docs.sparkSession.sparkContext.broadcast(_needed(nodes))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, needed = once_per_worker(("word hashes",), WordHashes), np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            rows: list[tuple] = []
-            for k, whole in enumerate(texts_of(batch, "text")):
-                own, _, starts = line_sets(whole, hashes)
-                lines = [x for x in range(len(starts) - 1) if starts[x + 1] > starts[x]]
-                digests = [_digest(own[starts[x] : starts[x + 1]]) for x in lines]
-                at = _filter_places(digests)
-                found = (needed[at >> 3] >> (at & 7) & 1).reshape(-1, 2).all(axis=1) if digests else []
-                rows += [(k, x, d, own[starts[x] : starts[x + 1]].tobytes()) for x, d, f in zip(lines, digests, found, strict=True) if f]
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            where = pa.array(columns[0], pa.int64())
+        needed = np.frombuffer(shared.value, np.uint8)
+        for piece in pieces_of(batches, "text"):
+            sets = line_sets(piece.column(2))
+            digests = sets.digests()
+            at = _filter_places(digests)
+            found = np.flatnonzero((needed[at >> 3] >> (at & 7) & 1).reshape(-1, 2).all(axis=1))
+            where = pa.array(sets.text[found])
+            own = [sets.words[sets.starts[k] : sets.starts[k + 1]].tobytes() for k in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(where), batch.column(1).take(where), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())],
+                [piece.column(0).take(where), piece.column(1).take(where), pa.array(sets.line[found].astype(np.int32)), binary(digests[found]), pa.array(own, pa.binary())],
                 names=["id", "text_hash", "line", "digest", "words"],
             )
 
@@ -411,7 +518,8 @@ def _later(group: pa.Table, threshold: float) -> np.ndarray:
     place = np.lexsort([group.column(k).to_numpy() for k in ("line", "text_hash", "id")])
     rank = np.empty(len(place), np.int64)
     rank[place] = np.arange(len(place))
-    bits, common = Bitmaps(*zip(*map(bitmaps, sets), strict=True)), shared_counts(sets)
+    bits = Bitmaps(*set_bitmaps(np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))))
+    common = shared_counts(sets)
     out = [np.zeros(0, np.int64)]
     same = group.column("first")[0].equals(group.column("second")[0])
     for a, b in row_pairs(group.column("side").to_numpy(), same):
@@ -440,16 +548,11 @@ def _removed(docs: DataFrame, id: str, text: str, threshold: float, block: int)
     )
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = once_per_worker(("word hashes",), WordHashes)
-        for batch in batches:
-            rows: list[tuple] = []
-            for k, whole in enumerate(texts_of(batch, "text")):
-                own, _, starts = line_sets(whole, hashes)
-                rows += [(k, x, _digest(own[starts[x] : starts[x + 1]])) for x in range(len(starts) - 1) if starts[x + 1] > starts[x]]
-            columns = list(zip(*rows, strict=True)) or [[]] * 3
-            where = pa.array(columns[0], pa.int64())
+        for piece in pieces_of(batches, "text"):
+            sets = line_sets(piece.column(2))
+            where = pa.array(sets.text)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(where), batch.column(1).take(where), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())],
+                [piece.column(0).take(where), piece.column(1).take(where), pa.array(sets.line.astype(np.int32)), binary(sets.digests())],
                 names=["id", "text_hash", "line", "digest"],
             )
 

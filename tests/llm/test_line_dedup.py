@@ -2,6 +2,7 @@ import ast
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from signalmill.llm import line_dedup
@@ -85,3 +86,40 @@ def test_bitmaps_never_bound_too_low():
     true = np.array([len(np.setxor1d(sets[x], sets[y])) for x, y in zip(a, b, strict=True)])
     found = bits.differences(a, b)
     assert (found <= true).all() and (found[true == 0] == 0).all()
+
+
+def test_words_of_texts_as_the_plain_rule():
+    rng = random.Random(4)
+    parts = ["a", "B", "Word9", "ünï東京", "\U0001f600", "x" * 7, "x" * 8, "y" * 64, "y" * 65, "z" * 500, "\n", "\n\n", " ", "--", "\x00", "\t"]
+    rows = [None, "", "\n", "a", "b\n", None, "", "B\na", " "] + ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(300)]
+    for column, texts_in in ((pa.array(rows), rows), (pa.array(rows).slice(3, 200), rows[3:203])):
+        own, of, line = line_dedup.text_words(column)
+        plain = [(t, k, w) for t, x in enumerate(texts_in) for k, part in enumerate((x or "").split("\n")) for w in words(part)]
+        assert [(t, k) for t, k, _ in plain] == list(zip(of.tolist(), line.tolist(), strict=True))
+        pairs = {(w, h) for (_, _, w), h in zip(plain, own.tolist(), strict=True)}
+        assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+        sets = line_dedup.line_sets(column)
+        found = [(int(t), int(k), frozenset(sets.words[a:b].tolist())) for t, k, a, b in zip(sets.text, sets.line, sets.starts, sets.starts[1:], strict=False)]
+        of_word = dict(pairs)
+        true = {}
+        for t, k, w in plain:
+            true.setdefault((t, k), set()).add(of_word[w])
+        assert found == [(t, k, frozenset(v)) for (t, k), v in true.items()]
+        assert len({tuple(d) for d in sets.digests().tolist()}) == len({f for _, _, f in found})
+
+
+def test_order_of_words_whose_sort_keys_tie():
+    top = np.uint64(77) << np.uint64(32)
+    own = np.array([top | np.uint64(5), top | np.uint64(3), top | np.uint64(5), np.uint64(1)], np.uint64)
+    order = line_dedup._ordered(own, np.zeros(4, np.int64), np.zeros(4, np.uint8))
+    assert own[order].tolist() == sorted(own.tolist())
+
+
+def test_meeting_rows():
+    rng = np.random.default_rng(3)
+    key, sizes = np.sort(rng.integers(0, 40, 500)), rng.integers(1, 60, 500)
+    order = np.lexsort((sizes, key))
+    key, sizes = key[order], sizes[order]
+    got = [x for a, b in line_dedup._meeting(key, sizes, 0.8) for x in zip(a.tolist(), b.tolist(), strict=True)]
+    want = [(a, b) for a in range(500) for b in range(a + 1, 500) if key[a] == key[b] and 5 * sizes[a] >= 4 * sizes[b]]
+    assert sorted(got) == want
