@@ -7,6 +7,7 @@ user code: any function from (system, user) to text, run over partitions.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -105,12 +106,14 @@ def validity_requests(clusters: DataFrame, context: DataFrame) -> DataFrame:
     return clusters.join(context, "signature_id").select("signature_id", "kind_v2_primary", user.alias("user"))
 
 
-def ask(requests: DataFrame, complete: Callable[[str, str], str]) -> DataFrame:
+def ask(requests: DataFrame, complete: Callable[[str, str], str], attempts: int = 1, pause: float = 1.0) -> DataFrame:
     """Add `answer` and `error` by calling `complete(system, user)` on the executors.
 
-    A failing call gives a NULL answer and the kind and text of its exception, so
-    one bad request does not end the job and does not get lost; see `failed_requests`.
-    Write the result out before using it twice: calls are not repeatable.
+    A failing call is made up to `attempts` times, after `pause` seconds and twice
+    as long each time. Then it gives a NULL answer and the kind and text of its last
+    exception, so one bad request does not end the job and does not get lost; see
+    `failed_requests`. Write the result out before using it twice: calls are not
+    repeatable. `answers.AnswerStore` keeps answers over runs.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
 
@@ -120,10 +123,14 @@ def ask(requests: DataFrame, complete: Callable[[str, str], str]) -> DataFrame:
             answers, errors = [], []
             for system, user in zip(systems, batch["user"], strict=True):
                 answer, error = None, None
-                try:
-                    answer = complete(system, user)
-                except Exception as e:
-                    error = f"{type(e).__name__}: {e}"
+                for turn in range(attempts):
+                    if turn:
+                        time.sleep(pause * 2 ** (turn - 1))
+                    try:
+                        answer, error = complete(system, user), None
+                        break
+                    except Exception as e:
+                        error = f"{type(e).__name__}: {e}"
                 answers.append(answer)
                 errors.append(error)
             as_column = lambda values: pd.Series(values, index=batch.index, dtype="object")

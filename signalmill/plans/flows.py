@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from signalmill.functions import fixed
 from signalmill.operators import chunks, merge, requests, rollup, signals, tickets
+from signalmill.operators.answers import AnswerStore
 from signalmill.operators.stable import stable
 from signalmill.sources import items as item_files
 from signalmill.sources import sessions
@@ -27,18 +28,20 @@ def mine_sessions(
     max_items_per_chunk: int = signals.MAX_ITEMS,
     complete: Callable[[str, str], str] | None = None,
     compat: bool = False,
+    answers_path: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(items, summary) of the session files below `root`; items also go to `out` as JSON lines.
 
     By rule, or with the answers of a model when `complete(system, user)` is
-    given; the summary then counts the requests and those that failed.
+    given; the summary then counts the requests and those that failed. With
+    `answers_path`, answers are kept there and a later run asks only what is new.
     """
     views = stable(sessions.read_views(spark, root, include, exclude, max_sessions, max_text_chars))
     bounds = stable(chunks.chunk_bounds(views, chunk_events, chunk_overlap, compat=compat))
     if complete is None:
         items = signals.mine(views, bounds, max_items_per_chunk, compat)
     else:
-        answers = stable(requests.ask(requests.chunk_requests(views, bounds), complete))
+        answers = stable(_asked(requests.chunk_requests(views, bounds), complete, answers_path))
         items = signals.validated(signals.answers_to_candidates(answers), views, bounds, max_items_per_chunk)
         items = items if compat else signals.without_overlap(items)
     items = stable(items)
@@ -62,6 +65,12 @@ def mine_sessions(
     return items, summary.select(*named, "*")
 
 
+def _asked(asked: DataFrame, complete: Callable[[str, str], str], answers_path: str | None) -> DataFrame:
+    if answers_path is None:
+        return requests.ask(asked, complete)
+    return AnswerStore(asked.sparkSession, answers_path).ask(asked, complete)
+
+
 def roll_up(
     items: DataFrame,
     merge_similar: bool = False,
@@ -70,11 +79,12 @@ def roll_up(
     max_tags: int = rollup.MAX_TAGS,
     auto_jaccard: float = merge.AUTO_JACCARD,
     ask_jaccard: float = merge.ASK_JACCARD,
+    answers_path: str | None = None,
 ) -> DataFrame:
     """Ranked clusters of items, similar ones merged on request.
 
     With `complete`, a model decides on pairs a little below the merge threshold,
-    until none between two clusters is left.
+    until none between two clusters is left; its answers are kept below `answers_path`, if given.
     """
     clusters = rollup.rollups(items, max_samples, max_tags)
     if not merge_similar:
@@ -85,7 +95,7 @@ def roll_up(
         system = F.lit(fixed.MERGE_SYSTEM_PROMPT).alias("system")
 
         def ask(asked: DataFrame) -> DataFrame:
-            return requests.ask(asked.select("a", "b", system, "user"), complete)
+            return _asked(asked.select("a", "b", system, "user"), complete, answers_path)
 
         extra = merge.asked_edges(clusters, ask, ask_jaccard, auto_jaccard)
     members = merge.merge_components(clusters, extra, threshold=auto_jaccard)

@@ -781,6 +781,11 @@ def all_sql() -> dict[str, str]:
         """SELECT signature_id, kind_v2_primary, CASE WHEN contains(canonical_summary, 'gateway') OR contains(left(full_context, 4000), 'gateway')
         THEN 'defect' ELSE 'ux_friction' END AS class, 'high' AS confidence FROM contexts""",
     )
+    sql["stored_answers"] = _with(
+        _FUZZY,
+        """SELECT signature_id, CASE WHEN length(canonical_summary) % 2 = 0 THEN 'first run' ELSE 'second run' END AS answer,
+        CAST(NULL AS VARCHAR) AS error FROM contexts""",
+    )
     sql["judged_validity"] = _with(
         _FUZZY,
         f"""SELECT signature_id, y AS is_real_issue, CASE WHEN y THEN 'high' ELSE 'none' END AS confidence, CASE WHEN y THEN 'medium' ELSE 'none' END AS severity

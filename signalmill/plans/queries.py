@@ -29,6 +29,7 @@ from signalmill.operators import (
     triage,
     workflow,
 )
+from signalmill.operators.answers import AnswerStore
 from signalmill.operators.ordered import first_per_key
 from signalmill.operators.stable import new_path, stable
 from signalmill.sources import documents as docs
@@ -939,6 +940,17 @@ def judged_validity(spark, sf_dir):
     return requests.validity_answers(answers).select("signature_id", "is_real_issue", "confidence", "severity")
 
 
+@register
+def stored_answers(spark, sf_dir):
+    """Two runs over one answer store: the second asks only what the first did not."""
+    clusters = stable(_clusters(spark, sf_dir))
+    asked = requests.classify_requests(clusters, stable(evidence.fuzzy_evidence(clusters, _items(spark, sf_dir))))
+    store = AnswerStore(spark, new_path(spark, "answers"))
+    early = clusters.filter("length(canonical_summary) % 2 = 0").select("signature_id")
+    store.ask(asked.join(early, "signature_id"), lambda system, user: "first run")
+    return store.ask(asked, lambda system, user: "second run").select("signature_id", "answer", "error")
+
+
 # --- streams -----------------------------------------------------------------
 
 
