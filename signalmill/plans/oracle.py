@@ -755,6 +755,12 @@ def all_sql() -> dict[str, str]:
         round(avg(latency_ms) FILTER (ok), 6) AS mean_ms, any_value(p50_ms) AS p50_ms, any_value(p95_ms) AS p95_ms, any_value(p99_ms) AS p99_ms
         FROM lat LEFT JOIN p USING (phase) GROUP BY phase""",
     )
+    sql["latency_sketches"] = _with(
+        _LATENCY,
+        """SELECT days, phase, point, count(*) AS n, CAST(count(*) AS BIGINT) AS sketched, TRUE AS near
+        FROM (SELECT 'all' AS days, * FROM lat UNION ALL SELECT 'some', * FROM lat WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-21')
+        CROSS JOIN (VALUES ('p50_ms'), ('p95_ms'), ('p99_ms')) AS points(point) WHERE ok GROUP BY ALL""",
+    )
     sql["last_latencies"] = _with(
         f"""{_LATENCY}, kept AS (SELECT * FROM lat QUALIFY row_number() OVER (PARTITION BY phase ORDER BY ts DESC, call_id DESC) <= 1000),
         k AS (SELECT phase, count(*) AS kept, min(call_id) AS oldest, round(sum(latency_ms), 2) AS total_ms FROM kept GROUP BY 1),

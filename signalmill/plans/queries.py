@@ -865,6 +865,28 @@ def latency_stats(spark, sf_dir):
     return stats.withColumn("mean_ms", F.round("mean_ms", 6))
 
 
+# Days of the trace that the second range of sketches spans.
+_SKETCH_DAYS = ("2024-01-08", "2024-01-21")
+
+
+@register
+def latency_sketches(spark, sf_dir):
+    """Quantiles from daily sketches, over all days and over some, and whether their rank is within one hundredth."""
+    rows = _latencies(spark, sf_dir)
+    store = new_path(spark, "sketches")
+    written = latency.latency_sketches(rows)
+    written.write.partitionBy("day").parquet(store)
+    sketches = spark.read.schema(written.schema).parquet(store)
+    first, last = _SKETCH_DAYS
+    inside = rows.filter(F.to_date("start_ts").between(first, last))
+    out = []
+    for name, days, part in (("all", (None, None), rows), ("some", (first, last), inside)):
+        found = stable(latency.sketch_quantiles(sketches, *days))
+        told = latency.rank_errors(part, found).join(found.select("phase", F.col("n").alias("sketched")), "phase")
+        out.append(told.select(F.lit(name).alias("days"), "phase", "point", "n", "sketched", (F.col("rank_error") <= 0.01).alias("near")))
+    return out[0].unionByName(out[1])
+
+
 @register
 def last_latencies(spark, sf_dir):
     rows = _latencies(spark, sf_dir)
