@@ -677,6 +677,11 @@ def all_sql() -> dict[str, str]:
         """SELECT count(*) AS n_samples, count(*) FILTER (auto = judged) AS n_correct,
         round(count(*) FILTER (auto = judged) / count(*), 3) AS accuracy FROM labelled""",
     )
+    sql["class_intervals"] = f"""WITH metrics AS ({sql["class_metrics"]}), whole AS ({sql["accuracy"]})
+        SELECT label, 'precision' AS metric, CAST(tp + fp AS BIGINT) AS n, precision AS estimate, TRUE AS inside FROM metrics
+        UNION ALL SELECT label, 'recall', tp + fn, recall, TRUE FROM metrics
+        UNION ALL SELECT label, 'f1', tp + fp + fn, f1, TRUE FROM metrics
+        UNION ALL SELECT 'all', 'accuracy', n_samples, accuracy, TRUE FROM whole"""
     sql["validity"] = _with(
         _LABELLED,
         """SELECT coalesce(auto, 'all') AS signal_class, count(*) AS total, count(*) FILTER (is_real_issue) AS real,

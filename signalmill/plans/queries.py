@@ -18,6 +18,7 @@ from signalmill.operators import (
     evidence,
     graph,
     inspect,
+    intervals,
     latency,
     merge,
     requests,
@@ -771,6 +772,14 @@ def accuracy(spark, sf_dir):
     return evaluate.accuracy(_labelled(spark, sf_dir), "auto", "judged")
 
 
+@register
+def class_intervals(spark, sf_dir):
+    """Figures per class with the place of their bootstrap interval: a proper one around the estimate."""
+    found = intervals.class_intervals(_labelled(spark, sf_dir), "auto", "judged", "doc_id", replicates=200)
+    inside = (F.col("low") <= F.col("estimate")) & (F.col("estimate") <= F.col("high"))
+    return found.select("label", "metric", "n", F.round("estimate", 3).alias("estimate"), inside.alias("inside"))
+
+
 @register
 def validity(spark, sf_dir):
     rows = _labelled(spark, sf_dir).withColumnRenamed("auto", "signal_class")
