@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalmill.functions import fixed
+from signalmill.operators.stable import stable
 
 REPLICATES = 1000
 LEVEL = 0.95
@@ -93,7 +94,8 @@ def class_intervals(
     size = len(classes) + 1
     same = F.coalesce(F.col(truth) == F.col(predicted), F.lit(False)).cast("int")
     cells = labels.withColumn("_cell", (place(truth) * size + place(predicted)) * 2 + same)
-    counts = cell_counts(cells, "_cell", key, replicates, seed).select(
+    # Written out, as both parts below read it: a bounded number of rows, dear to make.
+    counts = stable(cell_counts(cells, "_cell", key, replicates, seed)).select(
         "replicate", "n", F.expr(f"int(cell div {2 * size})").alias("t"), F.expr(f"int(cell div 2 % {size})").alias("p"), (F.col("cell") % 2).alias("same")
     )
     # An empty cell per class and replicate, so that every class has a row.
