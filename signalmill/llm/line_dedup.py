@@ -25,7 +25,7 @@ lost, and nothing is capped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,8 +52,12 @@ THRESHOLD = 0.8
 # Places of the table of word counts, and how many of them travel in one row.
 TABLE = 1 << 22
 CHUNK = 1 << 16
-# Bits of the filter that says which lines a cluster needs.
-NEEDED = 1 << 26
+# Words with a number of blocks of their own. With N listings, no more than HOT words have more than N / HOT of them.
+HOT = 1 << 20
+# Bits of a filter: 16 for each of its members, at least and at most so many, and how many travel in one row.
+LEAST_FILTER = 1 << 20
+MOST_FILTER = 1 << 29
+FILTER_CHUNK = 1 << 19
 BLOCK = 400
 ROWS_AT_ONCE = 100_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -390,18 +394,44 @@ def _meeting(key: np.ndarray, sizes: np.ndarray, threshold: float) -> Iterator[t
         first = last
 
 
+def _hot_words(sets: DataFrame, counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words with more than `block` listings, in order, and their numbers of blocks; counted by word.
+
+    Only words at places of the table with that many listings can be hot.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(counts > block)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        able = shared.value
+        for batch in batches:
+            own = _places(batch)[0]
+            word, times = np.unique(own[able[own & (TABLE - 1)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(times)], names=["word", "times"])
+
+    found = sets.select("prefix").mapInArrow(count, "word bigint, times bigint")
+    hot = found.groupBy("word").agg(F.sum("times").alias("times")).filter(F.col("times") > block).toArrow()
+    word, times = hot.column("word").to_numpy(), hot.column("times").to_numpy()
+    order = np.argsort(word)
+    return word[order], -(-times[order] // block)
+
+
 def _candidates(sets: DataFrame, threshold: float, block: int) -> DataFrame:
     """(a, b): star edges over the pairs of sets that meet under a word and pass the filters."""
     counts = _listings(sets)
-    shared = sets.sparkSession.sparkContext.broadcast(np.where(counts > 1, -(-counts // block), 0).astype(np.uint32))
+    # So there are no more than HOT hot words, and any other word has a group of this size at most.
+    block = max(block, -(-int(counts.sum()) // HOT))
+    shared = sets.sparkSession.sparkContext.broadcast((counts > 1, *_hot_words(sets, counts, block)))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks_of = shared.value
+        several, hot, hot_blocks = shared.value
         for batch in batches:
             words_of, row = _places(batch)
             node, size = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
             at = np.arange(len(row)) - np.searchsorted(row, row)
-            blocks = blocks_of[words_of & (TABLE - 1)].astype(np.int64)
+            blocks = several[words_of & (TABLE - 1)].astype(np.int64)
+            if len(hot):
+                near = np.minimum(np.searchsorted(hot, words_of), len(hot) - 1)
+                blocks = np.where(hot[near] == words_of, hot_blocks[near], blocks)
             # One listing per block that the own block is compared with; none for a word alone.
             source = np.repeat(np.arange(len(row)), blocks)
             other = np.arange(len(source)) - np.searchsorted(source, source)
@@ -440,57 +470,96 @@ def _candidates(sets: DataFrame, threshold: float, block: int) -> DataFrame:
 # --- verification ---------------------------------------------------------------
 
 
-def _needed(nodes: DataFrame) -> bytes:
-    """A filter of NEEDED bits with the digests of `nodes`; other digests may pass it."""
+def filter_places(keys: np.ndarray, size: int) -> np.ndarray:
+    """Two places of a filter per pair of keys."""
+    return (keys & np.uint64(size - 1)).astype(np.int64)
+
+
+def passes(bits: bytes, keys: np.ndarray) -> np.ndarray:
+    """Which pairs of keys pass a filter: all members, and one in sixty of the others until it has its full size."""
+    own = np.frombuffer(bits, np.uint8)
+    at = filter_places(keys, 8 * len(own))
+    return (own[at >> 3] >> (at & 7) & 1).all(axis=1)
+
+
+def filter_of(rows: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]) -> bytes:
+    """The filter of all rows; its size follows their number, up to MOST_FILTER bits."""
+    size = min(MOST_FILTER, max(LEAST_FILTER, 1 << (16 * rows.count()).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(NEEDED // 8, np.uint8)
         for batch in batches:
-            at = _filter_places(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64))
-            np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        some = np.flatnonzero(out)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(some, pa.int64()), "bits": pa.array(out[some].astype(np.int32))})
-
-    marks = nodes.select("digest").mapInArrow(mark, "at bigint, bits int")
-    marks = marks.groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    # Bytes go to the driver in rows of 64 KB; there are NEEDED / 8 of them at most.
-    packed = marks.groupBy(F.expr(f"at div {CHUNK}").alias("chunk")).agg(F.collect_list(F.struct("at", "bits")).alias("own"))
+            at = np.unique(filter_places(keys(batch), size))
+            chunks, starts = np.unique(at // FILTER_CHUNK, return_index=True)
+            own = [x.astype(np.uint32).tobytes() for x in np.split(at % FILTER_CHUNK, starts[1:])] if len(at) else []
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(own, pa.binary())], names=["chunk", "own"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = np.zeros(CHUNK, np.uint8)
-                part[[x["at"] % CHUNK for x in own]] = [x["bits"] for x in own]
-                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "part": pa.array([part.tobytes()], pa.binary())})
-
-    out = bytearray(NEEDED // 8)
-    for row in packed.mapInArrow(pack, "chunk bigint, part binary").collect():
-        out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = row["part"]
+                at = np.frombuffer(own, np.uint32)
+                part = parts.setdefault(chunk, np.zeros(FILTER_CHUNK // 8, np.uint8))
+                np.bitwise_or.at(part, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for chunk, part in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "own"])
+
+    schema = "chunk bigint, own binary"
+    out = bytearray(size // 8)
+    for row in rows.mapInArrow(mark, schema).repartition("chunk").mapInArrow(pack, schema).collect():
+        at = row["chunk"] * FILTER_CHUNK // 8
+        out[at : at + FILTER_CHUNK // 8] = row["own"]
     return bytes(out)
 
 
-def _filter_places(digests: np.ndarray) -> np.ndarray:
-    """Two places of the filter per digest."""
-    return (digests.ravel() % np.uint64(NEEDED)).astype(np.int64)
+def place_keys(id: np.ndarray, text_hash: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Two keys per line, from its place."""
+    x = _spread(id.astype(np.int64).view(np.uint64)) + text_hash.view(np.uint64)
+    x = _spread(x) + line.astype(np.uint64) * _STEP
+    return np.stack([_spread(x ^ seed) for seed in _SEEDS], axis=1)
+
+
+def digest_keys(digests: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(digests.to_pylist()), np.uint64).reshape(-1, 2)
+
+
+def text_lines(column: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of some texts, and of each line its text, its number from 0, its start and its end."""
+    column = column.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    raw = column.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if offsets[-1] > offsets[0] else b""
+    bounds = offsets - offsets[0]
+    breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x0A)
+    of = np.concatenate((np.arange(len(column)), np.searchsorted(bounds[:-1], breaks, "right") - 1))
+    begin = np.concatenate((bounds[:-1], breaks + 1))
+    order = np.lexsort((begin, of))
+    of, begin = of[order], begin[order]
+    end = bounds[1:][of]
+    inner = np.flatnonzero(of[1:] == of[:-1])
+    end[inner] = begin[inner + 1] - 1
+    return raw, of, np.arange(len(of)) - np.searchsorted(of, of), begin, end
 
 
 def _matched(
     docs: DataFrame, nodes: DataFrame, id: str, text: str, threshold: float, block: int
 ) -> DataFrame:
     """Digests of the sets that an earlier line matches."""
-    shared = docs.sparkSession.sparkContext.broadcast(_needed(nodes))
+    firsts = nodes.select("id", "text_hash", "line")
+    shared = docs.sparkSession.sparkContext.broadcast(
+        filter_of(firsts, lambda batch: place_keys(*(c.to_numpy() for c in batch.columns)))
+    )
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        needed = np.frombuffer(shared.value, np.uint8)
         for piece in pieces_of(batches, "text"):
-            sets = line_sets(piece.column(2))
-            digests = sets.digests()
-            at = _filter_places(digests)
-            found = np.flatnonzero((needed[at >> 3] >> (at & 7) & 1).reshape(-1, 2).all(axis=1))
-            where = pa.array(sets.text[found])
-            own = [sets.words[sets.starts[k] : sets.starts[k + 1]].tobytes() for k in found]
+            # Only lines that are the first place of a set of a cluster are cut into words.
+            raw, of, line, begin, end = text_lines(piece.column(2))
+            id, text_hash = piece.column(0).to_numpy(), piece.column(1).to_numpy()
+            found = np.flatnonzero(passes(shared.value, place_keys(id[of], text_hash[of], line)))
+            sets = line_sets(pa.array([raw[begin[k] : end[k]] for k in found], pa.binary()).cast(pa.string()))
+            found = found[sets.text]
+            where = pa.array(of[found])
+            own = [sets.words[at:to].tobytes() for at, to in zip(sets.starts, sets.starts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0).take(where), piece.column(1).take(where), pa.array(sets.line[found].astype(np.int32)), binary(digests[found]), pa.array(own, pa.binary())],
+                [piece.column(0).take(where), piece.column(1).take(where), pa.array(line[found].astype(np.int32)), binary(sets.digests()), pa.array(own, pa.binary())],
                 names=["id", "text_hash", "line", "digest", "words"],
             )
 
@@ -543,16 +612,22 @@ def _removed(docs: DataFrame, id: str, text: str, threshold: float, block: int)
     nodes = kept(nodes.join(sets.select("node", "digest", "id", "text_hash", "line"), "node").drop("node"))
     matched = kept(_matched(docs, nodes, id, text, threshold, block))
     told = sets.join(matched.withColumn("matched", F.lit(True)), "digest", "left").filter("matched OR times > 1")
-    told = told.select(
-        "digest", F.struct("id", "text_hash", "line").alias("first"), F.coalesce("matched", F.lit(False)).alias("matched")
+    told = kept(
+        told.select(
+            "digest", F.struct("id", "text_hash", "line").alias("first"), F.coalesce("matched", F.lit(False)).alias("matched")
+        )
     )
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(told.select("digest"), lambda batch: digest_keys(batch.column(0))))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces_of(batches, "text"):
             sets = line_sets(piece.column(2))
-            where = pa.array(sets.text)
+            digests = sets.digests()
+            # Lines whose set occurs once and matches none stay in their task.
+            found = np.flatnonzero(passes(shared.value, digests))
+            where = pa.array(sets.text[found])
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0).take(where), piece.column(1).take(where), pa.array(sets.line.astype(np.int32)), binary(sets.digests())],
+                [piece.column(0).take(where), piece.column(1).take(where), pa.array(sets.line[found].astype(np.int32)), binary(digests[found])],
                 names=["id", "text_hash", "line", "digest"],
             )
 

@@ -49,7 +49,7 @@ def texts(seed, n):
 
 @pytest.mark.parametrize("block", [400, 6])
 def test_against_brute_force(spark, block):
-    rows = texts(1, 60) + [(1000 + i if i is not None else None, t) for i, t in ODD if t != LONG]
+    rows = texts(1, 60) + [(1000 + i if i is not None else None, t) for i, t in ODD]
     rng = random.Random(2)
     rng.shuffle(rows)
     found = line_dedup.removed_lines(table(spark, rows).repartition(3), block=block)
@@ -123,3 +123,37 @@ def test_meeting_rows():
     got = [x for a, b in line_dedup._meeting(key, sizes, 0.8) for x in zip(a.tolist(), b.tolist(), strict=True)]
     want = [(a, b) for a in range(500) for b in range(a + 1, 500) if key[a] == key[b] and 5 * sizes[a] >= 4 * sizes[b]]
     assert sorted(got) == want
+
+
+def test_lines_of_texts():
+    rows = [None, "", "a\nb", "\n", "ünï\n\nx", "", "last", None]
+    for column, own in ((pa.array(rows), rows), (pa.array(rows).slice(2, 4), rows[2:6]), (pa.array([], pa.string()), [])):
+        raw, of, line, begin, end = line_dedup.text_lines(column)
+        found = [(int(t), int(k), raw[a:b].decode()) for t, k, a, b in zip(of, line, begin, end, strict=True)]
+        assert found == [(t, k, x) for t, r in enumerate(own) for k, x in enumerate((r or "").split("\n"))]
+
+
+@pytest.mark.parametrize("n", [0, 5, 40_000])
+def test_filter_passes_its_members_and_few_others(spark, n):
+    def keys(batch):
+        return line_dedup.place_keys(*(c.to_numpy() for c in batch.columns))
+
+    rows = spark.range(n).selectExpr("id", "xxhash64(id) AS text_hash", "cast(id % 7 AS int) AS line").repartition(3)
+    bits = line_dedup.filter_of(rows, keys)
+    assert 8 * len(bits) >= 16 * n
+    if n:
+        table = rows.toArrow().combine_chunks().to_batches()[0]
+        assert line_dedup.passes(bits, keys(table)).all()
+    others = spark.range(10**6, 10**6 + 20_000).selectExpr("id", "xxhash64(id) AS text_hash", "0 AS line").toArrow()
+    assert line_dedup.passes(bits, keys(others.combine_chunks().to_batches()[0])).mean() < 0.03
+
+
+def test_hot_words_are_counted_by_word(spark):
+    # 3 and 3 + TABLE share a place; only the second one is hot.
+    hot = 3 + line_dedup.TABLE
+    sets = spark.createDataFrame([([3, k + 100],) for k in range(4)] + [([hot],)] * 9, "prefix array<int>").repartition(3)
+    counts = line_dedup._listings(sets)
+    assert counts[3] == 13
+    word, blocks = line_dedup._hot_words(sets, counts, 5)
+    assert word.tolist() == [hot] and blocks.tolist() == [2]
+    assert line_dedup._hot_words(sets, counts, 50)[0].tolist() == []
