@@ -347,6 +347,18 @@ grams AS (
 counted AS (SELECT n, p, count(*) AS c, min((session_id, t)) AS o FROM grams GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY c DESC, o) AS place FROM counted)"""
 
+# All sequences of up to four tools, looked for in the calls of a session as one string.
+_PATTERNS = f"""{_TRACE},
+strings AS (SELECT session_id, string_agg('<' || tool || '>', '' ORDER BY i) AS s FROM trace WHERE role = 'toolCall' GROUP BY session_id),
+tools AS (SELECT DISTINCT tool FROM trace WHERE role = 'toolCall'),
+p1 AS (SELECT [tool] AS p FROM tools), p2 AS (SELECT list_append(p, tool) AS p FROM p1, tools),
+p3 AS (SELECT list_append(p, tool) AS p FROM p2, tools), p4 AS (SELECT list_append(p, tool) AS p FROM p3, tools),
+every AS (SELECT p FROM p1 UNION ALL SELECT p FROM p2 UNION ALL SELECT p FROM p3 UNION ALL SELECT p FROM p4),
+follows AS MATERIALIZED (SELECT p, session_id FROM every, strings WHERE regexp_matches(s, '<' || array_to_string(p, '>.*<') || '>')),
+frequent AS MATERIALIZED (SELECT p, count(*) AS support FROM follows GROUP BY p HAVING count(*) >= (SELECT ceil(count(*) / 4.0) FROM strings)),
+inside AS (SELECT DISTINCT p[:CAST(k AS BIGINT) - 1] || p[CAST(k AS BIGINT) + 1:] AS p, support FROM (SELECT p, support, unnest(range(1, len(p) + 1)) AS k FROM frequent WHERE len(p) > 1)),
+told AS MATERIALIZED (SELECT f.p, f.support, i.p IS NULL AS closed FROM frequent f LEFT JOIN inside i ON i.p = f.p AND i.support = f.support)"""
+
 _CRON = f"""{_TRACE},
 cron AS (SELECT *, contains(lower(text), 'error') AND contains(text, 'Cron') AS is_error, left(text, 100) AS preview
   FROM trace WHERE regexp_matches(text, '{_re(fixed.CRON_LABEL)}', 'i') OR contains(text, 'Cron')),
@@ -728,6 +740,16 @@ def all_sql() -> dict[str, str]:
         """SELECT pattern, count(*) OVER (PARTITION BY pattern) AS instances, CAST(row_number() OVER (PARTITION BY pattern ORDER BY session_id, t) AS INTEGER) AS example,
         session_id, t, tool, CASE WHEN pattern <> 'scheduling' THEN n1 END AS next_tool FROM found WHERE pattern IS NOT NULL QUALIFY example <= 5""",
     )
+    sql["gapped_patterns"] = _with(
+        _PATTERNS, "SELECT CAST(len(p) AS INTEGER) AS n, array_to_string(p, ' > ') AS pattern, support, closed FROM told"
+    )
+    sql["workflow_clusters"] = _with(
+        f"""{_PATTERNS}, best AS (SELECT f.session_id, t.p, t.support FROM follows f JOIN told t ON t.p = f.p
+          WHERE t.closed AND len(list_distinct(t.p)) >= 2
+          QUALIFY row_number() OVER (PARTITION BY f.session_id ORDER BY len(t.p) DESC, t.support, t.p) = 1)""",
+        """SELECT s.session_id, array_to_string(b.p, ' > ') AS pattern, b.support, count(*) OVER (PARTITION BY b.p) AS members
+        FROM strings s LEFT JOIN best b ON b.session_id = s.session_id""",
+    )
     sql["tool_summaries"] = _with(
         _TRACE,
         """SELECT session_id, i, CAST(1 AS INTEGER) AS at, tool, CASE WHEN tool IN ('bash', 'exec') THEN '`' || left(text, 80) || '`'

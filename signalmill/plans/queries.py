@@ -21,6 +21,7 @@ from signalmill.operators import (
     intervals,
     latency,
     merge,
+    patterns,
     requests,
     rollup,
     rollup_state,
@@ -836,6 +837,33 @@ def adjacent_patterns(spark, sf_dir):
     return workflow.workflow_examples(matches).select("pattern", "instances", "example", "session_id", "t", "tool", "next_tool")
 
 
+def _patterns(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The calls, the patterns that a quarter of the sessions with calls follow, and where these end."""
+    calls = _once(spark, sf_dir, "numbered_calls", lambda: _calls(spark, sf_dir))
+    with_calls = calls.select("session_id").distinct().count()
+    return calls, *patterns.gapped_patterns(calls, max(1, -(-with_calls // 4)))
+
+
+@register
+def gapped_patterns(spark, sf_dir):
+    """Sequences of up to four tools, with gaps, that a quarter of the sessions follow, and which of them are closed."""
+    _, found, _ = _patterns(spark, sf_dir)
+    closed = patterns.closed_patterns(found).withColumn("closed", F.lit(True))
+    told = found.join(closed, ["pattern", "support"], "left")
+    return told.select(
+        F.size("pattern").alias("n"), F.array_join("pattern", " > ").alias("pattern"), "support",
+        F.coalesce("closed", F.lit(False)).alias("closed"),
+    )
+
+
+@register
+def workflow_clusters(spark, sf_dir):
+    """Every session with calls, under the most specific closed pattern that it follows."""
+    calls, found, places = _patterns(spark, sf_dir)
+    clusters = patterns.session_clusters(calls, patterns.closed_patterns(found), places)
+    return clusters.withColumn("pattern", F.array_join("pattern", " > "))
+
+
 @register
 def tool_summaries(spark, sf_dir):
     """Tool calls inside message content, with a short text of their arguments."""
