@@ -795,6 +795,8 @@ def all_sql() -> dict[str, str]:
         "SELECT * FROM k JOIN c USING (phase)",
     )
 
+    sql["stream_last_latencies"] = sql["last_latencies"]
+
     sql["chunk_requests"] = _with(
         bounds,
         """SELECT b.session_id, chunk_idx, 'chunk:' || CAST(chunk_idx AS STRING) AS chunk_id, CAST(e - s AS INTEGER) AS events, t.text AS first_text

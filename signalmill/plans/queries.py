@@ -37,7 +37,7 @@ from signalmill.operators.stable import new_path, stable
 from signalmill.sources import documents as docs
 from signalmill.sources import items as item_files
 from signalmill.sources import sessions, tables
-from signalmill.streaming import gaps, live, mining
+from signalmill.streaming import gaps, live, mining, samples
 
 _ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
@@ -1075,6 +1075,21 @@ def stream_gaps(spark, sf_dir):
     )
 
 
+@register
+def stream_last_latencies(spark, sf_dir):
+    """The newest latencies per phase, which come in files of any order and are kept on a stream."""
+    source, mark = new_path(spark, "latencies"), new_path(spark, "latencies-progress")
+    rows = _latencies(spark, sf_dir).select("phase", "start_ts", "call_id", "latency_ms", "success")
+    due = F.pmod(F.xxhash64("call_id"), F.lit(_SLICES))
+    for k in range(_SLICES):
+        rows.filter(due == k).write.mode("append").parquet(source)
+        samples.keep_available(spark.readStream.schema(rows.schema).parquet(source), mark)
+    kept = samples.last_samples(spark, mark).groupBy("phase").agg(
+        F.count("*").alias("kept"), F.min("call_id").alias("oldest"), F.round(F.sum("latency_ms"), 2).alias("total_ms")
+    )
+    return kept.join(samples.counters(spark, mark), "phase")
+
+
 @register
 def stream_distinct(spark, sf_dir):
     out, mark = new_path(spark, "distinct"), new_path(spark, "distinct-progress")
