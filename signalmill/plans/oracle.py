@@ -661,6 +661,7 @@ def all_sql() -> dict[str, str]:
       k AS (SELECT item_id, unnest((list_filter(w, lambda x, k: list_position(w, x) = k))[1:12]) AS word FROM w),
       s AS (SELECT item_id, doc_id, CAST(count(*) AS INTEGER) AS score FROM documents JOIN k ON contains(lower(text), word) GROUP BY 1, 2)
       SELECT item_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 3"""
+    sql["related_by_index"] = sql["related_documents"]
     sql["document_sections"] = f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
       m AS (SELECT doc_id, k, CASE WHEN k % 4 = 2 THEN '## ' || line ELSE line END AS line FROM p),
       h AS (SELECT *, starts_with(line, '## ') AS is_head, sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS section FROM m),

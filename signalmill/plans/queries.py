@@ -26,6 +26,7 @@ from signalmill.operators import (
     rollup,
     rollup_state,
     signals,
+    text_index,
     throttle,
     tickets,
     triage,
@@ -723,6 +724,18 @@ def related_documents(spark, sf_dir):
     return found.select(F.col("ticket_id").alias("item_id"), "doc_id", "score")
 
 
+@register
+def related_by_index(spark, sf_dir):
+    """`related_documents` from a stored index instead of a scan."""
+    tickets_of = tables.table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("ticket_id"), F.col("text").alias("title"), F.lit("").alias("description")
+    )
+    root = new_path(spark, "text-index")
+    text_index.add_documents(tables.table(spark, sf_dir, "documents"), root, path="doc_id")
+    found = text_index.related_documents(spark, root, tickets_of, path="doc_id")
+    return found.select(F.col("ticket_id").alias("item_id"), "doc_id", "score")
+
+
 @register
 def document_sections(spark, sf_dir):
     """Documents split at lines that begin with `## `; every fourth line is made such a heading."""
