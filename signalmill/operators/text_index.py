@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from signalmill.operators.evidence import ticket_words
 from signalmill.operators.ordered import first_per_key
@@ -31,6 +31,7 @@ from signalmill.operators.stable import stable
 BUCKETS = 64
 # Shortest term of the index, and the length of a gram.
 GRAM = 3
+_GRAMS = StructType().add("gram", StringType()).add("term", StringType())
 _TERM = "[a-z0-9_]{%d,}"
 # Tasks that the texts with one word are dealt to.
 SALTS = 16
@@ -73,7 +74,7 @@ def add_documents(documents: DataFrame, root: str, path: str = "path", text: str
 def _read(spark: SparkSession, path: str, schema: StructType, wanted: DataFrame, key: str, buckets: int) -> DataFrame:
     """The rows of the buckets that the values of `wanted` are in; there are `buckets` numbers at most."""
     numbers = [r[0] for r in wanted.select(_bucket(key, buckets)).distinct().collect()]
-    return spark.read.schema(StructType(schema.fields).add("bucket", "int")).parquet(path).filter(F.col("bucket").isin(numbers)).drop("bucket")
+    return spark.read.schema(StructType([*schema.fields, StructField("bucket", IntegerType())])).parquet(path).filter(F.col("bucket").isin(numbers)).drop("bucket")
 
 
 def matches(spark: SparkSession, root: str, words: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -84,7 +85,7 @@ def matches(spark: SparkSession, root: str, words: DataFrame, buckets: int = BUC
     words = words.select("word").filter(F.col("word").rlike(f"^{_TERM % GRAM}$")).distinct()
     parts = stable(words.select("word", F.explode(F.expr(_grams("word"))).alias("gram")))
     columns = spark.read.parquet(f"{root}/columns").schema
-    grams = _read(spark, f"{root}/grams", StructType().add("gram", "string").add("term", "string"), parts, "gram", buckets)
+    grams = _read(spark, f"{root}/grams", _GRAMS, parts, "gram", buckets)
     sizes = grams.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("terms"))
     # A gram that no term has rules its word out.
     sized = parts.join(sizes, "gram", "left").groupBy("word").agg(
