@@ -2,8 +2,8 @@
 
 A search word of lower-case letters, digits and underscores occurs in a text
 exactly if it is a part of one of the text's terms, its longest runs of these
-characters. So the index has two tables, both Parquet in `buckets` folders and
-sorted, of which a question reads the folders it needs:
+characters. So the index has two tables, both sorted Parquet with `buckets`
+folders per delivery, of which a question reads the folders it needs:
 
 * postings (term, path), in the bucket of the term;
 * grams (gram, term), the three-character parts of each different term, in the
@@ -20,6 +20,8 @@ score more, the words left are looked up for the documents already found alone.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -33,8 +35,9 @@ BUCKETS = 64
 GRAM = 3
 _GRAMS = StructType().add("gram", StringType()).add("term", StringType())
 _TERM = "[a-z0-9_]{%d,}"
-# Tasks that the texts with one word are dealt to.
+# Tasks that the texts with one word are dealt to, when it is asked for and when it is written.
 SALTS = 16
+SPREAD = 8
 
 
 def _terms(text: str) -> str:
@@ -49,10 +52,10 @@ def _bucket(name: str, buckets: int):
     return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int").alias("bucket")
 
 
-def _append(rows: DataFrame, path: str, order: list[str]) -> None:
-    # The range exchange cuts a term that a third of the texts have over several tasks.
-    dealt = rows.repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order)
-    dealt.write.mode("append").partitionBy("bucket").parquet(path)
+def _write(rows: DataFrame, path: str, order: list[str]) -> None:
+    # A term that a third of the texts have is dealt to several tasks by their paths.
+    dealt = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64(order[-1]), F.lit(SPREAD)))
+    dealt.sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path)
 
 
 def add_documents(documents: DataFrame, root: str, path: str = "path", text: str = "text", buckets: int = BUCKETS) -> None:
@@ -61,20 +64,23 @@ def add_documents(documents: DataFrame, root: str, path: str = "path", text: str
     `buckets` must stay the same over the life of an index. Rows that repeat a
     path are one document that has the terms of all of them.
     """
+    spark = documents.sparkSession
     rows = documents.filter(F.col(path).isNotNull() & F.col(text).isNotNull())
     found = rows.select(F.col(path).alias("path"), F.explode(F.expr(_terms(f"`{text}`"))).alias("term"))
-    found = stable(found.select(_bucket("term", buckets), "term", "path"))
     # An index without a term yet still knows the type of its paths.
-    found.filter("false").drop("bucket").write.mode("append").parquet(f"{root}/columns")
-    _append(found, f"{root}/postings", ["term", "path"])
-    grams = found.select("term").distinct().select(F.explode(F.expr(_grams("term"))).alias("gram"), "term")
-    _append(grams.select(_bucket("gram", buckets), "gram", "term"), f"{root}/grams", ["gram", "term"])
+    found.select("term", "path").filter("false").write.mode("append").parquet(f"{root}/columns")
+    delivery = f"delivery={uuid.uuid4().hex}"
+    _write(found.select(_bucket("term", buckets), "term", "path"), f"{root}/postings/{delivery}", ["term", "path"])
+    # The terms are read back from what was written, so the texts are cut once.
+    written = spark.read.schema(StructType(_GRAMS.fields[1:])).parquet(f"{root}/postings/{delivery}").select("term")
+    grams = written.distinct().select(F.explode(F.expr(_grams("term"))).alias("gram"), "term")
+    _write(grams.select(_bucket("gram", buckets), "gram", "term"), f"{root}/grams/{delivery}", ["gram", "term"])
 
 
 def _read(spark: SparkSession, path: str, schema: StructType, wanted: DataFrame, key: str, buckets: int) -> DataFrame:
     """The rows of the buckets that the values of `wanted` are in; there are `buckets` numbers at most."""
     numbers = [r[0] for r in wanted.select(_bucket(key, buckets)).distinct().collect()]
-    return spark.read.schema(StructType([*schema.fields, StructField("bucket", IntegerType())])).parquet(path).filter(F.col("bucket").isin(numbers)).drop("bucket")
+    return spark.read.schema(StructType([*schema.fields, StructField("bucket", IntegerType())])).parquet(path).filter(F.col("bucket").isin(numbers)).select(*schema.names)
 
 
 def matches(spark: SparkSession, root: str, words: DataFrame, buckets: int = BUCKETS) -> DataFrame:
