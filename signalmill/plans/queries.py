@@ -191,28 +191,39 @@ def event_views(spark, sf_dir):
 
 
 def _session_folder(spark, sf_dir) -> str:
-    """The trace written as session files with some blank lines, in files of up to 65,536 events."""
+    """The trace written as session files with some blank lines, in files of up to 65,536 events.
+
+    A file costs the same whatever it holds, so the sessions are dealt to a
+    fixed number of tasks per core, and each file lies in one folder.
+    """
     path = new_path(spark, "sessions")
     lines = tables.trace_json(spark, sf_dir).withColumn("part", F.expr("i div 65536"))
+    named = F.concat_ws(".", F.coalesce("session_id", F.lit("__HIVE_DEFAULT_PARTITION__")), "part")
     (
         lines.withColumn("value", F.when(F.col("pos") % 13 == 0, F.concat(F.lit("\n"), "value")).otherwise(F.col("value")))
-        .repartition("session_id", "part")
-        .sortWithinPartitions("session_id", "part", "i")
-        .select("session_id", "part", "value")
-        .write.partitionBy("session_id", "part")
+        .select(named.alias("session_id"), "i", "value")
+        .repartition(8 * spark.sparkContext.defaultParallelism, "session_id")
+        .sortWithinPartitions("session_id", "i")
+        .select("session_id", "value")
+        .write.partitionBy("session_id")
         .text(path)
     )
     return path
 
 
+# Session and part in the path of a file of that folder.
+_SESSION = r"session_id=([^/]+)\.[0-9]+/"
+_PART = r"session_id=[^/]+\.([0-9]+)/"
+
+
 @register
 def session_files(spark, sf_dir):
     """Session files read back and numbered."""
     path = _session_folder(spark, sf_dir)
     read = sessions.read_sessions(spark, path, include=["session_id=s*"], name_glob="*.txt")
     named = read.select(
-        F.regexp_extract("rel_path", "session_id=([^/]+)", 1).alias("session_id"),
-        F.regexp_extract("rel_path", "part=([0-9]+)", 1).cast("bigint").alias("part"),
+        F.regexp_extract("rel_path", _SESSION, 1).alias("session_id"),
+        F.regexp_extract("rel_path", _PART, 1).cast("bigint").alias("part"),
         "line_no",
         "i",
         F.col("parse_error").isNotNull().alias("bad"),
@@ -244,9 +255,9 @@ def document_calls(spark, sf_dir):
 def session_openings(spark, sf_dir):
     """The first five events of every session file."""
     read = sessions.read_sessions(
-        spark, _session_folder(spark, sf_dir), exclude=["*part=[!0]*"], max_events=5, name_glob="*.txt"
+        spark, _session_folder(spark, sf_dir), exclude=["session_id=*.[!0]*/*"], max_events=5, name_glob="*.txt"
     )
-    return read.select(F.regexp_extract("rel_path", "session_id=([^/]+)", 1).alias("session_id"), "line_no", "i")
+    return read.select(F.regexp_extract("rel_path", _SESSION, 1).alias("session_id"), "line_no", "i")
 
 
 @register
@@ -254,7 +265,7 @@ def message_files(spark, sf_dir):
     """Messages of the session files with the text of their first text block."""
     read = sessions.read_messages(spark, _session_folder(spark, sf_dir), name_glob="*.txt")
     return read.select(
-        F.regexp_extract("rel_path", "session_id=([^/]+)", 1).alias("session_id"), "idx", "timestamp", "role", "text"
+        F.regexp_extract("rel_path", _SESSION, 1).alias("session_id"), "idx", "timestamp", "role", "text"
     )
 
 
@@ -1169,7 +1180,7 @@ def stream_sessions(spark, sf_dir):
     live.run_available(views, mark, live.parquet_writer(out), "append")
     batch = sessions.read_sessions(spark, folder, name_glob="*.txt").select("session_id", "rel_path").distinct()
     streamed = spark.read.parquet(out).groupBy("session_id").agg(F.count("*").alias("views"))
-    named = F.regexp_extract("rel_path", "session_id=([^/]+)", 1)
+    named = F.regexp_extract("rel_path", _SESSION, 1)
     return streamed.join(batch, "session_id").groupBy(named.alias("session_id")).agg(F.sum("views").alias("views"))
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,6 +52,20 @@ def rel_path(path: Column, root: str) -> Column:
     return F.regexp_replace(decoded, rf"\A.*?{re.escape(base)}/+", "")
 
 
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def listing_in_parts(spark: SparkSession) -> Iterator[None]:
+    """Files are listed in a few tasks per core; by default there is a task per folder, so one per session."""
+    before = spark.conf.get(_LISTING, None)
+    spark.conf.set(_LISTING, str(8 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(_LISTING, before) if before else spark.conf.unset(_LISTING)
+
+
 def read_lines(
     spark: SparkSession,
     root: str,
@@ -72,10 +87,13 @@ def read_lines(
 
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name_glob)
     # Below the numbering, where the filters reach the scan.
-    lines = chosen(reader.text(root), "_metadata.file_path")
+    with listing_in_parts(spark):
+        lines = chosen(reader.text(root), "_metadata.file_path")
     if max_sessions is not None:
         # The first names by the listing; the last one of them bounds the scan.
-        names = chosen(reader.format("binaryFile").load(root), "path").select(rel_path(F.col("path"), root).alias("name"))
+        with listing_in_parts(spark):
+            listed = reader.format("binaryFile").load(root)
+        names = chosen(listed, "path").select(rel_path(F.col("path"), root).alias("name"))
         last = names.orderBy("name").limit(max_sessions).agg(F.max("name")).first()[0]
         lines = lines.filter(rel_path(F.col("_metadata.file_path"), root) <= F.lit(last))
     return lines.select(
@@ -86,11 +104,8 @@ def read_lines(
     )
 
 
-def parse_events(rows: DataFrame, max_raw: int | None = None) -> DataFrame:
-    """Parse non-blank lines: adds event (VARIANT), parse_error and raw. Bad lines stay as rows.
-
-    `max_raw` cuts the text of bad lines.
-    """
+def _parsed(max_raw: int | None = None) -> Sql:
+    """struct<event, parse_error, raw> of the line in `value`, NULL for a blank one."""
     kept = "{line}" if max_raw is None else f"left({{line}}, {int(max_raw)})"
 
     def parsed(line: Sql, value: Sql) -> Sql:
@@ -100,12 +115,19 @@ def parse_events(rows: DataFrame, max_raw: int | None = None) -> DataFrame:
             f"'raw', IF({value} IS NULL, {kept.format(line=line)}, NULL))"
         )
 
-    row = let(
+    return let(
         strip("value"),
         lambda line: f"IF({line} = '', NULL, {let(f'try_parse_json({line})', lambda value: parsed(line, value))})",
     )
+
+
+def parse_events(rows: DataFrame, max_raw: int | None = None) -> DataFrame:
+    """Parse non-blank lines: adds event (VARIANT), parse_error and raw. Bad lines stay as rows.
+
+    `max_raw` cuts the text of bad lines.
+    """
     others = [c for c in rows.columns if c != "value"]
-    return rows.select(*others, F.expr(f"inline(array_compact(array({row})))"))
+    return rows.select(*others, F.expr(f"inline(array_compact(array({_parsed(max_raw)})))"))
 
 
 def with_line_numbers(lines: DataFrame) -> DataFrame:
@@ -172,10 +194,16 @@ def read_sessions(
     max_events: int | None = None,
     name_glob: str = "*.jsonl",
 ) -> DataFrame:
-    """Events of all sessions: session_id, rel_path, line_no, i, event, parse_error, raw."""
+    """Events of all sessions: session_id, rel_path, line_no, i, event, parse_error, raw.
+
+    A file is opened once: the parsed lines are written, and both counts read them there.
+    """
     lines = read_lines(spark, root, include, exclude, max_sessions, name_glob)
-    placed = with_line_numbers(lines).withColumn("session_id", F.expr(session_key("rel_path")))
-    events = renumbered(parse_events(placed), ["session_id"], "line_no", "i")
+    parsed = stable(lines.select("rel_path", "block_start", "seq", F.expr(_parsed()).alias("_parsed")))
+    # A blank line counts as a line, but is no event.
+    placed = with_line_numbers(parsed).filter("_parsed IS NOT NULL")
+    placed = placed.select("rel_path", "line_no", F.expr(session_key("rel_path")).alias("session_id"), "_parsed.*")
+    events = renumbered(placed, ["session_id"], "line_no", "i")
     return events if max_events is None else events.filter(F.col("i") < max_events)
 
 

@@ -66,6 +66,32 @@ def test_excluded_files_are_not_opened(spark, tmp_path):
         sessions.read_sessions(spark, str(tmp_path), include=["s03*"], **options).count()
 
 
+def test_files_are_opened_once(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"s{k}.jsonl").write_text('{"role": "user", "content": "x"}\n\nbad {\n')
+    read = sessions.read_sessions(spark, str(tmp_path))
+    for k in range(3):
+        (tmp_path / f"s{k}.jsonl").write_text("other\n" * 9)
+    assert sorted((r.rel_path, r.line_no, r.i) for r in read.collect()) == [(f"s{k}.jsonl", n, i) for k in range(3) for n, i in ((1, 0), (3, 1))]
+
+
+def test_folders_are_not_listed_by_a_task_each(spark):
+    before = spark.conf.get(sessions._LISTING)
+    with sessions.listing_in_parts(spark):
+        assert int(spark.conf.get(sessions._LISTING)) == 8 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(sessions._LISTING) == before
+
+
+def test_session_folder_has_one_folder_per_file(spark):
+    import os
+
+    from signalmill.plans.queries import _session_folder
+
+    root = _session_folder(spark, "/root/testdata/sf0.001").removeprefix("file:")
+    folders = [d for d in os.listdir(root) if d.startswith("session_id=")]
+    assert all(any(f.endswith(".txt") for f in os.listdir(f"{root}/{d}")) for d in folders) and len(folders) > 10
+
+
 def test_a_changed_file_ends_in_an_error(spark, tmp_path):
     from pyspark.sql import functions as F
 
