@@ -1172,13 +1172,19 @@ def stream_tickets(spark, sf_dir):
     )
 
 
+# Session files are small, so a batch is measured by their bytes and not by their number.
+_SESSION_BYTES = 256 << 20
+
+
 @register
 def stream_sessions(spark, sf_dir):
     """Session files read as a stream: the same sessions and events as in batch."""
     folder, out, mark = _session_folder(spark, sf_dir), new_path(spark, "views"), new_path(spark, "views-progress")
-    views = live.session_stream(spark, folder, name_glob="*.txt", files_per_trigger=100)
-    live.run_available(views, mark, live.parquet_writer(out), "append")
-    batch = sessions.read_sessions(spark, folder, name_glob="*.txt").select("session_id", "rel_path").distinct()
+    with sessions.listing_in_parts(spark):
+        views = live.session_stream(spark, folder, name_glob="*.txt", bytes_per_trigger=_SESSION_BYTES)
+        live.run_available(views, mark, live.parquet_writer(out), "append")
+    batch = sessions.read_lines(spark, folder, name_glob="*.txt").select("rel_path").distinct()
+    batch = batch.withColumn("session_id", F.expr(tx.session_key("rel_path")))
     streamed = spark.read.parquet(out).groupBy("session_id").agg(F.count("*").alias("views"))
     named = F.regexp_extract("rel_path", _SESSION, 1)
     return streamed.join(batch, "session_id").groupBy(named.alias("session_id")).agg(F.sum("views").alias("views"))

@@ -18,13 +18,22 @@ from signalmill.sources.sessions import parse_events, rel_path
 
 
 def session_stream(
-    spark: SparkSession, root: str, files_per_trigger: int = 1000, name_glob: str = "*.jsonl"
+    spark: SparkSession,
+    root: str,
+    files_per_trigger: int = 1000,
+    name_glob: str = "*.jsonl",
+    bytes_per_trigger: int | None = None,
 ) -> DataFrame:
-    """Normalised events of session files as they arrive below `root`."""
+    """Normalised events of session files as they arrive below `root`.
+
+    A batch costs a look at every file that is left, so a folder of many small
+    files is better read in batches of `bytes_per_trigger`, whatever their number.
+    """
+    limit = ("maxFilesPerTrigger", files_per_trigger) if bytes_per_trigger is None else ("maxBytesPerTrigger", bytes_per_trigger)
     lines = (
         spark.readStream.option("recursiveFileLookup", True)
         .option("pathGlobFilter", name_glob)
-        .option("maxFilesPerTrigger", files_per_trigger)
+        .option(*limit)
         .text(root)
         .select(rel_path(F.col("_metadata.file_path"), root).alias("rel_path"), "value")
         .select(F.expr(session_key("rel_path")).alias("session_id"), "value")

@@ -69,6 +69,20 @@ def test_session_stream(spark, tmp_path):
     assert {r.session_id for r in rows.collect()} == {r.session_id for r in batch.collect()}
 
 
+def test_session_stream_in_batches_of_bytes(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    for n in range(6):
+        (logs / f"{n}.jsonl").write_text(json.dumps({"message": {"role": "user", "content": "hello" * 20}}) + "\n")
+    size = (logs / "0.jsonl").stat().st_size
+    for limit, batches in ((1 << 20, 1), (2 * size, 3)):
+        out, mark = str(tmp_path / f"out{limit}"), str(tmp_path / f"mark{limit}")
+        stream = live.session_stream(spark, str(logs), bytes_per_trigger=limit)
+        live.run_available(stream, mark, live.parquet_writer(out), "append")
+        rows = spark.read.parquet(out)
+        assert rows.count() == 6 and rows.select("batch_id").distinct().count() == batches
+
+
 def test_one_bad_entry_costs_one_entry(spark):
     from signalmill.operators import signals
 
