@@ -1,10 +1,12 @@
 """Gaps between timestamps on a stream whose rows come out of order.
 
-A session is cut into time buckets, and every bucket is a group of its own. Its
-timestamps wait in a list until an event-time timer says that the watermark has
-passed the bucket's end; then they are released in order with the gaps between
-them. So no worker ever sorts a session, and a session with most of the rows
-spreads over as many tasks as it has buckets.
+A session is cut into time buckets, and a bucket of some sessions, dealt by their
+hash, is a group of its own: most sessions have few rows in a bucket, and a group
+costs much more than a row. Its timestamps wait in a list until an event-time
+timer says that the watermark has passed the bucket's end; then they are released
+in order with the gaps between those of a session. So no worker ever sorts a
+session, and a session with most of the rows spreads over as many tasks as it has
+buckets.
 
 The gap before a bucket's first timestamp needs the last one of the bucket
 before. Buckets are released in the order of their ends, so a small table with
@@ -32,6 +34,8 @@ from signalmill.streaming.live import with_rocksdb
 _RELEASED = "session_id string, bucket bigint, micros bigint, inside bigint, late boolean"
 # Timestamps per row of the state, and rows per part of the result.
 _PACK = 10_000
+# Groups that the sessions of a bucket are dealt to.
+SHARDS = 16
 
 
 class _Buckets(StatefulProcessor):
@@ -41,41 +45,48 @@ class _Buckets(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         # Timestamps in packs, so that a pack and not a row is one entry of the store.
-        self.packs = handle.getListState("packs", "micros array<bigint>")
+        self.packs = handle.getListState("packs", "sessions array<string>, micros array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         end = (int(key[1]) + 1) * self.width_ms
         if timerValues.getCurrentWatermarkInMs() >= end:
             for part in rows:
-                yield _frame(key, part["micros"].to_numpy(np.int64), None, True)
+                yield _frame(key, part["session_id"].to_numpy(object), part["micros"].to_numpy(np.int64), None, True)
             return
         if not self.packs.exists():
             self.handle.registerTimer(end)
         for part in rows:
-            micros = part["micros"].to_numpy(np.int64)
+            sessions, micros = part["session_id"].tolist(), part["micros"].tolist()
             for at in range(0, len(micros), _PACK):
-                self.packs.appendValue((micros[at : at + _PACK].tolist(),))
+                self.packs.appendValue((sessions[at : at + _PACK], micros[at : at + _PACK]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        micros = np.sort(np.concatenate([np.asarray(p[0], np.int64) for p in self.packs.get()]))
+        packs = list(self.packs.get())
         self.packs.clear()
-        inside = np.diff(micros).astype(object)
-        gaps = np.concatenate(([None], inside))
+        sessions = np.concatenate([np.asarray(p[0], object) for p in packs])
+        micros = np.concatenate([np.asarray(p[1], np.int64) for p in packs])
+        codes = pd.factorize(sessions)[0]
+        order = np.lexsort((micros, codes))
+        sessions, micros, codes = sessions[order], micros[order], codes[order]
+        gaps = np.concatenate(([None], np.diff(micros).astype(object)))
+        gaps[1:][codes[1:] != codes[:-1]] = None
         for at in range(0, len(micros), _PACK):
-            yield _frame(key, micros[at : at + _PACK], gaps[at : at + _PACK], False)
+            part = slice(at, at + _PACK)
+            yield _frame(key, sessions[part], micros[part], gaps[part], False)
 
 
-def _frame(key: tuple, micros: np.ndarray, inside, late: bool) -> pd.DataFrame:
+def _frame(key: tuple, sessions: np.ndarray, micros: np.ndarray, inside, late: bool) -> pd.DataFrame:
     gaps = pd.array([None] * len(micros) if inside is None else list(inside), dtype="Int64")
-    return pd.DataFrame({"session_id": key[0], "bucket": int(key[1]), "micros": micros, "inside": gaps, "late": late})
+    return pd.DataFrame({"session_id": sessions, "bucket": int(key[1]), "micros": micros, "inside": gaps, "late": late})
 
 
 def released(cron: DataFrame, delay: str = "1 hour", width_ms: int = 3_600_000) -> DataFrame:
     """Rows of a stream (session_id, ts) in the order of time inside their bucket, once it is over."""
     timed = cron.select("session_id", "ts").withWatermark("ts", delay)
     micros = F.unix_micros("ts")
-    dealt = timed.select("session_id", F.floor(micros / (width_ms * 1000)).alias("bucket"), micros.alias("micros"))
-    return dealt.groupBy("session_id", "bucket").transformWithStateInPandas(
+    shard = F.pmod(F.xxhash64("session_id"), F.lit(SHARDS)).alias("shard")
+    dealt = timed.select(shard, F.floor(micros / (width_ms * 1000)).alias("bucket"), "session_id", micros.alias("micros"))
+    return dealt.groupBy("shard", "bucket").transformWithStateInPandas(
         statefulProcessor=_Buckets(width_ms), outputStructType=_RELEASED, outputMode="Append", timeMode="EventTime"
     )
 
@@ -133,7 +144,8 @@ def settled(spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
 
     def waiting() -> DataFrame:
         state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "packs").load()
-        packs = state.select("key.session_id", "key.bucket", F.explode("list_element.micros").alias("micros"))
+        rows = state.select("key.bucket", F.explode(F.arrays_zip("list_element.sessions", "list_element.micros")).alias("row"))
+        packs = rows.select(F.col("row.sessions").alias("session_id"), "bucket", "row.micros")
         earlier = F.lag("micros").over(Window.partitionBy("session_id", "bucket").orderBy("micros"))
         rows = packs.withColumn("inside", F.col("micros") - earlier).withColumn("late", F.lit(False))
         return stable(_with_gaps(rows, _carried(spark, path)))

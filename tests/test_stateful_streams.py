@@ -92,3 +92,17 @@ def test_no_rows(spark, tmp_path):
     spark.createDataFrame([("s", 1)], "session_id string, s bigint").select("session_id", F.timestamp_seconds("s").alias("ts")).write.parquet(source)
     gaps.release_available(spark.readStream.schema("session_id string, ts timestamp").parquet(source), out, mark)
     assert [tuple(r)[2:] for r in gaps.settled(spark, out, mark).collect()] == [(None, False, False)]
+
+
+def test_sessions_of_a_bucket_share_groups(spark, tmp_path):
+    rows = [(f"s{k}", 1_700_000_000 + 60 * (k % 3)) for k in range(200)] * 2 + [(None, 1_700_000_000)]
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    made = spark.createDataFrame(rows, "session_id string, s bigint").select("session_id", F.timestamp_seconds("s").alias("ts"))
+    made.write.parquet(source)
+    gaps.release_available(spark.readStream.schema(made.schema).parquet(source), out, mark)
+    state = gaps.with_rocksdb(
+        spark, lambda: spark.read.format("statestore").option("path", mark).option("stateVarName", "packs").load().select("key").distinct().count()
+    )
+    assert 0 < state <= gaps.SHARDS
+    told = gaps.settled(spark, out, mark).collect()
+    assert len(told) == 401 and sorted(r.gap_ms for r in told if r.gap_ms is not None) == [0.0] * 200
