@@ -54,6 +54,21 @@ def test_any_split_into_batches_gives_the_chunks_and_items_of_batch(spark, tmp_p
     assert bounds.count() > 40 and expected.count() > 20
 
 
+def test_sessions_of_one_group_are_put_away_and_go_on(spark, tmp_path):
+    rows = made_views()
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    # Each batch has one half of the sessions, so the others rest; half of the views come before their turn.
+    early = [r for r in rows if r[1] % 9 < 5]
+    late = [r for r in rows if r[1] % 9 >= 5]
+    for part in (early, [r for r in late if r[0] in "ab"], [r for r in late if r[0] not in "ab"]):
+        spark.createDataFrame(part, VIEWS).coalesce(1).write.mode("append").parquet(source)
+        mining.mine_available(spark.readStream.schema(VIEWS).parquet(source), out, mark, 6, 2, groups=1, idle=1)
+    views = spark.createDataFrame(rows, VIEWS)
+    bounds = chunks.chunk_bounds(views, 6, 2)
+    got = mining.mined_chunks(spark, out).select("session_id", "chunk_idx", "start_v", "end_v")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, bounds.collect()))
+
+
 def gaps_of(rows, late):
     out = []
     for name in {n for n, _ in rows}:
