@@ -1,9 +1,11 @@
 """Roll items up into ranked clusters.
 
-All counters of a cluster come from one long table: every item is exploded into
-(signature, facet, value) rows, which partial aggregation shrinks before the
-shuffle. A hot signature thus never collects its items anywhere; lists that
-reach a row are bounded (8 tags, 3 samples, the fixed kinds).
+All counters of a cluster come from one long table of (signature, facet, value)
+rows. Items of one text, that is of equal kind, summary, severity and tags, are
+counted together first, which partial aggregation does before the shuffle; the
+rules that label a text then run once per text, and their rows are added up. A
+hot signature thus never collects its items anywhere; lists that reach a row are
+bounded (8 tags, 3 samples, the fixed kinds).
 """
 
 from __future__ import annotations
@@ -26,50 +28,70 @@ MAX_SAMPLES = 3
 MAX_TAGS = 8
 
 
+# What the signature of an item depends on, once it is worked out and before.
+_SIGNATURE = ["signature_text", "signature_id"]
+_SIGNED = ["kind", "summary", "tags"]
+
+
 def with_signature(items: DataFrame) -> DataFrame:
+    """Items with signature_text and signature_id, those that they carry or new ones."""
+    if set(_SIGNATURE) <= set(items.columns):
+        return items
     text = F.expr(signature_text("kind", "summary", "tags"))
     return items.withColumn("signature_text", text).withColumn(
         "signature_id", F.expr(hashed("sig1:", "signature_text"))
     )
 
 
+def _alike(items: DataFrame, *keys: str) -> DataFrame:
+    """Items that agree in what their signature depends on and in `keys`, as one row with n and first_pos."""
+    carried = [c for c in _SIGNATURE if c in items.columns]
+    alike = items.groupBy(*dict.fromkeys([*keys, *_SIGNED, *carried]))
+    return with_signature(alike.agg(F.count("*").alias("n"), F.min("pos").alias("first_pos")))
+
+
+def _facet(name: str, value: Sql) -> Sql:
+    return f"named_struct('facet', '{name}', 'value', {value})"
+
+
 def facet_counts(items: DataFrame, *keys: str) -> DataFrame:
     """(signature_id, facet, value, n, first_pos) over items with `pos`, also by `keys`.
 
     Of the tags only `incident` is among the facets; `tag_counts` has them all.
     """
-
-    def facet(name: str, value: Sql) -> Sql:
-        return f"named_struct('facet', '{name}', 'value', {value})"
-
     one = [
-        facet("signature", "signature_text"),
-        facet("kind", "coalesce(nullif(kind, ''), 'unknown')"),
-        facet("kind_v2", "fine.label"),
-        facet("reason", "fine.reason"),
-        facet("severity", "lower(coalesce(nullif(severity, ''), 'unknown'))"),
-        facet("sentiment", sentiment("kind", "summary")),
-        facet("session", "nullif(session_id, '')"),
-        facet("summary", f"IF(summary <> '', {redacted_if_needed('summary')}, NULL)"),
+        _facet("signature", "signature_text"),
+        _facet("kind", "coalesce(nullif(kind, ''), 'unknown')"),
+        _facet("kind_v2", "fine.label"),
+        _facet("reason", "fine.reason"),
+        _facet("severity", "lower(coalesce(nullif(severity, ''), 'unknown'))"),
+        _facet("sentiment", sentiment("kind", "summary")),
+        _facet("summary", f"IF(summary <> '', {redacted_if_needed('summary')}, NULL)"),
     ]
-    flag = f"IF(array_contains(tags, 'incident'), array({facet('tag', chr(39) + 'incident' + chr(39))}), array())"
+    flag = f"IF(array_contains(tags, 'incident'), array({_facet('tag', chr(39) + 'incident' + chr(39))}), array())"
     facets = f"concat(array({', '.join(one)}), {flag})"
-    labelled = with_signature(items).withColumn("fine", F.expr(kind_v2("kind", "summary", "tags")))
+    columns = [*keys, "signature_id", "n", "first_pos"]
+    labelled = _alike(items, *keys, "severity").withColumn("fine", F.expr(kind_v2("kind", "summary", "tags")))
+    rows = labelled.select(*columns, F.explode(F.expr(facets)).alias("f")).select(*columns, "f.facet", "f.value")
+    in_sessions = _alike(items, *keys, "session_id").select(
+        *columns, F.lit("session").alias("facet"), F.expr("nullif(session_id, '')").alias("value")
+    )
     return (
-        labelled.select(*keys, "signature_id", "pos", F.explode(F.expr(facets)).alias("f"))
-        .filter("f.value IS NOT NULL")
-        .groupBy(*keys, "signature_id", "f.facet", "f.value")
-        .agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+        rows.unionByName(in_sessions)
+        .filter("value IS NOT NULL")
+        .groupBy(*keys, "signature_id", "facet", "value")
+        .agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"))
     )
 
 
 def tag_counts(items: DataFrame, *keys: str) -> DataFrame:
     """(signature_id, value, n, first_pos) of tags; `first_pos` also tells tags of one item apart."""
-    tags = with_signature(items).select(*keys, "signature_id", "pos", F.posexplode("tags").alias("at", "value"))
+    alike = _alike(items, *keys, "severity")
+    tags = alike.select(*keys, "signature_id", "n", F.col("first_pos").alias("pos"), F.posexplode("tags").alias("at", "value"))
     return (
         tags.filter("value IS NOT NULL")
         .groupBy(*keys, "signature_id", "value")
-        .agg(F.count("*").alias("n"), F.min(F.struct("pos", "at")).alias("first_pos"))
+        .agg(F.sum("n").alias("n"), F.min(F.struct("pos", "at")).alias("first_pos"))
     )
 
 
@@ -145,7 +167,12 @@ def from_counts(counts: DataFrame, tag_rows: DataFrame, first: DataFrame, max_ta
 def first_items(items: DataFrame, limit: int = MAX_SAMPLES, *keys: str) -> DataFrame:
     """(signature_id, pos, ref, _rank): references to the first items of each signature, also by `keys`."""
     wanted = [c for c in ("item_id", "session_id", "span", "source") if c in items.columns]
-    refs = with_signature(items).select(*keys, "signature_id", "pos", F.struct(*wanted).alias("ref"))
+    by = [c for c in _SIGNATURE if c in items.columns]
+    refs = items.select(*keys, *_SIGNED, *by, "pos", F.struct(*wanted).alias("ref"))
+    if len(by) < len(_SIGNATURE):
+        # The first items of a signature are among the first of their kind, summary and tags.
+        refs = with_signature(first_per_key(refs, [*keys, *_SIGNED], [F.col("pos")], limit).drop("_rank"))
+    refs = refs.select(*keys, "signature_id", "pos", "ref")
     return first_per_key(refs, [*keys, "signature_id"], [F.col("pos")], limit)
 
 

@@ -78,7 +78,7 @@ class RollupState:
         an id in `gone` that was never delivered before, or is gone, does nothing.
         """
         plain = items.schema
-        marked = rollup.with_signature(items).drop("signature_text").withColumn("bucket", _bucket("signature_id", self.buckets))
+        marked = rollup.with_signature(items).withColumn("bucket", _bucket("signature_id", self.buckets))
         _write(marked, self.path, "items", batch, "bucket")
         delivered = self._read("items", marked.drop("bucket").schema, batch + 1, list(range(self.buckets)))
         own = delivered.filter(F.col("batch_id") == batch).withColumnRenamed("batch_id", "cell")
@@ -94,7 +94,10 @@ class RollupState:
             .join(old.select("cell", "signature_id"), ["cell", "signature_id"], "left_semi")
             .join(self._gone(batch + 1), ["item_id", "cell"], "left_anti")
         )
-        counted = stable(own.select("cell", "bucket", *plain.names).unionByName(left.select("cell", "bucket", *plain.names)))
+        # The signatures of the delivery were worked out when it was written.
+        columns = ["cell", "bucket", *plain.names]
+        signed = own.select(*dict.fromkeys([*columns, "signature_text", "signature_id"]))
+        counted = stable(signed.unionByName(rollup.with_signature(left.select(*columns))))
         cells = own.select("cell", "signature_id", "bucket").distinct().unionByName(old)
         _write(cells, self.path, "cells", batch)
         keys = ["cell", "bucket"]

@@ -66,3 +66,18 @@ def test_nothing_delivered(spark, tmp_path):
     assert state.add(frame(spark, []), None, 0).count() == 0
     assert state.clusters(1).count() == 0
     assert state.add(frame(spark, made(3)), None, 1).count() > 0
+
+
+def test_labels_are_worked_out_per_text_and_not_per_item(spark):
+    # 60 items of two texts, whose first ones lie in different sessions; a signature joins both texts.
+    rows = [(f"i{k}", f"s{k % 7}", "error", ("gateway timed out", "Gateway timed out!")[k % 2], "low", ["x", "x"], (f"s{k % 7}", 0, k)) for k in range(60)]
+    items = frame(spark, rows)
+    counts = {(r.facet, r.value): (r.n, tuple(r.first_pos)) for r in rollup.facet_counts(items).collect()}
+    assert counts["kind", "error"] == (60, ("s0", 0, 0))
+    assert counts["summary", "Gateway timed out!"] == (30, ("s0", 0, 7))
+    assert counts["session", "s3"] == (9, ("s3", 0, 3))
+    assert [(r.value, r.n) for r in rollup.tag_counts(items).collect()] == [("x", 120)]
+    assert [r.ref.item_id for r in rollup.first_items(items, 3).orderBy("_rank").collect()] == ["i0", "i7", "i14"]
+    # The rules read rows that are already counted: below the first count there are none.
+    plan = rollup.tag_counts(items)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan and "sha2" not in plan.split("Aggregate")[-1].split("\n", 1)[1]
