@@ -6,13 +6,15 @@ block every row points to the first row that may follow it, and pointer doubling
 finds the last kept row of the block for each row that could be the first. A
 block thus becomes a short table from the time at which rows are allowed again
 to the time at which they are after it. One short row per block is chained in
-the order of time; then every block marks its own rows. No task holds more than
-a block of rows, whatever the session.
+the order of time; then every block marks its own rows. No step holds more than
+a block of rows at once, or one batch of rows from smaller blocks, whatever the
+session. Blocks are sorted and run through a task one after the other, since a
+call of Python for each costs far more than a short block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalmill.operators.ordered import BLOCK, ranked
+from signalmill.operators.pairing import groups_of, starts_of
 from signalmill.operators.stable import stable
 
 MIN_GAP_MS = 30_000
@@ -54,6 +57,16 @@ def _summary(micros: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     return micros[last], then[last]
 
 
+def _sorted(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole groups, with the first row of each group and the number of rows."""
+    for rows in groups_of(batches, keys):
+        yield rows, [*starts_of(rows, keys).tolist(), rows.num_rows]
+
+
 def throttled(
     rows: DataFrame,
     tie: str,
@@ -73,46 +86,48 @@ def throttled(
     narrow = numbered.select("session_id", F.expr(f"_at div {block}").alias("block"), "_at", F.unix_micros("ts").alias("micros"))
     keys = ["session_id", "block"]
 
-    def summarise(key: tuple, part: pa.Table) -> pa.Table:
-        upto, then = _summary(np.sort(part.column("micros").to_numpy()), gap)
-        return pa.table(
-            {
-                "session_id": pa.array([key[0].as_py()], part.schema.field("session_id").type),
-                "block": pa.array([key[1].as_py()], pa.int64()),
-                "upto": pa.array([upto], pa.list_(pa.int64())),
-                "then": pa.array([then], pa.list_(pa.int64())),
-            }
-        )
-
-    blocks = narrow.groupBy(*keys).applyInArrow(summarise, f"session_id {session}, block bigint, upto array<bigint>, then array<bigint>")
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in _groups(batches, keys):
+            micros = rows.column("micros").to_numpy()
+            found = [_summary(micros[at:end], gap) for at, end in zip(starts, starts[1:], strict=False)]
+            lists = [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in (0, 1)]
+            short = rows.select(keys).take(pa.array(starts[:-1]))
+            yield from short.append_column("upto", lists[0]).append_column("then", lists[1]).to_batches()
+
+    blocks = _sorted(narrow, keys, "_at").mapInArrow(summarise, f"session_id {session}, block bigint, upto array<bigint>, then array<bigint>")
     blocks = blocks.withColumn("start", F.lit(None).cast("bigint"))
     if since is not None:
         blocks = blocks.drop("start").join(since.select("session_id", (F.col("last") + gap).alias("start")), "session_id", "left")
 
-    def chain(part: pa.Table) -> pa.Table:
-        # One short row per block of the session.
-        part = part.sort_by("block")
-        allowed, entries = part.column("start")[0].as_py(), []
-        allowed = _NEVER if allowed is None else allowed
-        for upto, then in zip(part.column("upto"), part.column("then"), strict=True):
-            entries.append(allowed)
-            place = int(np.searchsorted(upto.values.to_numpy(), allowed, side="left"))
-            allowed = then[place].as_py() if place < len(then) else allowed
-        return pa.table({"session_id": part.column("session_id"), "block": part.column("block"), "allowed": pa.array(entries, pa.int64())})
-
-    entries = blocks.groupBy("session_id").applyInArrow(chain, f"session_id {session}, block bigint, allowed bigint")
-
-    def mark(part: pa.Table) -> pa.Table:
-        part = part.sort_by("_at")
-        micros = part.column("micros").to_numpy()
-        after, kept = _following(micros, gap), np.zeros(len(micros), bool)
-        row = int(np.searchsorted(micros, part.column("allowed")[0].as_py(), side="left"))
-        while row < len(micros):
-            kept[row] = True
-            row = int(after[row])
-        return part.select(["session_id", "_at"]).filter(pa.array(kept))
-
-    marked = narrow.join(entries, keys).groupBy(*keys).applyInArrow(mark, f"session_id {session}, _at bigint")
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One short row per block of a session, in the order of time.
+        for rows, starts in _groups(batches, ["session_id"]):
+            upto, then, since, entries = rows.column("upto"), rows.column("then"), rows.column("start").to_pylist(), []
+            for at, end in zip(starts, starts[1:], strict=False):
+                allowed = _NEVER if since[at] is None else since[at]
+                for row in range(at, end):
+                    entries.append(allowed)
+                    if row + 1 < end:
+                        place = int(np.searchsorted(upto[row].values.to_numpy(), allowed, side="left"))
+                        allowed = then[row][place].as_py() if place < len(then[row]) else allowed
+            yield from rows.select(keys).append_column("allowed", pa.array(entries, pa.int64())).to_batches()
+
+    entries = _sorted(blocks, ["session_id"], "block").mapInArrow(chain, f"session_id {session}, block bigint, allowed bigint")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in _groups(batches, keys):
+            allowed, micros = rows.column("allowed").to_numpy(), rows.column("micros").to_numpy()
+            kept = np.zeros(len(micros), bool)
+            for at, end in zip(starts, starts[1:], strict=False):
+                own = micros[at:end]
+                after = _following(own, gap)
+                row = int(np.searchsorted(own, allowed[at], side="left"))
+                while row < len(own):
+                    kept[at + row] = True
+                    row = int(after[row])
+            yield from rows.select(["session_id", "_at"]).filter(pa.array(kept)).to_batches()
+
+    marked = _sorted(narrow.join(entries, keys), keys, "_at").mapInArrow(mark, f"session_id {session}, _at bigint")
     told = numbered.join(marked.withColumn("kept", F.lit(True)), ["session_id", "_at"], "left")
     told = told.select(*rows.columns, F.coalesce("kept", F.lit(False)).alias("kept"))
     return told.unionByName(rows.filter("session_id IS NULL OR ts IS NULL").withColumn("kept", F.lit(False)))

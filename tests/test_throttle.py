@@ -60,3 +60,11 @@ def test_stream_goes_on_from_the_last_kept_row(spark, tmp_path):
         live.run_available(stream, mark, throttle.throttle_writer(out, "k", 30_000), "append")
     got = spark.read.parquet(f"{out}/rows").select("session_id", "s", "k", "kept")
     assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, 30)
+
+
+def test_many_short_sessions_share_the_calls_of_python(spark):
+    rnd = random.Random(9)
+    rows = [(f"s{k % 400}", rnd.randrange(300), k) for k in range(2_000)]
+    told = throttle.throttled(frame(spark, rows), "k", 30_000)
+    assert "FlatMapGroups" not in told._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, told.select("session_id", "s", "k", "kept").collect()), key=repr) == brute(rows, 30)
