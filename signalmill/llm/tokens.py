@@ -38,11 +38,11 @@ def _bytes_of_characters() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+_PLAIN = array("I").itemsize == 4 and sys.byteorder == "little"
+
+
 def _packed(ids: list[int]) -> bytes:
-    out = array("I", ids)
-    if out.itemsize != 4 or sys.byteorder != "little":
-        return b"".join(i.to_bytes(4, "little") for i in ids)
-    return out.tobytes()
+    return array("I", ids).tobytes() if _PLAIN else b"".join(i.to_bytes(4, "little") for i in ids)
 
 
 class _Known(dict):
@@ -50,11 +50,13 @@ class _Known(dict):
 
     def __init__(self, encode, lead: str, limit: int):
         self.encode, self.lead, self.limit = encode, lead, limit
+        self.ends = {c: _packed(encode(c)) for c in _LETTER_THEN}
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > 2 and word[-1] in _LETTER_THEN and word[-2].isalpha() and word[-2] < "ɐ":
+        end = self.ends.get(word[-1:])
+        if end is not None and len(word) > 2 and word[-2].isalpha() and word[-2] < "ɐ":
             # A full stop or comma after a letter is a piece of its own.
-            ids = self[word[:-1]] + _packed(self.encode(word[-1]))
+            ids = self[word[:-1]] + end
         else:
             ids = _packed(self.encode(self.lead + word))
         if len(word) <= LONGEST_WORD:

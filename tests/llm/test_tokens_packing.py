@@ -27,6 +27,16 @@ def test_encoder_is_the_library(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [ids_of(t) for t in texts]
 
 
+def test_a_mark_behind_words_is_encoded_once():
+    asked = []
+    encoder = Encoder()
+    encode = encoder.words.encode_ordinary
+    known = type(encoder.later)(lambda x: asked.append(x) or encode(x), " ", 100)
+    words = ["alpha.", "beta.", "gamma,", "delta.", "beta,"]
+    assert [np.frombuffer(known[w], "<u4").tolist() for w in words] == [ids_of(" " + w) for w in words]
+    assert asked.count(".") == 1 and asked.count(",") == 1
+
+
 def test_special_token(spark):
     text = "a <|endoftext|> b<|endoftext|>"
     assert np.frombuffer(Encoder().encode([text])[0], "<u4").tolist() == ids_of(text)
