@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalmill.llm.common import kept, once_per_worker, words
-from signalmill.operators.graph import components
+from signalmill.operators.graph import components, stars
 from signalmill.operators.pairing import (
     PAIRS,
     deal_out,
@@ -184,7 +184,11 @@ def _matrix(values: pa.ChunkedArray) -> np.ndarray:
 
 
 def _candidates(reps: DataFrame, threshold: float, tolerance: float, block: int) -> DataFrame:
-    """(a, b): star edges over the pairs of each bucket that survive the pruning."""
+    """(a, b): edges between nodes that connect the pairs of each bucket that survive the pruning.
+
+    A task contracts what it finds in all its buckets, always to the smallest
+    node, so near copies that meet in most bands yield few different edges.
+    """
     keys = reps.select("node", F.explode("bands").alias("key"))
     mixed = F.xxhash64("node")
     buckets = keys.groupBy("key").agg(
@@ -192,17 +196,15 @@ def _candidates(reps: DataFrame, threshold: float, tolerance: float, block: int)
     )
     # Two documents alike meet in most bands; a set of members is looked at once.
     buckets = buckets.filter("members > 1").groupBy("members", "low", "x", "y").agg(F.min("key").alias("key"))
-    found = keys.join(buckets.select("key", "members"), "key").join(reps.select("node", "digest", "size", "values"), "node")
-    found = found.drop("node")
+    found = keys.join(buckets.select("key", "members"), "key").join(reps.select("node", "size", "values"), "node")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for rows in groups_of(batches, ["key", "first", "second"]):
             starts = [*starts_of(rows, ["key", "first", "second"]), rows.num_rows]
             values, sizes = _matrix(rows.column("values")), rows.column("size").to_numpy()
-            digest, sides = rows.column("digest"), rows.column("side").to_numpy()
+            node, sides = rows.column("node").to_numpy(), rows.column("side").to_numpy()
             first, second = rows.column("first").to_numpy(), rows.column("second").to_numpy()
             waiting: list[tuple[np.ndarray, np.ndarray]] = []
-            left: list[tuple[np.ndarray, np.ndarray]] = []
             held = 0
             for at, end in zip(starts, starts[1:], strict=False):
                 for a, b in row_pairs(sides[at:end], first[at] == second[at]):
@@ -210,23 +212,23 @@ def _candidates(reps: DataFrame, threshold: float, tolerance: float, block: int)
                     held += len(a)
                 if held >= PAIRS or end == rows.num_rows:
                     a, b = (np.concatenate(x) for x in zip(*waiting, strict=True)) if waiting else (np.zeros(0, int),) * 2
-                    left.append(survivors(values, sizes, a, b, threshold, tolerance))
+                    a, b = survivors(values, sizes, a, b, threshold, tolerance)
+                    yield node[a], node[b]
                     waiting, held = [], 0
-            a, b = (np.concatenate(x) for x in zip(*left, strict=True))
-            root = roots(rows.num_rows, a, b)
-            other = np.flatnonzero(root != np.arange(rows.num_rows))
-            ends = pa.table({"a": digest.take(pa.array(other)), "b": digest.take(pa.array(root[other]))})
-            yield from ends.to_batches()
 
-    return sort_by_group(deal_out(found, "key", "digest", block), "key").mapInArrow(run, "a binary, b binary").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in stars(edges(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return sort_by_group(deal_out(found, "key", "node", block), "key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _verified(
     docs: DataFrame, clusters: DataFrame, id: str, text: str, shingle: int, threshold: float, tolerance: float, block: int
 ) -> DataFrame:
-    """(digest, root, links) per representative and pair of blocks where it has a link."""
+    """(node, root, links) per representative and pair of blocks where it has a link."""
     texts = docs.select(F.col(id).alias("rep"), F.col(text).alias("text"))
-    rows = deal_out(texts.join(clusters, "rep").drop("rep"), "cluster", "digest", block)
+    rows = deal_out(texts.join(clusters, "rep").drop("rep"), "cluster", "node", block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = once_per_worker(("word hashes",), WordHashes)
@@ -236,7 +238,7 @@ def _verified(
                 found = _links(many.slice(at, end - at), hashes, shingle, threshold, tolerance)
                 yield from found.to_batches()
 
-    return sort_by_group(rows, "cluster").mapInArrow(run, "digest binary, root binary, links bigint")
+    return sort_by_group(rows, "cluster").mapInArrow(run, "node bigint, root bigint, links bigint")
 
 
 def _links(group: pa.Table, hashes: WordHashes, shingle: int, threshold: float, tolerance: float) -> pa.Table:
@@ -263,8 +265,8 @@ def _links(group: pa.Table, hashes: WordHashes, shingle: int, threshold: float,
         links += np.bincount(a, minlength=len(sets)) + np.bincount(b, minlength=len(sets))
         left.append((a, b))
     a, b = (np.concatenate(x) for x in zip(*left, strict=True))
-    root, some, digest = roots(len(sets), a, b), np.flatnonzero(links), group.column("digest")
-    return pa.table({"digest": digest.take(pa.array(some)), "root": digest.take(pa.array(root[some])), "links": links[some]})
+    root, some, node = roots(len(sets), a, b), np.flatnonzero(links), group.column("node").to_numpy()
+    return pa.table({"node": node[some], "root": node[root[some]], "links": links[some]})
 
 
 def _classes(
@@ -278,23 +280,23 @@ def _classes(
     )
     reps = kept(
         reps.select(
-            "digest", F.xxhash64("digest").alias("node"), F.col("low.id").alias("rep"), "low.size", "low.values", "low.bands", "copies"
+            "digest", F.monotonically_increasing_id().alias("node"), F.col("low.id").alias("rep"), "low.size", "low.values", "low.bands", "copies"
         )
     )
     near = components(_candidates(reps, threshold, tolerance, block))
     sized = near.groupBy("component").agg(F.count("*").alias("members"))
     clusters = (
         near.join(sized, "component")
-        .select(F.col("id").alias("digest"), F.xxhash64("component").alias("cluster"), "members")
-        .join(reps.select("digest", "rep", "values"), "digest")
+        .select(F.col("id").alias("node"), F.col("component").alias("cluster"), "members")
+        .join(reps.select("node", "digest", "rep", "values"), "node")
     )
     links = kept(_verified(docs, clusters, id, text, shingle, threshold, tolerance, block))
-    linked = components(links.select(F.col("digest").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "digest")
-    counted = links.groupBy("digest").agg(F.sum("links").alias("n_links"))
-    linked = linked.join(counted, "digest").join(reps.select("digest", "rep"), "digest")
+    linked = components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node")
+    counted = links.groupBy("node").agg(F.sum("links").alias("n_links"))
+    linked = linked.join(counted, "node").join(reps.select("node", "rep"), "node")
     lowest = linked.groupBy("component").agg(F.min("rep").alias("class_id"))
-    linked = linked.join(lowest, "component").select("digest", "n_links", "class_id")
-    told = reps.select("digest", "rep", "copies").join(linked, "digest", "left")
+    linked = linked.join(lowest, "component").select("node", "n_links", "class_id")
+    told = reps.select("node", "digest", "rep", "copies").join(linked, "node", "left")
     told = told.select(
         "digest",
         F.coalesce("class_id", "rep").alias("class_id"),

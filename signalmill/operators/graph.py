@@ -43,6 +43,35 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(ends))
 
 
+def stars(pieces: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges (u, v), v < u, that connect the same nodes as the edges that come in `pieces`.
+
+    Every node keeps one edge, to its smallest root. What is contracted is held
+    on to, so many dense groups of the same nodes leave one edge per node.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
+
+    def contract() -> tuple[np.ndarray, np.ndarray]:
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+        root = roots(len(nodes), place[: len(a)], place[len(a) :])
+        leaf = root != np.arange(len(nodes))
+        return nodes[leaf], nodes[root[leaf]]
+
+    for piece in pieces:
+        held.append(piece)
+        count += len(piece[0])
+        if count >= CONTRACTED:
+            held = [contract()]
+            count = len(held[0][0])
+            if 2 * count > CONTRACTED:
+                yield held.pop()
+                count = 0
+    if held:
+        yield contract()
+
+
 def _contracted(edges: DataFrame) -> DataFrame:
     """Edges (u, v), v < u, that connect the same nodes: in each task every node keeps one edge, to its smallest root.
 
@@ -52,21 +81,9 @@ def _contracted(edges: DataFrame) -> DataFrame:
     if dict(edges.dtypes)["u"] != "bigint":
         return edges
 
-    def stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        nodes, place = np.unique(np.concatenate((u, v)), return_inverse=True)
-        root = roots(len(nodes), place[: len(u)], place[len(u) :])
-        leaf = root != np.arange(len(nodes))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[root[leaf]])], names=["u", "v"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= CONTRACTED:
-                yield stars(*(np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1)))
-                held = []
-        if held:
-            yield stars(*(np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1)))
+        for u, v in stars((batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return edges.mapInArrow(run, "u bigint, v bigint")
 
@@ -74,14 +91,18 @@ def _contracted(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS, salts: int = SALTS) -> DataFrame:
     """(id, component) for every node of `edges(a, b)`; the component is its smallest node.
 
-    Edges are first contracted inside the tasks that hold them. Then two star
-    steps alternate until nothing changes: link larger neighbours to the
+    Edges are first contracted inside the tasks that hold them, and once more
+    where all that is left of a node meets, so a node that many tasks joined to
+    different neighbours has one edge again. Then two star steps alternate until nothing changes: link larger neighbours to the
     smallest neighbour, then smaller ones. Edges only move towards the minimum,
     so their number does not grow; the neighbours of a hub are spread over
     `salts` tasks. Every round is written out, so lost executors do not replay
     the rounds before.
     """
     pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    if dict(pairs.dtypes)["u"] == "bigint":
+        # A task leaves a node one edge, so all edges of a node meet in one task as at most one row per task before.
+        pairs = _contracted(pairs).repartition("u")
     current = stable(_contracted(pairs).distinct())
     state = _state(current)
     for _ in range(max_rounds):

@@ -118,3 +118,14 @@ def test_posterior_and_minhash():
                 like = s**m * (1 - s) ** (n - m)
                 posterior = like[s >= 0.8].sum() / like.sum()
                 assert (posterior >= 1e-6 * 1.01) == (m == least) or abs(posterior / 1e-6 - 1) < 0.02
+
+
+def test_near_copies_that_meet_in_many_bands_leave_one_edge_a_task(spark):
+    base = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join([*base[:i], "other", *base[i + 1 :]])) for i in range(40)]
+    found = jaccard_join.sketches(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    reps = found.selectExpr("id AS node", "digest", "size", "values", "bands").repartition(3)
+    edges = [tuple(r) for r in jaccard_join._candidates(reps, 0.8, 1e-6, 400).collect()]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all(b < a for a, b in edges) and {x for e in edges for x in e} == set(range(40))
+    assert len(edges) <= tasks * 39

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from signalmill.operators import graph
@@ -92,3 +93,22 @@ def test_a_small_batch_touches_little(spark, tmp_path):
     assert sorted(map(tuple, change.members.collect())) == [(5, 5), (4_000, 4_000), (4_001, 4_000)]
     assert sorted(map(tuple, change.aliases.collect())) == [(10, 5)]
     assert graph.read_grouping(spark, path, 2).current().filter("component = 5").count() == 2_991
+
+
+def test_stars_hold_on_to_what_they_contracted(monkeypatch):
+    monkeypatch.setattr(graph, "CONTRACTED", 300)
+    rng = np.random.default_rng(4)
+    # The same dense group of 50 nodes again and again leaves one edge per node but the smallest, not one set per piece.
+    pieces = [tuple(rng.integers(100, 150, (2, 200))) for _ in range(20)]
+    found = [x for u, v in graph.stars(iter(pieces)) for x in zip(u.tolist(), v.tolist(), strict=True)]
+    assert sorted(found) == [(k, 100) for k in range(101, 150)]
+
+
+def test_a_node_joined_in_many_tasks_has_one_edge_before_the_rounds(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(graph, "_state", lambda edges, f=graph._state: seen.append(f(edges)[0]) or f(edges))
+    # Three neighbours for each of 100 nodes, each in a task of its own.
+    edges = spark.range(300, numPartitions=3).selectExpr("id % 100 + 10 AS a", "id div 100 AS b")
+    found = {r.id: r.component for r in graph.components(edges).collect()}
+    assert found == {k: 0 for k in [0, 1, 2, *range(10, 110)]}
+    assert seen[0] <= 100 + 2 * 4
