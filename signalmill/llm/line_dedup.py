@@ -30,13 +30,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalmill.llm.common import WORD_TABLE, kept, pieces_of
 from signalmill.llm.jaccard_join import mixed
-from signalmill.operators.graph import components
+from signalmill.operators.graph import components, stars
 from signalmill.operators.pairing import (
     PAIRS,
     deal_out,
@@ -59,7 +60,15 @@ LEAST_FILTER = 1 << 20
 MOST_FILTER = 1 << 29
 FILTER_CHUNK = 1 << 19
 BLOCK = 400
-ROWS_AT_ONCE = 100_000
+# Listings that a task packs at once.
+ROWS_AT_ONCE = 1 << 18
+# Listings of a bucket of words. From MANY buckets on they grow instead of their number, up to LARGE_BUCKET listings.
+BUCKET = 1 << 13
+MANY = 1 << 12
+LARGE_BUCKET = 1 << 17
+# Clusters of up to this many sets are verified together, pair by pair, so many words at a time.
+FEW = 16
+WORDS_AT_ONCE = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 # Bits of the bitmap of every set, and of the second one of sets with more than LONG words.
 BITS = 128
@@ -67,7 +76,6 @@ LONG_BITS = 512
 LONG = 128
 # Words of up to this many bytes are hashed in vectorised steps of eight bytes.
 SHORT_WORD = 64
-_FOLDED = np.frombuffer(WORD_TABLE, np.uint8)
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _SEEDS = np.array([0x2545F4914F6CDD1D, 0xD1B54A32D192ED03], np.uint64)
 
@@ -86,9 +94,11 @@ def prefix_length(n, threshold: float):
 
 def _spread(x: np.ndarray) -> np.ndarray:
     """A one-to-one map of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x = x ^ (x >> np.uint64(33))
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x *= np.uint64(factor)
+        x ^= x >> np.uint64(33)
+    return x
 
 
 def word_hashes(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -117,7 +127,7 @@ def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     bounds = offsets[:-1] - offsets[0]
-    text = np.concatenate((_FOLDED[raw], np.full(8, 0x20, np.uint8)))
+    text = np.frombuffer(raw.tobytes().translate(WORD_TABLE) + b" " * 8, np.uint8)
     inside = text[: len(raw)] != 0x20
     begin, end = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
@@ -128,9 +138,10 @@ def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begin = np.flatnonzero(begin)
     length = np.flatnonzero(end) - begin + 1
     breaks = np.flatnonzero(raw == 0x0A)
-    of = np.searchsorted(bounds, begin, "right") - 1
-    line = np.searchsorted(breaks, begin) - np.searchsorted(breaks, bounds)[of]
-    return word_hashes(text, begin, length), of, line
+    # Texts and line feeds are far fewer than words, so they are looked up among the words.
+    of = np.repeat(np.arange(len(bounds)), np.diff(np.searchsorted(begin, bounds), append=len(begin)))
+    line = np.repeat(np.arange(len(breaks) + 1), np.diff(np.searchsorted(begin, breaks), prepend=0, append=len(begin)))
+    return word_hashes(text, begin, length), of, line - np.searchsorted(breaks, bounds)[of]
 
 
 @dataclass
@@ -246,37 +257,37 @@ def _collected(rows: DataFrame) -> np.ndarray:
 
 
 def bitmap_rows(own: np.ndarray, starts: np.ndarray, size: int = BITS) -> np.ndarray:
-    """The bitmaps of some sets that are not empty, as rows of 64-bit numbers."""
-    at = (own >> np.uint64(24)) & np.uint64(size - 1)
-    bit, lane = np.uint64(1) << (at & np.uint64(63)), at >> np.uint64(6)
-    lanes = [np.bitwise_or.reduceat(np.where(lane == k, bit, np.uint64(0)), starts[:-1]) for k in range(size // 64)]
-    return np.stack(lanes, axis=1)
+    """The bitmaps of some sets, as rows of 64-bit numbers."""
+    at = ((own >> np.uint64(24)) & np.uint64(size - 1)).astype(np.int64)
+    marks = np.zeros((len(starts) - 1, size), bool)
+    marks[np.repeat(np.arange(len(marks)), np.diff(starts)), at] = True
+    return np.packbits(marks, axis=1, bitorder="little").view(np.uint64)
 
 
 def bitmaps(own: np.ndarray) -> tuple[bytes, bytes | None]:
-    starts = np.array([0, len(own)])
-    return bitmap_rows(own, starts).tobytes(), bitmap_rows(own, starts, LONG_BITS).tobytes() if len(own) > LONG else None
+    bits, _, longer = set_bitmaps(own, np.array([0, len(own)]))
+    return bits.tobytes(), longer.tobytes() or None
 
 
-def set_bitmaps(own: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes | None]]:
-    """The bitmaps of some sets, and the larger ones of long sets."""
-    if not len(own):
-        return np.zeros((0, BITS // 64), np.uint64), []
-    more: list[bytes | None] = [None] * (len(starts) - 1)
-    for k in np.flatnonzero(np.diff(starts) > LONG):
-        more[k] = bitmaps(own[starts[k] : starts[k + 1]])[1]
-    return bitmap_rows(own, starts), more
+def set_bitmaps(own: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bitmaps of some sets, which of the sets are long, and the larger bitmaps of these."""
+    sizes = np.diff(starts)
+    long = sizes > LONG
+    longer = bitmap_rows(own[np.repeat(long, sizes)], np.concatenate(([0], np.cumsum(sizes[long]))), LONG_BITS)
+    return bitmap_rows(own, starts), long, longer
 
 
 _BITS = [f"bits{k}" for k in range(BITS // 64)]
 _PLACED = "id bigint, text_hash bigint, line int, digest binary"
 
 
+def _hashed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+
+
 def _placed(docs: DataFrame, id: str, text: str) -> DataFrame:
     """id, text_hash, text of the rows that take part."""
-    return docs.filter(F.col(id).isNotNull()).select(
-        F.col(id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")
-    )
+    return _hashed(docs.filter(F.col(id).isNotNull()), id, text)
 
 
 def _sets(docs: DataFrame, id: str, text: str, threshold: float) -> DataFrame:
@@ -290,7 +301,9 @@ def _sets(docs: DataFrame, id: str, text: str, threshold: float) -> DataFrame:
             lengths = prefix_length(sets.sizes, threshold)
             place = np.arange(len(sets.words)) - np.repeat(sets.starts[:-1], sets.sizes)
             listed = (sets.words[place < np.repeat(lengths, sets.sizes)] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            bits, more = set_bitmaps(sets.words, sets.starts)
+            bits, long, longer = set_bitmaps(sets.words, sets.starts)
+            more = np.full(len(long), None, object)
+            more[long] = [row.tobytes() for row in longer]
             where = pa.array(sets.text)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -319,12 +332,22 @@ def _sets(docs: DataFrame, id: str, text: str, threshold: float) -> DataFrame:
 class Bitmaps:
     """Bitmaps of some sets, and the larger ones of long sets."""
 
-    def __init__(self, bits: np.ndarray | list[bytes], more: list[bytes | None] | pa.ChunkedArray):
-        self.bits = (bits if isinstance(bits, np.ndarray) else np.frombuffer(b"".join(bits), np.uint64)).reshape(-1, BITS // 64)
-        more = more if isinstance(more, pa.ChunkedArray) else pa.chunked_array([pa.array(more, pa.binary())])
-        self.has = more.is_valid().to_numpy()
-        self.place = np.cumsum(self.has) - 1
-        self.more = np.frombuffer(b"".join(more.drop_null().to_pylist()), np.uint64).reshape(-1, LONG_BITS // 64)
+    def __init__(self, bits: list[bytes], more: list[bytes | None]):
+        self._set(
+            np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64),
+            np.array([x is not None for x in more], bool),
+            np.frombuffer(b"".join(x for x in more if x is not None), np.uint64).reshape(-1, LONG_BITS // 64),
+        )
+
+    def _set(self, bits: np.ndarray, long: np.ndarray, longer: np.ndarray) -> Bitmaps:
+        self.bits, self.has, self.more = bits, long, longer
+        self.place = np.cumsum(long) - 1
+        return self
+
+    @classmethod
+    def of(cls, bits: np.ndarray, long: np.ndarray, longer: np.ndarray) -> Bitmaps:
+        """From what `set_bitmaps` returns."""
+        return cls.__new__(cls)._set(bits, long, longer)
 
     def differences(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Fewest words in which the sets of each pair differ."""
@@ -371,8 +394,43 @@ def _listings(sets: DataFrame) -> np.ndarray:
     return _collected(sets.select("prefix").mapInArrow(count, _CHUNK))
 
 
-# `meta` packs size, place in the prefix, side, and whether both blocks are the same.
-_LISTED = f"key bigint, node bigint, meta bigint, {', '.join(f'{c} bigint' for c in _BITS)}, more binary"
+# A listing: `meta` packs size, place in the prefix, side, and whether both blocks are the same.
+_RECORD = np.dtype([("key", np.uint64), ("node", np.int64), ("meta", np.int64), ("bits", np.uint64, BITS // 64)])
+_LISTED = "bucket int, listings binary, more binary"
+
+
+def _long(records: np.ndarray) -> np.ndarray:
+    return records["meta"] >> 33 > LONG
+
+
+def _packed(records: np.ndarray, longer: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row per bucket of keys: its listings, and the larger bitmaps of those of long sets, in the same order."""
+    bucket = (records["key"] % np.uint64(buckets)).astype(np.int32)
+    place = np.cumsum(_long(records)) - 1
+    order = np.argsort(bucket, kind="stable")
+    bucket, records = bucket[order], records[order]
+    long = _long(records)
+    longer = longer[place[order[long]]]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(bucket)), bool), bucket[1:] != bucket[:-1])))
+    ends = np.concatenate((starts, [len(bucket)]))
+    before = np.concatenate(([0], np.cumsum(long)))
+
+    def cut(values: np.ndarray, at: np.ndarray, width: int) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+    columns = [pa.array(bucket[starts]), cut(records, ends, _RECORD.itemsize), cut(longer, before[ends], LONG_BITS // 8)]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "listings", "more"])
+
+
+def _unpacked(rows: pa.Table) -> tuple[np.ndarray, Bitmaps]:
+    """The listings of a bucket and their bitmaps, sorted by key and `meta`."""
+    records = np.frombuffer(b"".join(rows.column("listings").to_pylist()), _RECORD)
+    longer = np.frombuffer(b"".join(rows.column("more").to_pylist()), np.uint64).reshape(-1, LONG_BITS // 64)
+    place = np.cumsum(_long(records)) - 1
+    order = np.lexsort((records["meta"], records["key"]))
+    records = records[order]
+    long = _long(records)
+    return records, Bitmaps.of(np.ascontiguousarray(records["bits"]), long, longer[place[order[long]]])
 
 
 def _meeting(key: np.ndarray, sizes: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -415,15 +473,32 @@ def _hot_words(sets: DataFrame, counts: np.ndarray, block: int) -> tuple[np.ndar
     return word[order], -(-times[order] // block)
 
 
+def _star(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each of `n` rows but the first of its component, and that first row."""
+    root = roots(n, *(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*pairs, strict=True))) if pairs else np.arange(n)
+    other = np.flatnonzero(root != np.arange(n))
+    return other, root[other]
+
+
 def _candidates(sets: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(a, b): star edges over the pairs of sets that meet under a word and pass the filters."""
+    """(a, b): edges that connect the pairs of sets that meet under a word and pass the filters.
+
+    Listings travel packed, a row per task and bucket of keys; a bucket has some
+    thousand listings, so their number follows the data. A task contracts the
+    edges of all its words to the smallest set.
+    """
     counts = _listings(sets)
     # So there are no more than HOT hot words, and any other word has a group of this size at most.
     block = max(block, -(-int(counts.sum()) // HOT))
-    shared = sets.sparkSession.sparkContext.broadcast((counts > 1, *_hot_words(sets, counts, block)))
+    hot, hot_blocks = _hot_words(sets, counts, block)
+    # Every listing of a word goes to each of its blocks.
+    total = int(counts.sum() + block * (hot_blocks * (hot_blocks - 1)).sum())
+    buckets = max(1, -(-total // BUCKET) if total < MANY * BUCKET else max(MANY, -(-total // LARGE_BUCKET)))
+    shared = sets.sparkSession.sparkContext.broadcast((counts > 1, hot, hot_blocks))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several, hot, hot_blocks = shared.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             words_of, row = _places(batch)
             node, size = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
@@ -440,31 +515,45 @@ def _candidates(sets: DataFrame, threshold: float, block: int) -> DataFrame:
             first, second = np.minimum(own, other), np.maximum(own, other)
             key = mixed(mixed(word * _STEP + first.astype(np.uint64)) + second.astype(np.uint64) * _STEP)
             meta = size[of] << 33 | at[source] << 2 | (own > other).astype(np.int64) << 1 | (first == second)
-            rows = pa.array(of)
+            bits = np.stack([batch.column(3 + k).to_numpy().view(np.uint64) for k in range(len(_BITS))], axis=1)
+            more = batch.column(3 + len(_BITS))
+            longer = np.frombuffer(b"".join(more.drop_null().to_pylist()), np.uint64).reshape(-1, LONG_BITS // 64)
+            place = np.cumsum(size > LONG) - 1
             for begin in range(0, len(of), ROWS_AT_ONCE):
-                part = slice(begin, begin + ROWS_AT_ONCE)
-                take = rows[part]
-                columns = [pa.array(key[part].view(np.int64)), pa.array(node[of[part]]), pa.array(meta[part])]
-                columns += [batch.column(k).take(take) for k in range(3, 4 + len(_BITS))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "meta", *_BITS, "more"])
+                part = of[begin : begin + ROWS_AT_ONCE]
+                records = np.empty(len(part), _RECORD)
+                records["key"], records["meta"] = key[begin : begin + len(part)], meta[begin : begin + len(part)]
+                records["node"], records["bits"] = node[part], bits[part]
+                held.append((records, longer[place[part[size[part] > LONG]]]))
+                if sum(len(x) for x, _ in held) >= ROWS_AT_ONCE:
+                    yield _packed(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+                    held = []
+        if held:
+            yield _packed(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for many in groups_of(batches, ["bucket"]):
+            starts = [*starts_of(many, ["bucket"]), many.num_rows]
+            for first, end in zip(starts, starts[1:], strict=False):
+                records, bits = _unpacked(many.slice(first, end - first))
+                node, meta = np.ascontiguousarray(records["node"]), np.ascontiguousarray(records["meta"])
+                sizes, at, sides, same = meta >> 33, (meta >> 2) & 0x7FFFFFFF, (meta >> 1) & 1, meta & 1
+                left: list[tuple[np.ndarray, np.ndarray]] = []
+                for a, b in _meeting(np.ascontiguousarray(records["key"]), sizes, threshold):
+                    able = (same[a] == 1) | (sides[a] != sides[b])
+                    left.append(able_pairs(a[able], b[able], sizes, at, bits, threshold))
+                    if sum(len(a) for a, _ in left) > PAIRS:
+                        left = [_star(len(node), left)]
+                a, b = _star(len(node), left)
+                yield node[a], node[b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in groups_of(batches, ["key"]):
-            node, meta, key = (rows.column(c).to_numpy() for c in ("node", "meta", "key"))
-            sizes, at, sides, same = meta >> 33, (meta >> 2) & 0x7FFFFFFF, (meta >> 1) & 1, meta & 1
-            bits = Bitmaps(np.stack([rows.column(c).to_numpy().view(np.uint64) for c in _BITS], axis=1), rows.column("more"))
-            left: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
-            for a, b in _meeting(key, sizes, threshold):
-                able = (same[a] == 1) | (sides[a] != sides[b])
-                left.append(able_pairs(a[able], b[able], sizes, at, bits, threshold))
-            a, b = (np.concatenate(x) for x in zip(*left, strict=True))
-            root = roots(rows.num_rows, a, b)
-            other = np.flatnonzero(root != np.arange(rows.num_rows))
-            yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(node[root[other]])], names=["a", "b"])
+        for a, b in stars(edges(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     # Sizes are the upper part of `meta`. The number of blocks of a word is known from the table, so one shuffle is enough.
     rows = sets.select("node", "size", "prefix", *_BITS, "more").mapInArrow(listed, _LISTED)
-    return rows.repartition("key").sortWithinPartitions("key", "meta").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 # --- verification ---------------------------------------------------------------
@@ -570,24 +659,70 @@ def _matched(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for many in groups_of(batches, ["cluster", "first", "second"]):
-            starts = [*starts_of(many, ["cluster", "first", "second"]), many.num_rows]
-            for at, end in zip(starts, starts[1:], strict=False):
-                group = many.slice(at, end - at)
-                later = _later(group, threshold)
-                yield from pa.table({"digest": group.column("digest").take(pa.array(later))}).to_batches()
+            starts = np.array([*starts_of(many, ["cluster", "first", "second"]), many.num_rows])
+            sizes = np.diff(starts)
+            small = many.take(pa.array(np.flatnonzero(np.repeat(sizes <= FEW, sizes))))
+            found = [small.column("digest").take(pa.array(_later_in_few(small, sizes[sizes <= FEW], threshold)))]
+            for k in np.flatnonzero(sizes > FEW):
+                group = many.slice(starts[k], sizes[k])
+                found.append(group.column("digest").take(pa.array(_later(group, threshold))))
+            for digest in found:
+                yield from pa.table({"digest": digest}).to_batches()
 
     dealt = sort_by_group(deal_out(lines, "cluster", "digest", block), "cluster")
     return dealt.mapInArrow(run, "digest binary").distinct()
 
 
+def _ranks(rows: pa.Table) -> np.ndarray:
+    """The place of each row in the order of the lines."""
+    place = np.lexsort([rows.column(k).to_numpy() for k in ("line", "text_hash", "id")])
+    rank = np.empty(len(place), np.int64)
+    rank[place] = np.arange(len(place))
+    return rank
+
+
+def common_words(words: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words the sets of each pair share."""
+    out = np.zeros(len(a), np.int64)
+    total = np.cumsum(np.diff(starts)[a] + np.diff(starts)[b])
+    first = 0
+    while first < len(a):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + WORDS_AT_ONCE, "right")))
+        of = np.concatenate((a[first:last], b[first:last]))
+        lengths = starts[of + 1] - starts[of]
+        at = np.repeat(starts[of] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+        pair, own = np.repeat(np.tile(np.arange(first, last), 2), lengths), words[at]
+        order = np.lexsort((own, pair))
+        pair, own = pair[order], own[order]
+        # A set has a word once, so the same word twice in a pair is common.
+        out += np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (own[1:] == own[:-1])], minlength=len(a))
+        first = last
+    return out
+
+
+def _later_in_few(rows: pa.Table, members: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows that match an earlier line of their group, for many groups of a few rows each, one after the other."""
+    own = rows.column("words").to_pylist()
+    sizes = np.array([len(x) // 8 for x in own], np.int64)
+    words, starts = np.frombuffer(b"".join(own), np.uint64), np.concatenate(([0], np.cumsum(sizes)))
+    partners = np.repeat(np.cumsum(members), members) - np.arange(len(own)) - 1
+    a = np.repeat(np.arange(len(own)), partners)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(partners) - partners, partners)
+    side, same = rows.column("side").to_numpy(), rows.column("first").to_numpy() == rows.column("second").to_numpy()
+    meet = same[a] | (side[a] != side[b])
+    a, b = able_pairs(a[meet], b[meet], sizes, None, Bitmaps.of(*set_bitmaps(words, starts)), threshold)
+    both, rank = common_words(words, starts, a, b), _ranks(rows)
+    true = both >= threshold * (sizes[a] + sizes[b] - both) - 1e-9
+    a, b = a[true], b[true]
+    return np.unique(np.where(rank[a] > rank[b], a, b))
+
+
 def _later(group: pa.Table, threshold: float) -> np.ndarray:
     """Rows of a group that match an earlier line of the group."""
     sets = [np.frombuffer(x, np.uint64) for x in group.column("words").to_pylist()]
     sizes = np.array([len(s) for s in sets], np.int64)
-    place = np.lexsort([group.column(k).to_numpy() for k in ("line", "text_hash", "id")])
-    rank = np.empty(len(place), np.int64)
-    rank[place] = np.arange(len(place))
-    bits = Bitmaps(*set_bitmaps(np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))))
+    rank = _ranks(group)
+    bits = Bitmaps.of(*set_bitmaps(np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))))
     common = shared_counts(sets)
     out = [np.zeros(0, np.int64)]
     same = group.column("first")[0].equals(group.column("second")[0])
@@ -603,8 +738,8 @@ def _later(group: pa.Table, threshold: float) -> np.ndarray:
 # --- results --------------------------------------------------------------------
 
 
-def _removed(docs: DataFrame, id: str, text: str, threshold: float, block: int) -> DataFrame:
-    """(id, text_hash, lines): the lines, counted from 0, that go from each document that loses any."""
+def _removed(docs: DataFrame, id: str, text: str, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(id, text_hash, n_lines) of all rows, and (id, text_hash, lines): the lines, counted from 0, that go from each document that loses any."""
     sets = kept(_sets(docs, id, text, threshold))
     near = components(_candidates(sets, threshold, block))
     sized = near.groupBy("component").agg(F.count("*").alias("members"))
@@ -625,16 +760,21 @@ def _removed(docs: DataFrame, id: str, text: str, threshold: float, block: int)
             digests = sets.digests()
             # Lines whose set occurs once and matches none stay in their task.
             found = np.flatnonzero(passes(shared.value, digests))
-            where = pa.array(sets.text[found])
+            held = np.searchsorted(sets.text[found], np.arange(piece.num_rows + 1)).astype(np.int32)
+            own = pa.StructArray.from_arrays([pa.array(sets.line[found].astype(np.int32)), binary(digests[found])], ["line", "digest"])
+            n_lines = pc.add(pc.fill_null(pc.count_substring(piece.column(2), "\n"), 0).cast(pa.int64()), 1)
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0).take(where), piece.column(1).take(where), pa.array(sets.line[found].astype(np.int32)), binary(digests[found])],
-                names=["id", "text_hash", "line", "digest"],
+                [piece.column(0), piece.column(1), n_lines, pa.ListArray.from_arrays(pa.array(held), own)],
+                names=["id", "text_hash", "n_lines", "own"],
             )
 
-    lines = _placed(docs, id, text).mapInArrow(places, _PLACED)
+    schema = "id bigint, text_hash bigint, n_lines bigint, own array<struct<line: int, digest: binary>>"
+    # Every text is read and cut once for its lines and their number.
+    rows = kept(_hashed(docs, id, text).mapInArrow(places, schema))
+    lines = rows.filter("id IS NOT NULL").select("id", "text_hash", F.inline("own"))
     gone = lines.join(told, "digest").filter(F.col("matched") | (F.struct("id", "text_hash", "line") != F.col("first")))
     # As many as the document has lines.
-    return gone.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    return rows.drop("own"), gone.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def removed_lines(
@@ -646,12 +786,8 @@ def removed_lines(
     that repeat id and text are one document, so they lose the same lines; a row
     without an id takes no part. Ids are integers. A NULL text is one empty line.
     """
-    gone = _removed(docs, id, text, threshold, block).withColumnRenamed("id", "_gone").withColumnRenamed("text_hash", "_hash")
-    rows = docs.select(
-        F.col(id).alias("id"),
-        F.xxhash64(text).alias("text_hash"),
-        (F.length(F.coalesce(text, F.lit(""))) - F.length(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"))) + 1).cast("bigint").alias("n_lines"),
-    )
+    rows, gone = _removed(docs, id, text, threshold, block)
+    gone = gone.withColumnRenamed("id", "_gone").withColumnRenamed("text_hash", "_hash")
     told = rows.join(gone, (F.col("id") == F.col("_gone")) & (F.col("text_hash") == F.col("_hash")), "left")
     none = F.array().cast("array<int>")
     return told.select(F.col("id").alias(id), "n_lines", F.coalesce("lines", none).alias("lines"))
@@ -661,7 +797,7 @@ def without_lines(
     docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block: int = BLOCK
 ) -> DataFrame:
     """All documents with all their columns; `text` has lost the lines that go. A NULL text stays."""
-    gone = _removed(docs, id, text, threshold, block)
+    _, gone = _removed(docs, id, text, threshold, block)
     rows = docs.select(F.struct("*").alias("row"), F.col(id).alias("_id"), F.xxhash64(text).alias("_hash"))
     gone = gone.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("lines").alias("_gone"))
     joined = rows.join(gone, ["_id", "_hash"], "left").select("row", F.col(f"row.{text}").alias("text"), "_gone")

@@ -157,3 +157,39 @@ def test_hot_words_are_counted_by_word(spark):
     word, blocks = line_dedup._hot_words(sets, counts, 5)
     assert word.tolist() == [hot] and blocks.tolist() == [2]
     assert line_dedup._hot_words(sets, counts, 50)[0].tolist() == []
+
+
+def test_small_groups_are_verified_together_as_alone():
+    rng = np.random.default_rng(8)
+    groups, members = [], []
+    for k in range(60):
+        n, base = int(rng.integers(1, 9)), rng.choice(10**6, int(rng.integers(1, 160)), replace=False)
+        sets = [np.unique(np.where(rng.random(len(base)) < 0.06, rng.integers(0, 10**6, len(base)), base)).astype(np.uint64) for _ in range(n)]
+        place = [int(x) for x in rng.permutation(n)]
+        groups.append(
+            pa.table({"words": pa.array([s.tobytes() for s in sets], pa.binary()), "line": place, "text_hash": place, "id": place,
+                      "first": [0] * n, "second": [k % 2] * n, "side": pa.array(rng.integers(0, 2, n))})
+        )
+        members.append(n)
+    starts = np.concatenate(([0], np.cumsum(members)))
+    want = [int(at + x) for at, g in zip(starts, groups, strict=False) for x in line_dedup._later(g, 0.8)]
+    assert want and line_dedup._later_in_few(pa.concat_tables(groups), np.array(members), 0.8).tolist() == want
+
+
+def test_listings_come_out_of_their_buckets():
+    rng = np.random.default_rng(9)
+    records = np.zeros(500, line_dedup._RECORD)
+    records["key"], records["node"] = rng.integers(0, 60, 500), np.arange(500)
+    records["meta"], records["bits"] = rng.integers(1, 300, 500) << 33, rng.integers(0, 2**63, (500, 2))
+    longer = {int(x["node"]): rng.integers(0, 2**63, 8).astype(np.uint64) for x in records if x["meta"] >> 33 > line_dedup.LONG}
+    rows = pa.Table.from_batches([line_dedup._packed(records, np.stack([*longer.values()]), 7)])
+    assert rows.column("bucket").to_pylist() == list(range(7))
+    seen = []
+    for k in range(7):
+        found, bits = line_dedup._unpacked(rows.slice(k, 1))
+        assert [(x["key"], x["meta"]) for x in found] == sorted((x["key"], x["meta"]) for x in records if x["key"] % 7 == k)
+        for at, x in enumerate(found):
+            assert bits.has[at] == (int(x["node"]) in longer) and (bits.bits[at] == records["bits"][x["node"]]).all()
+            assert not bits.has[at] or (bits.more[bits.place[at]] == longer[int(x["node"])]).all()
+        seen += found["node"].tolist()
+    assert sorted(seen) == list(range(500))
