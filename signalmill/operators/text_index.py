@@ -38,6 +38,9 @@ _TERM = "[a-z0-9_]{%d,}"
 # Tasks that the texts with one word are dealt to, when it is asked for and when it is written.
 SALTS = 16
 SPREAD = 8
+# Bytes of text whose postings a task sorts, and rows that it joins; both bound its memory at any size.
+TEXT_PER_TASK = 1 << 22
+ROWS_PER_TASK = 1 << 19
 
 
 def _terms(text: str) -> str:
@@ -52,9 +55,15 @@ def _bucket(name: str, buckets: int):
     return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int").alias("bucket")
 
 
-def _write(rows: DataFrame, path: str, order: list[str]) -> None:
-    # A term that a third of the texts have is dealt to several tasks by their paths.
-    dealt = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64(order[-1]), F.lit(SPREAD)))
+def _tasks(spark: SparkSession, amount: int, each: int) -> int:
+    """Tasks for some amount of work: those of a shuffle, or as many more as keep a task at `each`."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-amount // each))
+
+
+def _write(rows: DataFrame, path: str, order: list[str], tasks: int, buckets: int) -> None:
+    # A term that a third of the texts have is dealt to several tasks by their paths; there are four parts a task.
+    spread = max(SPREAD, -(-4 * tasks // buckets))
+    dealt = rows.repartition(tasks, F.col("bucket"), F.pmod(F.xxhash64(order[-1]), F.lit(spread)))
     dealt.sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path)
 
 
@@ -66,15 +75,16 @@ def add_documents(documents: DataFrame, root: str, path: str = "path", text: str
     """
     spark = documents.sparkSession
     rows = documents.filter(F.col(path).isNotNull() & F.col(text).isNotNull())
+    tasks = _tasks(spark, rows.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0, TEXT_PER_TASK)
     found = rows.select(F.col(path).alias("path"), F.explode(F.expr(_terms(f"`{text}`"))).alias("term"))
     # An index without a term yet still knows the type of its paths.
     found.select("term", "path").filter("false").write.mode("append").parquet(f"{root}/columns")
     delivery = f"delivery={uuid.uuid4().hex}"
-    _write(found.select(_bucket("term", buckets), "term", "path"), f"{root}/postings/{delivery}", ["term", "path"])
+    _write(found.select(_bucket("term", buckets), "term", "path"), f"{root}/postings/{delivery}", ["term", "path"], tasks, buckets)
     # The terms are read back from what was written, so the texts are cut once.
     written = spark.read.schema(StructType(_GRAMS.fields[1:])).parquet(f"{root}/postings/{delivery}").select("term")
     grams = written.distinct().select(F.explode(F.expr(_grams("term"))).alias("gram"), "term")
-    _write(grams.select(_bucket("gram", buckets), "gram", "term"), f"{root}/grams/{delivery}", ["gram", "term"])
+    _write(grams.select(_bucket("gram", buckets), "gram", "term"), f"{root}/grams/{delivery}", ["gram", "term"], tasks, buckets)
 
 
 def _read(spark: SparkSession, path: str, schema: StructType, wanted: DataFrame, key: str, buckets: int) -> DataFrame:
@@ -83,6 +93,13 @@ def _read(spark: SparkSession, path: str, schema: StructType, wanted: DataFrame,
     return spark.read.schema(StructType([*schema.fields, StructField("bucket", IntegerType())])).parquet(path).filter(F.col("bucket").isin(numbers)).select(*schema.names)
 
 
+def _dealt_join(few: DataFrame, many: DataFrame, key: str, tasks: int) -> DataFrame:
+    """The join on `key`; the rows of `many` (key, path) under a frequent key are dealt by their paths, SALTS ways."""
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    parts = many.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)))
+    return salted.repartition(tasks, key, "salt").join(parts.repartition(tasks, key, "salt"), [key, "salt"])
+
+
 def matches(spark: SparkSession, root: str, words: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(word, path), once each: the documents that hold each word of `words` (word).
 
@@ -99,14 +116,15 @@ def matches(spark: SparkSession, root: str, words: DataFrame, buckets: int = BUC
     )
     terms = stable(sized.join(grams, "gram").filter(F.contains("term", F.col("word"))).select("word", "term").distinct())
     postings = _read(spark, f"{root}/postings", columns, terms, "term", buckets)
-    return terms.join(postings, "term").select("word", "path").distinct()
+    # The footers of the files tell how many postings there are.
+    tasks = _tasks(spark, postings.count(), ROWS_PER_TASK)
+    return _dealt_join(terms, postings, "term", tasks).select("word", "path").repartition(tasks, "word", "path").distinct()
 
 
 def _asked(asked: DataFrame, found: DataFrame) -> DataFrame:
     """(ticket_id, path) per word of a ticket that a document has; a frequent word is dealt by its documents."""
-    salt = F.pmod(F.xxhash64("path"), F.lit(SALTS))
-    many = asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    return many.join(found.withColumn("salt", salt), ["word", "salt"]).select("ticket_id", "path")
+    tasks = _tasks(found.sparkSession, found.count(), ROWS_PER_TASK)
+    return _dealt_join(asked, found, "word", tasks).select("ticket_id", "path")
 
 
 def related_documents(

@@ -75,3 +75,14 @@ def test_empty_index(spark, tmp_path):
     root = stored(spark, tmp_path, [("a", "", "en"), ("b", None, "en")])
     words = spark.createDataFrame([("gate",)], "word string")
     assert text_index.matches(spark, root, words, 8).count() == 0
+
+
+def test_tasks_follow_the_postings(spark, tmp_path, monkeypatch):
+    # Joins and sorted writes get more tasks with more rows, so a task does not grow with the texts.
+    monkeypatch.setattr(text_index, "ROWS_PER_TASK", 10)
+    monkeypatch.setattr(text_index, "TEXT_PER_TASK", 50)
+    docs = [(k, f"alpha beta term{k}") for k in range(60)]
+    text_index.add_documents(spark.createDataFrame(docs, "path bigint, text string"), str(tmp_path), buckets=8)
+    found = text_index.matches(spark, str(tmp_path), spark.createDataFrame([("alp",), ("erm1",)], "word string"), 8)
+    assert {tuple(r) for r in found.collect()} == {("alp", k) for k in range(60)} | {("erm1", k) for k in range(60) if f"term{k}".startswith("term1")}
+    assert found.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
