@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import gc
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -190,19 +191,22 @@ def event_views(spark, sf_dir):
     return events.event_views(_json_events(spark, sf_dir)).drop("line_no")
 
 
-def _session_folder(spark, sf_dir) -> str:
-    """The trace written as session files with some blank lines, in files of up to 65,536 events.
+def _session_lines(spark, sf_dir) -> DataFrame:
+    """The trace as lines of session files with some blank lines, in files of up to 65,536 events."""
+    lines = tables.trace_json(spark, sf_dir).withColumn("part", F.expr("i div 65536"))
+    named = F.concat_ws(".", F.coalesce("session_id", F.lit("__HIVE_DEFAULT_PARTITION__")), "part")
+    value = F.when(F.col("pos") % 13 == 0, F.concat(F.lit("\n"), "value")).otherwise(F.col("value"))
+    return lines.select(named.alias("session_id"), "i", value.alias("value"))
+
+
+def _write_sessions(lines: DataFrame, path: str) -> str:
+    """Lines as session files below `path`.
 
     A file costs the same whatever it holds, so the sessions are dealt to a
     fixed number of tasks per core, and each file lies in one folder.
     """
-    path = new_path(spark, "sessions")
-    lines = tables.trace_json(spark, sf_dir).withColumn("part", F.expr("i div 65536"))
-    named = F.concat_ws(".", F.coalesce("session_id", F.lit("__HIVE_DEFAULT_PARTITION__")), "part")
     (
-        lines.withColumn("value", F.when(F.col("pos") % 13 == 0, F.concat(F.lit("\n"), "value")).otherwise(F.col("value")))
-        .select(named.alias("session_id"), "i", "value")
-        .repartition(8 * spark.sparkContext.defaultParallelism, "session_id")
+        lines.repartition(8 * lines.sparkSession.sparkContext.defaultParallelism, "session_id")
         .sortWithinPartitions("session_id", "i")
         .select("session_id", "value")
         .write.partitionBy("session_id")
@@ -211,6 +215,34 @@ def _session_folder(spark, sf_dir) -> str:
     return path
 
 
+def _session_folder(spark, sf_dir) -> str:
+    """The trace written as session files."""
+    return _write_sessions(_session_lines(spark, sf_dir), new_path(spark, "sessions"))
+
+
+# Session files of a folder, on average. The driver holds some 4 KB for each while it lists and reads the folder.
+_FOLDER_FILES = 1 << 14
+
+
+def _session_folders(spark, sf_dir) -> Iterator[str]:
+    """The same files in folders of bounded size, one after another.
+
+    The lines are dealt by folder first, so that a folder is written from its own
+    lines, and the driver of a write holds the names of one folder only.
+    """
+    lines, path, dealt = _session_lines(spark, sf_dir), new_path(spark, "sessions"), new_path(spark, "session-lines")
+    folders = 1 + lines.select("session_id").distinct().count() // _FOLDER_FILES
+    (
+        lines.withColumn("folder", F.pmod(F.xxhash64("session_id"), F.lit(folders)))
+        .repartitionByRange(8 * spark.sparkContext.defaultParallelism, "folder", "session_id")
+        .write.partitionBy("folder")
+        .parquet(dealt)
+    )
+    rows = spark.read.schema("session_id string, i bigint, value string, folder bigint").parquet(dealt)
+    for row in rows.select("folder").distinct().orderBy("folder").collect():
+        yield _write_sessions(rows.filter(F.col("folder") == row.folder), f"{path}/{row.folder}")
+
+
 # Session and part in the path of a file of that folder.
 _SESSION = r"session_id=([^/]+)\.[0-9]+/"
 _PART = r"session_id=[^/]+\.([0-9]+)/"
@@ -1176,10 +1208,8 @@ def stream_tickets(spark, sf_dir):
 _SESSION_BYTES = 256 << 20
 
 
-@register
-def stream_sessions(spark, sf_dir):
-    """Session files read as a stream: the same sessions and events as in batch."""
-    folder, out, mark = _session_folder(spark, sf_dir), new_path(spark, "views"), new_path(spark, "views-progress")
+def _streamed_sessions(spark, folder: str) -> DataFrame:
+    out, mark = new_path(spark, "views"), new_path(spark, "views-progress")
     with sessions.listing_in_parts(spark):
         views = live.session_stream(spark, folder, name_glob="*.txt", bytes_per_trigger=_SESSION_BYTES)
         live.run_available(views, mark, live.parquet_writer(out), "append")
@@ -1190,6 +1220,22 @@ def stream_sessions(spark, sf_dir):
     return streamed.join(batch, "session_id").groupBy(named.alias("session_id")).agg(F.sum("views").alias("views"))
 
 
+@register
+def stream_sessions(spark, sf_dir):
+    """Session files read as a stream: the same sessions and events as in batch.
+
+    The driver lists all files of a stream, so each folder has a stream of its own.
+    """
+    kept = new_path(spark, "session-views")
+    spark.createDataFrame([], "session_id string, views bigint").write.parquet(kept)
+    for folder in _session_folders(spark, sf_dir):
+        _streamed_sessions(spark, folder).write.mode("append").parquet(kept)
+        # Python's references to the plans of a folder, and so to its listing, are cycles.
+        gc.collect()
+    # Files of a long session may lie in several folders.
+    return spark.read.parquet(kept).groupBy("session_id").agg(F.sum("views").alias("views"))
+
+
 def forget() -> None:
     """Drop the tables kept between queries, so that the next query builds its own."""
     _shared.clear()

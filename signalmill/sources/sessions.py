@@ -53,17 +53,25 @@ def rel_path(path: Column, root: str) -> Column:
 
 
 _LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+_LISTINGS_KEPT = "spark.sql.hive.filesourcePartitionFileCacheSize"
 
 
 @contextmanager
 def listing_in_parts(spark: SparkSession) -> Iterator[None]:
-    """Files are listed in a few tasks per core; by default there is a task per folder, so one per session."""
-    before = spark.conf.get(_LISTING, None)
-    spark.conf.set(_LISTING, str(8 * spark.sparkContext.defaultParallelism))
+    """Files are listed in a few tasks per core; by default there is a task per folder, so one per session.
+
+    Nothing asks for a listing again, so the driver does not keep them beside the
+    readers either; by default they fill up to 250 MB of its memory.
+    """
+    wanted = {_LISTING: str(8 * spark.sparkContext.defaultParallelism), _LISTINGS_KEPT: "0"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(_LISTING, before) if before else spark.conf.unset(_LISTING)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
 
 
 def read_lines(

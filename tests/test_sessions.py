@@ -92,6 +92,40 @@ def test_session_folder_has_one_folder_per_file(spark):
     assert all(any(f.endswith(".txt") for f in os.listdir(f"{root}/{d}")) for d in folders) and len(folders) > 10
 
 
+def test_a_stream_lists_the_files_of_one_folder_only(spark, tmp_path, monkeypatch):
+    import os
+    from collections import Counter
+    from datetime import datetime, timedelta
+
+    from signalmill.plans import queries
+    from signalmill.streaming import live
+
+    # 40 users and one without a name, 5 events each, of which the 23rds are heartbeats.
+    start = datetime(2026, 1, 1)
+    rows = [(n, start + timedelta(seconds=n), n % 41 or None, "click", 1.0, '{"k": 1}') for n in range(205)]
+    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "events.parquet"))
+    views = Counter(f"s{r[2]}" if r[2] else "__HIVE_DEFAULT_PARTITION__" for r in rows if r[0] % 29 == 0 or r[0] % 23)
+
+    def files(root):
+        return [os.path.basename(d) for d, _, names in os.walk(root.removeprefix("file:")) if any(f.endswith(".txt") for f in names)]
+
+    seen, stream = [], live.session_stream
+    monkeypatch.setattr(queries, "_FOLDER_FILES", 8, raising=False)
+    monkeypatch.setattr(live, "session_stream", lambda spark, root, **options: seen.append(files(root)) or stream(spark, root, **options))
+    got = queries.stream_sessions(spark, str(tmp_path)).collect()
+    assert {r.session_id: r.views for r in got} == views and len(got) == 41
+    assert sorted(name for some in seen for name in some) == sorted(f"session_id={name}.0" for name in views)
+    assert len(seen) > 3 and max(map(len, seen)) < 20
+
+
+def test_listings_are_not_kept_by_the_driver(spark):
+    before = spark.conf.get(sessions._LISTINGS_KEPT)
+    with sessions.listing_in_parts(spark):
+        assert spark.conf.get(sessions._LISTINGS_KEPT) == "0"
+    assert spark.conf.get(sessions._LISTINGS_KEPT) == before
+
+
 def test_a_changed_file_ends_in_an_error(spark, tmp_path):
     from pyspark.sql import functions as F
 
